@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, token_store, toxicity
+from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, token_store, toxicity
 from plenum.llm.common import read_table, work_dir
 
 
@@ -37,6 +37,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(read_table(spark, sf_dir, "documents"), os.environ.get("PLENUM_PSEUDONYM_KEY", "example key"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_near_dedup": op3_near_dedup,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_mixing": op6_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
