@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, token_store, toxicity
+from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, token_store, toxicity, warc
 from plenum.llm.common import read_table, work_dir
 
 
@@ -33,6 +33,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_summary(spark, out)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_to_derivatives(read_table(spark, sf_dir, "pages"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
@@ -61,6 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_warc": op2_warc,
     "op3_near_dedup": op3_near_dedup,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_mixing": op6_mixing,
