@@ -21,29 +21,30 @@ BATCH = 4096
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
-class PieceCache(dict):
+class PieceCache:
     """piece (UTF-8) -> its ids, packed as little-endian unsigned 16- or 32-bit numbers."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.encode = encode
 
     def texts(self, cut: list[list[bytes]]) -> list[bytes]:
         """The packed ids of each text, given as its list of pieces."""
+        known = self.known
         new: set[bytes] = set()
         for pieces in cut:
-            new.update(set(pieces).difference(self))
+            new.update(set(pieces).difference(known))  # known is a plain dict: one look-up a piece
         rest: dict[bytes, bytes] = {}
         if new:
-            if len(self) + len(new) > CACHE:
-                rest = dict(self)
-                self.clear()
+            if len(known) + len(new) > CACHE:
+                rest, known = known, {}
+                self.known = known
             order = list(new)
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
                 for p, ids in zip(part, self.encode([p.decode() for p in part]), strict=True):
-                    (self if len(p) <= LONGEST and len(self) < CACHE else rest)[p] = ids
-        get = self.__getitem__ if not rest else lambda p: self[p] if p in self else rest[p]
+                    (known if len(p) <= LONGEST and len(known) < CACHE else rest)[p] = ids
+        get = known.__getitem__ if not rest else lambda p: known[p] if p in known else rest[p]
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
