@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, substring_dedup, token_store, toxicity, warc
+from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, search, substring_dedup, token_store, toxicity, warc
 from plenum.llm.common import read_table, work_dir
 
 
@@ -41,6 +41,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100, with its whole text, against all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 100 = 0"), k=10)
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(read_table(spark, sf_dir, "documents"), os.environ.get("PLENUM_PSEUDONYM_KEY", "example key"))
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
     "op3_near_dedup": op3_near_dedup,
+    "op4_search": op4_search,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
