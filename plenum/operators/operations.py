@@ -1,0 +1,83 @@
+"""Running the record: freshness, late answers, rotation, links, traffic, summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Patterns of robots, in the order in which they are tried.
+ROBOTS: list[tuple[str, str]] = [
+    ("search", r"googlebot|bingbot|duckduckbot|yandex"),
+    ("archive", r"archive\.org|ccbot|commoncrawl"),
+    ("model", r"gptbot|claudebot|perplexity"),
+    ("tool", r"curl|wget|python-requests|go-http"),
+    ("other", r"bot|crawl|spider|preview"),
+]
+
+
+def robot(agent: Column) -> Column:
+    """The first class of robots whose pattern the agent matches; null for a reader."""
+    out = None
+    for name, pattern in ROBOTS:
+        hit = F.lower(agent).rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def traffic(log: DataFrame, assets: str, host: str, heavy: int = 150) -> DataFrame:
+    """Readers (ip, agent) of a log by day: no robot, and an asset loaded or arrived from elsewhere; heavy ones apart."""
+    rows = log.withColumn("robot", robot(F.col("agent"))).filter("robot is null")
+    asset, outside = F.col("path").rlike(assets), F.col("referrer").isNotNull() & (F.col("referrer") != "") & ~F.col("referrer").contains(host)
+    per = rows.groupBy("day", "ip", "agent").agg(F.count_if(~asset).alias("pages"), F.max(asset | outside).alias("reader"))
+    return per.filter("reader").groupBy("day").agg(F.count_if(F.col("pages") <= heavy).alias("readers"), F.count_if(F.col("pages") > heavy).alias("heavy"), F.sum(F.when(F.col("pages") <= heavy, F.col("pages")).otherwise(0)).alias("pages"))
+
+
+def freshness(state: DataFrame, now: Column, stale_hours: int = 48) -> DataFrame:
+    """status of (sitting_days array<date>, newest_vote timestamp, last_sync timestamp): in this order, empty,
+    unknown, behind (a sitting day after the newest vote's has passed), stale, current."""
+    today = now.cast("date")
+    missed = F.filter("sitting_days", lambda d: (d < today) & (d > F.col("newest_vote").cast("date")))
+    age = (F.unix_timestamp(now) - F.unix_timestamp("last_sync")) / 3600
+    return state.withColumns({"missed": F.size(missed), "sync_hours": age}).withColumn(
+        "status",
+        F.when(F.col("newest_vote").isNull(), "empty").when(F.col("sitting_days").isNull(), "unknown").when(F.size(missed) > 0, "behind")
+        .when(F.col("last_sync").isNull() | (age > stale_hours), "stale").otherwise("current"),
+    )
+
+
+def ask_again(day: Column, rows: Column, refreshed: Column, today: Column, days: int = 45) -> Column:
+    """An empty answer for a day that has sat is asked for again for 45 days, once a run."""
+    return (rows == 0) & ~refreshed & (day < today) & (F.datediff(today, day) <= days)
+
+
+def rotation(items: DataFrame, state: DataFrame, key: str, n: int) -> DataFrame:
+    """The n items checked longest ago; those never checked come first."""
+    return items.join(state, key, "left").orderBy(F.col("checked").asc_nulls_first(), key).limit(n)
+
+
+def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, href): the distinct links of each page, without fragment and query."""
+    found = F.regexp_extract_all(F.col(html), F.lit(r"href=\"([^\"#?]*)"), F.lit(1))
+    return pages.select(F.col(id_col).alias("page"), F.explode(F.array_distinct(found)).alias("href")).filter("href <> ''")
+
+
+def broken(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Local links that name no file: href, pages that have it, and the first of them."""
+    local = found.filter(~F.col("href").rlike("^[a-z]+:"))
+    return local.join(files, "href", "left_anti").groupBy("href").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the number of rows of each table."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def sectors(seats: DataFrame) -> DataFrame:
+    """Seats (sector, row, seat, grp, member): members by sector and group, doubly taken seats, and where each sector leans."""
+    twice = seats.groupBy("sector", "row", "seat").agg(F.count("*").alias("n")).groupBy("sector").agg(F.count_if(F.col("n") > 1).alias("duplicates"))
+    per = seats.groupBy("sector").agg(F.count("*").alias("members"), F.count_distinct("grp").alias("groups"), F.max("row").alias("rows"), F.avg("seat").alias("mean_seat"))
+    return per.join(twice, "sector")

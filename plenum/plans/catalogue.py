@@ -5,6 +5,758 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plenum.functions import rules, text
+from plenum.operators import decisions, floor, groups, idealpoint, operations, relational, series, switches, textual
+from plenum.plans import bindings as b
+from plenum.plans import console
+from plenum.sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# -- groups ------------------------------------------------------------------------------------
+
+
+@query("member_alignment", f"""WITH {b.TALLIES} SELECT member, pos.grp, count(*) AS in_roll, count(*) FILTER (position <> 'absent') AS "cast",
+  count(*) FILTER (position = 'abstain') AS abstained, count(*) FILTER (position = 'absent') AS absent,
+  count(*) FILTER (position <> 'absent' AND plurality = position) AS with_group, count(*) FILTER (position <> 'absent' AND plurality <> position) AS against_group
+  FROM pos LEFT JOIN plu ON plu.vote = pos.vote AND plu.grp = pos.grp GROUP BY member, pos.grp""")
+def _(s, d):
+    return groups.member_alignment(b.positions(s, d))
+
+
+@query("group_tallies", f"WITH {b.TALLIES} SELECT vote, grp, yes, no, abstain, other, n FROM tal")
+def _(s, d):
+    return groups.tallies(b.positions(s, d))
+
+
+@query("group_plurality", f"""WITH {b.TALLIES} SELECT vote, grp, "cast", plurality, round(most / nullif("cast", 0), 6) AS majority_share FROM plu""")
+def _(s, d):
+    return groups.plurality(b.positions(s, d)).select("vote", "grp", "cast", "plurality", r6("majority_share").alias("majority_share"))
+
+
+@query("rice_agreement", f"""WITH {b.TALLIES} SELECT vote, grp, round(abs(yes - no) / nullif(yes + no, 0), 6) AS rice,
+  round((most - ("cast" - most) / 2) / nullif("cast", 0), 6) AS ai, CASE WHEN plurality IS NULL THEN 0 ELSE "cast" - most END AS dissent FROM plu""")
+def _(s, d):
+    return groups.vote_cohesion(b.positions(s, d)).select("vote", "grp", r6("rice").alias("rice"), r6("ai").alias("ai"), F.col("dissent").cast("long").alias("dissent"))
+
+
+@query("cohesion_by_group", f"""WITH {b.TALLIES} SELECT grp, count(*) AS votes, CAST(sum("cast") AS BIGINT) AS "cast",
+  CAST(sum(CASE WHEN plurality IS NULL THEN 0 ELSE "cast" - most END) AS BIGINT) AS dissent, count(*) FILTER (plurality IS NOT NULL AND "cast" > most) AS votes_with_dissent,
+  count(*) FILTER (most = "cast") AS unanimous, round(sum(abs(yes - no)) / nullif(sum(yes + no), 0), 6) AS rice,
+  round(sum(most - ("cast" - most) / 2) / sum("cast"), 6) AS ai FROM plu WHERE "cast" > 0 GROUP BY grp""")
+def _(s, d):
+    out = groups.cohesion(b.positions(s, d))
+    return out.withColumns({"rice": r6("rice"), "ai": r6("ai"), "dissent": F.col("dissent").cast("long")})
+
+
+@query("group_pair_agreement", f"""WITH {b.TALLIES}, vol AS (SELECT grp, sum("cast") AS v FROM plu GROUP BY grp), p AS (SELECT vote, plu.grp, plurality, v FROM plu JOIN vol USING (grp) WHERE plurality IS NOT NULL)
+  SELECT x.grp AS a, y.grp AS b, count(*) AS n, count(*) FILTER (x.plurality = y.plurality) AS same, round(count(*) FILTER (x.plurality = y.plurality) / count(*), 6) AS share
+  FROM p x JOIN p y ON x.vote = y.vote AND (x.v > y.v OR x.v = y.v AND x.grp < y.grp) GROUP BY 1, 2""")
+def _(s, d):
+    return groups.group_pairs(b.positions(s, d)).withColumn("share", r6("share"))
+
+
+@query("member_pair_agreement", f"""WITH {b.POSITIONS}, c AS (SELECT * FROM pos WHERE position <> 'absent')
+  SELECT x.grp, x.member AS a, y.member AS b, count(*) AS n, count(*) FILTER (x.position = y.position) AS same, round(count(*) FILTER (x.position = y.position) / count(*), 6) AS share
+  FROM c x JOIN c y ON x.grp = y.grp AND x.vote = y.vote AND x.member < y.member GROUP BY 1, 2, 3 HAVING count(*) >= 5""")
+def _(s, d):
+    return groups.member_pairs(b.positions(s, d), least=5).withColumn("share", r6("share"))
+
+
+@query("dissent_feed", f"""WITH {b.TALLIES} SELECT pos.vote, member, pos.grp, position, plurality FROM pos JOIN plu ON plu.vote = pos.vote AND plu.grp = pos.grp
+  WHERE position <> 'absent' AND plurality <> position""")
+def _(s, d):
+    return groups.dissents(b.positions(s, d))
+
+
+@query("divided_votes", f"""WITH {b.POSITIONS} SELECT * FROM (SELECT vote, count(*) FILTER (position = 'yes') AS yes, count(*) FILTER (position = 'no') AS no FROM pos GROUP BY vote)
+  WHERE least(yes, no) >= 2 AND least(yes, no) >= 0.025 * (yes + no)""")
+def _(s, d):
+    return groups.divided(b.positions(s, d))
+
+
+@query("top_deviators", f"""WITH {b.TALLIES} SELECT member, count(*) AS "cast", count(*) FILTER (plurality <> position) AS against FROM pos JOIN plu ON plu.vote = pos.vote AND plu.grp = pos.grp
+  WHERE position <> 'absent' GROUP BY member HAVING count(*) >= 20 ORDER BY count(*) FILTER (plurality <> position) / count(*) DESC, member LIMIT 5""")
+def _(s, d):
+    per = groups.member_alignment(b.positions(s, d)).groupBy("member").agg(F.sum("cast").alias("cast"), F.sum("against_group").alias("against")).filter(F.col("cast") >= 20)
+    return per.orderBy(F.desc(F.col("against") / F.col("cast")), "member").limit(5)
+
+
+# -- decisions ---------------------------------------------------------------------------------
+
+_V = ["vote", "rule", "base", "needed", "margin", "passed"]
+
+
+@query("majority_verdict", f"""WITH {b.VERDICTS} SELECT vote, rule, base, needed, margin, passed, present IS NULL AS present_assumed,
+  CASE WHEN passed IS NOT NULL AND recorded IS NOT NULL THEN passed = recorded END AS agrees FROM ver""")
+def _(s, d):
+    return decisions.verdicts(b.votes(s, d)).select(*_V, "present_assumed", "agrees")
+
+
+@query("what_if_rules", f"""WITH {b.VOTES}, every AS (SELECT hd.* EXCLUDE (rule), r.rule FROM hd, (SELECT unnest(['egyszeru', 'abszolut', 'ketharmad_jelenlevo', 'ketharmad_osszes', 'negyotod_jelenlevo', 'negyotod_osszes']) AS rule) r)
+  SELECT vote, rule, base, needed, margin, passed FROM ({b.verdict_sql('every')})""")
+def _(s, d):
+    return decisions.what_if(b.votes(s, d)).select(*_V)
+
+
+@query("tally_validation", f"""WITH {b.VOTES}, t AS (SELECT vote, yes - (CASE WHEN vote % 13 = 0 THEN 5 ELSE 0 END) AS yes, no, abstain, CASE WHEN vote % 5 = 0 THEN present - 1 ELSE present END AS present, CASE WHEN vote % 7 = 0 THEN 1 ELSE seats END AS seats FROM hd)
+  SELECT * FROM (SELECT vote, CASE WHEN least(yes, no, abstain, coalesce(present, 0), seats) < 0 THEN 'negative' WHEN present < yes + no + abstain THEN 'present below cast'
+  WHEN present > seats OR yes + no + abstain > seats THEN 'above seats' END AS error FROM t) WHERE error IS NOT NULL""")
+def _(s, d):
+    v = b.votes(s, d)
+    k = F.col("vote")
+    t = v.select(k, (F.col("yes") - F.when(k % 13 == 0, 5).otherwise(0)).alias("yes"), "no", "abstain", F.when(k % 5 == 0, F.col("present") - 1).otherwise(F.col("present")).alias("present"), F.when(k % 7 == 0, 1).otherwise(F.col("seats")).alias("seats"))
+    return t.select("vote", rules.tally_error(*[F.col(c) for c in ("yes", "no", "abstain", "present", "seats")]).alias("error")).filter("error is not null")
+
+
+@query("close_decisions", f"""WITH {b.VERDICTS} SELECT vote, margin, abs(margin) AS distance FROM ver WHERE kind = 'decision' ORDER BY abs(margin), vote LIMIT 100""")
+def _(s, d):
+    return decisions.close(b.votes(s, d)).select("vote", "margin", "distance").limit(100)
+
+
+@query("sunk_by_threshold", f"WITH {b.VERDICTS} SELECT vote, rule, yes, no, needed FROM ver WHERE rule NOT IN ('egyszeru', 'relativ') AND NOT passed AND yes > no AND kind = 'decision'")
+def _(s, d):
+    return decisions.sunk(b.votes(s, d)).select("vote", "rule", "yes", "no", "needed")
+
+
+@query("absence_counterfactual", f"""WITH {b.VERDICTS}, {b.TALLIES.split(', tal AS', 1)[1].join(['tal AS', ''])},
+  ex AS (SELECT pos.vote, count(*) AS extra_present, count(*) FILTER (plurality = 'yes') AS extra_yes FROM pos JOIN plu ON plu.vote = pos.vote AND plu.grp = pos.grp WHERE position = 'absent' AND plurality IS NOT NULL GROUP BY pos.vote),
+  h AS (SELECT ver.*, coalesce(extra_present, 0) AS extra_present, yes + coalesce(extra_yes, 0) AS hypo_yes,
+    base + CASE WHEN rule IN ('egyszeru', 'ketharmad_jelenlevo', 'negyotod_jelenlevo') THEN coalesce(extra_present, 0) ELSE 0 END AS hb FROM ver LEFT JOIN ex USING (vote) WHERE kind = 'decision'),
+  n AS (SELECT *, CASE WHEN rule IN ('egyszeru', 'abszolut') THEN hb // 2 + 1 WHEN rule LIKE 'ketharmad%' THEN (2 * hb + 2) // 3 ELSE (4 * hb + 4) // 5 END AS hypo_needed FROM h)
+  SELECT vote, hypo_yes, hypo_needed, hb > 0 AND hypo_yes >= hypo_needed AS hypo_passed, (hb > 0 AND hypo_yes >= hypo_needed) <> passed AS flip FROM n""")
+def _(s, d):
+    return decisions.counterfactual(b.votes(s, d), b.positions(s, d)).select("vote", "hypo_yes", "hypo_needed", "hypo_passed", "flip")
+
+
+@query("rule_classification", """SELECT o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 'ketharmad_osszes' WHEN o_orderpriority LIKE '2%' THEN 'negyotod_jelenlevo' WHEN o_orderpriority LIKE '3%' THEN 'egyszeru' ELSE 'egyszeru' END AS rule,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'payload' WHEN o_orderpriority LIKE '2%' THEN 'keyword' WHEN o_orderpriority LIKE '3%' THEN 'payload' ELSE 'default' END AS source, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
+def _(s, d):
+    p = F.substring("o_orderpriority", 1, 1)
+    stated = F.when(p == "1", "Listás az összes képviselő 2/3-ával").when(p == "3", "Titkos")
+    subject = F.when(p == "2", "Házszabálytól való eltérés").otherwise("Egyéb")
+    c = rules.classify(stated, F.lit("szavazás"), subject, F.lit(None).cast("string"))
+    return b.table(s, d, "orders").select("o_orderpriority", c["rule"].alias("rule"), c["source"].alias("source")).groupBy("o_orderpriority", "rule", "source").agg(F.count("*").alias("n"))
+
+
+# -- bills, months, weeks ----------------------------------------------------------------------
+
+
+@query("bill_journeys", f"""WITH {b.MOTIONS}, o AS (SELECT *, CASE WHEN outcome LIKE '%önálló%' THEN true WHEN outcome LIKE '%módosító%' THEN false ELSE prefix IS NOT NULL END AS own FROM mo)
+  SELECT number, count(*) AS votes, count(*) FILTER (own) AS own_votes, count(*) FILTER (NOT own) AS amendment_votes, min(at) AS first, max(at) AS last,
+  arg_max_null(outcome, (at, vote)) AS final_outcome, arg_min(prefix, (at, vote)) AS prefix, arg_min(title, (at, vote)) AS title,
+  CASE WHEN max(prefix) IS NOT NULL THEN 'T/' || number ELSE CAST(number AS VARCHAR) END AS label FROM o GROUP BY number""")
+def _(s, d):
+    return floor.bill_journeys(b.motions(s, d))
+
+
+@query("monthly_series", f"""WITH {b.VOTES}, sit AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT CAST(o_orderdate AS DATE)) AS sittings FROM orders GROUP BY 1),
+  m AS (SELECT strftime(on_date, '%Y-%m') AS month, count(*) AS votes, count(*) FILTER (kind = 'decision') AS decisions, count(*) FILTER (kind = 'decision' AND rule NOT IN ('egyszeru', 'relativ')) AS qualified,
+  count(*) FILTER (roll_call) AS roll_calls, count(DISTINCT on_date) AS vote_days FROM hd GROUP BY 1)
+  SELECT m.*, sittings, round(votes / sittings, 6) AS per_sitting, round(votes / vote_days, 6) AS per_vote_day FROM m LEFT JOIN sit USING (month)""")
+def _(s, d):
+    sittings = b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")).distinct()
+    return series.monthly(b.votes(s, d), sittings).withColumns({"per_sitting": r6("per_sitting"), "per_vote_day": r6("per_vote_day")})
+
+
+@query("monthly_groups", f"""WITH {b.VOTES}, {b.TALLIES.split(', tal AS', 1)[1].join(['tal AS', ''])}
+  SELECT strftime(on_date, '%Y-%m') AS month, plu.grp, CAST(sum("cast") AS BIGINT) AS "cast", CAST(sum(plu.n) AS BIGINT) AS in_roll, round(sum("cast") / sum(plu.n), 6) AS participation,
+  round(sum(most - ("cast" - most) / 2) / nullif(sum("cast"), 0), 6) AS ai FROM plu JOIN hd USING (vote) GROUP BY 1, 2""")
+def _(s, d):
+    rows = groups.vote_cohesion(b.positions(s, d)).join(b.votes(s, d).select("vote", "on_date"), "vote")
+    return rows.groupBy(series.month("on_date").alias("month"), "grp").agg(
+        F.sum("cast").alias("cast"), F.sum("n").alias("in_roll"), r6(F.sum("cast") / F.sum("n")).alias("participation"),
+        r6(F.try_divide(F.sum(F.col("ai") * F.col("cast")), F.sum("cast"))).alias("ai"),
+    )
+
+
+@query("sitting_weeks", """SELECT CAST(isoyear(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_year, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_week, count(DISTINCT CAST(o_orderdate AS DATE)) AS days,
+  min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders GROUP BY 1, 2""")
+def _(s, d):
+    return series.weeks(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")))
+
+
+@query("week_digests", f"""WITH {b.SPEECHES} SELECT CAST(isoyear(day) AS INTEGER) AS iso_year, CAST(week(day) AS INTEGER) AS iso_week, speaker, count(*) FILTER (NOT technical) AS speeches, CAST(sum(seconds) AS BIGINT) AS seconds
+  FROM sp WHERE NOT reprint GROUP BY 1, 2, 3""")
+def _(s, d):
+    rows = b.speeches(s, d).filter("not reprint")
+    return rows.groupBy(F.expr("extract(yearofweek from day)").cast("int").alias("iso_year"), F.weekofyear("day").alias("iso_week"), "speaker").agg(F.count_if(~F.col("technical")).alias("speeches"), F.sum("seconds").alias("seconds"))
+
+
+@query("coverage_by_month", f"""WITH {b.VOTES} SELECT strftime(on_date, '%Y-%m') AS month, count(*) AS votes, count(*) FILTER (roll_call) AS named, count(*) FILTER (NOT roll_call) AS secret FROM hd GROUP BY 1""")
+def _(s, d):
+    return b.votes(s, d).groupBy(series.month("on_date").alias("month")).agg(F.count("*").alias("votes"), F.count_if("roll_call").alias("named"), F.count_if(~F.col("roll_call")).alias("secret"))
+
+
+@query("term_assignment", """SELECT CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-06-18' THEN 36 WHEN CAST(o_orderdate AS DATE) >= DATE '1994-06-28' THEN 35 END AS term, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '2002-05-15' GROUP BY 1""")
+def _(s, d):
+    o = b.table(s, d, "orders").filter("o_orderdate < timestamp '2002-05-15'")
+    return o.groupBy(text.term_of(F.col("o_orderdate").cast("date")).alias("term")).agg(F.count("*").alias("n"))
+
+
+# -- windows -----------------------------------------------------------------------------------
+
+
+@query("recent_window", """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY day DESC, o_orderkey DESC LIMIT 600),
+  r AS (SELECT *, row_number() OVER (ORDER BY day DESC, o_orderkey DESC) AS rn, dense_rank() OVER (ORDER BY day DESC) AS day_rank FROM t)
+  SELECT o_orderkey, day, CAST(rn AS INTEGER) AS rn, CAST(day_rank AS INTEGER) AS day_rank FROM r WHERE rn <= 100 OR day_rank <= 5""")
+def _(s, d):
+    return series.recent(b.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day")), "day", "o_orderkey")
+
+
+@query("day_strip_window", """SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS "next",
+  round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 2) AS window_sum FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def _(s, d):
+    rows = b.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return series.around(rows, "o_custkey", "o_orderkey", "o_totalprice", 2).drop("o_totalprice").withColumn("window_sum", F.round("window_sum", 2))
+
+
+@query("first_last_group", f"WITH {b.STINTS} SELECT member, arg_min(grp, since) AS first_value, arg_max(grp, since) AS last_value FROM (SELECT member, since, min(grp) AS grp FROM st GROUP BY 1, 2) GROUP BY member")
+def _(s, d):
+    daily = b.stints(s, d).groupBy("member", "since").agg(F.min("grp").alias("grp"))
+    return series.first_last(daily, "member", "since", "grp")
+
+
+@query("gaps_islands", f"""WITH {b.SPANS}, c AS (SELECT member, "start", coalesce("end", "start" + 30) AS "end" FROM spn), k AS (SELECT *, max("end") OVER (PARTITION BY member ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+  g AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR "start" - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY member ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM k)
+  SELECT member, run, min("start") AS run_start, max("end") AS run_end, count(*) AS spans FROM g GROUP BY 1, 2""")
+def _(s, d):
+    rows = b.spans(s, d).select("member", "start", F.coalesce("end", F.date_add("start", 30)).alias("end"))
+    return series.islands(rows, "member", "start", "end")
+
+
+@query("switch_detection", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp))
+  SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp""")
+def _(s, d):
+    return series.changes(b.stints(s, d), ["member"], "since", "grp")
+
+
+@query("switch_reconcile", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp)),
+  sw AS (SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp),
+  ob AS (SELECT o_custkey AS member, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS day, o_orderstatus AS grp FROM orders),
+  j AS (SELECT sw.member, since, before, after, max(CASE WHEN ob.grp = before THEN day END) - since AS lag_days, count(ob.grp) AS seen, count(*) FILTER (ob.grp NOT IN (before, after)) AS others
+    FROM sw LEFT JOIN ob ON ob.member = sw.member AND day >= since AND ("until" IS NULL OR day < "until") GROUP BY sw.member, since, before, after, "until")
+  SELECT member, since, before, after, CAST(lag_days AS INTEGER) AS lag_days, CASE WHEN seen = 0 THEN 'no list' WHEN others > 0 THEN 'names another group' WHEN lag_days IS NULL THEN 'agrees' WHEN lag_days = 0 THEN 'old label on the day' ELSE 'keeps old label' END AS verdict FROM j""")
+def _(s, d):
+    moves = series.changes(b.stints(s, d), ["member"], "since", "grp")
+    seen = b.table(s, d, "orders").select(F.col("o_custkey").alias("member"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 40).cast("int")).alias("day"), F.col("o_orderstatus").alias("grp"))
+    return switches.reconcile(moves, seen).select("member", "since", "before", "after", "lag_days", "verdict")
+
+
+@query("interval_overlap", f"""WITH {b.SPANS} SELECT span, t.term FROM spn JOIN (VALUES (1, DATE '1994-01-01', DATE '1996-07-01'), (2, DATE '1996-07-01', DATE '1999-01-01'), (3, DATE '1999-01-01', DATE '2003-01-01')) t(term, began, ended)
+  ON "start" < ended AND ("end" IS NULL OR "end" >= began)""")
+def _(s, d):
+    terms = s.sql("SELECT * FROM VALUES (1, DATE '1994-01-01', DATE '1996-07-01'), (2, DATE '1996-07-01', DATE '1999-01-01'), (3, DATE '1999-01-01', DATE '2003-01-01') t(term, began, ended)")
+    return series.overlaps(b.spans(s, d), terms).select("span", "term")
+
+
+@query("seats_in_force", f"""WITH {b.SPANS}, w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS on_date FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT on_date, count(span) AS n FROM w LEFT JOIN spn ON "start" <= on_date AND ("end" IS NULL OR "end" >= on_date) GROUP BY 1)
+  SELECT on_date, n, CASE WHEN n >= 0.9 * 386 AND n <= 386 THEN n ELSE 386 END AS seats FROM c""")
+def _(s, d):
+    days = b.table(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("on_date"))
+    return series.in_force(days, b.spans(s, d), F.lit(386))
+
+
+@query("asof_snapshot", """WITH l AS (SELECT event_id, user_id % 10 AS k, ts FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id % 10 AS k, ts, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), f AS (SELECT k, arg_min(v, ts) AS first FROM r GROUP BY k)
+  SELECT event_id, round(coalesce(r.v, f.first), 6) AS v FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.ts LEFT JOIN f ON f.k = l.k""")
+def _(s, d):
+    e = b.table(s, d, "events").withColumn("k", F.col("user_id") % 10)
+    left = e.filter("event_type <> 'purchase'").select("event_id", "k", "ts")
+    right = e.filter("event_type = 'purchase'").groupBy("k", "ts").agg(F.max("value").alias("v"))
+    return series.as_of(left, right.withColumnRenamed("ts", "rts"), "k", "ts", "rts", "v").select("event_id", r6("v").alias("v"))
+
+
+# -- floor time --------------------------------------------------------------------------------
+
+
+@query("speaking_time", f"""WITH {b.SPEECHES} SELECT speaker, CAST(sum(seconds) AS BIGINT) AS seconds, CAST(sum(CASE WHEN technical THEN 0 ELSE seconds END) AS BIGINT) AS substantive, count(*) FILTER (NOT technical) AS speeches, count(DISTINCT kind) AS kinds FROM sp WHERE NOT reprint GROUP BY speaker""")
+def _(s, d):
+    return floor.speaking_time(b.speeches(s, d))
+
+
+@query("floor_debates", f"""WITH {b.SPEECHES}, r AS (SELECT CAST(year(day) AS INTEGER) AS year, CASE WHEN numbers IS NULL THEN 'slot: ' || event ELSE numbers || ' | ' || ('Matter ' || speaker % 11) END AS debate,
+  CASE WHEN numbers IS NULL THEN '—' ELSE 'Debate' END AS stage, kind AS form, grp, seconds FROM sp WHERE NOT technical AND NOT reprint AND seconds > 0)
+  SELECT year, debate, stage, form, grp, CAST(sum(seconds) AS BIGINT) AS seconds, count(*) AS speeches FROM r GROUP BY GROUPING SETS ((year), (year, debate), (year, stage), (year, form), (year, grp))""")
+def _(s, d):
+    return floor.floor_time(b.speeches(s, d))
+
+
+@query("agenda_split", f"""WITH {b.SPEECHES} SELECT seq, CASE WHEN numbers IS NOT NULL THEN 'Debate' END AS stage, CASE WHEN numbers IS NULL THEN event ELSE 'Matter ' || speaker % 11 END AS subject FROM sp""")
+def _(s, d):
+    parts = text.split_event(F.col("event"), F.col("numbers"))
+    return b.speeches(s, d).select("seq", parts["stage"].alias("stage"), parts["subject"].alias("subject"))
+
+
+_SNAP = """sn AS (SELECT day, grp, count(DISTINCT speaker) AS n FROM sp WHERE dayofmonth(day) % 3 = 1 GROUP BY 1, 2), hs AS (SELECT day, sum(n) AS house FROM sn GROUP BY 1),
+  pd AS (SELECT day, sum(seconds) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY 1),
+  at AS (SELECT pd.day, seconds, coalesce((SELECT max(h.day) FROM hs h WHERE h.day <= pd.day), (SELECT min(day) FROM hs)) AS sday FROM pd)"""
+
+
+@query("asof_snapshot_share", f"""WITH {b.SPEECHES}, {_SNAP} SELECT sn.grp, round(sum(seconds * n / house) / (SELECT sum(seconds) FROM pd), 6) AS expected, round(sum(seconds * n) / (SELECT sum(seconds) FROM pd), 6) AS seats
+  FROM at JOIN sn ON sn.day = sday JOIN hs ON hs.day = sday GROUP BY 1""")
+def _(s, d):
+    sp = b.speeches(s, d)
+    snaps = sp.filter(F.dayofmonth("day") % 3 == 1).groupBy("day", "grp").agg(F.count_distinct("speaker").alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("counts"))
+    return floor.expected_share(floor.substantive(sp).select("day", "seconds"), snaps).select("grp", r6("expected").alias("expected"), r6("seats").alias("seats"))
+
+
+@query("faction_share_ratio", f"""WITH {b.SPEECHES}, t AS (SELECT grp, sum(seconds) AS seconds, count(DISTINCT speaker) AS members FROM sp WHERE NOT technical AND NOT reprint GROUP BY 1)
+  SELECT grp, round(seconds / sum(seconds) OVER (), 6) AS share_of_time, round(members / sum(members) OVER (), 6) AS share_of_house, round((seconds / sum(seconds) OVER ()) / (members / sum(members) OVER ()), 6) AS ratio FROM t""")
+def _(s, d):
+    t = floor.substantive(b.speeches(s, d)).groupBy("grp").agg(F.sum("seconds").alias("seconds"), F.count_distinct("speaker").alias("members"))
+    total = t.agg(F.sum("seconds").alias("all_seconds"), F.sum("members").alias("all_members"))
+    a, h = F.col("seconds") / F.col("all_seconds"), F.col("members") / F.col("all_members")
+    return t.join(F.broadcast(total)).select("grp", r6(a).alias("share_of_time"), r6(h).alias("share_of_house"), r6(a / h).alias("ratio"))  # one row
+
+
+@query("long_days", f"WITH {b.SPEECHES} SELECT day, CAST(sum(seconds) AS BIGINT) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY day HAVING sum(seconds) > 2000")
+def _(s, d):
+    return floor.substantive(b.speeches(s, d)).groupBy("day").agg(F.sum("seconds").alias("seconds")).filter("seconds > 2000")
+
+
+@query("clock_correlation", "SELECT round(corr(CAST(length(text) AS DOUBLE), CAST(n_chars AS DOUBLE) + doc_id % 50), 6) AS r, round(median(length(text) / (n_chars + 1.0)), 6) AS median_rate, count(*) AS n FROM documents")
+def _(s, d):
+    docs = b.table(s, d, "documents")
+    length = F.length("text").cast("double")
+    return docs.agg(r6(F.corr(length, F.col("n_chars").cast("double") + F.col("doc_id") % 50)).alias("r"), r6(F.percentile(length / (F.col("n_chars") + 1.0), 0.5)).alias("median_rate"), F.count("*").alias("n"))
+
+
+@query("record_check", f"""WITH {b.SPEECHES}, o AS (SELECT speaker, count(*) AS ours FROM sp WHERE NOT technical AND NOT reprint GROUP BY 1), r AS (SELECT user_id AS speaker, count(*) AS record FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1)
+  SELECT coalesce(o.speaker, r.speaker) AS speaker, ours, record, ours IS NOT DISTINCT FROM record AS same FROM o FULL JOIN r ON o.speaker = r.speaker""")
+def _(s, d):
+    ours = floor.substantive(b.speeches(s, d)).groupBy("speaker").agg(F.count("*").alias("ours"))
+    theirs = b.table(s, d, "events").filter(F.col("event_type").isin("view", "purchase")).groupBy(F.col("user_id").alias("speaker")).agg(F.count("*").alias("record"))
+    return ours.join(theirs, "speaker", "full_outer").withColumn("same", F.col("ours").eqNullSafe(F.col("record")))
+
+
+# -- facts -------------------------------------------------------------------------------------
+
+
+@query("fact_unanimous", f"WITH {b.VERDICTS} SELECT vote, yes FROM ver WHERE kind = 'decision' AND no = 0 AND abstain = 0 AND yes > 0 ORDER BY yes DESC, vote LIMIT 1")
+def _(s, d):
+    return b.votes(s, d).filter("kind = 'decision' and no = 0 and abstain = 0 and yes > 0").orderBy(F.desc("yes"), "vote").select("vote", "yes").limit(1)
+
+
+@query("fact_narrowest", f"WITH {b.VERDICTS} SELECT vote, margin, rule FROM ver WHERE margin >= 0 AND kind = 'decision' ORDER BY margin, vote LIMIT 1")
+def _(s, d):
+    return decisions.verdicts(b.votes(s, d)).filter("margin >= 0 and kind = 'decision'").orderBy("margin", "vote").select("vote", "margin", "rule").limit(1)
+
+
+@query("fact_majority_not_enough", f"WITH {b.VERDICTS} SELECT count(*) AS n FROM ver WHERE yes > no AND NOT passed AND rule <> 'egyszeru'")
+def _(s, d):
+    return decisions.verdicts(b.votes(s, d)).filter("yes > no and not passed and rule <> 'egyszeru'").agg(F.count("*").alias("n"))
+
+
+@query("fact_busiest_day", f"WITH {b.VOTES} SELECT on_date, count(*) AS n FROM hd GROUP BY 1 ORDER BY n DESC, on_date LIMIT 1")
+def _(s, d):
+    return b.votes(s, d).groupBy("on_date").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "on_date").limit(1)
+
+
+@query("fact_most_terms", f"WITH {b.STINTS} SELECT member, count(DISTINCT year(since)) AS terms FROM st GROUP BY 1 ORDER BY terms DESC, member LIMIT 1")
+def _(s, d):
+    return b.stints(s, d).groupBy("member").agg(F.count_distinct(F.year("since")).alias("terms")).orderBy(F.desc("terms"), "member").limit(1)
+
+
+@query("fact_most_votes_cast", f"WITH {b.POSITIONS} SELECT member, count(*) AS n FROM pos WHERE position <> 'absent' GROUP BY 1 ORDER BY n DESC, member LIMIT 1")
+def _(s, d):
+    return b.positions(s, d).filter("position <> 'absent'").groupBy("member").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "member").limit(1)
+
+
+@query("fact_longest_speech", "SELECT doc_id, length(text) AS chars FROM documents ORDER BY chars DESC, doc_id LIMIT 1")
+def _(s, d):
+    return b.table(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars")).orderBy(F.desc("chars"), "doc_id").limit(1)
+
+
+@query("fact_chair_share", f"WITH {b.SPEECHES} SELECT CAST(round(100.0 * count(*) FILTER (technical) / count(*)) AS BIGINT) AS percent FROM sp")
+def _(s, d):
+    return b.speeches(s, d).agg(F.round(100.0 * F.count_if("technical") / F.count("*")).cast("long").alias("percent"))
+
+
+@query("fact_largest_committee", f"""WITH {b.SPANS} SELECT member % 50 AS committee, count(DISTINCT span) AS n FROM spn WHERE "end" IS NULL GROUP BY 1 ORDER BY n DESC, committee LIMIT 1""")
+def _(s, d):
+    return b.spans(s, d).filter("end is null").groupBy((F.col("member") % 50).alias("committee")).agg(F.count_distinct("span").alias("n")).orderBy(F.desc("n"), "committee").limit(1)
+
+
+@query("fact_most_dissent", f"WITH {b.TALLIES} SELECT pos.vote, count(*) AS n FROM pos JOIN plu ON plu.vote = pos.vote AND plu.grp = pos.grp WHERE position <> 'absent' AND position <> plurality GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1")
+def _(s, d):
+    return groups.dissents(b.positions(s, d)).groupBy("vote").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vote").limit(1)
+
+
+@query("fact_night_votes", "SELECT count(*) AS n FROM events WHERE hour(ts) >= 22")
+def _(s, d):
+    return b.table(s, d, "events").filter(F.hour("ts") >= 22).agg(F.count("*").alias("n"))
+
+
+@query("fact_most_voted_bill", f"WITH {b.MOTIONS} SELECT number, count(DISTINCT vote) AS n FROM mo GROUP BY 1 ORDER BY n DESC, number LIMIT 1")
+def _(s, d):
+    return b.motions(s, d).groupBy("number").agg(F.count_distinct("vote").alias("n")).orderBy(F.desc("n"), "number").limit(1)
+
+
+# -- loading and checking ----------------------------------------------------------------------
+
+
+@query("dedupe_first_wins", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def _(s, d):
+    rows = b.table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return relational.first_wins(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("merge_upsert", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, 'D' AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 END AS price FROM orders WHERE o_orderkey % 5 <> 0)
+  SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.status ELSE b.status END AS status, round(coalesce(b.price, a.price), 2) AS price FROM a FULL JOIN b ON a.k = b.k""")
+def _(s, d):
+    o, k = b.table(s, d, "orders"), F.col("o_orderkey")
+    listing = o.filter(k % 3 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    detail = o.filter(k % 5 != 0).select(k.alias("k"), F.lit("D").alias("status"), F.when(k % 2 == 0, F.col("o_totalprice") + 1).alias("price"))
+    return relational.merge(listing, detail, "k", ["status"], ["price"]).withColumn("price", F.round("price", 2))
+
+
+@query("integrity_antijoin", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 10 <> 3)")
+def _(s, d):
+    parents = b.table(s, d, "orders").filter("o_orderkey % 10 <> 3").select("o_orderkey")
+    return relational.dangling(b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey", "o_orderkey")
+
+
+@query("duplicate_keys", "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(s, d):
+    return relational.duplicate_keys(b.table(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("surrogate_keys", """WITH i AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY seen, o_orderstatus) AS rn FROM i)
+  SELECT o_custkey, o_orderstatus, CASE WHEN rn = 1 THEN CAST(o_custkey AS VARCHAR) ELSE o_custkey || '#' || rn END AS key FROM n""")
+def _(s, d):
+    return relational.surrogate(b.table(s, d, "orders"), "o_custkey", ["o_orderstatus"], "o_orderkey").drop("seen")
+
+
+@query("reprint_flag", "SELECT conv_id, turn, turn % 3 IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, turn % 3, role ORDER BY turn) > 1 AS reprint FROM conversations")
+def _(s, d):
+    rows = b.table(s, d, "conversations").withColumn("n", F.col("turn") % 3)
+    return relational.reprints(rows, "conv_id", ["n", "role"], "turn").select("conv_id", "turn", "reprint")
+
+
+@query("summary_counts", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'documents', count(*) FROM documents")
+def _(s, d):
+    return operations.summary({n: b.table(s, d, n) for n in ("orders", "lineitem", "customer", "documents")})
+
+
+@query("source_tally_reconcile", f"""WITH {b.TALLIES} SELECT grp, count(*) AS rows, count(*) FILTER (other = (vote + grp) % 4) AS agree FROM tal GROUP BY grp""")
+def _(s, d):
+    t = groups.tallies(b.positions(s, d))
+    return t.groupBy("grp").agg(F.count("*").alias("rows"), F.count_if(F.col("other") == (F.col("vote") + F.col("grp")) % 4).alias("agree"))
+
+
+@query("mode_and_median", """WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT o_custkey, arg_min(o_orderpriority, (-n, o_orderpriority)) AS mode FROM c GROUP BY 1),
+  p AS (SELECT o_custkey, CAST(floor(median(CAST(floor(o_totalprice) AS BIGINT))) AS BIGINT) AS median FROM orders GROUP BY 1) SELECT m.o_custkey, mode, median FROM m JOIN p USING (o_custkey)""")
+def _(s, d):
+    o = b.table(s, d, "orders")
+    mode = o.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct(-F.col("n"), "o_orderpriority")).alias("mode"))
+    return mode.join(o.groupBy("o_custkey").agg(F.floor(F.percentile(F.floor("o_totalprice"), 0.5)).cast("long").alias("median")), "o_custkey")
+
+
+@query("corpus_digest", """WITH l AS (SELECT source AS service, substring(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS part, doc_id || ' ' || sha256(text) AS line FROM documents),
+  p AS (SELECT service, part, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY 1, 2)
+  SELECT service, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(part || ' ' || d, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1""")
+def _(s, d):
+    return relational.chain_digest(b.table(s, d, "documents"), "source", "doc_id", F.col("text"))
+
+
+@query("row_fingerprints", """SELECT o_orderkey, substring(sha256('{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}'), 1, 16) AS print FROM orders""")
+def _(s, d):
+    return b.table(s, d, "orders").select("o_orderkey", relational.fingerprint({"status": F.col("o_orderstatus"), "key": F.col("o_orderkey")}).alias("print"))
+
+
+@query("fold_bindings", """WITH v AS (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) AS f FROM orders GROUP BY 1, 2)
+  SELECT o_custkey, string_agg(p, ',' ORDER BY f) AS priorities, (SELECT arg_min(o_orderstatus, o_orderkey) FROM orders o WHERE o.o_custkey = v.o_custkey) AS label FROM v GROUP BY 1""")
+def _(s, d):
+    out = relational.fold_bindings(b.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "o_custkey", "o_orderkey", ["o_orderpriority"], "o_orderstatus")
+    return out.select("o_custkey", F.array_join("o_orderpriority", ",").alias("priorities"), F.col("o_orderstatus").alias("label"))
+
+
+@query("full_outer_registry", """WITH v AS (SELECT o_custkey AS number, count(*) AS votes FROM orders GROUP BY 1) SELECT coalesce(number, c_custkey) AS number, votes, c_name AS title FROM v FULL JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 1) ON number = c_custkey""")
+def _(s, d):
+    voted = b.table(s, d, "orders").groupBy(F.col("o_custkey").alias("number")).agg(F.count("*").alias("votes"))
+    return voted.join(b.table(s, d, "customer").filter("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("number"), F.col("c_name").alias("title")), "number", "full_outer")
+
+
+@query("postcode_expansion", "SELECT n_name, o_orderkey FROM (SELECT n_name, unnest(range(n_nationkey * 10, n_nationkey * 10 + 6)) AS code FROM nation) JOIN orders ON o_custkey % 250 = code")
+def _(s, d):
+    ranges = b.table(s, d, "nation").select("n_name", (F.col("n_nationkey") * 10).cast("long").alias("low"), (F.col("n_nationkey") * 10 + 5).cast("long").alias("high"))
+    codes = relational.expanded(ranges, "low", "high", "code")
+    return b.table(s, d, "orders").withColumn("code", F.col("o_custkey") % 250).join(F.broadcast(codes), "code").select("n_name", "o_orderkey")  # 150 codes
+
+
+@query("set_operations", """SELECT 'both' AS which, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+  UNION ALL SELECT 'only_f', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+def _(s, d):
+    o = b.table(s, d, "orders")
+    f, x = o.filter("o_orderstatus = 'F'").select("o_custkey"), o.filter("o_orderstatus = 'O'").select("o_custkey")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("which"), "n")
+    return count(f.intersect(x), "both").union(count(f.subtract(x), "only_f"))
+
+
+@query("roster_difference", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 49)")
+def _(s, d):
+    busy = b.table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 49").select("l_suppkey")
+    return b.table(s, d, "supplier").join(busy, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+
+
+@query("date_repair", """WITH r AS (SELECT o_orderkey, o_custkey % 40 AS file, CAST(o_orderdate AS DATE) AS printed, (isodow(CAST(o_orderdate AS DATE)) - 1 + CASE WHEN o_custkey % 40 < 10 AND o_orderkey % 20 <> 1 OR o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 7 AS wd FROM orders),
+  h AS (SELECT *, CASE WHEN isodow(printed) - 1 = wd THEN 0 WHEN isodow(printed + 1) - 1 = wd THEN 1 END AS shift FROM r), f AS (SELECT file, count(*) FILTER (shift = 1) / nullif(count(shift), 0) AS share FROM h GROUP BY 1)
+  SELECT o_orderkey, CASE WHEN coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 THEN printed + 1 ELSE printed END AS on_date, coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 AS date_corrected FROM h JOIN f USING (file)""")
+def _(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 40
+    printed = F.col("o_orderdate").cast("date")
+    late = F.when((c < 10) & (k % 20 != 1) | (k % 7 == 0), 1).otherwise(0)
+    rows = b.table(s, d, "orders").select(k, c.alias("file"), printed.alias("printed"), ((F.weekday(printed) + late) % 7).alias("wd"))
+    return relational.repaired_dates(rows, "file", "printed", "wd").select("o_orderkey", "on_date", "date_corrected")
+
+
+@query("durations", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 60) * 60 + event_id % 59 WHEN 1 THEN 3600 + (event_id % 60) * 60 + 7 WHEN 3 THEN event_id % 50 END AS seconds FROM events""")
+def _(s, d):
+    k = F.col("event_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    written = (
+        F.when(k % 5 == 0, F.concat((k % 60).cast("string"), F.lit(":"), two(k % 59))).when(k % 5 == 1, F.concat(F.lit("1:"), two(k % 60), F.lit(":07")))
+        .when(k % 5 == 2, F.lit("1::03")).when(k % 5 == 3, F.concat(F.lit(":"), (k % 50).cast("string"))).otherwise("")
+    )
+    return b.table(s, d, "events").select("event_id", text.duration_seconds(written).alias("seconds"))
+
+
+@query("motion_numbers", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'motion' WHEN 1 THEN 'amendment' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'T' END AS prefix,
+  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS INTEGER) END AS number, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 9 AS INTEGER) END AS part FROM orders""")
+def _(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("T/"), c)).when(k % 3 == 1, F.concat(c, F.lit("/"), (k % 9).cast("string"))).otherwise(F.lit("x"))
+    return b.table(s, d, "orders").select("o_orderkey", *[v.alias(n) for n, v in text.motion_number(raw).items()])
+
+
+@query("name_resolution", """WITH p AS (SELECT c_custkey, c_name FROM customer), n AS (SELECT c_name, count(*) AS c, min(c_custkey) AS id FROM p GROUP BY 1) SELECT 'dr. ' || s_name || ' (G)' AS label, CAST(NULL AS BIGINT) AS id, CAST(NULL AS INTEGER) AS step FROM supplier
+  UNION ALL SELECT c_name || ' (G)', CASE WHEN n.c = 1 THEN n.id END, CASE WHEN n.c = 1 THEN 2 END FROM p JOIN n USING (c_name) GROUP BY ALL""")
+def _(s, d):
+    c = b.table(s, d, "customer")
+    people = c.select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("listed"), F.col("c_name").alias("name"))
+    labels = b.table(s, d, "supplier").select(F.concat(F.lit("dr. "), "s_name", F.lit(" (G)")).alias("label")).union(c.select(F.concat("c_name", F.lit(" (G)")))).withColumn("term", F.lit(1))
+    history = c.select(F.col("c_custkey").alias("id"), F.lit(1).alias("term"), F.lit("G").alias("grp"))
+    return relational.resolve(labels, people, history).select("label", "id", "step")
+
+
+# -- text --------------------------------------------------------------------------------------
+
+
+_WORDS = r"list_filter(regexp_extract_all(regexp_replace(lower(text), '\([^)]*\)', ' ', 'g'), '[a-záéíóöőúüű0-9]+'), x -> true)"
+
+
+@query("echo_ngrams", f"""WITH w AS (SELECT doc_id AS doc, source AS speaker, {_WORDS} AS w FROM documents), g AS (SELECT doc, speaker, list_aggregate(w[i + 1 : i + 30], 'string_agg', ' ') AS gram FROM w, unnest(range(0, len(w) - 29)) t(i) WHERE len(w) >= 30),
+  e AS (SELECT gram, count(*) AS occurrences, count(DISTINCT doc) AS docs, count(DISTINCT speaker) AS speakers, min(doc) AS first_doc FROM g GROUP BY 1 HAVING count(DISTINCT speaker) >= 2)
+  SELECT first_doc, docs, speakers, count(*) AS grams, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM e GROUP BY 1, 2, 3""")
+def _(s, d):
+    found = textual.echoes(b.table(s, d, "documents"), 30, doc="doc_id", speaker="source", body="text")
+    return found.groupBy("first_doc", "docs", "speakers").agg(F.count("*").alias("grams"), F.sum("occurrences").alias("occurrences"))
+
+
+@query("echo_maximal_runs")
+def _(s, d):
+    return textual.echo_runs(b.table(s, d, "documents"), 30, doc="doc_id", speaker="source", body="text")
+
+
+_FOLD = f"translate(lower(text), '{text.ACCENTS}', '{text.FOLDED}')"
+_BM25 = f"""tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}') AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM tk),
+  po AS (SELECT doc, len(t) AS length, token, least(count(*), 255) AS tf FROM (SELECT doc, t, unnest(t) AS token FROM tk) GROUP BY ALL),
+  qt AS (SELECT DISTINCT item_id AS query, unnest(list_slice(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}'), 1, 8)) AS term FROM benchmark WHERE item_id < 20),
+  rc AS (SELECT DISTINCT token, term FROM (SELECT DISTINCT token FROM po) JOIN (SELECT DISTINCT term FROM qt) ON substring(token, 1, 3) = substring(term, 1, 3) AND starts_with(token, term)),
+  tf AS (SELECT term, doc, length, sum(tf) AS tf FROM po JOIN rc USING (token) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  sc AS (SELECT query, doc, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_len))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2)"""
+
+
+def _questions(s, d):
+    """Twenty questions of eight words: the search itself covers all documents."""
+    q = b.table(s, d, "benchmark").filter("item_id < 20")
+    return q.select(F.col("item_id").alias("query"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("question"))
+
+
+@query("bm25_topk", f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc DESC) AS rn FROM sc) WHERE rn <= 10")
+def _(s, d):
+    scored = textual.bm25(b.table(s, d, "documents"), _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
+    return scored.withColumn("rn", place).filter("rn <= 10").select("query", "doc", "score")
+
+
+@query("search_eval", f"""WITH {_BM25}, rel AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id < 20) JOIN documents ON contains(text, q)),
+  rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc DESC) AS place FROM sc), nr AS (SELECT query, count(*) AS relevant FROM rel GROUP BY 1),
+  h AS (SELECT query, count(*) FILTER (place <= 10) AS hits, min(place) AS first FROM rk JOIN rel USING (query, doc) GROUP BY 1)
+  SELECT count(*) AS questions, round(avg(coalesce(hits, 0) / least(10, relevant)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM nr LEFT JOIN h USING (query)""")
+def _(s, d):
+    docs = b.table(s, d, "documents")
+    scored = textual.bm25(docs, _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
+    asked = b.table(s, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
+    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(asked), F.col("text").contains(F.col("q"))).select("query", "doc").distinct()  # 20 questions
+    out = textual.evaluate(scored, relevant)
+    return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
+
+
+@query("index_shards", f"""WITH tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}') AS t FROM documents), po AS (SELECT doc, token, least(count(*), 255) AS tf FROM (SELECT doc, unnest(t) AS token FROM tk) GROUP BY ALL),
+  sz AS (SELECT substring(token, 1, 2) AS two, count(*) AS size FROM po GROUP BY 1), x AS (SELECT CASE WHEN size > 5000 THEN substring(token, 1, 3) ELSE two END AS shard, token, count(*) AS df, sum(tf) AS tf FROM po JOIN sz ON two = substring(token, 1, 2) GROUP BY 1, 2)
+  SELECT shard, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM x GROUP BY 1""")
+def _(s, d):
+    idx = textual.index_shards(b.table(s, d, "documents"), doc="doc_id", body="text")
+    total = F.aggregate("postings", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
+    return idx.groupBy("shard").agg(F.count("*").alias("tokens"), F.sum("df").alias("postings"), F.sum(total).alias("tf"))
+
+
+@query("directory_search", """WITH f AS (SELECT c_custkey, lower(c_mktsegment || ' ' || c_name) AS l, lower(c_mktsegment) AS s FROM customer)
+  SELECT c_custkey, CASE WHEN contains(l, 'build') THEN 4 ELSE 0 END + CASE WHEN s = 'build' THEN 3 WHEN starts_with(s, 'build') THEN 2 WHEN contains(s, 'build') THEN 1 ELSE 0 END + CASE WHEN contains(l, '1') THEN 4 ELSE 0 END + CASE WHEN contains(s, '1') THEN 1 ELSE 0 END AS score
+  FROM f WHERE (contains(l, 'build') OR contains(l, 'mach')) AND contains(l, '1') ORDER BY score DESC, c_custkey LIMIT 200""")
+def _(s, d):
+    score = textual.directory_score([["build", "mach"], ["1"]], F.concat_ws(" ", "c_mktsegment", "c_name"), F.col("c_mktsegment"))
+    return b.table(s, d, "customer").select("c_custkey", score.cast("int").alias("score")).filter("score is not null").orderBy(F.desc("score"), "c_custkey").limit(200)
+
+
+@query("did_you_mean")
+def _(s, d):
+    words = b.table(s, d, "documents").select(F.explode(text.tokens(F.col("text"), 4)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    asked = words.filter("n = 1 and length(word) <= 6").select("word")
+    return textual.did_you_mean(asked, words.filter("n >= 50"))
+
+
+@query("html_paragraphs", r"""SELECT page_id, len(p) AS paragraphs, CAST(coalesce(list_sum(list_transform(p, x -> length(x))), 0) AS BIGINT) AS chars FROM (
+  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^<>]*)?>(.*?)</p>', 1), x -> trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^<>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), x -> x <> '') AS p FROM pages)""")
+def _(s, d):
+    p = payloads.paragraphs(F.col("html"))
+    chars = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return b.table(s, d, "pages").select("page_id", p.alias("p")).select("page_id", F.size("p").cast("long").alias("paragraphs"), chars.alias("chars"))
+
+
+@query("link_integrity", r"""WITH l AS (SELECT DISTINCT page_id AS page, unnest(regexp_extract_all(html, 'href="([^"#?]*)', 1)) AS href FROM pages)
+  SELECT href, count(DISTINCT page) AS pages, min(page) AS first_page FROM l WHERE href <> '' AND NOT regexp_matches(href, '^[a-z]+:') AND href NOT IN (SELECT '/' || source FROM documents UNION SELECT '/the') GROUP BY 1""")
+def _(s, d):
+    files = b.table(s, d, "documents").select(F.concat(F.lit("/"), "source").alias("href")).distinct().union(s.sql("SELECT '/the'"))
+    return operations.broken(operations.links(b.table(s, d, "pages")), files)
+
+
+@query("robot_classify", """SELECT CASE WHEN event_type = 'click' THEN 'search' WHEN event_type = 'view' THEN 'tool' WHEN event_type = 'purchase' THEN 'other' END AS robot, count(*) AS n FROM events GROUP BY 1""")
+def _(s, d):
+    agent = F.when(F.col("event_type") == "click", "Mozilla/5.0 (compatible; Googlebot/2.1)").when(F.col("event_type") == "view", "curl/8.1").when(F.col("event_type") == "purchase", "NewsSpider 1").otherwise("Mozilla/5.0 Firefox")
+    return b.table(s, d, "events").groupBy(operations.robot(agent).alias("robot")).agg(F.count("*").alias("n"))
+
+
+@query("traffic_readers", """WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, event_type <> 'view' AS page, event_type = 'view' OR event_id % 9 = 0 AS sign FROM events WHERE event_type <> 'click'),
+  p AS (SELECT day, ip, count(*) FILTER (page) AS pages, bool_or(sign) AS reader FROM e GROUP BY 1, 2) SELECT day, count(*) FILTER (pages <= 5) AS readers, count(*) FILTER (pages > 5) AS heavy, CAST(coalesce(sum(pages) FILTER (pages <= 5), 0) AS BIGINT) AS pages FROM p WHERE reader GROUP BY 1""")
+def _(s, d):
+    t, k = F.col("event_type"), F.col("event_id")
+    log = b.table(s, d, "events").select(
+        F.col("ts").cast("date").alias("day"), (F.col("user_id") % 50).cast("string").alias("ip"), F.when(t == "click", "Googlebot").otherwise("Firefox").alias("agent"),
+        F.when(t == "view", "/assets/site.css").otherwise("/index.html").alias("path"), F.when(k % 9 == 0, "https://elsewhere.example/").otherwise("https://own.example/x").alias("referrer"),
+    )
+    return operations.traffic(log, r"^/assets/", "own.example", heavy=5)
+
+
+# -- running the record ------------------------------------------------------------------------
+
+
+@query("freshness_status", """WITH e AS (SELECT user_id, max(ts) AS newest, count(DISTINCT CAST(ts AS DATE)) FILTER (false) AS x FROM events GROUP BY 1), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE dayofmonth(ts) % 9 = 0)
+  SELECT user_id, CASE WHEN (SELECT count(*) FROM d WHERE day < DATE '2024-02-20' AND day > CAST(newest AS DATE)) > 0 THEN 'behind' WHEN user_id % 4 = 0 OR epoch(TIMESTAMP '2024-02-20 12:00:00') - epoch(newest) > 48 * 3600 THEN 'stale' ELSE 'current' END AS status FROM e""")
+def _(s, d):
+    e = b.table(s, d, "events")
+    days = e.select(F.col("ts").cast("date").alias("day")).distinct().filter(F.dayofmonth("day") % 9 == 0).agg(F.collect_list("day").alias("sitting_days"))  # one a sitting day
+    state = e.groupBy("user_id").agg(F.max("ts").alias("newest_vote")).join(F.broadcast(days)).withColumn("last_sync", F.when(F.col("user_id") % 4 != 0, F.col("newest_vote")))
+    return operations.freshness(state, F.lit("2024-02-20 12:00:00").cast("timestamp")).select("user_id", "status")
+
+
+@query("late_reask", "SELECT o_orderkey, o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0 AND CAST(o_orderdate AS DATE) < DATE '1998-01-01' AND DATE '1998-01-01' - CAST(o_orderdate AS DATE) <= 45 AS again FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey")
+    again = operations.ask_again(F.col("o_orderdate").cast("date"), k % 4, k % 3 == 0, F.lit("1998-01-01").cast("date"))
+    return b.table(s, d, "orders").select("o_orderkey", again.alias("again"))
+
+
+@query("rotation_pick", "SELECT c_custkey, checked FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS checked FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50")
+def _(s, d):
+    state = b.table(s, d, "orders").filter("o_custkey % 5 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderdate").cast("date")).alias("checked"))
+    return operations.rotation(b.table(s, d, "customer").select("c_custkey"), state, "c_custkey", 50)
+
+
+@query("transcript_edge", """WITH t AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events WHERE event_id % 3 = 0), sd AS (SELECT DISTINCT CAST(ts AS DATE) + 3 AS day FROM events) SELECT day FROM sd, t WHERE day > edge""")
+def _(s, d):
+    e = b.table(s, d, "events")
+    edge = e.filter("event_id % 3 = 0").agg(F.max(F.col("ts").cast("date")).alias("edge"))
+    days = e.select(F.date_add(F.col("ts").cast("date"), 3).alias("day")).distinct()
+    return days.join(F.broadcast(edge), F.col("day") > F.col("edge")).select("day")  # one row
+
+
+@query("upcoming_bills", f"WITH {b.MOTIONS} SELECT DISTINCT number FROM mo WHERE number NOT IN (SELECT number FROM mo WHERE outcome LIKE 'önálló indítvány%')")
+def _(s, d):
+    m = b.motions(s, d)
+    done = m.filter(F.col("outcome").startswith("önálló indítvány")).select("number")
+    return m.select("number").distinct().join(done, "number", "left_anti")
+
+
+@query("kind_fill", f"WITH {b.MOTIONS} SELECT coalesce(prefix, '—') AS kind, round(avg((title IS NOT NULL)::int), 6) AS title, round(avg((outcome IS NOT NULL)::int), 6) AS outcome FROM mo GROUP BY 1")
+def _(s, d):
+    share = lambda c: r6(F.avg(F.col(c).isNotNull().cast("int"))).alias(c)
+    return b.motions(s, d).groupBy(F.coalesce("prefix", F.lit("—")).alias("kind")).agg(share("title"), share("outcome"))
+
+
+@query("history_append", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS period, round(arg_max(o_totalprice, o_orderkey), 2) AS gross FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2")
+def _(s, d):
+    rows = b.table(s, d, "orders").withColumn("gross", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    out = rows.groupBy("o_custkey", series.month("o_orderdate").alias("period")).agg(F.max_by("gross", F.when(F.col("gross").isNotNull(), F.col("o_orderkey"))).alias("gross"))
+    return out.filter("gross is not null").withColumn("gross", F.round("gross", 2))
+
+
+@query("seating_sectors", """WITH s AS (SELECT l_suppkey % 6 AS sector, l_linenumber AS r, l_partkey % 30 AS seat, l_returnflag AS grp FROM lineitem), t AS (SELECT sector, count(*) FILTER (n > 1) AS duplicates FROM (SELECT sector, r, seat, count(*) AS n FROM s GROUP BY 1, 2, 3) GROUP BY 1)
+  SELECT s.sector, count(*) AS members, count(DISTINCT grp) AS groups, max(r) AS rows, round(avg(seat), 6) AS mean_seat, any_value(duplicates) AS duplicates FROM s JOIN t ON t.sector = s.sector GROUP BY 1""")
+def _(s, d):
+    seats = b.table(s, d, "lineitem").select((F.col("l_suppkey") % 6).alias("sector"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 30).alias("seat"), F.col("l_returnflag").alias("grp"))
+    return operations.sectors(seats).withColumn("mean_seat", r6("mean_seat"))
+
+
+@query("sql_console_example", "SELECT n_name, r_name, count(*) AS suppliers, rank() OVER (PARTITION BY r_name ORDER BY count(*) DESC) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
+def _(s, d):
+    console.views(s, d, ["supplier", "nation", "region"])
+    out = console.run(s, d, "SELECT n_name, r_name, count(*) AS suppliers, rank() OVER (PARTITION BY r_name ORDER BY count(*) DESC) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+# -- no SQL: fitted models, order-dependent walks, streams -------------------------------------
+
+
+@query("ideal_points")
+def _(s, d):
+    line = b.table(s, d, "lineitem").select(F.year("l_shipdate").cast("string").alias("term"), F.concat_ws("-", F.year("l_shipdate").cast("string"), F.weekofyear("l_shipdate").cast("string")).alias("vote"), F.col("l_suppkey").alias("member"), F.when(F.col("l_returnflag") == "R", "yes").when(F.col("l_returnflag") == "A", "no").otherwise("yes").alias("position"), "l_orderkey", "l_linenumber")
+    one = relational.first_wins(line, ["term", "vote", "member"], ["l_orderkey", "l_linenumber", "position"])
+    return idealpoint.ideal_points(one.withColumn("grp", (F.col("member") % 5).cast("string")).select("term", "vote", "member", "grp", "position"))
+
+
+@query("lis_headings")
+def _(s, d):
+    rows = b.table(s, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("long").alias("price"))
+    return textual.rising_run(rows, "o_custkey", "o_orderkey", "price")
+
+
+@query("streaming_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(s, d):
+    from plenum.streaming import ingest
+
+    rows = s.readStream.schema(b.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = ingest.daily_counts(rows, "ts", "event_type")
+    started = stream.writeStream.outputMode("complete").format("memory").queryName("plenum_daily_counts").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return s.table("plenum_daily_counts")
