@@ -122,7 +122,7 @@ SPEECHES = """sp AS (
          event_type = 'click' AS technical, event_id % 10 = 0 AS reprint, ts FROM events)"""
 
 MOTIONS = """mo AS (
-  SELECT o_orderkey AS vote, CAST(o_orderdate AS DATE) AS at, o_orderkey % 3 AS motion, o_custkey AS number, CASE WHEN o_orderstatus = 'F' THEN 'T' END AS prefix,
+  SELECT o_orderkey AS vote, CAST(o_orderdate AS DATE) AS "at", o_orderkey % 3 AS motion, o_custkey AS number, CASE WHEN o_orderstatus = 'F' THEN 'T' END AS prefix,
          CASE WHEN o_orderpriority[1] <> '3' THEN o_orderpriority END AS title,
          CASE o_orderpriority[1] WHEN '1' THEN 'önálló indítvány elfogadva' WHEN '2' THEN 'módosító javaslat elutasítva' END AS outcome FROM orders)"""
 

@@ -18,11 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, days: tuple[str, ...] = ()):
+    """Register a query; ``days`` are its columns of type date, which both sides give as text."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return f(spark, folder).withColumns({c: F.col(c).cast("string") for c in days})
+
+        QUERIES[name] = run
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in days)}) FROM ({sql})" if days else sql
         return f
 
     return add
@@ -162,9 +167,9 @@ def _(s, d):
 
 
 @query("bill_journeys", f"""WITH {b.MOTIONS}, o AS (SELECT *, CASE WHEN outcome LIKE '%önálló%' THEN true WHEN outcome LIKE '%módosító%' THEN false ELSE prefix IS NOT NULL END AS own FROM mo)
-  SELECT number, count(*) AS votes, count(*) FILTER (own) AS own_votes, count(*) FILTER (NOT own) AS amendment_votes, min(at) AS first, max(at) AS last,
-  arg_max_null(outcome, (at, vote)) AS final_outcome, arg_min(prefix, (at, vote)) AS prefix, arg_min(title, (at, vote)) AS title,
-  CASE WHEN max(prefix) IS NOT NULL THEN 'T/' || number ELSE CAST(number AS VARCHAR) END AS label FROM o GROUP BY number""")
+  SELECT number, count(*) AS votes, count(*) FILTER (own) AS own_votes, count(*) FILTER (NOT own) AS amendment_votes, min("at") AS "first", max("at") AS "last",
+  arg_max_null(outcome, ("at", vote)) AS final_outcome, arg_min(prefix, ("at", vote)) AS prefix, arg_min(title, ("at", vote)) AS title,
+  CASE WHEN max(prefix) IS NOT NULL THEN 'T/' || number ELSE CAST(number AS VARCHAR) END AS label FROM o GROUP BY number""", days=("first", "last",))
 def _(s, d):
     return floor.bill_journeys(b.motions(s, d))
 
@@ -190,7 +195,7 @@ def _(s, d):
 
 
 @query("sitting_weeks", """SELECT CAST(isoyear(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_year, CAST(week(CAST(o_orderdate AS DATE)) AS INTEGER) AS iso_week, count(DISTINCT CAST(o_orderdate AS DATE)) AS days,
-  min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders GROUP BY 1, 2""")
+  min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders GROUP BY 1, 2""", days=("first_day", "last_day",))
 def _(s, d):
     return series.weeks(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")))
 
@@ -218,7 +223,7 @@ def _(s, d):
 
 @query("recent_window", """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY day DESC, o_orderkey DESC LIMIT 600),
   r AS (SELECT *, row_number() OVER (ORDER BY day DESC, o_orderkey DESC) AS rn, dense_rank() OVER (ORDER BY day DESC) AS day_rank FROM t)
-  SELECT o_orderkey, day, CAST(rn AS INTEGER) AS rn, CAST(day_rank AS INTEGER) AS day_rank FROM r WHERE rn <= 100 OR day_rank <= 5""")
+  SELECT o_orderkey, day, CAST(rn AS INTEGER) AS rn, CAST(day_rank AS INTEGER) AS day_rank FROM r WHERE rn <= 100 OR day_rank <= 5""", days=("day",))
 def _(s, d):
     return series.recent(b.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day")), "day", "o_orderkey")
 
@@ -238,14 +243,14 @@ def _(s, d):
 
 @query("gaps_islands", f"""WITH {b.SPANS}, c AS (SELECT member, "start", coalesce("end", "start" + 30) AS "end" FROM spn), k AS (SELECT *, max("end") OVER (PARTITION BY member ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
   g AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR "start" - reach > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY member ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM k)
-  SELECT member, run, min("start") AS run_start, max("end") AS run_end, count(*) AS spans FROM g GROUP BY 1, 2""")
+  SELECT member, run, min("start") AS run_start, max("end") AS run_end, count(*) AS spans FROM g GROUP BY 1, 2""", days=("run_start", "run_end",))
 def _(s, d):
     rows = b.spans(s, d).select("member", "start", F.coalesce("end", F.date_add("start", 30)).alias("end"))
     return series.islands(rows, "member", "start", "end")
 
 
 @query("switch_detection", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp))
-  SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp""")
+  SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp""", days=("since", "until",))
 def _(s, d):
     return series.changes(b.stints(s, d), ["member"], "since", "grp")
 
@@ -255,7 +260,7 @@ def _(s, d):
   ob AS (SELECT o_custkey AS member, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS day, o_orderstatus AS grp FROM orders),
   j AS (SELECT sw.member, since, before, after, max(CASE WHEN ob.grp = before THEN day END) - since AS lag_days, count(ob.grp) AS seen, count(*) FILTER (ob.grp NOT IN (before, after)) AS others
     FROM sw LEFT JOIN ob ON ob.member = sw.member AND day >= since AND ("until" IS NULL OR day < "until") GROUP BY sw.member, since, before, after, "until")
-  SELECT member, since, before, after, CAST(lag_days AS INTEGER) AS lag_days, CASE WHEN seen = 0 THEN 'no list' WHEN others > 0 THEN 'names another group' WHEN lag_days IS NULL THEN 'agrees' WHEN lag_days = 0 THEN 'old label on the day' ELSE 'keeps old label' END AS verdict FROM j""")
+  SELECT member, since, before, after, CAST(lag_days AS INTEGER) AS lag_days, CASE WHEN seen = 0 THEN 'no list' WHEN others > 0 THEN 'names another group' WHEN lag_days IS NULL THEN 'agrees' WHEN lag_days = 0 THEN 'old label on the day' ELSE 'keeps old label' END AS verdict FROM j""", days=("since",))
 def _(s, d):
     moves = series.changes(b.stints(s, d), ["member"], "since", "grp")
     seen = b.table(s, d, "orders").select(F.col("o_custkey").alias("member"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 40).cast("int")).alias("day"), F.col("o_orderstatus").alias("grp"))
@@ -270,7 +275,7 @@ def _(s, d):
 
 
 @query("seats_in_force", f"""WITH {b.SPANS}, w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS on_date FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT on_date, count(span) AS n FROM w LEFT JOIN spn ON "start" <= on_date AND ("end" IS NULL OR "end" >= on_date) GROUP BY 1)
-  SELECT on_date, n, CASE WHEN n >= 0.9 * 386 AND n <= 386 THEN n ELSE 386 END AS seats FROM c""")
+  SELECT on_date, n, CASE WHEN n >= 0.9 * 386 AND n <= 386 THEN n ELSE 386 END AS seats FROM c""", days=("on_date",))
 def _(s, d):
     days = b.table(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("on_date"))
     return series.in_force(days, b.spans(s, d), F.lit(386))
@@ -308,11 +313,11 @@ def _(s, d):
 
 _SNAP = """sn AS (SELECT day, grp, count(DISTINCT speaker) AS n FROM sp WHERE dayofmonth(day) % 3 = 1 GROUP BY 1, 2), hs AS (SELECT day, sum(n) AS house FROM sn GROUP BY 1),
   pd AS (SELECT day, sum(seconds) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY 1),
-  at AS (SELECT pd.day, seconds, coalesce((SELECT max(h.day) FROM hs h WHERE h.day <= pd.day), (SELECT min(day) FROM hs)) AS sday FROM pd)"""
+  ad AS (SELECT pd.day, seconds, coalesce((SELECT max(h.day) FROM hs h WHERE h.day <= pd.day), (SELECT min(day) FROM hs)) AS sday FROM pd)"""
 
 
 @query("asof_snapshot_share", f"""WITH {b.SPEECHES}, {_SNAP} SELECT sn.grp, round(sum(seconds * n / house) / (SELECT sum(seconds) FROM pd), 6) AS expected, round(sum(seconds * n) / (SELECT sum(seconds) FROM pd), 6) AS seats
-  FROM at JOIN sn ON sn.day = sday JOIN hs ON hs.day = sday GROUP BY 1""")
+  FROM ad JOIN sn ON sn.day = sday JOIN hs ON hs.day = sday GROUP BY 1""")
 def _(s, d):
     sp = b.speeches(s, d)
     snaps = sp.filter(F.dayofmonth("day") % 3 == 1).groupBy("day", "grp").agg(F.count_distinct("speaker").alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("counts"))
@@ -328,7 +333,7 @@ def _(s, d):
     return t.join(F.broadcast(total)).select("grp", r6(a).alias("share_of_time"), r6(h).alias("share_of_house"), r6(a / h).alias("ratio"))  # one row
 
 
-@query("long_days", f"WITH {b.SPEECHES} SELECT day, CAST(sum(seconds) AS BIGINT) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY day HAVING sum(seconds) > 2000")
+@query("long_days", f"WITH {b.SPEECHES} SELECT day, CAST(sum(seconds) AS BIGINT) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY day HAVING sum(seconds) > 2000", days=("day",))
 def _(s, d):
     return floor.substantive(b.speeches(s, d)).groupBy("day").agg(F.sum("seconds").alias("seconds")).filter("seconds > 2000")
 
@@ -366,7 +371,7 @@ def _(s, d):
     return decisions.verdicts(b.votes(s, d)).filter("yes > no and not passed and rule <> 'egyszeru'").agg(F.count("*").alias("n"))
 
 
-@query("fact_busiest_day", f"WITH {b.VOTES} SELECT on_date, count(*) AS n FROM hd GROUP BY 1 ORDER BY n DESC, on_date LIMIT 1")
+@query("fact_busiest_day", f"WITH {b.VOTES} SELECT on_date, count(*) AS n FROM hd GROUP BY 1 ORDER BY n DESC, on_date LIMIT 1", days=("on_date",))
 def _(s, d):
     return b.votes(s, d).groupBy("on_date").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "on_date").limit(1)
 
@@ -520,7 +525,7 @@ def _(s, d):
 
 @query("date_repair", """WITH r AS (SELECT o_orderkey, o_custkey % 40 AS file, CAST(o_orderdate AS DATE) AS printed, (isodow(CAST(o_orderdate AS DATE)) - 1 + CASE WHEN o_custkey % 40 < 10 AND o_orderkey % 20 <> 1 OR o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 7 AS wd FROM orders),
   h AS (SELECT *, CASE WHEN isodow(printed) - 1 = wd THEN 0 WHEN isodow(printed + 1) - 1 = wd THEN 1 END AS shift FROM r), f AS (SELECT file, count(*) FILTER (shift = 1) / nullif(count(shift), 0) AS share FROM h GROUP BY 1)
-  SELECT o_orderkey, CASE WHEN coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 THEN printed + 1 ELSE printed END AS on_date, coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 AS date_corrected FROM h JOIN f USING (file)""")
+  SELECT o_orderkey, CASE WHEN coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 THEN printed + 1 ELSE printed END AS on_date, coalesce(share, 0) >= 0.9 OR coalesce(shift, 0) = 1 AS date_corrected FROM h JOIN f USING (file)""", days=("on_date",))
 def _(s, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey") % 40
     printed = F.col("o_orderdate").cast("date")
@@ -561,7 +566,7 @@ def _(s, d):
 # -- text --------------------------------------------------------------------------------------
 
 
-_WORDS = r"list_filter(regexp_extract_all(regexp_replace(lower(text), '\([^)]*\)', ' ', 'g'), '[a-záéíóöőúüű0-9]+'), x -> true)"
+_WORDS = r"regexp_extract_all(regexp_replace(lower(text), '\([^)]*\)', ' ', 'g'), '[a-záéíóöőúüű0-9]+')"
 
 
 @query("echo_ngrams", f"""WITH w AS (SELECT doc_id AS doc, source AS speaker, {_WORDS} AS w FROM documents), g AS (SELECT doc, speaker, list_aggregate(w[i + 1 : i + 30], 'string_agg', ' ') AS gram FROM w, unnest(range(0, len(w) - 29)) t(i) WHERE len(w) >= 30),
@@ -636,8 +641,8 @@ def _(s, d):
     return textual.did_you_mean(asked, words.filter("n >= 50"))
 
 
-@query("html_paragraphs", r"""SELECT page_id, len(p) AS paragraphs, CAST(coalesce(list_sum(list_transform(p, x -> length(x))), 0) AS BIGINT) AS chars FROM (
-  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^<>]*)?>(.*?)</p>', 1), x -> trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^<>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), x -> x <> '') AS p FROM pages)""")
+@query("html_paragraphs", r"""SELECT page_id, len(p) AS paragraphs, CAST(coalesce(list_sum(list_transform(p, lambda x: length(x))), 0) AS BIGINT) AS chars FROM (
+  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^<>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^<>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS p FROM pages)""")
 def _(s, d):
     p = payloads.paragraphs(F.col("html"))
     chars = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
@@ -658,7 +663,7 @@ def _(s, d):
 
 
 @query("traffic_readers", """WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, event_type <> 'view' AS page, event_type = 'view' OR event_id % 9 = 0 AS sign FROM events WHERE event_type <> 'click'),
-  p AS (SELECT day, ip, count(*) FILTER (page) AS pages, bool_or(sign) AS reader FROM e GROUP BY 1, 2) SELECT day, count(*) FILTER (pages <= 5) AS readers, count(*) FILTER (pages > 5) AS heavy, CAST(coalesce(sum(pages) FILTER (pages <= 5), 0) AS BIGINT) AS pages FROM p WHERE reader GROUP BY 1""")
+  p AS (SELECT day, ip, count(*) FILTER (page) AS pages, bool_or(sign) AS reader FROM e GROUP BY 1, 2) SELECT day, count(*) FILTER (pages <= 5) AS readers, count(*) FILTER (pages > 5) AS heavy, CAST(coalesce(sum(pages) FILTER (pages <= 5), 0) AS BIGINT) AS pages FROM p WHERE reader GROUP BY 1""", days=("day",))
 def _(s, d):
     t, k = F.col("event_type"), F.col("event_id")
     log = b.table(s, d, "events").select(
@@ -687,13 +692,13 @@ def _(s, d):
     return b.table(s, d, "orders").select("o_orderkey", again.alias("again"))
 
 
-@query("rotation_pick", "SELECT c_custkey, checked FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS checked FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50")
+@query("rotation_pick", "SELECT c_custkey, checked FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS checked FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50", days=("checked",))
 def _(s, d):
     state = b.table(s, d, "orders").filter("o_custkey % 5 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderdate").cast("date")).alias("checked"))
     return operations.rotation(b.table(s, d, "customer").select("c_custkey"), state, "c_custkey", 50)
 
 
-@query("transcript_edge", """WITH t AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events WHERE event_id % 3 = 0), sd AS (SELECT DISTINCT CAST(ts AS DATE) + 3 AS day FROM events) SELECT day FROM sd, t WHERE day > edge""")
+@query("transcript_edge", """WITH t AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events WHERE event_id % 3 = 0), sd AS (SELECT DISTINCT CAST(ts AS DATE) + 3 AS day FROM events) SELECT day FROM sd, t WHERE day > edge""", days=("day",))
 def _(s, d):
     e = b.table(s, d, "events")
     edge = e.filter("event_id % 3 = 0").agg(F.max(F.col("ts").cast("date")).alias("edge"))
@@ -751,7 +756,7 @@ def _(s, d):
     return textual.rising_run(rows, "o_custkey", "o_orderkey", "price")
 
 
-@query("streaming_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("streaming_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", days=("day",))
 def _(s, d):
     from plenum.streaming import ingest
 

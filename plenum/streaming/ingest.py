@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: An empty answer is asked for again for so long, and a row may come so late.
 LATE = "45 days"
@@ -19,11 +19,13 @@ def read_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def daily_counts(rows: DataFrame, ts: str, kind: str, late: str = LATE) -> DataFrame:
     """Rows by day and kind: a day is final once the watermark has passed it."""
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
     return rows.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), kind, "n")
 
 
 def sessions(rows: DataFrame, ts: str, key: str, gap: str, late: str = LATE) -> DataFrame:
     """Runs of a key's rows with less than ``gap`` between them."""
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
     return rows.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
