@@ -91,20 +91,19 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     marked = cut(marked.filter(~F.col("stays") | (F.col("n") > 1)), "marked")
     out, twice = marked.filter(~F.col("stays")), marked.filter("stays")
     n_out, n_twice = out.count(), twice.count()
-    named = docs.withColumns({
-        "__id": F.col(f"`{id_col}`").cast("long"),
-        "__points": F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))),
-        "__digest": F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), BLANKS, ""), 256)),
-    })
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    named = docs.select(  # all columns in one, so no name of theirs can clash
+        F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.length(whole).alias("points"),
+        F.unhex(F.sha2(F.regexp_replace(whole, BLANKS, ""), 256)).alias("hash"),
+    )
 
     def keyed(df: DataFrame, n: int) -> tuple[DataFrame, Column]:
-        side = small(df.select(*[F.col(c).alias(f"__r_{c}") for c in row]), n)
-        same = [F.col(a).eqNullSafe(F.col(f"__r_{b}")) for a, b in zip(("__id", "__points", "__digest"), row, strict=True)]
-        return side, same[0] & same[1] & same[2]
+        same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("id", "points", "hash"), row, strict=True)]
+        return small(df.select(*row), n), same[0] & same[1] & same[2]
 
     kept = named.join(*keyed(out, n_out), "left_anti") if n_out else named
     if n_twice:
         side = keyed(twice, n_twice)
-        once = kept.join(*side, "left_semi").dropDuplicates(["__id", "__points", "__digest"])
+        once = kept.join(*side, "left_semi").dropDuplicates(["id", "points", "hash"])
         kept = kept.join(*side, "left_anti").unionByName(once)
-    return kept.drop("__id", "__points", "__digest")
+    return kept.select("row.*")

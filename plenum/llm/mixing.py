@@ -73,13 +73,17 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 def place(
     docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = 8, alpha: float = 0.5, period: int = PERIOD,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", whole: bool = False,
 ) -> DataFrame:
-    """``docs`` with __source, __weight, __block, __release, __deadline, __slot, __position."""
+    """doc_id, __source, __weight, __block, __release, __deadline, __slot, __position; with ``whole``, also
+    ``__row`` with all columns of ``docs``, in one, so that no name of theirs can clash."""
     spark = docs.sparkSession
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     key = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string"))))
-    named = docs.withColumns({"__source": F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")), "__key": key})
+    named = docs.select(
+        *([F.struct("*").alias("__row")] if whole else []), doc_id.alias("doc_id"), F.xxhash64(text).alias("__hash"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("__source"), key.alias("__key"),
+    )
     sizes = {r[0]: r.n for r in named.groupBy("__source").agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()}
     if len(sizes) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -99,7 +103,7 @@ def place(
     parts = parts.select("__source", "__part", F.coalesce(F.sum("n").over(W.partitionBy("__source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("a"))
     runs = runs.select("__source", "__part", "__run", F.coalesce(F.sum("n").over(W.partitionBy("__source", "__part").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     first = runs.join(parts, ["__source", "__part"]).select("__source", "__run", (F.col("a") + F.col("b")).alias("__first"))
-    own = F.row_number().over(W.partitionBy("__source", "__run").orderBy("__key", doc_id, F.xxhash64(text)))
+    own = F.row_number().over(W.partitionBy("__source", "__run").orderBy("__key", "doc_id", "__hash"))
     rows = named.drop("__part").withColumn("__own", own - 1).join(first, ["__source", "__run"])
     rows = rows.withColumn("__seq", F.col("__first") + F.col("__own"))
     rows = rows.withColumn("__block", F.floor(F.col("__seq") / block).cast("long")).join(F.broadcast(owned), "__source")
@@ -111,7 +115,7 @@ def place(
         "__deadline": F.expr(f"((__block + 1) * {period} + __share - 1) div __share"),
         "__slot": slot,
         "__position": slot * block + F.col("__seq") % block,
-    }).drop("__turn", "__at", "__share", "__seq", "__first", "__own", "__run", "__key")
+    }).drop("__turn", "__at", "__share", "__seq", "__first", "__own", "__run", "__key", "__hash")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -119,11 +123,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     Reading in the order of ``position`` gives the mix.
     """
-    id_col = how.get("id_col", "doc_id")
     names = ["source", "weight", "block", "release", "deadline", "slot", "position"]
-    return place(docs, **how).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"__{n}").alias(n) for n in names])
+    return place(docs, **how).select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all its columns, in the order of the mix."""
-    return place(docs, **how).repartitionByRange("__position").sortWithinPartitions("__position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return place(docs, whole=True, **how).repartitionByRange("__position").sortWithinPartitions("__position").select("__row.*")

@@ -5,8 +5,9 @@ same pseudonym in every document, two values never share one, and the text aroun
 
 - ``card``: 13 to 19 digits (also in groups joined by one blank or hyphen) with a valid Luhn digit.  The
   digits before the last are permuted and the Luhn digit is worked out anew; grouping stays.
-- ``phone``: an international number: +, 1 to 3 digits of country code, then 7 to 12 digits with
-  blanks, hyphens, dots or brackets between.  The digits after the country code are permuted.
+- ``phone``: an international number: +1 and ten digits, or + and another country code with two to four
+  groups of digits, 8 to 15 in all; blanks, hyphens, dots or brackets between.  The digits after the country
+  code (1, or two digits) are permuted.
 - ``ssn``: ddd-dd-dddd with an area of 001 to 899 but 666, a group from 01 and a serial from 0001.  It stays so.
 - ``ip``: four numbers of 0 to 255 joined by dots.  The 32 bits are permuted.
 - ``date``: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that the calendar has, from
@@ -40,7 +41,9 @@ _FORMS = {
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d(?:[ \-]?\d){12,18}",
 }
-_PHONE = r"(?<![\p{L}\p{N}_+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d)(?:[ .\-]?(?:\(\d{1,4}\)|\d)){3,12}(?![\p{L}\p{N}_])"
+_PHONE = (
+    r"(?<![\p{L}\p{N}_+])\+(?:1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|(?!1[ .\-(\d])\d{2,3}(?:[ .\-]?\(?\d{2,5}\)?){2,4})(?![\p{L}\p{N}_])"
+)
 PATTERN = f"{_PHONE}|{_EDGE_L}(?:{'|'.join(_FORMS.values())}){_EDGE_R}"
 
 
