@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.functions import text
 
@@ -112,7 +113,7 @@ def directory_score(typed: list[list[str]], long_field: Column, short_field: Col
     return F.when(every, total)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance in which swapping two neighbours is one edit; no builtin has it."""
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.functions import text
 from plenum.operators.floor import INDEPENDENT
@@ -40,7 +41,7 @@ def read_payloads(spark: SparkSession, path: str, charset: str = "utf-8") -> Dat
 _QUOTED = re.compile(r'((?:nev|ertek|cim|felszolalo|kepviselo)=")(.*?)("(?=\s+[\w:]+=|\s*/?>))', re.S)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_quotes(raw: pd.Series) -> pd.Series:
     """Quotes inside known attributes become entities; repaired text stays as it is."""
 
