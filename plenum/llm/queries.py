@@ -87,6 +87,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": """
+        WITH RECURSIVE c AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+        e AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * 1000 AS exact FROM c),
+        f AS (SELECT source, greatest(1, CAST(floor(exact) AS BIGINT)) AS low, row_number() OVER (ORDER BY floor(exact) - exact, source) AS place FROM e),
+        s AS (SELECT source, low + CASE WHEN place <= 1000 - (SELECT sum(low) FROM f) THEN 1 ELSE 0 END AS share, row_number() OVER (ORDER BY source) AS k FROM f),
+        l AS (SELECT list(share ORDER BY k) AS shares FROM s),
+        g AS (
+            SELECT 0 AS t, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS done, shares, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS turn FROM l
+            UNION ALL
+            SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), shares, p, CASE WHEN p > 0 THEN done[p] ELSE 0 END
+            FROM (SELECT *, CASE WHEN list_min(due) < 9999999 THEN list_position(due, list_min(due)) ELSE 0 END AS p
+                  FROM (SELECT *, list_transform(done, lambda d, i: CASE WHEN d < shares[i] AND d * 1000 // shares[i] <= t THEN ((d + 1) * 1000 + shares[i] - 1) // shares[i] ELSE 9999999 END) AS due FROM g WHERE t < 1000))
+        ),
+        plan AS (SELECT pick AS k, turn, t - 1 AS at_slot FROM g WHERE pick > 0),
+        d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS seq FROM documents),
+        b AS (SELECT d.*, seq // 8 AS block, share, s.k FROM d JOIN s USING (source))
+        SELECT doc_id, source, share / 1000 AS weight, block, block * 1000 // share AS "release", ((block + 1) * 1000 + share - 1) // share AS deadline,
+               block // share * 1000 + at_slot AS slot, (block // share * 1000 + at_slot) * 8 + seq % 8 AS position
+        FROM b JOIN plan ON plan.k = b.k AND plan.turn = b.block % b.share
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
