@@ -740,6 +740,82 @@ def _(s, d):
     return out.withColumn("place", F.col("place").cast("long"))
 
 
+# -- further shapes ----------------------------------------------------------------------------
+
+
+@query("month_windows", """SELECT CAST(m AS DATE) AS first_day, CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS last_day FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)""", days=("first_day", "last_day"))
+def _(s, d):
+    ends = b.table(s, d, "orders").agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.trunc(F.max("o_orderdate"), "month").alias("z"))
+    return ends.select(F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("first_day")).select("first_day", F.last_day("first_day").alias("last_day"))
+
+
+@query("seat_plan_match", """WITH m AS (SELECT DISTINCT l_suppkey % 6 AS sector, l_linenumber AS r, l_partkey % 30 AS seat FROM lineitem WHERE l_partkey % 3 <> 0), p AS (SELECT DISTINCT c_custkey % 7 AS sector, CAST(c_custkey % 9 AS INTEGER) AS r, c_custkey % 31 AS seat FROM customer)
+  SELECT CASE WHEN m.seat IS NULL THEN 'empty' WHEN p.seat IS NULL THEN 'unmatched' ELSE 'matched' END AS state, count(*) AS n FROM m FULL JOIN p ON m.sector = p.sector AND m.r = p.r AND m.seat = p.seat GROUP BY 1""")
+def _(s, d):
+    members = b.table(s, d, "lineitem").filter("l_partkey % 3 <> 0").select((F.col("l_suppkey") % 6).alias("sector"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 30).alias("seat")).distinct().withColumn("m", F.lit(True))
+    plan = b.table(s, d, "customer").select((F.col("c_custkey") % 7).alias("sector"), (F.col("c_custkey") % 9).cast("int").alias("r"), (F.col("c_custkey") % 31).alias("seat")).distinct().withColumn("p", F.lit(True))
+    state = F.when(F.col("m").isNull(), "empty").when(F.col("p").isNull(), "unmatched").otherwise("matched")
+    return members.join(plan, ["sector", "r", "seat"], "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("every_term_search", f"""WITH tk AS (SELECT doc_id AS doc, list_distinct(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}')) AS t FROM documents), q AS (SELECT item_id AS query, list_distinct(list_slice(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}'), 1, 3)) AS w FROM benchmark WHERE item_id < 20)
+  SELECT query, doc FROM q JOIN tk ON list_has_all(t, w) WHERE len(w) > 0""")
+def _(s, d):
+    asked = b.table(s, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("question"))
+    return textual.every_term(b.table(s, d, "documents"), asked, "doc_id", doc="doc_id", body="text").select("query", "doc")
+
+
+@query("position_pivot", f"""WITH {b.POSITIONS} SELECT vote, count(*) FILTER (position = 'yes') AS yes, count(*) FILTER (position = 'no') AS no, count(*) FILTER (position = 'abstain') AS abstain, count(*) FILTER (position = 'absent') AS absent,
+  greatest(count(*) FILTER (position <> 'absent'), vote % 5) AS base, CASE WHEN vote % 5 > count(*) FILTER (position <> 'absent') THEN 'header' ELSE 'roll call' END AS basis FROM pos GROUP BY vote""")
+def _(s, d):
+    """The header's number of votes cast is the base where it is larger than the roll call's."""
+    wide = b.positions(s, d).groupBy("vote").agg(*[F.count_if(F.col("position") == p).alias(p) for p in ("yes", "no", "abstain", "absent")])
+    cast, header = F.col("yes") + F.col("no") + F.col("abstain"), F.col("vote") % 5
+    return wide.withColumns({"base": F.greatest(cast, header), "basis": F.when(header > cast, "header").otherwise("roll call")})
+
+
+@query("roster_assembly", f"""WITH {b.POSITIONS}, r AS (SELECT member, arg_max(grp, vote) AS last_group, count(*) AS votes FROM pos GROUP BY 1) SELECT coalesce(member, s_suppkey) AS member, s_name AS name, last_group, votes FROM r FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 6 <> 1) ON s_suppkey = member""")
+def _(s, d):
+    rolled = b.positions(s, d).groupBy("member").agg(F.max_by("grp", "vote").alias("last_group"), F.count("*").alias("votes"))
+    listed = b.table(s, d, "supplier").filter("s_suppkey % 6 <> 1").select(F.col("s_suppkey").alias("member"), F.col("s_name").alias("name"))
+    return rolled.join(listed, "member", "full_outer")
+
+
+@query("pay_anchor", """WITH g AS (SELECT c_custkey, CAST((c_custkey % 4 + 2) * 100000 + CASE WHEN c_custkey % 11 = 0 THEN 777 ELSE c_custkey % 2 END AS BIGINT) AS gross FROM customer), m AS (SELECT unnest([2, 3, 4, 5]) AS k),
+  c AS (SELECT DISTINCT CAST(round(gross / k) AS BIGINT) AS anchor FROM g, m), x AS (SELECT anchor, count(DISTINCT c_custkey) AS explained FROM c, (SELECT c_custkey, gross, k FROM g, m) WHERE abs(gross - anchor * k) <= 1 GROUP BY 1)
+  SELECT anchor, explained FROM x WHERE explained >= 0.8 * (SELECT count(*) FROM g) ORDER BY explained DESC, anchor LIMIT 1""")
+def _(s, d):
+    """The base amount of which the members' pay are multiples, to one unit, for four fifths of them."""
+    c = F.col("c_custkey")
+    pay = b.table(s, d, "customer").select(c, ((c % 4 + 2) * 100000 + F.when(c % 11 == 0, 777).otherwise(c % 2)).cast("long").alias("gross"))
+    each = pay.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (2, 3, 4, 5)])))
+    near = each.withColumn("anchor", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda e: F.round((F.col("gross") + e) / F.col("k")).cast("long"))))
+    hits = near.filter(F.abs(F.col("gross") - F.col("anchor") * F.col("k")) <= 1).groupBy("anchor").agg(F.count_distinct("c_custkey").alias("explained"))
+    total = pay.agg(F.count("*").alias("n"))
+    return hits.join(F.broadcast(total), F.col("explained") >= 0.8 * F.col("n")).orderBy(F.desc("explained"), "anchor").select("anchor", "explained").limit(1)  # one row
+
+
+@query("cube_summary", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def _(s, d):
+    return b.table(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping_id("o_orderstatus", "o_orderpriority").alias("level"))
+
+
+@query("snippets", r"""WITH q AS (SELECT doc_id, text, regexp_extract(lower(text), '\b(th[a-z]{5,})', 1) AS term FROM documents), h AS (SELECT *, instr(lower(text), term) AS at_char FROM q WHERE term <> '')
+  SELECT doc_id, term, at_char, substring(text, greatest(1, at_char - 90), least(at_char, 91) + 129) AS snippet FROM h""")
+def _(s, d):
+    low = F.lower("text")
+    term = F.regexp_extract(low, r"\b(th[a-z]{5,})", 1)
+    rows = b.table(s, d, "documents").select("doc_id", "text", term.alias("term")).filter("term <> ''").withColumn("at_char", F.instr(F.lower("text"), F.col("term")))
+    first = F.greatest(F.lit(1), F.col("at_char") - 90)
+    return rows.select("doc_id", "term", F.col("at_char").cast("long").alias("at_char"), F.substring("text", first, F.least("at_char", F.lit(91)) + 129).alias("snippet"))
+
+
+@query("table_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND contains(lower(c_name), '1') ORDER BY c_custkey LIMIT 25 OFFSET 25")
+def _(s, d):
+    rows = b.table(s, d, "customer").filter((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 0) & text.fold(F.col("c_name")).contains("1"))
+    return rows.orderBy("c_custkey").offset(25).limit(25).select("c_custkey")
+
+
 # -- no SQL: fitted models, order-dependent walks, streams -------------------------------------
 
 
