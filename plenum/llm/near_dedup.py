@@ -7,9 +7,10 @@
    Signature batches are compared one after another: once the posterior probability (uniform prior)
    that the similarity reaches the threshold falls below ``miss``, the pair is pruned.  Survivors are
    confirmed on the full sets.  The links found give components.
-3. Only buckets that still hold more than one component are compared further: each pair of classes
-   of different components, by signatures, inside workers, in tiles of bounded size; survivors are again
-   confirmed on the full sets.  Pairs inside one component can't change the result and are left out.
+3. Only buckets that still hold more than one component are compared further, inside workers, in tiles of
+   bounded size: classes of different components, by signatures, and survivors at once on the full sets.
+   A pair is looked at in the first band that it shares; once a link joins two components their other
+   pairs are passed over.  What leaves a worker are links, never candidate pairs.
 
 So no group emits all its pairs, large groups are dealt out in salted parts, and only a link that no
 band shows (probability ``miss``) can be lost.
@@ -36,8 +37,8 @@ from plenum.llm.components import components
 
 #: Signature values compared between two looks at the posterior.
 LOOK = 32
-#: Members of a group that one task compares with its pivot, and members of a bucket in one tile.
-PART, TILE = 256, 512
+#: Members of a group that one task compares with its pivot, and members and bytes of text of one tile.
+PART, TILE, TILE_BYTES = 256, 1024, 8 << 20
 
 
 class Plan:
@@ -77,8 +78,8 @@ class Plan:
         return out
 
     def band_keys(self, sig: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band of each signature (one a row)."""
-        parts = sig.reshape(len(sig), self.bands, self.rows).astype(np.uint64)
+        """One 64-bit key for each band of each signature (one a row), of the 16 bits that are kept."""
+        parts = (sig & np.uint32(0xFFFF)).reshape(len(sig), self.bands, self.rows).astype(np.uint64)
         key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), parts.shape[:2]).copy()
         for k in range(self.rows):
             key = shingles.mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k] + np.uint64(1))
@@ -175,46 +176,75 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, plan: Plan) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def left_over(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that the signatures leave alive.
+def left_over(members: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """Links (a, b) between different components in one bucket.
 
-    ``members``: (key, node, component, signature, tiles).  A member of tile t goes to the tile pairs
-    that t is in, so a task holds two tiles at most.
+    ``members``: (key, band, pivot, node, component, signature, text, tiles).  A member of tile t goes to the
+    tile pairs that t is in, so a task holds two tiles at most.  Pairs with the pivot were confirmed before.
     """
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "component", "signature")
-    rows = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
-
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        (_, t, u), out = group[0][0], []
-        sig = np.array([np.frombuffer(x[4], "<u2") for x in group])
-        tile, node, comp = (np.array([x[i] for x in group]) for i in (1, 2, 3))
-        for i in range(len(group) - 1):
-            if t != u and tile[i] != t:
+    cols = ["key", "t", "u", "band", "pivot", "own", "node", "component", "signature", "text"]
+    rows = dealt.withColumns({"t": F.least("own", "other"), "u": F.greatest("own", "other")}).select(*cols)
+    rows = rows.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u")
+
+    def compare(group: list[dict]) -> list[tuple[int, int]]:
+        t, u, band, pivot, out = group[0]["t"], group[0]["u"], group[0]["band"], group[0]["pivot"], []
+        sig = np.array([np.frombuffer(x["signature"], "<u2") for x in group])
+        bands = sig.reshape(len(group), plan.bands, plan.rows)
+        tile, node = np.array([x["own"] for x in group]), np.array([x["node"] for x in group])
+        root, sets = {}, {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def shingled(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles.sets([group[i]["text"].encode()], width)[0]
+            return sets[i]
+
+        comp = np.array([x["component"] for x in group])
+        for i in range(len(group)):
+            if node[i] == pivot or t != u and tile[i] != t:
                 continue
-            others = np.flatnonzero((comp != comp[i]) & ((tile != t) if t != u else (np.arange(len(group)) > i)))
-            if len(others):
-                hit = others[plan.alive(sig[i], sig[others])]
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in hit if node[i] != node[j]]
+            others = np.flatnonzero((comp != comp[i]) & (node != pivot) & (node != node[i]) & ((tile != t) if t != u else (np.arange(len(group)) > i)))
+            if not len(others):
+                continue
+            hit = others[plan.alive(sig[i], sig[others])]
+            if len(hit):  # only in the first band that the two share
+                hit = hit[(bands[hit] == bands[i]).all(axis=2).argmax(axis=1) == band]
+            for j in hit.tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and plan.linked(shingled(i), shingled(j)):
+                    out.append((int(node[i]), int(node[j])))
+                    root[max(x, y)] = min(x, y)
         return out
 
     def run(batches):
-        group: list[tuple] = []
+        group: list[dict] = []
+        out: list[tuple[int, int]] = []
+
+        def made():
+            rows = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            out.clear()
+            return rows
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "t", "u", "own", "node", "component", "signature")]
-            out: list[tuple[int, int]] = []
-            for key, t, u, tile, node, comp, signature in zip(*cols, strict=True):
-                if group and group[0][0] != (key, t, u):
-                    out += compare(group)
-                    group = []
-                group.append(((key, t, u), tile, node, comp, signature))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for k in range(0, len(batch), 256):
+                for x in batch.slice(k, 256).to_pylist():
+                    if group and any(group[0][c] != x[c] for c in ("key", "t", "u")):
+                        out.extend(compare(group))
+                        group = []
+                    group.append(x)
+            if out:
+                yield made()
         if group:
-            out = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            out.extend(compare(group))
+        yield made()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_dedup(
@@ -229,10 +259,10 @@ def near_dedup(
     classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     stand = named.join(classes.withColumnRenamed("set_key", "k"), (F.col("k") == F.col("set_key")) & (F.col("node") == F.col("doc_id")))
 
-    dealt = stand.select("node", F.explode("bands").alias("key"))
+    dealt = stand.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
     members = cut(dealt.join(buckets.select("key", "pivot"), "key").distinct(), "members")
-    pairs = cut(members.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = members.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     nodes = cut(members.select("node").distinct(), "nodes")
     n = nodes.count()
     if n == 0:
@@ -244,16 +274,17 @@ def near_dedup(
         texts = cut(plain.join(signed, "node").select("node", "signature", "text"), "texts")
         links = cut(confirm(pairs, texts, width, plan), "links")
         first = components(links)
-        labelled = members.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-        mixed = mixed.filter("x <> y and n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-        rest = cut(labelled.join(mixed, "key"), "rest")
+        length = texts.select("node", F.octet_length("text").cast("long").alias("n_bytes"))
+        labelled = members.join(length, "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
+        tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_BYTES)).cast("int")
+        mixed = mixed.filter("x <> y and n > 2").select("key", tiles.alias("tiles"))
+        rest = cut(labelled.drop("n_bytes").join(mixed, "key"), "rest")
         labels = first
         if not rest.isEmpty():
-            alive = left_over(rest.join(signed, "node").select("key", "node", "component", "signature", "tiles"), plan)
-            more = cut(alive.join(pairs, ["a", "b"], "left_anti"), "more")
+            more = cut(left_over(rest.join(texts, "node"), width, plan), "links")
             if not more.isEmpty():
-                labels = components(links.union(cut(confirm(more, texts, width, plan), "links")))
+                labels = components(links.union(more))
 
     member = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     own = sketches.select("doc_id", "n_shingles", "set_key")
@@ -265,6 +296,9 @@ def near_dedup(
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with all its columns and one document of each group of near duplicates."""
     found = near_dedup(docs, id_col=id_col, text_col=text_col, **how)
-    out = cut(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
+    out = cut(found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "dropped")
     n = out.count()
-    return docs.join(small(out, n), docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti") if n else docs
+    if not n:
+        return docs
+    named = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))  # no clash of names
+    return named.join(small(out, n), F.col("id") == F.col("gone"), "left_anti").select("row.*")
