@@ -25,6 +25,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,12 @@ _FORMS = {
 _PHONE = (
     r"(?<![\p{L}\p{N}_+])\+(?:1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|(?!1[ .\-(\d])\d{2,3}(?:[ .\-]?\(?\d{2,5}\)?){2,4})(?![\p{L}\p{N}_])"
 )
-PATTERN = f"{_PHONE}|{_EDGE_L}(?:{'|'.join(_FORMS.values())}){_EDGE_R}"
+PATTERN = f"(?=[+0-9])(?:{_PHONE}|{_EDGE_L}(?:{'|'.join(_FORMS.values())}){_EDGE_R})"  # the first look spares most places the rest
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _digits(c: Column) -> Column:
@@ -92,7 +98,7 @@ def _number(digits: Column, kind: str, key: str, undo: bool) -> Column:
     a, b = F.substring(digits, F.lit(1), left).try_cast("long"), F.substring(digits, left + 1, right).try_cast("long")
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
     done = feistel(a, b, power(left), power(right), kind, key, n, undo)
-    return F.concat(F.lpad(done["a"].cast("string"), left, F.lit("0")), F.lpad(done["b"].cast("string"), right, F.lit("0")))
+    return _let(done, lambda s: F.concat(F.lpad(s["a"].cast("string"), left, F.lit("0")), F.lpad(s["b"].cast("string"), right, F.lit("0"))))
 
 
 def _refill(form: Column, digits: Column) -> Column:
@@ -118,59 +124,81 @@ def _date_parts(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """The kind of a matched value that is valid, else null."""
-    digits = _digits(v)
-    day = _date_parts(v)
-    n = F.length(digits)
     is_ip = v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     is_ssn = v.rlike(r"^\d{3}-\d{2}-\d{4}$")
     is_date = v.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\2\d{4})$")
     octets = reduce(lambda a, b: a & b, [F.split_part(v, F.lit("."), F.lit(k)).try_cast("int") <= 255 for k in (1, 2, 3, 4)])
     area, group, serial = (F.split_part(v, F.lit("-"), F.lit(k)) for k in (1, 2, 3))
+    first = F.lit(DAY_0).cast("date")
     return (
-        F.when(v.startswith("+"), F.when(n.between(8, 15), "phone"))
+        F.when(v.startswith("+"), _let(F.length(_digits(v)), lambda n: F.when(n.between(8, 15), "phone")))
         .when(is_ip, F.when(octets, "ip"))
         .when(is_ssn, F.when((area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000"), "ssn"))
-        .when(is_date, F.when(day.between(F.lit(DAY_0).cast("date"), F.date_add(F.lit(DAY_0).cast("date"), DAYS - 1)), "date"))
-        .when(n.between(13, 19), F.when(_luhn_sum(digits, True) % 10 == 0, "card"))
+        .when(is_date, F.when(_date_parts(v).between(first, F.date_add(first, DAYS - 1)), "date"))
+        .otherwise(_let(_digits(v), lambda d: F.when(F.length(d).between(13, 19) & (_luhn_sum(d, True) % 10 == 0), "card")))
     )
 
 
-def pseudonym(v: Column, key: str, undo: bool = False) -> Column:
-    """The pseudonym of a matched value, or the value itself where it isn't valid."""
-    digits, kind = _digits(v), kind_of(v)
+def _card(v: Column, key: str, undo: bool) -> Column:
+    def checked(body: Column) -> Column:
+        check = (F.lit(10) - _luhn_sum(body, False) % 10) % 10
+        return _let(F.concat(body, check.cast("string")), lambda d: _refill(v, d))
+
+    body = lambda d: F.substring(d, F.lit(1), F.length(d) - 1)
+    return _let(_digits(v), lambda d: _let(body(d), lambda b: _let(_number(b, "card", key, undo), checked)))
 
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new_body = _number(body, "card", key, undo)
-    check = (F.lit(10) - _luhn_sum(new_body, False) % 10) % 10
-    card = _refill(v, F.concat(new_body, check.cast("string")))
 
-    code = F.length(F.regexp_extract(v, r"^\+(\d{1,3})", 1))
-    code = F.when(digits.startswith("1"), 1).otherwise(F.least(code, F.lit(2)))
-    rest = F.substring(digits, code + 1, F.length(digits))
-    phone = _refill(v, F.concat(F.substring(digits, F.lit(1), code), _number(rest, "phone", key, undo)))
+def _phone(v: Column, key: str, undo: bool) -> Column:
+    def moved(d: Column) -> Column:
+        code = F.when(d.startswith("1"), 1).otherwise(2)
+        rest = F.substring(d, code + 1, F.length(d))
+        new = _let(rest, lambda r: _number(r, "phone", key, undo))
+        return _let(F.concat(F.substring(d, F.lit(1), code), new), lambda x: _refill(v, x))
 
+    return _let(_digits(v), moved)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _ip(v: Column, key: str, undo: bool) -> Column:
     octet = [F.split_part(v, F.lit("."), F.lit(k)).try_cast("long") for k in (1, 2, 3, 4)]
-    long = lambda n: F.lit(n).cast("long")
-    ip_new = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], long(1 << 16), long(1 << 16), "ip", key, F.lit(0), undo)
-    ip = F.concat_ws(".", *[F.shiftright(ip_new[h], s).bitwiseAND(255).cast("string") for h in "ab" for s in (8, 0)])
+    new = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], _long(1 << 16), _long(1 << 16), "ip", key, F.lit(0), undo)
+    return _let(new, lambda x: F.concat_ws(".", *[F.shiftright(x[h], s).bitwiseAND(255).cast("string") for h in "ab" for s in (8, 0)]))
+
 
+def _ssn(v: Column, key: str, undo: bool) -> Column:
     part = [F.split_part(v, F.lit("-"), F.lit(k)).try_cast("long") for k in (1, 2, 3)]
     area = F.when(part[0] > 666, part[0] - 2).otherwise(part[0] - 1)
-    ssn_new = feistel(area * 99 + part[1] - 1, part[2] - 1, long(898 * 99), long(9999), "ssn", key, F.lit(0), undo)
-    area_new = F.floor(ssn_new["a"] / 99).cast("long")
-    ssn = F.format_string(
-        "%03d-%02d-%04d", F.when(area_new >= 665, area_new + 2).otherwise(area_new + 1), ssn_new["a"] % 99 + 1, ssn_new["b"] + 1
-    )
+    new = feistel(area * 99 + part[1] - 1, part[2] - 1, _long(898 * 99), _long(9999), "ssn", key, F.lit(0), undo)
+
+    def written(x: Column) -> Column:
+        place = F.floor(x["a"] / 99).cast("long")
+        return F.format_string("%03d-%02d-%04d", F.when(place >= 665, place + 2).otherwise(place + 1), x["a"] % 99 + 1, x["b"] + 1)
+
+    return _let(new, written)
 
+
+def _date(v: Column, key: str, undo: bool) -> Column:
     first = F.lit(DAY_0).cast("date")
-    day = F.datediff(_date_parts(v), first)
-    day_new = feistel(F.floor(day / DAY_PARTS[0]), day % DAY_PARTS[0], long(DAY_PARTS[1]), long(DAY_PARTS[0]), "date", key, F.lit(0), undo)
-    day_new = F.date_add(first, (day_new["a"] * DAY_PARTS[0] + day_new["b"]).cast("int"))
-    form = lambda f: F.date_format(day_new, f)
-    date = F.when(v.rlike(r"^\d{4}-"), form("yyyy-MM-dd")).when(v.contains("."), form("dd.MM.yyyy")).otherwise(form("dd/MM/yyyy"))
-    return F.coalesce(
-        F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "date", date), v
-    )
+    high, low = DAY_PARTS[1], DAY_PARTS[0]
+    moved = lambda day: feistel(F.floor(day / low), day % low, _long(high), _long(low), "date", key, F.lit(0), undo)
+
+    def written(x: Column) -> Column:
+        form = lambda f: F.date_format(F.date_add(first, (x["a"] * low + x["b"]).cast("int")), f)
+        return F.when(v.rlike(r"^\d{4}-"), form("yyyy-MM-dd")).when(v.contains("."), form("dd.MM.yyyy")).otherwise(form("dd/MM/yyyy"))
+
+    return _let(F.datediff(_date_parts(v), first), lambda day: _let(moved(day), written))
+
+
+def pseudonym(v: Column, kind: Column, key: str, undo: bool = False) -> Column:
+    """The pseudonym of a matched value of that kind, or the value itself where it has none."""
+    makers = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date}
+    out = F.when(kind.isNull(), v)
+    for name, make in makers.items():
+        out = out.when(kind == name, make(v, key, undo))
+    return F.coalesce(out, v)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
@@ -179,9 +207,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     some = rows.withColumn("found", F.when(F.col("text").rlike(r"\d.{0,3}\d"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     none = F.col("found").isNull() | (F.size("found") == 0)
     some = some.withColumn("rest", F.when(~none, F.split("text", PATTERN, -1)))
-    new = F.transform("found", lambda v: pseudonym(v, key, undo))
-    kinds = F.filter(F.transform("found", kind_of), lambda k: k.isNotNull())
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col("rest").alias("r"), F.array_append(new, F.lit("")).alias("n")), lambda z: F.array(z["r"], z["n"]))), "")
+    made = F.transform("found", lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key, undo).alias("new"))))
+    some = some.withColumn("made", F.when(~none, made))
+    kinds = F.filter(F.transform("made", lambda m: m["kind"]), lambda k: k.isNotNull())
+    both = F.transform("rest", lambda r, k: F.concat(r, F.coalesce(F.get(F.col("made"), k)["new"], F.lit(""))))
+    joined = F.array_join(both, "")
     return some.select(
         "doc_id",
         F.when(none, F.lit(0)).otherwise(F.size(kinds)).cast("long").alias("n_values"),
