@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Callable
 
-CACHE = 600_000
+CACHE = 1_000_000
 LONGEST = 64
 #: Pieces that go to the library in one call.
 BATCH = 4096
@@ -51,10 +51,19 @@ class PieceCache:
 # -- words: a tokenizer that drops white space -------------------------------------------------
 
 
+_STOP = re.compile(rb"(?<=[a-zA-Z])([.,])(?=\s)")
+
+
 def words(raw: bytes) -> list[bytes]:
-    """Cut at ASCII white space: such a tokenizer normalises white space and drops it, and neither
-    composition nor lower-casing reaches over it."""
-    return raw.split()
+    """Cut at ASCII white space, and before a full stop or comma between a letter and white space.
+
+    Such a tokenizer normalises white space and drops it; neither composition nor lower-casing reaches
+    over it, and letters and punctuation are pieces of their own.  A-Z is lower-cased here, as the tokenizer
+    would do, unless the text could then look like a special token.
+    """
+    if b"<|" not in raw:
+        raw = raw.lower()
+    return _STOP.sub(rb" \1", raw).split()
 
 
 # -- byte-level BPE from ranks -----------------------------------------------------------------

@@ -40,7 +40,9 @@ BLOCK = 1 << 20
 #: The dictionary is trained on at most so many runs of at most so many ids, those with the smallest hashes.
 TRAIN_RUNS, TRAIN_IDS, DICTIONARY_BYTES = 1500, 2048, 64 << 10
 LEVEL = 3
-FRAME = "doc_id long, n_tokens long, frame binary"
+#: Text of one shard.
+SHARD_BYTES = 16 << 20
+FRAME = "doc_id long, shard int, n_tokens long, frame binary"
 BLOCKS = (
     "shard int, start long, n_tokens long, first_id long, last_id long, dict_hash string, "
     "doc_ids array<long>, counts array<long>, ends array<long>, frames binary"
@@ -111,6 +113,10 @@ def write_store(
     dictionary = train_dictionary(docs, path, end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     shipped = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+    n_shards = max(1, -(-size // SHARD_BYTES))
+    # ranges of doc_id from its quantiles, so texts are encoded once and not again to find the ranges
+    bounds = np.array(docs.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.2 / n_shards) if n_shards > 1 else [])
 
     def frames(batches):
         enc = load(path, end_id)
@@ -118,17 +124,19 @@ def write_store(
         for batch in batches:
             for ids, texts in _rows(batch):
                 packed = enc.encode_batch(texts)
+                shard = [0 if i is None else int(np.searchsorted(bounds, i)) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
+                        pa.array(shard, pa.int32()),
                         pa.array([len(x) // enc.width.itemsize for x in packed], pa.int64()),
                         pa.array([codec.compress(x) for x in packed], pa.binary()),
                     ],
-                    ["doc_id", "n_tokens", "frame"],
+                    ["doc_id", "shard", "n_tokens", "frame"],
                 )
 
     def blocks(batches):
-        start, held, size, shard = 0, [], 0, 0
+        start, held, size, shard = 0, [], 0, -1
 
         def block():
             nonlocal start
@@ -142,7 +150,11 @@ def write_store(
             return pa.RecordBatch.from_pylist([row], _arrow(BLOCKS))
 
         for batch in batches:
-            for doc_id, n, frame, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "frame", "shard")), strict=True):
+            for doc_id, n, frame, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "frame", "shard")), strict=True):
+                if at != shard:
+                    if held:
+                        yield block()
+                    start, held, size, shard = 0, [], 0, at
                 held.append((doc_id, n, frame))
                 size += len(frame)
                 if size >= BLOCK:
@@ -151,13 +163,13 @@ def write_store(
         if held:
             yield block()
 
-    ranged = docs.mapInArrow(frames, FRAME).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "frame")
-    ranged.withColumn("shard", F.spark_partition_id()).mapInArrow(blocks, BLOCKS).write.parquet(f"{out}/blocks")
+    ranged = docs.mapInArrow(frames, FRAME).repartition(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "frame")
+    ranged.mapInArrow(blocks, BLOCKS).write.parquet(f"{out}/blocks")
     width = load(path, end_id).width.itemsize
     spark.createDataFrame([(dict_hash, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{out}/dictionary")
     sizes = spark.read.schema(BLOCKS).parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.min("first_id").alias("id"))
     at, shards = 0, []
-    for r in sorted(sizes.collect(), key=lambda r: r.shard):  # one row a shard, that is a file
+    for r in sorted(sizes.collect(), key=lambda r: r.shard):  # one row a shard
         shards.append((r.shard, at))
         at += r.n
     spark.createDataFrame(shards, "shard int, start long").coalesce(1).write.parquet(f"{out}/shards")
