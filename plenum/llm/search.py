@@ -21,7 +21,6 @@ An empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -36,7 +35,7 @@ from plenum.llm.common import cut, documents
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Text of one shard, and of the terms of one block of queries.
-SHARD_BYTES, QUERY_BYTES = 24 << 20, 24 << 20
+SHARD_BYTES, QUERY_BYTES = 24 << 20, 32 << 20
 _TERM = re.compile(r"\w+")
 
 
@@ -164,28 +163,26 @@ class Index:
             scores[low:high] = np.diff(part[self.doc_ends[low : high + 1] - a])
 
 
-def _run_block(docs: DataFrame, shards: int, block: list, n: int, mean: float, k: int) -> DataFrame:
+def _run_block(docs: DataFrame, shards: int, block: pa.Table, n: int, mean: float, k: int) -> DataFrame:
     """(query_id, doc_id, score): the first k of each query of the block in each shard."""
-    vocabulary = np.unique(np.array([r.term for r in block], np.int64))
-    by_query: dict[int, list] = {}
-    for r in block:
-        by_query.setdefault(r.doc_id, []).append(r)
-    queries = []
-    for q, rows in by_query.items():
-        at = np.searchsorted(vocabulary, np.array([r.term for r in rows], np.int64))
-        factor = np.array([r.qtf * math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)) for r in rows])
-        queries.append((q, at, factor))
+    query, term, qtf, df = (block.column(c).to_numpy() for c in ("doc_id", "term", "qtf", "df"))
+    order = np.lexsort((term, query))
+    vocabulary, row = np.unique(term[order], return_inverse=True)
+    ids, first = np.unique(query[order], return_index=True)
+    factor = (qtf * np.log(1 + (n - df + 0.5) / (df + 0.5)))[order]
+    queries = (ids, np.append(first, len(order)), row.astype(np.int32), factor)
     shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, queries))  # QUERY_BYTES at most
 
     def run(batches):
         rows = [x for batch in batches for x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
         if not rows:
             return
-        vocabulary, queries = shipped.value
+        vocabulary, (ids, ends, at, factor) = shipped.value
         index, dense, out = Index(rows, vocabulary, mean), np.zeros(len(vocabulary)), []
         del rows
-        for q, at, factor in queries:
-            out += [(q, d, s) for d, s in index.best(at, factor, k, dense)]
+        for i, q in enumerate(ids.tolist()):
+            part = slice(ends[i], ends[i + 1])
+            out += [(q, d, s) for d, s in index.best(at[part], factor[part], k, dense)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
 
     dealt = docs.repartition(shards, F.xxhash64("doc_id"))
@@ -204,7 +201,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     shards, blocks = max(1, -(-stats.size // SHARD_BYTES)), max(1, -(-terms.count() * 32 // QUERY_BYTES))
     found = None
     for b in range(blocks):
-        block = terms.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).collect()
+        block = terms.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toArrow()
         part = cut(_run_block(docs, shards, block, stats.n, stats.mean, k), "found")
         found = part if found is None else found.union(part)
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best"))
