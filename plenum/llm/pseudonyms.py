@@ -4,19 +4,24 @@ Values are found by one pattern, validated, and permuted within their own format
 same pseudonym in every document, two values never share one, and the text around them stays as it is:
 
 - ``card``: 13 to 19 digits (also in groups joined by one blank or hyphen) with a valid Luhn digit.  The
-  digits before the last are permuted and the Luhn digit is worked out anew; grouping stays.
+  digits before the last are permuted and the Luhn digit is worked out anew; grouping stays.  In a run of
+  groups each unbroken number and each group of four with the groups that make a card's usual forms
+  (``_CARD``) is tried first, from the left; then what is left is tried as the longest run of groups.
 - ``phone``: an international number: +1 and ten digits, or + and another country code with two to four
   groups of digits, 8 to 15 in all; blanks, hyphens, dots or brackets between.  The digits after the country
   code (1, or two digits) are permuted.
 - ``ssn``: ddd-dd-dddd with an area of 001 to 899 but 666, a group from 01 and a serial from 0001.  It stays so.
-- ``ip``: four numbers of 0 to 255 joined by dots.  The 32 bits are permuted.
+- ``ip``: four numbers of 0 to 255 joined by dots; a port or a path may follow.  The 32 bits are permuted.
 - ``date``: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that the calendar has, from
-  1900-01-01 to 2099-12-31.  The day's number is permuted among the 73,049 days; the form stays.
+  1900-01-01 to 2099-12-31; T and a time, or a path, may follow.  The day's number is permuted among the 73,049
+  days; the form stays.
 
 A number of ``n`` digits is split into two halves; ``ROUNDS`` times one half is moved, modulo its size, by
 a keyed hash of the other half, of the round, and of the kind and length.  Domains that are no power of ten are
 split into factors, so the result is always inside the domain and no cycle walking is needed.  The
-permutation is undone with the same key (``undo``).
+permutation is undone with the same key (``undo``).  It finds the values again by the same rules; where two
+candidates for a card overlap ('1234 4785 3805 9239 1139'), the one that was no card can have a valid Luhn digit
+by chance once the other is changed, and ``undo`` then takes the wrong one.
 
 Cases: a null text stays null and has no values; an empty text has none.  What fails validation is left
 alone.  Rows that repeat stay rows; a null doc_id stays null.  Other columns are not read.
@@ -37,15 +42,25 @@ DAY_0, DAYS, DAY_PARTS = "1900-01-01", 73_049, (17, 4297)
 
 _EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}_])(?<![\p{N}][.\-/:])", r"(?![\p{L}\p{N}_])(?![.\-/:]?\p{N})"
 _FORMS = {
-    "date": r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}",
-    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
-    "ssn": r"\d{3}-\d{2}-\d{4}",
-    "card": r"\d(?:[ \-]?\d){12,18}",
+    "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\p{N}_])(?!(?![Tt]\d)\p{L})(?![.\-]\p{N})",
+    "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}_])(?![.\-]\p{N})",
+    "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}{_EDGE_R}",
 }
+_OTHERS = "|".join(_FORMS.values())
+#: Digits and groups of digits up to the next value of another form, with what follows them (at most two characters).
+_RUN = rf"(?=\d(?:[ \-]?\d){{12}})\d++(?:(?: (?!{_OTHERS})|-)\d++)*+(?:[.\-/:]?[\p{{L}}\p{{N}}_])?"
+#: The usual forms of a card inside such a run, and any other grouping.
+_CARD = (
+    r"(?<![\p{L}\p{N}_])(?:\d{13,19}|\d{4}(?<sep>[ \-])(?:\d{4}\k<sep>\d{4}\k<sep>\d{4}|\d{4}\k<sep>\d{5}|\d{5}\k<sep>\d{6}|\d{6}\k<sep>\d{4,5}))"
+    r"(?![\p{L}\p{N}_])(?!\.\p{N})"
+)
+_GROUPS = rf"{_EDGE_L}\d(?:[ \-]?\d){{12,18}}{_EDGE_R}"
+#: Characters that one usual form and its right edge can have, and more.
+_REACH = 32
 _PHONE = (
     r"(?<![\p{L}\p{N}_+])\+(?:1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|(?!1[ .\-(\d])\d{2,3}(?:[ .\-]?\(?\d{2,5}\)?){2,4})(?![\p{L}\p{N}_])"
 )
-PATTERN = f"(?=[+0-9])(?:{_PHONE}|{_EDGE_L}(?:{'|'.join(_FORMS.values())}){_EDGE_R})"  # the first look spares most places the rest
+PATTERN = f"(?=[+0-9])(?:{_PHONE}|{_EDGE_L}(?:{_OTHERS}|{_RUN}))"  # the first look spares most places the rest
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -122,6 +137,10 @@ def _date_parts(v: Column) -> Column:
     )
 
 
+def _is_card(v: Column) -> Column:
+    return _let(_digits(v), lambda d: F.when(F.length(d).between(13, 19), _luhn_sum(d, True) % 10 == 0).otherwise(False))
+
+
 def kind_of(v: Column) -> Column:
     """The kind of a matched value that is valid, else null."""
     is_ip = v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
@@ -135,10 +154,54 @@ def kind_of(v: Column) -> Column:
         .when(is_ip, F.when(octets, "ip"))
         .when(is_ssn, F.when((area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000"), "ssn"))
         .when(is_date, F.when(_date_parts(v).between(first, F.date_add(first, DAYS - 1)), "date"))
-        .otherwise(_let(_digits(v), lambda d: F.when(F.length(d).between(13, 19) & (_luhn_sum(d, True) % 10 == 0), "card")))
+        .otherwise(F.when(_is_card(v), "card"))
     )
 
 
+def _part(v: Column, kind: Column) -> Column:
+    return F.struct(v.alias("v"), kind.cast("string").alias("kind"))
+
+
+def _usual_cards(run: Column) -> Column:
+    """The run cut into parts (v, kind): valid cards of a usual form, from the left, and what is between."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        form = F.regexp_extract(F.substring(run, acc["at"], F.lit(_REACH)), f"^{_CARD}", 0)
+        card = _let(form, lambda c: F.when((acc["skip"] == 0) & _is_card(c), c).otherwise(""))
+
+        def taken(c: Column) -> Column:
+            n, eaten = F.length(piece), F.greatest(acc["skip"], F.length(c))
+            rest = F.substring(piece, eaten + 1, n)
+            return F.struct(
+                F.when(c != "", F.concat(acc["parts"], F.array(_part(acc["open"], F.lit(None)), _part(c, F.lit("card"))))).otherwise(acc["parts"]).alias("parts"),
+                F.when(c != "", rest).otherwise(F.concat(acc["open"], rest)).alias("open"),
+                F.greatest(eaten - n, F.lit(0)).alias("skip"),
+                (acc["at"] + n).alias("at"),
+            )
+
+        return _let(card, taken)
+
+    none = F.array().cast("array<struct<v:string,kind:string>>")
+    start = F.struct(none.alias("parts"), F.lit("").alias("open"), F.lit(0).alias("skip"), F.lit(1).alias("at"))
+    return F.aggregate(F.split(run, f"(?={_CARD})", -1), start, step, lambda acc: F.concat(acc["parts"], F.array(_part(acc["open"], F.lit(None)))))
+
+
+def _other_cards(text: Column) -> Column:
+    """Text without usual cards cut into parts (v, kind) by the longest runs of groups."""
+    none = F.lit(None)
+    found = F.regexp_extract_all(text, F.lit(_GROUPS), F.lit(0))
+    kinds = lambda v: F.array(_part(v, F.when(_is_card(v), "card")))
+    pairs = lambda r, k: _let(F.get(found, k), lambda v: F.when(v.isNull(), F.array(_part(r, none))).otherwise(F.concat(F.array(_part(r, none)), kinds(v))))
+    return F.flatten(F.transform(F.split(text, _GROUPS, -1), pairs))
+
+
+def parts_of(v: Column) -> Column:
+    """A match as parts (v, kind), in order: itself, or a run of digits with the cards that are in it."""
+    itself = v.startswith("+") | v.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$")
+    run = F.flatten(F.transform(_usual_cards(v), lambda p: F.when(p["kind"].isNull(), _other_cards(p["v"])).otherwise(F.array(_part(p["v"], p["kind"])))))
+    return F.when(itself, F.array(_part(v, kind_of(v)))).otherwise(run)
+
+
 def _card(v: Column, key: str, undo: bool) -> Column:
     def checked(body: Column) -> Column:
         check = (F.lit(10) - _luhn_sum(body, False) % 10) % 10
@@ -207,10 +270,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     some = rows.withColumn("found", F.when(F.col("text").rlike(r"\d.{0,3}\d"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     none = F.col("found").isNull() | (F.size("found") == 0)
     some = some.withColumn("rest", F.when(~none, F.split("text", PATTERN, -1)))
-    made = F.transform("found", lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key, undo).alias("new"))))
+    new = lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["v"], p["kind"], key, undo).alias("new"))
+    made = F.transform("found", lambda v: F.transform(parts_of(v), new))
     some = some.withColumn("made", F.when(~none, made))
-    kinds = F.filter(F.transform("made", lambda m: m["kind"]), lambda k: k.isNotNull())
-    both = F.transform("rest", lambda r, k: F.concat(r, F.coalesce(F.get(F.col("made"), k)["new"], F.lit(""))))
+    kinds = F.filter(F.transform(F.flatten("made"), lambda m: m["kind"]), lambda k: k.isNotNull())
+    both = F.transform("rest", lambda r, k: F.concat(r, F.coalesce(F.array_join(F.get(F.col("made"), k)["new"], ""), F.lit(""))))
     joined = F.array_join(both, "")
     return some.select(
         "doc_id",

@@ -196,6 +196,27 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(days, "k", id_col="id").select("text").distinct().count() == pseudonyms.DAYS
 
 
+def test_pseudonyms_beside_other_characters(spark):
+    card, cases = "4785380592391139", [
+        ("card {} 12 items", ["card"]), ("{} 123", ["card"]), ("paid 3 {} ok", ["card"]), ("{}/123 {}:12", ["card", "card"]),
+        ("3 4785 3805 9239 1139 12", ["card"]), ("{} 12/05/2024", ["card", "date"]), ("3 {} 10.0.0.1:80", ["card", "ip"]), ("{} {}", ["card", "card"]),
+        ("10.0.0.1:8080", ["ip"]), ("http://10.0.0.1/1", ["ip"]), ("2024-02-29T12:00:00Z", ["date"]), ("3 2024-02-29 1234", ["date"]), ("12 123-45-6789 99", ["ssn"]),
+        ("4785380592391138 12", []), ("2024-02-29x", []), ("10.0.0.1.5", []), ("{}.5", []), ("{}x", []),
+    ]
+    rows = [(k, t.replace("{}", card)) for k, (t, _) in enumerate(cases)]
+    out = pseudonyms.pseudonymise(table(spark, rows), "k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[k].kinds for k in range(len(cases))] == [kinds for _, kinds in cases]
+    new = got[1].text[:16]
+    for k, (t, kinds) in enumerate(cases):
+        if set(kinds) == {"card"} and "{}" in t:
+            assert got[k].text == t.replace("{}", new)
+        assert (got[k].text == rows[k][1]) == (not kinds) and got[k].n_values == len(kinds)
+    assert got[4].text == f"3 {new[:4]} {new[4:8]} {new[8:12]} {new[12:]} 12"
+    assert got[8].text.endswith(":8080") and got[9].text.endswith("/1") and got[10].text.endswith("T12:00:00Z")
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.select("doc_id", "text"), "k", undo=True).collect()} == dict(rows)
+
+
 def test_mixing(spark):
     weights = {"s0": 5.0, "s1": 2.0, "s2": 1.0}
     rows = [(i, "t") for i in range(900)] + [(None, "t"), (7, "t")]
