@@ -51,6 +51,7 @@ class PieceCache:
 # -- words: a tokenizer that drops white space -------------------------------------------------
 
 
+_PLAIN = re.compile(rb"[A-Z]+(?![\x80-\xff])")
 _STOP = re.compile(rb"(?<=[a-zA-Z])([.,])(?=\s)")
 
 
@@ -59,10 +60,13 @@ def words(raw: bytes) -> list[bytes]:
 
     Such a tokenizer normalises white space and drops it; neither composition nor lower-casing reaches
     over it, and letters and punctuation are pieces of their own.  A-Z is lower-cased here, as the tokenizer
-    would do, unless the text could then look like a special token.
+    would do, unless the text could then look like a special token.  The tokenizer composes first, and some
+    letters compose with a mark only when they are small: in a text with marks of U+0300 to U+036F, which alone
+    compose with A-Z, a letter before a character beyond ASCII is left to the tokenizer.
     """
     if b"<|" not in raw:
-        raw = raw.lower()
+        marked = b"\xcc" in raw or b"\xcd" in raw  # first bytes of U+0300 to U+037F
+        raw = _PLAIN.sub(lambda m: m[0].lower(), raw) if marked else raw.lower()
     return _STOP.sub(rb" \1", raw).split()
 
 

@@ -160,6 +160,19 @@ def test_token_store(spark, texts, tmp_path, monkeypatch):
     assert token_store.lookup(spark, out, [5]) == {5: tok.encode(texts[5][1], add_special_tokens=False).ids + [2]}
 
 
+def test_token_store_composes_before_lower_case():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), token_store.WordEncoder(path, None)
+    pairs = ["T\u0308", "H\u0331", "J\u030c", "W\u030a", "Y\u030a"]
+    texts = pairs + [x.lower() for x in pairs] + [" ".join(f"One {x}wo, ABC{x}. É E\u0301 I\u0307 THE end." for x in pairs), "ASCII Only. Text", "T\u0323\u0308 T\u1dc2\u0308 T\u0344 ABT\u0308CD"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("aTHJWYKSİ .,é\u0308\u0331\u030c\u030a\u0323\u1dc2\u05b0\u0344") for _ in range(200)) for _ in range(200)]
+    for t in texts:
+        assert np.frombuffer(enc.encode_batch([t.encode()])[0], enc.width).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_search(spark, texts, monkeypatch):
     import math
     from collections import Counter
