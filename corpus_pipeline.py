@@ -30,8 +30,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's ids, and the digest of what they decode to."""
-    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    """Number and digest of each document's ids, the digest of what they decode to, and its position in the mix.
+
+    Reading files again loses the order of rows, so the position is worked out anew: it depends on the rows only.
+    """
+    rows = mixing.placed_rows(docs).select("__row.doc_id", "__row.text", "position")
+    return byte_bpe.round_trip(rows, tokenizer_path("byte_bpe_multi_50k.tiktoken"), split_pattern(), place_col="position")
 
 
 STAGES = [

@@ -124,8 +124,12 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded bytes)."""
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded bytes); with
+    ``place_col``, also position, from that column.  Rows stay in their order."""
+    place = [] if place_col is None else ["position"]
 
     def run(batches):
         bpe = load(ranks_path, pattern)
@@ -138,10 +142,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                         pa.array([len(x) for x in rows], pa.int64()),
                         pa.array([hashlib.sha256(bpe.decimals(x)).hexdigest() for x in rows], pa.string()),
                         pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in rows], pa.string()),
+                        *[batch.column(c).slice(at, len(texts)) for c in place],
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *place],
                 )
 
-    return documents(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return documents(docs, id_col, text_col, place_col).mapInArrow(
+        run, ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *[f"{c} long" for c in place]])
     )

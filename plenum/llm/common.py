@@ -53,11 +53,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): null texts are empty, other columns are left out."""
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """(doc_id long, text string), and position long from ``place_col``: null texts are empty, other columns are left out."""
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *([] if place_col is None else [F.col(f"`{place_col}`").cast("long").alias("position")]),
     )
 
 

@@ -127,6 +127,12 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return place(docs, **how).select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
 
 
+def placed_rows(docs: DataFrame, **how) -> DataFrame:
+    """``__row`` with all columns of ``docs``, and position, in the order of the mix."""
+    rows = place(docs, whole=True, **how).repartitionByRange("__position").sortWithinPartitions("__position")
+    return rows.select("__row", F.col("__position").alias("position"))
+
+
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all its columns, in the order of the mix."""
-    return place(docs, whole=True, **how).repartitionByRange("__position").sortWithinPartitions("__position").select("__row.*")
+    """``docs`` with all its columns, in the order of the mix; files written and read again can lose the order."""
+    return placed_rows(docs, **how).select("__row.*")

@@ -319,3 +319,23 @@ def test_pipeline(spark, tmp_path):
         before, docs = docs.count(), spark.read.parquet(str(tmp_path / str(k)))
         assert 0 < docs.count() <= before
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_pipeline_returns_the_mix(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, folder)
+    assert "position" in out.columns
+    rows = [(r.doc_id, r.position) for r in out.collect()]
+    assert [p for _, p in rows] == sorted({p for _, p in rows})
+    source = {r.doc_id: r.source or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()}
+    slots = {}
+    for i, p in rows:
+        slots.setdefault(source[i], set()).add(p // 8)
+    sizes = {s: sum(source[i] == s for i, _ in rows) for s in slots}
+    share = mixing.shares({s: n**0.5 for s, n in sizes.items()}, mixing.PERIOD)
+    end = min(max(x) for x in slots.values())
+    assert len(slots) > 1 and end > 0
+    for s, x in slots.items():
+        assert all(abs(sum(t <= k for t in x) - share[s] / mixing.PERIOD * (k + 1)) < 1 for k in range(end))
