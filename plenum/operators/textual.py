@@ -134,9 +134,10 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def did_you_mean(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def did_you_mean(words: DataFrame, vocabulary: DataFrame, itself: bool = True) -> DataFrame:
     """For each unknown word the nearest vocabulary word (word, n) within one edit, two from eight letters on.
 
+    Without ``itself``, a word that is in the vocabulary too is not its own suggestion.
     Candidates share a length within the bound and a cut-out of the word: with two words within d edits,
     some cut-outs of at most d letters are equal, so they meet on an equality and are then measured.
     """
@@ -149,8 +150,10 @@ def did_you_mean(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     known = cuts(vocabulary.filter(F.length("word") >= 4), "word", "cut")
     asked = cuts(words.select(F.col("word").alias("asked")).distinct(), "asked", "cut")
-    pairs = asked.join(known, "cut").select("asked", "word", "n").distinct().withColumn("d", damerau("asked", "word"))
-    near = pairs.filter(F.col("d") <= F.when(F.length("asked") >= 8, 2).otherwise(1))
+    most = F.when(F.length("asked") >= 8, 2).otherwise(1)
+    met = asked.join(known, "cut").filter(F.abs(F.length("asked") - F.length("word")) <= most)
+    pairs = (met if itself else met.filter("asked <> word")).select("asked", "word", "n").distinct().withColumn("d", damerau("asked", "word"))
+    near = pairs.filter(F.col("d") <= most)
     best = F.min(F.struct("d", (-F.col("n")).alias("neg"), "word")).alias("b")
     return near.groupBy("asked").agg(best).select("asked", F.col("b.word").alias("word"), F.col("b.d").alias("d"))
 

@@ -637,8 +637,7 @@ def _(s, d):
 @query("did_you_mean")
 def _(s, d):
     words = b.table(s, d, "documents").select(F.explode(text.tokens(F.col("text"), 4)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    asked = words.filter("n = 1 and length(word) <= 6").select("word")
-    return textual.did_you_mean(asked, words.filter("n >= 50"))
+    return textual.did_you_mean(words.filter("n = 1").select("word"), words, itself=False)
 
 
 @query("html_paragraphs", r"""SELECT page_id, len(p) AS paragraphs, CAST(coalesce(list_sum(list_transform(p, lambda x: length(x))), 0) AS BIGINT) AS chars FROM (

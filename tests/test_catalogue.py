@@ -50,3 +50,27 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).schema
+
+
+def edits(a, b):
+    """Damerau distance with neighbours swapped as one edit."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_did_you_mean_asks_every_rare_word(spark, tmp_path):
+    text = "parliament parliament parlaimemt vote votes votes votse minister ministre ministry session sessions sessoin budget budgte oath oaths abc abd"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    n = collections.Counter(w for w in text.split() if len(w) >= 4)
+    want = {}
+    for a in n:
+        near = [(edits(a, w), -n[w], w) for w in n if w != a and edits(a, w) <= (2 if len(a) >= 8 else 1)]
+        if n[a] == 1 and near:
+            want[a] = (min(near)[2], min(near)[0])
+    assert want["parlaimemt"] == ("parliament", 2)
+    assert {r.asked: (r.word, r.d) for r in catalogue.QUERIES["did_you_mean"](spark, str(tmp_path)).collect()} == want
