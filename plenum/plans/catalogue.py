@@ -592,7 +592,7 @@ _BM25 = f"""tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{
 
 
 def _questions(s, d):
-    """Twenty questions of eight words: the search itself covers all documents."""
+    """Twenty questions of eight words, as in the SQL; all documents are searched.  ``_whole_questions`` has no limit."""
     q = b.table(s, d, "benchmark").filter("item_id < 20")
     return q.select(F.col("item_id").alias("query"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("question"))
 
@@ -617,6 +617,35 @@ def _(s, d):
     return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
 
 
+def _whole_questions(s, d):
+    """Every question, with its whole text."""
+    return b.table(s, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+
+
+@query("bm25_topk_whole")
+def _(s, d):
+    """As bm25_topk, whose SQL has twenty prefixes of questions, but for every whole question."""
+    scored = textual.bm25(b.table(s, d, "documents"), _whole_questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
+    return scored.withColumn("rn", place).filter("rn <= 10").select("query", "doc", "score")
+
+
+@query("search_eval_whole")
+def _(s, d):
+    """As search_eval, but over every question that a document has, each asked whole."""
+    docs, asked = b.table(s, d, "documents"), _whole_questions(s, d)
+    scored = textual.bm25(docs, asked, doc="doc_id", body="text").withColumn("score", F.round("score", 4))
+    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(asked, F.col("text").contains(F.col("question"))).select("query", "doc").distinct()
+    out = textual.evaluate(scored, relevant)
+    return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
+
+
+@query("every_term_search_whole")
+def _(s, d):
+    """As every_term_search, but with every term of every question."""
+    return textual.every_term(b.table(s, d, "documents"), _whole_questions(s, d), "doc_id", doc="doc_id", body="text").select("query", "doc")
+
+
 @query("index_shards", f"""WITH tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}') AS t FROM documents), po AS (SELECT doc, token, least(count(*), 255) AS tf FROM (SELECT doc, unnest(t) AS token FROM tk) GROUP BY ALL),
   sz AS (SELECT substring(token, 1, 2) AS two, count(*) AS size FROM po GROUP BY 1), x AS (SELECT CASE WHEN size > 5000 THEN substring(token, 1, 3) ELSE two END AS shard, token, count(*) AS df, sum(tf) AS tf FROM po JOIN sz ON two = substring(token, 1, 2) GROUP BY 1, 2)
   SELECT shard, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM x GROUP BY 1""")

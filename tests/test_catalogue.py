@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import math
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -74,3 +75,32 @@ def test_did_you_mean_asks_every_rare_word(spark, tmp_path):
             want[a] = (min(near)[2], min(near)[0])
     assert want["parlaimemt"] == ("parliament", 2)
     assert {r.asked: (r.word, r.d) for r in catalogue.QUERIES["did_you_mean"](spark, str(tmp_path)).collect()} == want
+
+
+def test_search_asks_every_whole_question(spark, tmp_path):
+    asked = [(k, " ".join(f"com{(k + j) % 9}mon" for j in range(8)) + f" only{k}word last{k % 7}part") for k in range(40)]
+    docs = [(k, f"before {q} after {'more ' * (k % 5)}") for k, q in asked if k % 3] + [(100 + k, f"com{k % 9}mon last{k % 7}part filler") for k in range(30)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {i: re.findall("[a-z0-9]{3,}", t) for i, t in docs}
+    mean, ranked = sum(map(len, tokens.values())) / len(docs), {}
+    for q, t in asked:
+        scores = collections.Counter()
+        for term in set(re.findall("[a-z0-9]{3,}", t)):
+            tf = {i: n for i, w in tokens.items() if (n := sum(x.startswith(term) for x in w))}
+            idf = math.log(1 + (len(docs) - len(tf) + 0.5) / (len(tf) + 0.5))
+            for i, n in tf.items():
+                scores[i] += idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(tokens[i]) / mean))
+        ranked[q] = sorted(((round(x, 4), i) for i, x in scores.items()), reverse=True)
+    got = {(r.query, r.doc): r.score for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    want = {(q, i): x for q, r in ranked.items() for x, i in r[:10]}
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 2e-4 for k, x in want.items())
+    every = {(q, i) for q, t in asked for i, w in tokens.items() if set(t.split()) <= set(w)}
+    assert {(r.query, r.doc) for r in catalogue.QUERIES["every_term_search_whole"](spark, str(tmp_path)).collect()} == every
+    relevant = {q: {i for i, x in docs if t in x} for q, t in asked}
+    relevant = {q: r for q, r in relevant.items() if r}
+    places = {q: [k for k, (_, i) in enumerate(ranked[q], 1) if i in r] for q, r in relevant.items()}
+    recall = sum(sum(k <= 10 for k in places[q]) / min(10, len(r)) for q, r in relevant.items()) / len(relevant)
+    mrr = sum(1 / min(x) if x else 0 for x in places.values()) / len(relevant)
+    row = catalogue.QUERIES["search_eval_whole"](spark, str(tmp_path)).first()
+    assert row.questions == len(relevant) == 26 and abs(row.recall - recall) < 1e-5 and abs(row.mrr - mrr) < 1e-5
