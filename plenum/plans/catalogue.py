@@ -281,6 +281,12 @@ def _(s, d):
     return series.in_force(days, b.spans(s, d), F.lit(386))
 
 
+@query("seats_in_force_whole", days=("on_date",))
+def _(s, d):
+    """As seats_in_force, whose SQL has the days of every seventh key, but for every day that has an order."""
+    return series.in_force(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")), b.spans(s, d), F.lit(386))
+
+
 @query("asof_snapshot", """WITH l AS (SELECT event_id, user_id % 10 AS k, ts FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id % 10 AS k, ts, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), f AS (SELECT k, arg_min(v, ts) AS first FROM r GROUP BY k)
   SELECT event_id, round(coalesce(r.v, f.first), 6) AS v FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.ts LEFT JOIN f ON f.k = l.k""")
 def _(s, d):

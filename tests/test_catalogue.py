@@ -104,3 +104,14 @@ def test_search_asks_every_whole_question(spark, tmp_path):
     mrr = sum(1 / min(x) if x else 0 for x in places.values()) / len(relevant)
     row = catalogue.QUERIES["search_eval_whole"](spark, str(tmp_path)).first()
     assert row.questions == len(relevant) == 26 and abs(row.recall - recall) < 1e-5 and abs(row.mrr - mrr) < 1e-5
+
+
+def test_seats_in_force_answers_every_day(spark):
+    orders = pd.read_parquet(f"{FOLDER}/orders.parquet", columns=["o_orderkey", "o_orderdate"])
+    days = pd.to_datetime(orders.o_orderdate).dt.normalize()
+    spans = [(a, None if k % 3 == 0 else a + pd.Timedelta(days=k % 90)) for k, a in zip(orders.o_orderkey, days, strict=True)]
+    want = {}
+    for day in sorted(set(days)):
+        n = sum(a <= day and (z is None or z >= day) for a, z in spans)
+        want[str(day.date())] = (n, n if 0.9 * 386 <= n <= 386 else 386)
+    assert {r.on_date: (r.n, r.seats) for r in catalogue.QUERIES["seats_in_force_whole"](spark, FOLDER).collect()} == want
