@@ -1,4 +1,7 @@
-r"""Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
+r"""Exact dedup by a salted aggregate of digests in levels, in DataFrame operations only.
+
+It stands in for a tree merge of sorted digest runs, which DataFrame operations don't have: a run here is the
+entries of one salt, nothing in it is sorted, and merging runs is aggregating them again with a shorter salt.
 
 Texts are equal when they are identical after deleting every character of ``[\x20\x09-\x0D]``.
 Each document becomes one entry (digest, witness, id).  Entries are dealt to ``2 ** (rounds * fan)``
@@ -42,7 +45,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def merge_runs(entries: DataFrame, rounds: int = 2, fan: int = 3) -> DataFrame:
-    """The groups of ``entries``: keep_id and group_size for each digest, by binomial rounds over runs."""
+    """The groups of ``entries``: keep_id and group_size for each digest, by aggregates over runs (salts) in levels."""
     best = F.struct((-F.col("n_points")).alias("order"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
     runs = entries.select(
         *KEY,
