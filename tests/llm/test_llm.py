@@ -9,8 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pieces, pseudonyms, queries, search, substring_dedup, token_store, toxicity, warc
-from plenum.llm.suffix import suffix_array
+from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pieces, pseudonyms, queries, search, substring_dedup, suffix, token_store, toxicity, warc
 
 SCHEMA = "doc_id long, text string, source string, __id string, kept string"
 
@@ -91,33 +90,46 @@ def test_bayes_bounds():
         assert (len(plan.alive(sig[0], sig[1][None, :])) == 1) == alive
 
 
-def test_suffix_array():
+def test_suffix_arrays(monkeypatch):
     rng = random.Random(2)
-    for _ in range(300):
-        t = bytes(rng.choice(b"abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 40)))
-        assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
+    for turn in range(400):
+        monkeypatch.setattr(suffix, "LONG", rng.choice([4, 1000]))
+        made = [bytes(rng.choice(b"abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 6))]
+        ends = np.cumsum([0] + [len(t) for t in made])
+        got = suffix.suffix_arrays(np.frombuffer(b"".join(made), np.uint8), ends)
+        for a, t in zip(ends.tolist(), made, strict=False):
+            assert [x - a for x in got[a : a + len(t)].tolist()] == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("hot", [2, 512])
+@pytest.mark.parametrize("hot", [2, 256])
 def test_substring_dedup(spark, texts, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "PACK", 3000)
-    rows = [(i, t) for i, t in texts if i != 42] + [(60, "ab" * 200), (61, "xab" + "ab" * 40 + "y")]
+    for name, value in (("HOT", hot), ("PACK", 3000), ("HOME", 6), ("WAVE", 500), ("SLICE", 700)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = texts + [(60, "ab" * 200), (61, "xab" + "ab" * 40 + "y"), (62, texts[20][1]), (62, texts[20][1]), (63, "a " * 3000 + "b"), (None, texts[25][1]), (None, texts[25][1] + "q" * 60), (None, "q" * 60)]
+    rows = [(1 << 62 if i is None else i, t) for i, t in rows]
     first = {}
     raw = sorted((i, (t or "").encode()) for i, t in rows)
     for i, t in raw:
         for s in range(len(t) - 49):
             first.setdefault(t[s : s + 50], i)
-    want = {}
+    want = []
     for i, t in raw:
         gone = bytearray(len(t))
         for s in range(len(t) - 49):
             if first[t[s : s + 50]] < i:
                 gone[s : s + 50] = b"\1" * 50
         runs = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[i] = (len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(table(spark, rows)).collect()}
-    assert got == want
+        want.append((None if i == 1 << 62 else i, len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    got = substring_dedup.remove_repeats(table(spark, [(None if i == 1 << 62 else i, t) for i, t in rows])).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_substring_dedup_is_decided_by_suffix_arrays(spark, texts, monkeypatch):
+    def none(texts, docs, homes, width):
+        return (np.zeros(sum(map(len, texts)), bool),) * 2
+
+    monkeypatch.setattr(substring_dedup, "repeats", none)
+    assert substring_dedup.remove_repeats(table(spark, texts + [(62, texts[20][1])])).agg(F.sum("n_removed")).first()[0] == 0
 
 
 def test_byte_bpe(spark, texts):
