@@ -1,15 +1,16 @@
-r"""Exact dedup by a salted aggregate of digests in levels, in DataFrame operations only.
-
-It stands in for a tree merge of sorted digest runs, which DataFrame operations don't have: a run here is the
-entries of one salt, nothing in it is sorted, and merging runs is aggregating them again with a shorter salt.
+r"""Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Texts are equal when they are identical after deleting every character of ``[\x20\x09-\x0D]``.
-Each document becomes one entry (digest, witness, id).  Entries are dealt to ``2 ** (rounds * fan)``
-runs by a hash of their id.  In each round, ``2 ** fan`` neighbouring runs are merged into one: entries
-with the same digest and the same witness (length and a second hash of the normalised text) are one
-group, of which the best identifier and the size are retained.  After the last round one run is left.
-A digest that a third of all rows carry therefore never meets in one task as rows: each level hands
-on one entry a run.
+Each row becomes one entry (digest, witness, id, 1); the witness is the length and a second hash of the normalised text.
+
+1. Rows are dealt to runs of about ``RUN`` rows, whatever their digest, so a digest that a third of all rows carry is
+   spread over a third of each run.  A run is one sorted array for each range of digests (``bucket``).
+2. In each round ``FAN`` runs of a bucket are sent to the first of them and merged: their arrays, each sorted,
+   are merged into one sorted array, and neighbours with the same digest and the same witness become one entry, with the
+   first identifier and the sum of the rows.  After the last round each bucket is one run; a bucket has about ``RANGE``
+   digests, so no array grows with the corpus.
+3. What became of groups of several rows goes back by the same tree: to the ``FAN`` runs that were merged, round by
+   round, and at last to the rows of each run.  Nothing ever joins on the digest alone.
 
 Cases: null texts count as empty, and all empty texts are equal.  A null doc_id sorts after all others.
 Rows that repeat a doc_id with an equal text are one document given twice: both get the same verdict and
@@ -18,6 +19,8 @@ Rows that repeat a doc_id with an equal text are one document given twice: both
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +30,14 @@ from plenum.llm.common import cut, documents, small
 BLANKS = "[\\x20\\x09-\\x0D]"
 #: What equal texts share; the last two are the witness.
 KEY = ["digest", "n_plain", "witness"]
-_NO_ID = (1 << 63) - 1
+#: Rows of a run, runs that are merged in a round, and digests of a bucket.
+RUN, FAN, RANGE = 4096, 8, 32_768
+#: What a group retains: the identifier that stays (most code points, then a doc_id, then the smallest).
+BEST = ["less_points", "no_id", "id"]
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, code points of the original, digest and witness of the normalised text."""
+    """One row a document: doc_id, code points of the original, digest and witness of the normalised text, and its number."""
     plain = documents(docs, id_col, text_col).select(
         "doc_id", F.length("text").alias("n_points"), F.regexp_replace("text", BLANKS, "").alias("plain")
     )
@@ -41,35 +47,68 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.unhex(F.sha2("plain", 256)).alias("digest"),
         F.octet_length("plain").alias("n_plain"),
         F.xxhash64("plain").alias("witness"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
-def merge_runs(entries: DataFrame, rounds: int = 2, fan: int = 3) -> DataFrame:
-    """The groups of ``entries``: keep_id and group_size for each digest, by aggregates over runs (salts) in levels."""
-    best = F.struct((-F.col("n_points")).alias("order"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
-    runs = entries.select(
-        *KEY,
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds * fan)).alias("run"),
-        best.alias("best"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    for level in range(rounds + 1):
-        runs = (
-            runs.withColumn("run", F.shiftright("run", fan if level else 0))
-            .groupBy(*KEY, "run")
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        )
-    kept = F.col("best.id")
-    return runs.select(
-        *KEY,
-        F.when(kept != _NO_ID, kept).alias("keep_id"),
-        (-F.col("best.order")).alias("keep_points"),
-        F.col("n").alias("group_size"),
-    )
-
-
-def _stays() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+def _dealt(entries: DataFrame) -> tuple[DataFrame, int]:
+    """``entries`` (written, so their numbers hold) with bucket and run, and the rounds that make one run of them."""
+    n = entries.count()
+    rounds = max(1, math.ceil(math.log(max(1, n / RUN), FAN)))
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    bucket = F.shiftright(first * F.lit(max(1, -(-n // RANGE))), 32).cast("int")
+    run = F.pmod(F.xxhash64("number"), F.lit(FAN**rounds)).cast("long")
+    return entries.withColumns({"bucket": bucket, "run": run}), rounds
+
+
+def _merged(entries: Column) -> Column:
+    """A sorted array of entries in which neighbours with the same key are one, the first."""
+    size = F.size(entries)
+    at = F.sequence(F.lit(0), size - 1)
+    differs = lambda i: (i == 0) | (F.struct(*[F.get(entries, i)[c] for c in KEY]) != F.struct(*[F.get(entries, i - 1)[c] for c in KEY]))
+    heads = F.filter(at, differs)
+
+    def group(heads: Column) -> Column:
+        def one(head: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(heads, k + 1), size) - head
+            rows = F.aggregate(F.slice(entries, head + 1, n), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+            return F.struct(*[F.get(entries, head)[c].alias(c) for c in (*KEY, *BEST)], rows.alias("n"))
+
+        return F.transform(heads, one)
+
+    return F.element_at(F.transform(F.array(heads), group), 1)
+
+
+def merge_runs(dealt: DataFrame, rounds: int) -> list[DataFrame]:
+    """(bucket, run, entries): the sorted runs of each level, the first runs first; the last level has one run a bucket."""
+    best = [(-F.col("n_points")).alias("less_points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")]
+    entry = F.struct(*KEY, *best, F.lit(1).cast("long").alias("n"))
+    runs = dealt.groupBy("bucket", "run").agg(F.sort_array(F.collect_list(entry)).alias("sorted"))
+    levels = []
+    for _ in range(rounds + 1):
+        levels.append(cut(runs.select("bucket", "run", _merged(F.col("sorted")).alias("entries")), "runs"))
+        to = F.floor(F.col("run") / FAN).alias("run")
+        # sorting an array made of sorted ones merges them: it finds the ascending runs and merges neighbours
+        runs = levels[-1].groupBy("bucket", to).agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("sorted"))
+    return levels
+
+
+def verdicts(entries: DataFrame) -> DataFrame:
+    """``entries`` with keep_id, group_size and stays."""
+    dealt, rounds = _dealt(entries)
+    levels = merge_runs(dealt, rounds)
+    place = ["bucket", "run", *KEY]
+    told = levels[-1].select("bucket", "run", F.inline(F.filter("entries", lambda x: x["n"] > 1)))
+    for level in levels[-2::-1]:
+        own = level.select("bucket", F.col("run").alias("to"), F.floor(F.col("run") / FAN).alias("run"), F.inline(F.transform("entries", lambda x: F.struct(*[x[c].alias(c) for c in KEY]))))
+        told = own.join(told, place).select("bucket", F.col("to").alias("run"), *KEY, *BEST, "n")
+    found = dealt.join(told, place, "left")
+    alone = F.col("n").isNull()
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_points") == -F.col("less_points")))
+    return found.select(
+        "doc_id", "n_points", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), stays.alias("stays"),
+    )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,20 +116,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of equal texts the row with the most code points in the original, then the smallest doc_id, stays.
     """
-    entries = cut(digests(docs, id_col, text_col), "digests")
-    return entries.join(merge_runs(entries), KEY).select(
-        "doc_id", "keep_id", "group_size", _stays().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    found = verdicts(cut(digests(docs, id_col, text_col), "digests"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("stays").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and one row of each group of equal texts."""
-    entries = cut(digests(docs, id_col, text_col), "digests")
-    groups = cut(merge_runs(entries), "groups")
-    if entries.count() == groups.count():
-        return docs
     row = ["doc_id", "n_points", "digest"]
-    marked = entries.join(groups, KEY).groupBy(*row).agg(F.first(_stays()).alias("stays"), F.count("*").alias("n"))
+    found = verdicts(cut(digests(docs, id_col, text_col), "digests")).filter("group_size > 1")
+    marked = found.groupBy(*row).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     marked = cut(marked.filter(~F.col("stays") | (F.col("n") > 1)), "marked")
     out, twice = marked.filter(~F.col("stays")), marked.filter("stays")
     n_out, n_twice = out.count(), twice.count()

@@ -36,17 +36,25 @@ def texts():
     return out
 
 
-def test_exact_dedup(spark, texts):
-    rows = texts + [(50, texts[20][1]), (50, texts[20][1]), (None, texts[21][1])]
+@pytest.mark.parametrize("run", [4096, 2])
+def test_exact_dedup(spark, texts, monkeypatch, run):
+    monkeypatch.setattr(exact_dedup, "RUN", run)
+    monkeypatch.setattr(exact_dedup, "FAN", 3)
+    monkeypatch.setattr(exact_dedup, "RANGE", 16)
+    rows = texts + [(50, texts[20][1]), (50, texts[20][1]), (None, texts[21][1]), ((1 << 63) - 1, "last"), (None, "last"), (None, "no id"), (None, "no id")]
+    rows += [(200 + k, "hot text") for k in range(30)]
     plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
     for i, t in rows:
-        groups.setdefault(plain(t), []).append((-len(t or ""), 1 << 70 if i is None else i))
-    want = sorted((str(i), min(groups[plain(t)])[1], len(groups[plain(t)]), hashlib.sha256(plain(t).encode()).hexdigest()) for i, t in rows)
+        groups.setdefault(plain(t), []).append((-len(t or ""), 1 << 63 if i is None else i))
+    best = {p: min(g) for p, g in groups.items()}
+    keep = lambda t: best[plain(t)][1] if best[plain(t)][1] < 1 << 63 else None
+    stays = lambda i, t: best[plain(t)] == (-len(t or ""), 1 << 63 if i is None else i)
+    want = sorted(str((i, keep(t), len(groups[plain(t)]), stays(i, t), hashlib.sha256(plain(t).encode()).hexdigest())) for i, t in rows)
     got = exact_dedup.exact_dedup(table(spark, rows)).collect()
-    assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got) == want
     stay = exact_dedup.keep_rows(table(spark, rows))
-    assert sorted(r.doc_id for r in stay.collect()) == sorted(min(g)[1] for g in groups.values())
+    assert sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(i if i < 1 << 63 else None) for _, i in best.values())
     assert stay.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
