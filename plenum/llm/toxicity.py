@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Two transducers are composed.  The lexicon transducer (an automaton over characters) reads lower-cased
-text and writes, at the start of a word, the class and weight of a stem: insults are learned from the
-labels, as stems (a stem stands for every word that begins with it) or whole words.  The clause
-transducer reads the classes of one clause and writes features: the weight of its insults, and the parts of
-it that come with a target, a threat, after a negation, or inside reported speech.  What these
-contexts add or take away is learned too (logistic weights), so a matched clause is scored, not a word.
+The lexicon transducer (an automaton over characters) reads lower-cased text and writes one symbol a word or sign:
+insult, threat, target, negation, report, quote, colon or any other word.  Insults are learned from the labels, as stems
+(a stem stands for every word that begins with it) or whole words, with weights; the other classes are fixed lists.
+
+Five transducers read these symbols: ``TARGET`` and ``THREAT`` remember that a clause has one, ``NEGATION`` reaches over the
+next two words, ``REPORT`` remembers a verb of saying, before or after, and ``QUOTE`` whether words stand in quotes that such a
+verb or a colon after it opened; quotes go on over ends of clauses.  They are composed into one (``GRAMMAR``),
+whose states are the reachable combinations, so a clause is read once.  A clause matches if it has an insult, or a
+threat and a target.  Its features are the weight of its insults, and the parts of it that come with a target, with a threat,
+after a negation and in reported speech, and its threats.  What these contexts add or take away is learned too (logistic
+weights, drawn to ``PRIOR`` where the labels don't say), so a matched clause is scored, not a word.
 
 Fitting uses at most ``FIT_ROWS`` labelled rows of each label, those with the smallest hashes; texts that
-repeat count once, and a stem needs ``SUPPORT`` different neighbourhoods, so copies don't make stems.
+repeat count once, and a stem needs ``SUPPORT`` different neighbourhoods, so copies don't make stems.  A stem
+has 4 to 12 letters, a whole word any number.
 
 Cases: null texts count as empty; a text without a matched clause gets the base score.  A label of a
 document that is missing, or a null label, isn't used; of several labels of a document the larger holds.
 Without two classes among the labels every score is the share of toxic labels, or 0.  A null doc_id
-counts as held out.  Rows that repeat stay rows.  Other columns are not read.
+counts as held out.  Rows that repeat stay rows.  A text of any length is read whole, in time that grows with it.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +30,8 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Callable, Hashable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +41,8 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import cut, documents
 
-#: Bounds of the fit: labelled rows of each label, stems, and the support that a stem needs.
-FIT_ROWS, STEMS, SUPPORT = 20_000, 5_000, 6
+#: Bounds of the fit: labelled rows of each label, and the support that a stem needs.
+FIT_ROWS, SUPPORT = 20_000, 6
 #: A stem is this many times as frequent among toxic texts, and this long at least (whole words: 2).
 LIFT, SHORTEST, LONGEST = 25.0, 4, 12
 
@@ -43,32 +52,102 @@ THREATS = "kill hurt destroy burn beat shoot stab crush töten schlagen umbringe
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say called wrote quoted claims reported according sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 CLASSES = {w: k for k, ws in (("target", TARGETS), ("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
-FEATURES = ["matched", "clauses", "targeted", "threatened", "negated", "reported", "strongest", "density"]
+FEATURES = ["matched", "clauses", "targeted", "threatened", "negated", "reported", "threats", "strongest", "density"]
 #: Of these the first come from the clauses and add up; the others belong to the text.
-SUMS = 6
+SUMS = 7
+#: What the weights of the features are drawn to.
+PRIOR = [0.0, 0.0, 0.0, 0.0, -0.5, -0.5, 4.0, 0.0, 0.0]
 
+_SIGN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»:]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
+_NO_WORD = ("quote", "colon", "end")
+SYMBOLS = ["insult", "threat", "target", "negation", "report", "word", *_NO_WORD]
+
+
+class Transducer(NamedTuple):
+    """``step`` gives the next state and what is written for a symbol, ``final`` what is written at the end of a clause."""
+
+    start: Hashable
+    step: Callable[[Hashable, str], tuple[Hashable, frozenset]]
+    final: Callable[[Hashable], frozenset]
+
+
+_NOTHING = frozenset()
+
+
+def _remembers(symbol: str) -> Transducer:
+    """Writes ``symbol`` at the end of a clause that has one."""
+    return Transducer(False, lambda s, x: ((s or x == symbol) and x != "end", _NOTHING), lambda s: frozenset([symbol]) if s else _NOTHING)
+
+
+def _negates(reach: int = 2) -> Transducer:
+    """Writes ``negated`` for an insult or a threat up to ``reach`` words after a negation."""
+
+    def step(left: int, x: str) -> tuple[int, frozenset]:
+        written = frozenset(["negated"]) if left and x in ("insult", "threat") else _NOTHING
+        if x in ("quote", "colon"):
+            return left, written
+        return (reach if x == "negation" else 0 if x == "end" else max(0, left - 1)), written
+
+    return Transducer(0, step, lambda s: _NOTHING)
+
+
+def _quotes() -> Transducer:
+    """Writes ``reported`` inside quotes, and after a colon, that a verb of saying opened."""
+
+    def step(state: tuple[bool, str], x: str) -> tuple[tuple[bool, str], frozenset]:
+        said, where = state
+        written = frozenset(["reported"]) if where in ("speech", "quoted speech") and x in ("insult", "threat") else _NOTHING
+        if x == "quote":
+            where = ("quoted speech" if said or where == "speech" else "quoted") if where in ("", "speech") else ""
+        elif x == "colon" and said and where == "":
+            where = "speech"
+        elif x == "end":
+            return (False, where if where.startswith("quoted") else ""), written
+        return (said or x == "report", where), written
+
+    return Transducer((False, ""), step, lambda s: _NOTHING)
+
+
+def compose(*parts: Transducer) -> tuple[list[dict[str, tuple[int, frozenset]]], list[frozenset]]:
+    """One transducer that does what all parts do: for each of its states the steps, and what is written at the end."""
+    number, steps, finals = {tuple(p.start for p in parts): 0}, [], []
+    for state in (todo := list(number)):
+        row = {}
+        for x in SYMBOLS:
+            done = [p.step(s, x) for p, s in zip(parts, state, strict=True)]
+            to = tuple(d[0] for d in done)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row[x] = (number[to], _NOTHING.union(*[d[1] for d in done]))
+        steps.append(row)
+        finals.append(_NOTHING.union(*[p.final(s) for p, s in zip(parts, state, strict=True)]))
+    return steps, finals
+
+
+#: The composed grammar: steps and ends.
+GRAMMAR = compose(_remembers("target"), _remembers("threat"), _remembers("report"), _negates(), _quotes())
 
 
 class Grammar:
-    """The composed transducers: stems with weights, and weights of the clause features."""
+    """The lexicon with weights of stems, and the weights of the clause features."""
 
     def __init__(self, stems: dict[str, float], weights: list[float], base: float):
         import ahocorasick
 
         self.stems, self.weights, self.base = stems, weights, base
         self.automaton = ahocorasick.Automaton()
+        for word in THREATS:
+            self.automaton.add_word(word, (word + "$", len(word), None))
         for stem, weight in stems.items():
             self.automaton.add_word(stem.rstrip("$"), (stem, len(stem.rstrip("$")), weight))
-        if stems:
-            self.automaton.make_automaton()
-
-    def matches(self, low: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, stem, weight) of the longest stem at each word start of a lower-cased text."""
-        if not self.stems or not low:
-            return []
-        found: dict[int, tuple[int, int, str, float]] = {}
+        self.automaton.make_automaton()
+
+    def matches(self, low: str) -> list[tuple[int, int, str, float | None]]:
+        """(start, end, stem, weight) of the longest stem at each word start of a lower-cased text; threats have no weight."""
+        found: dict[int, tuple[int, int, str, float | None]] = {}
         for last, (stem, size, weight) in self.automaton.iter(low):
             start = last - size + 1
             if start and low[start - 1].isalpha():
@@ -77,47 +156,64 @@ class Grammar:
                 continue
             if start not in found or found[start][1] <= last:
                 found[start] = (start, last + 1, stem, weight)
-        return sorted(found.values())
+        return sorted(found.values(), key=lambda h: h[0])
 
     def features(self, low: str) -> list[float] | None:
         """The sums over the matched clauses of a lower-cased text; None without a match."""
         hits = self.matches(low)
         if not hits:
             return None
-        out = [0.0] * SUMS
-        cuts = [0, *(m.end() for m in _CLAUSE.finditer(low)), len(low) + 1]
-        at = 0
-        while at < len(hits):
-            k = np.searchsorted(cuts, hits[at][0], side="right")
-            low_cut, high_cut = cuts[k - 1], cuts[min(k, len(cuts) - 1)]
-            mine = [h for h in hits[at:] if h[0] < high_cut] if hits[-1][0] >= high_cut else hits[at:]
-            at += max(1, len(mine))
-            for i, v in enumerate(self.clause(low[low_cut:high_cut], [(h[0] - low_cut, h[3]) for h in mine])):
-                out[i] += v
-        return [*out, max(h[3] for h in hits), 1000 * out[0] / len(low)]
-
-    def clause(self, clause: str, hits: list[tuple[int, float]]) -> list[float]:
-        """The clause transducer: one pass over its words, with a state for negation, report and quotes."""
-        weight_at = dict(hits)
-        total = targeted = threat = negated = reported = 0.0
-        is_target = is_threat = is_report = False
-        since_negation = 99
-        for m in _WORD.finditer(clause):
-            kind = CLASSES.get(m.group())
-            since_negation = 0 if kind == "negation" else since_negation + 1
-            is_target |= kind == "target"
-            is_threat |= kind == "threat"
-            is_report |= kind == "report"
+        out, at, a, state = [0.0] * SUMS, 0, 0, 0
+        weight_at = {h[0]: h[3] for h in hits if h[3] is not None}
+        for z in (*(m.end() for m in _CLAUSE.finditer(low)), len(low)):
+            begins = at
+            while at < len(hits) and hits[at][0] < z:
+                at += 1
+            if at > begins:
+                found, state = self.clause(low, a, z, weight_at, state)
+                for i, v in enumerate(found or ()):
+                    out[i] += v
+            else:  # quotes go on
+                state = self._after(low, a, z, state)
+            a = z
+            if at == len(hits):
+                break
+        if not out[1]:
+            return None
+        return [*out, max(weight_at.values(), default=0.0), 1000 * out[0] / len(low)]
+
+    def _after(self, low: str, a: int, z: int, state: int) -> int:
+        """The state after a clause without a match: only quotes, and verbs of saying before them, can matter."""
+        steps, _ = GRAMMAR
+        if any(q in low[a:z] for q in "\"“”„«»"):
+            return self.clause(low, a, z, {}, state)[1]
+        return steps[state]["end"][0]
+
+    def clause(self, low: str, a: int, z: int, weight_at: dict[int, float], state: int = 0) -> tuple[list[float] | None, int]:
+        """The clause ``low[a:z]`` read by the composed transducer from ``state`` on: its features, if it matches, and the
+        state that the next clause begins with."""
+        steps, finals = GRAMMAR
+        total = negated = reported = threats = told = 0.0
+        for m in _SIGN.finditer(low, a, z):
+            sign = m.group()
             w = weight_at.get(m.start())
+            x = "insult" if w is not None else "colon" if sign == ":" else "quote" if sign in "\"“”„«»" else CLASSES.get(sign, "word")
+            state, written = steps[state][x]
             if w is not None:
                 total += w
-                negated += w if since_negation <= 2 else 0.0
-                reported += w if is_report else 0.0
-        if is_target:
-            targeted = total
-        if is_threat:
-            threat = total
-        return [total, 1.0, targeted, threat, negated, reported]
+                negated += w if "negated" in written else 0.0
+                reported += w if "reported" in written else 0.0
+            elif x == "threat" and "negated" not in written:
+                threats += 1
+                told += "reported" in written
+        ends = finals[state]
+        state = steps[state]["end"][0]
+        if "report" in ends:  # before or after: all of the clause is what somebody said
+            reported, told = total, threats
+        threats = threats - told if "target" in ends else 0.0
+        if not total and not threats:
+            return None, state
+        return [total, 1.0, total if "target" in ends else 0.0, total if "threat" in ends else 0.0, negated, reported, threats], state
 
     def score(self, text: str) -> float:
         f = self.features(text.lower())
@@ -182,7 +278,7 @@ def _counts(rows: DataFrame, toxic: int, clean: int) -> list:
 
     sums = rows.mapInArrow(run, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = sums.filter(F.col("toxic") >= SUPPORT).filter((F.col("toxic") / toxic) >= LIFT * (F.col("clean") + 0.5) / clean)
-    return sums.orderBy(F.desc("toxic"), "stem").limit(8 * STEMS).collect()
+    return sums.collect()  # SUPPORT of 2 * FIT_ROWS rows at least have each
 
 
 def _supported(rows: DataFrame, stems: list[str]) -> dict[str, int]:
@@ -195,14 +291,14 @@ def _supported(rows: DataFrame, stems: list[str]) -> dict[str, int]:
             for low in batch.column("low").to_pylist():
                 words = [(m.start(), m.group()) for m in _WORD.finditer(low)]
                 at = {s: k for k, (s, _) in enumerate(words)}
-                for start, _, stem, _ in grammar.matches(low):
-                    if (k := at.get(start)) is not None:
+                for start, _, stem, weight in grammar.matches(low):
+                    if weight is not None and (k := at.get(start)) is not None:
                         near = " ".join(w for _, w in words[max(0, k - 2) : k] + words[k + 1 : k + 3])
                         out.add((stem, zlib.crc32(near.encode())))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["stem", "near"])
 
     found = rows.filter("toxic = 1").mapInArrow(run, "stem string, near long").groupBy("stem").agg(F.count_distinct("near").alias("n"))
-    return {r.stem: r.n for r in found.collect()}  # STEMS at most
+    return {r.stem: r.n for r in found.collect()}  # a row a stem
 
 
 def general(counts: dict[str, tuple[int, int]]) -> list[str]:
@@ -223,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     if not toxic or not clean:
         return Grammar({}, [0.0] * len(FEATURES), 30.0 if toxic else -30.0)
     counts = {r.stem: (r.toxic, r.clean) for r in _counts(rows, toxic, clean)}
-    stems = sorted(general(counts), key=lambda s: (-counts[s][0], s))[:STEMS]
+    stems = general(counts)
     support = _supported(rows, stems)
     weight = {s: math.log((counts[s][0] + 0.5) / (toxic + 1)) - math.log((counts[s][1] + 0.5) / (clean + 1)) for s in stems if support.get(s, 0) >= SUPPORT}
     blank = Grammar(weight, [0.0] * len(FEATURES), 0.0)
@@ -245,12 +341,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[list[float], float]:
-    """Ridge logistic regression by Newton steps; the base is not shrunk."""
+    """Logistic regression by Newton steps, drawn to ``PRIOR``; the base is not."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    beta, shrink = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
+    prior, shrink = np.append(PRIOR, 0.0), np.append(np.full(x.shape[1], ridge), 1e-6)
+    beta = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (n * (y - p)) - shrink * beta
+        grad = z.T @ (n * (y - p)) - shrink * (beta - prior)
         hess = (z * (n * p * (1 - p))[:, None]).T @ z + np.diag(shrink)
         step = np.linalg.solve(hess, grad)
         beta += np.clip(step, -5, 5)

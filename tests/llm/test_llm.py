@@ -283,16 +283,46 @@ def test_toxicity(spark):
                 words.insert(rng.randrange(len(words)), "zorgal" + rng.choice(["us", "ak", "em", ""]))
         rows.append((i, " ".join(words) + "."))
         labels.append((i, int(i % 3 == 0)))
-    rows += [(700, None), (None, "zorgalax zorgalak")]
+    rows += [(700, None), (None, "zorgalax zorgalak"), (701, "zorgalus. " * 5000), (702, "abc " * 20_000), (702, "abc " * 20_000)]
     tagged = spark.createDataFrame(labels + [(5, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(table(spark, rows), tagged).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i].held_out == (i in held) for i in range(600))
     assert sum(got[i].predicted == (i % 3 == 0) for i in held) >= 0.97 * len(held)
+    assert got[701].predicted == 1 and got[702].predicted == 0
     assert got[700].predicted == 0 and got[None].held_out and got[None].predicted == 1
     assert toxicity.keep_rows(table(spark, rows), tagged).filter("doc_id = 0").count() == 0
 
 
+def test_toxicity_contexts():
+    """The composed transducer against the rules, told one by one, for each context."""
+    g = toxicity.Grammar({"zorg": 2.0, "blek$": 1.0}, [1.0] * len(toxicity.FEATURES), 0.0)
+    f = lambda t: dict(zip(toxicity.FEATURES, g.features(t.lower()) or [0.0] * 9, strict=True))
+    assert g.features("a nice day. kill the light.") is None and g.features("blekk") is None
+    assert f("the zorgal stands")["matched"] == 2 and f("the zorgal stands")["targeted"] == 0
+    assert f("you zorgal")["targeted"] == 2 == f("zorgal, you")["targeted"]
+    assert f("not a zorgal")["negated"] == 2 and f("not in the house a zorgal")["negated"] == 0
+    assert f("he said: zorgal")["reported"] == 2 == f("zorgal, he said")["reported"] == f('"zorgal", he wrote')["reported"]
+    assert f('she wrote "go. zorgal! blek." blek')["reported"] == 3 and f('she wrote "go." zorgal')["reported"] == 0
+    assert f('a "zorgal" he likes')["reported"] == 0 and f("he said go. zorgal")["reported"] == 0
+    assert f("i will kill you")["threats"] == 1 and f("i will kill you")["matched"] == 0
+    assert f("i will never kill you")["threats"] == 0 == f("he said: i will kill you")["threats"] == f("kill it")["threats"]
+    assert f("kill you zorgal")["threatened"] == 2 and f("zorgal. zorg; blek")["clauses"] == 3
+    assert toxicity.Grammar({}, toxicity.PRIOR, -1.0).score("I will kill you") > 0.5 > toxicity.Grammar({}, toxicity.PRIOR, -1.0).score("I like you")
+    rng = random.Random(8)
+    words = ["you", "kill", "not", "said", "zorgal", "blek", "tree", ":", '"', ".", "house"]
+    for _ in range(500):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        clause = [w for w in clause if w not in ('"', ":", ".")]
+        got, own = f(" ".join(clause)), [{"zorgal": 2.0, "blek": 1.0}.get(w, 0.0) for w in clause]
+        near = [any(v == "not" for v in clause[max(0, k - 2) : k]) for k in range(len(clause))]
+        threats = sum(w == "kill" and not n for w, n in zip(clause, near, strict=True)) if "you" in clause and "said" not in clause else 0
+        want = [sum(own), 0, sum(own) * ("you" in clause), sum(own) * ("kill" in clause), sum(w for w, n in zip(own, near, strict=True) if n), sum(own) * ("said" in clause), threats]
+        assert [got[k] for k in ("matched", "targeted", "threatened", "negated", "reported", "threats")] == [want[0], *want[2:]], clause
+    long = "you zorgal. " * 20_000
+    assert f(long)["clauses"] == 20_000
+
+
 def test_warc(spark, tmp_path):
     page = '<html><head><title>A &amp; b</title><script>var x="</p>";</script></head><body><p>One <b>two</b></p><!-- c --><ul><li><a href="/x?a=1&amp;b=2">L</a></ul></body></html>'
     pages = spark.createDataFrame([(1, "http://h/1", page), (2, None, None), (1, "http://h/1", page)], "page_id long, url string, html string")
