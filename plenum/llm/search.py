@@ -5,22 +5,26 @@ different terms t of idf(t) * qtf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * l
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are those of all documents, so scores
 of different shards compare.  Scores are rounded to 6 decimals; ties go to the smaller doc_id.
 
-Documents are dealt to shards of bounded size.  In a shard they are ordered by their commonest term and length
-and cut into blocks of ``BLOCK``; for each term the index has postings and the largest contribution
-in each block.  A query adds these maxima up, evaluates the blocks with the largest bounds, and with
-the k-th best score so far as its threshold drops each block whose bound stays below.  What is left is
-evaluated by the postings, or document by document where that is less work.  Each shard's first k are merged.
-
-Queries go out in blocks of at most ``QUERY_BYTES``, so what is broadcast has a proven bound, and each
-block is run against all shards.
+1. Documents are dealt to shards of bounded size, and each text is cut into terms once.  A shard's index is a row:
+   its terms, their postings, and its documents in the order of their commonest term and length, in blocks of
+   ``BLOCK``.  The index is written; N, df and the mean length are summed up from it.
+2. For each query, a shard adds up the largest contributions that its terms have in each block.  The block with the
+   largest sum is scored first.  Then the pivot moves through the blocks in document order: to the next one whose sum
+   reaches the k-th best score so far; blocks before it are skipped with all their postings.  At the pivot,
+   documents are scored one after another from all their terms, and the k-th best score goes up.
+3. Each shard's first k are merged.  Shards whose best possible block can't reach the threshold give nothing.
+
+Queries go out in blocks, cut by a running sum of their terms at ``QUERY_BYTES`` (a longer query goes alone), so what is
+broadcast has a proven bound, and each block is run against the written index.
 
 Cases: null texts count as empty; an empty query, or one without a common term, gives no rows.
-A query or document without id takes no part.  Rows that repeat a doc_id are documents of their own.
-An empty table gives an empty result.  Other columns are not read.
+A query or document without id takes no part.  Rows that repeat a doc_id are documents of their own, as queries they are
+one.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -31,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.common import cut, documents
+from plenum.llm.suffix import _spread
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+#: Documents of a block, and blocks that the pivot looks ahead for at a time.
+BLOCK, LOOK = 64, 32
 #: Text of one shard, and of the terms of one block of queries.
 SHARD_BYTES, QUERY_BYTES = 24 << 20, 32 << 20
 _TERM = re.compile(r"\w+")
@@ -57,113 +63,140 @@ class _Hashes(dict):
         return h
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(term long, df long): in how many documents each term occurs, counted batch by batch first."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(doc_id, term, qtf): the terms of each query."""
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
-            df: Counter = Counter()
-            for text in batch.column("text"):
-                df.update(set(_TERM.findall(text.as_py().lower())))
-            yield pa.RecordBatch.from_arrays([pa.array([hashes[t] for t in df], pa.int64()), pa.array(df.values(), pa.int64())], ["term", "df"])
+            rows = [(i, _hash(t), n) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for t, n in terms_of(text).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "term", "qtf"])
 
-    return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return queries.mapInArrow(run, "doc_id long, term long, qtf long")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(doc_id, term, qtf, length): the terms of each query, with the number of terms of its text."""
+INDEX = "ids binary, lengths binary, terms binary, ends binary, docs binary, counts binary"
+_KINDS = {"ids": "<i8", "lengths": "<i4", "terms": "<i8", "ends": "<i8", "docs": "<i4", "counts": "<i4"}
+
+
+def index(docs: DataFrame, shards: int) -> DataFrame:
+    """A row a shard: document ids and lengths in index order, the sorted term hashes, where each one's postings end,
+    and the postings: document numbers, ascending, and term frequencies."""
 
     def run(batches):
+        ids, tops, lengths, sizes, terms, counts, hashes = [], [], [], [], [], [], _Hashes()
         for batch in batches:
-            rows = [(i, _hash(t), n) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for t, n in terms_of(text).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "term", "qtf"])
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                c = terms_of(text.as_py())
+                ids.append(i)
+                lengths.append(c.total())
+                tops.append(max(c, key=lambda t: (c[t], t)) if c else "")
+                sizes.append(len(c))
+                terms.append(np.fromiter((hashes[t] for t in c), np.int64, len(c)))
+                counts.append(np.fromiter(c.values(), np.int32, len(c)))
+        if not ids:
+            return
+        order = sorted(range(len(ids)), key=lambda i: (tops[i], lengths[i], ids[i]))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        term, doc = np.concatenate(terms), np.repeat(rank, sizes)
+        turn = np.lexsort((doc, term))
+        term = term[turn]
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        made = {"ids": np.array(ids)[order], "lengths": np.array(lengths)[order], "terms": term[first], "ends": np.append(first[1:], len(term)), "docs": doc[turn], "counts": np.concatenate(counts)[turn]}
+        yield pa.RecordBatch.from_arrays([pa.array([made[c].astype(k).tobytes()], pa.binary()) for c, k in _KINDS.items()], list(_KINDS))
 
-    return queries.mapInArrow(run, "doc_id long, term long, qtf long")
+    return docs.repartitionById(shards, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).mapInArrow(run, INDEX)
+
+
+def _shards(batches):
+    for batch in batches:
+        for k in range(len(batch)):
+            yield {c: np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in _KINDS.items()}
 
 
-class Index:
-    """The documents of one shard, for the terms that queries have."""
-
-    def __init__(self, rows: list[tuple[int, str]], vocabulary: np.ndarray, mean: float):
-        counts, lengths, tops = [], [], []
-        for _, text in rows:
-            c = terms_of(text)
-            counts.append(c)
-            lengths.append(sum(c.values()))
-            tops.append(max(c, key=lambda t: (c[t], t)) if c else "")
-        order = sorted(range(len(rows)), key=lambda i: (tops[i], lengths[i]))
-        self.ids = np.array([rows[i][0] for i in order], np.int64)
-        hashes = _Hashes()
-        sizes = [len(counts[i]) for i in order]
-        term = np.fromiter((hashes[t] for i in order for t in counts[i]), np.int64, sum(sizes))
-        tf = np.fromiter((n for i in order for n in counts[i].values()), np.float64, sum(sizes))
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        norm = K1 * (1 - B + B * np.array([lengths[i] for i in order], np.float64) / max(mean, 1e-9))
-        at = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
-        known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-        row, doc, weight = at[known], doc[known], (tf * (K1 + 1) / (tf + norm[doc]))[known]
-        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
+def frequencies(shards: DataFrame) -> DataFrame:
+    """(term, df, n, length): in how many documents of a shard each term occurs; a row without a term has
+    the number of its documents and of their terms."""
+
+    def run(batches):
+        for s in _shards(batches):
+            size = np.diff(s["ends"], prepend=0)
+            yield pa.RecordBatch.from_arrays([pa.array(s["terms"]), pa.array(size), *[pa.array(np.zeros(len(size), np.int64))] * 2], ["term", "df", "n", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, 0, len(s["ids"]), int(s["lengths"].sum(dtype=np.int64)))], ["term", "df", "n", "length"])
+
+    return shards.mapInArrow(run, "term long, df long, n long, length long")
+
+
+class Shard:
+    """The part of a shard's index that the terms of a block of queries have."""
+
+    def __init__(self, s: dict[str, np.ndarray], vocabulary: np.ndarray, mean: float):
+        self.ids, self.n = s["ids"], len(s["ids"])
+        self.blocks = -(-self.n // BLOCK)
+        at = np.minimum(np.searchsorted(s["terms"], vocabulary), max(0, len(s["terms"]) - 1))
+        known = s["terms"][at] == vocabulary if len(s["terms"]) else np.zeros(len(vocabulary), bool)
+        ends = np.concatenate([[0], s["ends"]])
+        size = np.where(known, ends[at + 1] - ends[at], 0) if len(s["terms"]) else np.zeros(len(vocabulary), np.int64)
+        place = _spread(ends[at] if len(at) else size, size)
+        doc, tf, row = s["docs"][place], s["counts"][place], np.repeat(np.arange(len(vocabulary)), size)
+        norm = K1 * (1 - B + B * s["lengths"] / max(mean, 1e-9))
+        weight = tf * (K1 + 1) / (tf + norm[doc])
+        # the largest weight of each term in each block: term by term, blocks ascending
+        pair = row * self.blocks + doc // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        self.top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.top_block = pair[first] % max(1, self.blocks)
+        self.top_ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(vocabulary)))])
         # document by document
+        turn = np.argsort(doc, kind="stable")
+        self.rows, self.weights = row[turn], weight[turn]
         self.doc_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
-        self.doc_rows, self.doc_weights = row, weight
-        # term by term
-        turn = np.lexsort((doc, row))
-        self.row, self.doc, self.weight = row[turn], doc[turn], weight[turn]
-        self.ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(vocabulary)))])
-        # the largest weight in each block: term by term, blocks ascending
-        pair = self.row * self.blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.top_block = (pair[first] % self.blocks) if len(first) else np.zeros(0, np.int64)
-        self.top_ends = np.concatenate([[0], np.cumsum(np.bincount(pair[first] // self.blocks if len(first) else np.zeros(0, np.int64), minlength=len(vocabulary)))])
-
-    def _gather(self, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the entries of ``rows``, and which of them each belongs to."""
-        size = ends[rows + 1] - ends[rows]
-        which = np.repeat(np.arange(len(rows)), size)
-        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[rows], size), which
-
-    def best(self, rows: np.ndarray, factor: np.ndarray, k: int, dense: np.ndarray) -> list[tuple[int, float]]:
-        """The first k (doc_id, score); ``dense`` is a zero vector over the vocabulary, handed back as such."""
-        place, which = self._gather(self.top_ends, rows)
-        bound = np.bincount(self.top_block[place], self.top[place] * factor[which], self.blocks)
-        dense[rows] = factor
-        try:
-            order = np.argsort(-bound, kind="stable")
-            first = order[: max(2, -(-2 * k // BLOCK))]
-            scores = np.zeros(self.n)
-            self._by_document(first, dense, scores)
-            limit = np.partition(np.round(scores, 6), -k)[-k] if self.n >= k else 0.0
-            left = bound > 0
-            left[first] = False
-            left &= bound * (1 + 1e-9) + 1e-6 >= limit
-            blocks = np.flatnonzero(left)
-            if len(blocks):
-                by_doc = sum(int(self.doc_ends[min(self.n, (b + 1) * BLOCK)] - self.doc_ends[b * BLOCK]) for b in blocks.tolist())
-                if by_doc <= 2 * int((self.ends[rows + 1] - self.ends[rows]).sum()):
-                    self._by_document(blocks, dense, scores)
-                else:
-                    place, which = self._gather(self.ends, rows)
-                    scores = np.bincount(self.doc[place], self.weight[place] * factor[which], self.n)
-        finally:
-            dense[rows] = 0.0
-        scores = np.round(scores, 6)
-        some = np.flatnonzero(scores > 0)
-        if len(some) > k:
-            kth = np.partition(scores[some], -k)[-k]
-            some = some[scores[some] >= kth]
-        return sorted(((int(self.ids[i]), float(scores[i])) for i in some), key=lambda x: (-x[1], x[0]))[:k]
-
-    def _by_document(self, blocks: np.ndarray, dense: np.ndarray, scores: np.ndarray) -> None:
-        for b in blocks.tolist():
-            low, high = b * BLOCK, min(self.n, (b + 1) * BLOCK)
-            a, z = self.doc_ends[low], self.doc_ends[high]
-            part = np.concatenate([[0.0], np.cumsum(self.doc_weights[a:z] * dense[self.doc_rows[a:z]])])
-            scores[low:high] = np.diff(part[self.doc_ends[low : high + 1] - a])
-
-
-def _run_block(docs: DataFrame, shards: int, block: pa.Table, n: int, mean: float, k: int) -> DataFrame:
+
+    def scores(self, b: int, factors: np.ndarray) -> np.ndarray:
+        """The scores of the documents of block b; ``factors`` has idf * qtf of each term, 0 for those not asked."""
+        ends = self.doc_ends[b * BLOCK : min(self.n, (b + 1) * BLOCK) + 1]
+        part = self.weights[ends[0] : ends[-1]] * factors[self.rows[ends[0] : ends[-1]]]
+        return np.diff(np.concatenate([[0.0], np.cumsum(part)])[ends - ends[0]])
+
+    def best(self, rows: np.ndarray, factor: np.ndarray, k: int, factors: np.ndarray) -> list[tuple[int, float]]:
+        """The first k (doc_id, score) of a query's terms; ``factors`` is a zero vector over the vocabulary, handed back as such."""
+        size = self.top_ends[rows + 1] - self.top_ends[rows]
+        place = _spread(self.top_ends[rows], size)
+        # what a block can score at most, with some room for the order in which numbers are added
+        bound = np.bincount(self.top_block[place], self.top[place] * np.repeat(factor, size), self.blocks) * (1 + 1e-9) + 1e-6
+        factors[rows] = factor
+        found: list[tuple[float, int]] = []  # the best so far: (score, -doc_id), the worst of them first
+        limit = 1e-6 + 1e-9
+        lead = int(bound.argmax()) if self.blocks else 0
+
+        def score(b: int) -> None:
+            nonlocal limit
+            own = np.round(self.scores(b, factors), 6)
+            for i in np.flatnonzero(own >= max(limit, 1e-6)).tolist():
+                hit = (float(own[i]), -int(self.ids[b * BLOCK + i]))
+                if len(found) < k:
+                    heapq.heappush(found, hit)
+                elif hit > found[0]:
+                    heapq.heapreplace(found, hit)
+            if len(found) == k:
+                limit = found[0][0]
+
+        if self.blocks and bound[lead] > limit:
+            score(lead)
+            pivot = 0
+            while True:
+                ahead = np.flatnonzero(bound[pivot:] >= limit)[:LOOK]
+                if not len(ahead):
+                    break
+                for b in (ahead + pivot).tolist():
+                    if b != lead and bound[b] >= limit:
+                        score(b)
+                pivot = b + 1
+        factors[rows] = 0.0
+        return [(-i, x) for x, i in sorted(found, key=lambda h: (-h[0], -h[1]))]
+
+
+def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int) -> DataFrame:
     """(query_id, doc_id, score): the first k of each query of the block in each shard."""
     query, term, qtf, df = (block.column(c).to_numpy() for c in ("doc_id", "term", "qtf", "df"))
     order = np.lexsort((term, query))
@@ -171,39 +204,48 @@ def _run_block(docs: DataFrame, shards: int, block: pa.Table, n: int, mean: floa
     ids, first = np.unique(query[order], return_index=True)
     factor = (qtf * np.log(1 + (n - df + 0.5) / (df + 0.5)))[order]
     queries = (ids, np.append(first, len(order)), row.astype(np.int32), factor)
-    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, queries))  # QUERY_BYTES at most
+    shipped = shards.sparkSession.sparkContext.broadcast((vocabulary, queries))  # QUERY_BYTES, or one query
 
     def run(batches):
-        rows = [x for batch in batches for x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        if not rows:
-            return
         vocabulary, (ids, ends, at, factor) = shipped.value
-        index, dense, out = Index(rows, vocabulary, mean), np.zeros(len(vocabulary)), []
-        del rows
-        for i, q in enumerate(ids.tolist()):
-            part = slice(ends[i], ends[i + 1])
-            out += [(q, d, s) for d, s in index.best(at[part], factor[part], k, dense)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
+        factors = np.zeros(len(vocabulary))
+        for s in _shards(batches):
+            shard, out = Shard(s, vocabulary, mean), []
+            for i, q in enumerate(ids.tolist()):
+                part = slice(ends[i], ends[i + 1])
+                out += [(q, d, x) for d, x in shard.best(at[part], factor[part], k, factors)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
+
+    return shards.mapInArrow(run, "query_id long, doc_id long, score double")
+
 
-    dealt = docs.repartition(shards, F.xxhash64("doc_id"))
-    return dealt.mapInArrow(run, "query_id long, doc_id long, score double")
+def _blocks(sizes: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of query ids with at most so many terms, or one query: running sums over (doc_id, terms)."""
+    out, low, last, total = [], None, None, 0
+    for r in sizes.orderBy("doc_id").toLocalIterator():
+        if low is not None and total + r.terms > most:
+            out.append((low, last))
+            low, total = None, 0
+        low, last, total = r.doc_id if low is None else low, r.doc_id, total + r.terms
+    return [*out, *([(low, last)] if low is not None else [])]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, rank, doc_id, score: the first k documents of ``docs`` for each row of ``queries``."""
     docs = documents(docs, id_col, text_col).filter("doc_id is not null")
     queries = documents(queries, id_col, text_col).filter("doc_id is not null")
-    spark = docs.sparkSession
-    words = F.regexp_count("text", F.lit(r"(?U)\w+"))
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(words), F.lit(0.0)).alias("mean"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first().size
+    shards = cut(index(docs, max(1, -(-size // SHARD_BYTES))), "index")
+    counted = frequencies(shards).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "n", "length")])
+    counted = cut(counted, "terms")
+    whole = counted.filter("term is null").first()
+    n, mean = (whole.n, whole.length / whole.n) if whole else (0, 0.0)
     terms = query_terms(queries).groupBy("doc_id", "term").agg(F.max("qtf").alias("qtf"))
-    terms = cut(terms.join(frequencies(docs), "term").select("doc_id", "term", "qtf", "df"), "terms")
-    shards, blocks = max(1, -(-stats.size // SHARD_BYTES)), max(1, -(-terms.count() * 32 // QUERY_BYTES))
-    found = None
-    for b in range(blocks):
-        block = terms.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).toArrow()
-        part = cut(_run_block(docs, shards, block, stats.n, stats.mean, k), "found")
-        found = part if found is None else found.union(part)
+    terms = cut(terms.join(counted.filter("term is not null").select("term", "df"), "term").select("doc_id", "term", "qtf", "df"), "terms")
+    found = terms.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+    for low, high in _blocks(terms.groupBy("doc_id").agg(F.count("*").alias("terms")), QUERY_BYTES // 32):
+        block = terms.filter(F.col("doc_id").between(low, high)).toArrow()
+        found = found.union(cut(_run_block(shards, block, n, mean, k), "found"))
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("hit.doc_id").alias("doc_id"), (-F.col("hit.s")).alias("score")

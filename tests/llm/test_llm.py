@@ -199,12 +199,14 @@ def test_search(spark, texts, monkeypatch):
 
     monkeypatch.setattr(search, "SHARD_BYTES", 3000)
     monkeypatch.setattr(search, "QUERY_BYTES", 2000)
-    rows = [(i, Counter(re.findall(r"\w+", (t or "").lower()))) for i, t in texts]
+    monkeypatch.setattr(search, "BLOCK", 4)
+    texts = texts + [(70, "x\u0301y\u00b2 z\u0345 caf\u00e9 cafe\u0301"), (71, texts[20][1]), (71, texts[20][1]), (None, "one two")]
+    rows = [(i, Counter(re.findall(r"\w+", (t or "").lower()))) for i, t in texts if i is not None]
     n, df, mean = len(rows), Counter(t for _, c in rows for t in c), sum(sum(c.values()) for _, c in rows) / len(rows)
     got = {}
-    for r in search.top_k(table(spark, texts), table(spark, texts[:20]), k=3).orderBy("query_id", "rank").collect():
+    for r in search.top_k(table(spark, texts), table(spark, texts[:20] + texts[-4:-1] + [(None, "one")]), k=3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 4)))
-    for q, qc in rows[:20]:
+    for q, qc in rows[:20] + rows[-3:]:
         scored = []
         for i, c in rows:
             dl = sum(c.values())
