@@ -10,9 +10,10 @@ of different shards compare.  Scores are rounded to 6 decimals; ties go to the s
    ``BLOCK``.  The index is written; N, df and the mean length are summed up from it.
 2. For each query, a shard adds up the largest contributions that its terms have in each block.  The block with the
    largest sum is scored first.  Then the pivot moves through the blocks in document order: to the next one whose sum
-   reaches the k-th best score so far; blocks before it are skipped with all their postings.  At the pivot,
-   documents are scored one after another from all their terms, and the k-th best score goes up.
-3. Each shard's first k are merged.  Shards whose best possible block can't reach the threshold give nothing.
+   reaches the k-th best score so far; blocks before it are skipped with all their postings.  At the pivot (and up to
+   ``LOOK`` such blocks together) each document is scored from all its terms, and the k-th best score goes up.
+   The k-th best score of the best blocks of all shards together is what each shard starts from.
+3. Each shard's first k are merged.  A shard whose best possible block can't reach the threshold gives nothing.
 
 Queries go out in blocks, cut by a running sum of their terms at ``QUERY_BYTES`` (a longer query goes alone), so what is
 broadcast has a proven bound, and each block is run against the written index.
@@ -25,6 +26,7 @@ one.  An empty table gives an empty result.  Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 
@@ -38,8 +40,8 @@ from plenum.llm.common import cut, documents
 from plenum.llm.suffix import _spread
 
 K1, B = 1.2, 0.75
-#: Documents of a block, and blocks that the pivot looks ahead for at a time.
-BLOCK, LOOK = 64, 32
+#: Documents of a block, and blocks that are scored between two moves of the pivot.
+BLOCK, LOOK = 64, 8
 #: Text of one shard, and of the terms of one block of queries.
 SHARD_BYTES, QUERY_BYTES = 24 << 20, 32 << 20
 _TERM = re.compile(r"\w+")
@@ -144,79 +146,87 @@ class Shard:
         # the largest weight of each term in each block: term by term, blocks ascending
         pair = row * self.blocks + doc // BLOCK
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        self.doc, self.weight = doc, weight
+        self.first, self.size = first, np.diff(np.append(first, len(pair)))
         self.top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         self.top_block = pair[first] % max(1, self.blocks)
         self.top_ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(vocabulary)))])
-        # document by document
-        turn = np.argsort(doc, kind="stable")
-        self.rows, self.weights = row[turn], weight[turn]
-        self.doc_ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
-
-    def scores(self, b: int, factors: np.ndarray) -> np.ndarray:
-        """The scores of the documents of block b; ``factors`` has idf * qtf of each term, 0 for those not asked."""
-        ends = self.doc_ends[b * BLOCK : min(self.n, (b + 1) * BLOCK) + 1]
-        part = self.weights[ends[0] : ends[-1]] * factors[self.rows[ends[0] : ends[-1]]]
-        return np.diff(np.concatenate([[0.0], np.cumsum(part)])[ends - ends[0]])
-
-    def best(self, rows: np.ndarray, factor: np.ndarray, k: int, factors: np.ndarray) -> list[tuple[int, float]]:
-        """The first k (doc_id, score) of a query's terms; ``factors`` is a zero vector over the vocabulary, handed back as such."""
+
+    def best(self, rows: np.ndarray, factor: np.ndarray, k: int, least: float | None = None) -> list[tuple[int, float]]:
+        """The first k (doc_id, score), of at least ``least``, of a query's terms, given as rows of the vocabulary with
+        idf * qtf; without ``least``, those of the most promising block only."""
         size = self.top_ends[rows + 1] - self.top_ends[rows]
-        place = _spread(self.top_ends[rows], size)
+        pairs = _spread(self.top_ends[rows], size)  # of a term and a block
+        factor, block = np.repeat(factor, size), self.top_block[pairs]
         # what a block can score at most, with some room for the order in which numbers are added
-        bound = np.bincount(self.top_block[place], self.top[place] * np.repeat(factor, size), self.blocks) * (1 + 1e-9) + 1e-6
-        factors[rows] = factor
+        bound = np.bincount(block, self.top[pairs] * factor, self.blocks) * (1 + 1e-9) + 1e-6
         found: list[tuple[float, int]] = []  # the best so far: (score, -doc_id), the worst of them first
-        limit = 1e-6 + 1e-9
-        lead = int(bound.argmax()) if self.blocks else 0
+        limit, asked = max(2e-6, least or 0.0), np.zeros(self.blocks, bool)
 
-        def score(b: int) -> None:
+        def score(blocks: np.ndarray) -> None:
+            """All documents of these blocks, each from all its terms that are asked for."""
             nonlocal limit
-            own = np.round(self.scores(b, factors), 6)
+            asked[blocks] = True
+            mine = np.flatnonzero(asked[block])
+            asked[blocks] = False
+            size = self.size[pairs[mine]]
+            place, low = _spread(self.first[pairs[mine]], size), int(blocks[0]) * BLOCK
+            own = np.round(np.bincount(self.doc[place] - low, self.weight[place] * np.repeat(factor[mine], size)), 6)
             for i in np.flatnonzero(own >= max(limit, 1e-6)).tolist():
-                hit = (float(own[i]), -int(self.ids[b * BLOCK + i]))
+                hit = (float(own[i]), -int(self.ids[low + i]))
                 if len(found) < k:
                     heapq.heappush(found, hit)
                 elif hit > found[0]:
                     heapq.heapreplace(found, hit)
             if len(found) == k:
-                limit = found[0][0]
-
-        if self.blocks and bound[lead] > limit:
-            score(lead)
-            pivot = 0
-            while True:
-                ahead = np.flatnonzero(bound[pivot:] >= limit)[:LOOK]
-                if not len(ahead):
-                    break
-                for b in (ahead + pivot).tolist():
-                    if b != lead and bound[b] >= limit:
-                        score(b)
-                pivot = b + 1
-        factors[rows] = 0.0
+                limit = max(limit, found[0][0])
+
+        if self.blocks and bound.max() >= limit:
+            lead = int(bound.argmax())
+            score(np.array([lead]))
+            bound[lead], pivot = 0.0, 0
+            while least is not None and len(ahead := np.flatnonzero(bound[pivot:] >= limit)[:LOOK]):
+                score(ahead + pivot)
+                pivot += int(ahead[-1]) + 1
         return [(-i, x) for x, i in sorted(found, key=lambda h: (-h[0], -h[1]))]
 
 
-def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the first k of each query of the block in each shard."""
+def _first(found: DataFrame, n_shards: int, k: int) -> DataFrame:
+    """(query_id, at, hit): the first k of each query, merged in two levels, so that no group has an answer of every shard."""
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(math.ceil(math.sqrt(n_shards)))).alias("salt")
+    some = found.groupBy("query_id", salt).agg(top).select("query_id", F.explode("best").alias("hit"))
+    best = some.select("query_id", (-F.col("hit.s")).alias("score"), "hit.doc_id").groupBy("query_id").agg(top)
+    return best.select("query_id", F.posexplode("best").alias("at", "hit"))
+
+
+def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int, n_shards: int) -> DataFrame:
+    """(query_id, doc_id, score): the first k of each query of the block in each shard.
+
+    The best blocks of all shards come first: their k-th best score is what every shard starts from.
+    """
     query, term, qtf, df = (block.column(c).to_numpy() for c in ("doc_id", "term", "qtf", "df"))
     order = np.lexsort((term, query))
     vocabulary, row = np.unique(term[order], return_inverse=True)
     ids, first = np.unique(query[order], return_index=True)
     factor = (qtf * np.log(1 + (n - df + 0.5) / (df + 0.5)))[order]
     queries = (ids, np.append(first, len(order)), row.astype(np.int32), factor)
-    shipped = shards.sparkSession.sparkContext.broadcast((vocabulary, queries))  # QUERY_BYTES, or one query
+    context = shards.sparkSession.sparkContext
+    shipped = context.broadcast((vocabulary, queries))  # QUERY_BYTES, or one query
 
-    def run(batches):
+    def answers(batches, least: dict[int, float] | None):
         vocabulary, (ids, ends, at, factor) = shipped.value
-        factors = np.zeros(len(vocabulary))
         for s in _shards(batches):
             shard, out = Shard(s, vocabulary, mean), []
             for i, q in enumerate(ids.tolist()):
                 part = slice(ends[i], ends[i + 1])
-                out += [(q, d, x) for d, x in shard.best(at[part], factor[part], k, factors)]
+                out += [(q, d, x) for d, x in shard.best(at[part], factor[part], k, None if least is None else least.get(q, 0.0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
 
-    return shards.mapInArrow(run, "query_id long, doc_id long, score double")
+    schema = "query_id long, doc_id long, score double"
+    first = _first(shards.mapInArrow(lambda batches: answers(batches, None), schema), n_shards, k).filter(F.col("at") == k - 1)
+    least = context.broadcast({r.query_id: -r.hit.s for r in first.collect()})  # one number a query of the block
+    return shards.mapInArrow(lambda batches: answers(batches, least.value), schema)
 
 
 def _blocks(sizes: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -235,7 +245,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     docs = documents(docs, id_col, text_col).filter("doc_id is not null")
     queries = documents(queries, id_col, text_col).filter("doc_id is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first().size
-    shards = cut(index(docs, max(1, -(-size // SHARD_BYTES))), "index")
+    n_shards = max(1, -(-size // SHARD_BYTES))
+    shards = cut(index(docs, n_shards), "index")
     counted = frequencies(shards).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "n", "length")])
     counted = cut(counted, "terms")
     whole = counted.filter("term is null").first()
@@ -245,8 +256,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     found = terms.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)
     for low, high in _blocks(terms.groupBy("doc_id").agg(F.count("*").alias("terms")), QUERY_BYTES // 32):
         block = terms.filter(F.col("doc_id").between(low, high)).toArrow()
-        found = found.union(cut(_run_block(shards, block, n, mean, k), "found"))
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select(
+        found = found.union(cut(_run_block(shards, block, n, mean, k, n_shards), "found"))
+    return _first(found, n_shards, k).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("hit.doc_id").alias("doc_id"), (-F.col("hit.s")).alias("score")
     )
