@@ -5,7 +5,7 @@
    follows from the threshold and the chosen miss probability.
 2. In every bucket (classes that share a band), each class is compared with the bucket's smallest one.
    Signature batches are compared one after another: once the posterior probability (uniform prior)
-   that the similarity reaches the threshold falls below ``miss``, the pair is pruned.  Survivors are
+   that the similarity reaches the threshold falls below its share of ``miss``, the pair is pruned.  Survivors are
    confirmed on the full sets.  The links found give components.
 3. Only buckets that still hold more than one component are compared further, inside workers, in tiles of
    bounded size: classes of different components, by signatures, and survivors at once on the full sets.
@@ -46,9 +46,14 @@ class Plan:
 
     def __init__(self, num: int, den: int, rows: int = 6, miss: float = 1e-7):
         self.num, self.den, self.rows, self.miss = num, den, rows, miss
-        t = num / den
-        self.bands = math.ceil(math.log(miss) / math.log1p(-(t**rows)))
-        self.size = self.bands * rows
+        t, looks = num / den, 0
+        while True:  # the bands and every look have an equal share of ``miss``
+            self.share = miss / (1 + looks)
+            self.bands = math.ceil(math.log(self.share) / math.log1p(-(t**rows)))
+            self.size = self.bands * rows
+            if -(-self.size // LOOK) <= looks:
+                break
+            looks = -(-self.size // LOOK)
         rng = np.random.default_rng(7)
         self.a = rng.integers(0, 1 << 31, self.size, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 1 << 32, self.size, dtype=np.uint32)
@@ -56,10 +61,10 @@ class Plan:
         self.least = [self._least(n, t) for n in self.looks]
 
     def _least(self, n: int, t: float) -> int:
-        """The fewest matches of n with which P(similarity >= t) is still ``miss``; that is
+        """The fewest matches of n with which P(similarity >= t) is still its share of ``miss``; that is
         P(Binomial(n + 1, t) <= matches), by the identity with the incomplete beta function."""
         total, m = 0.0, -1
-        while total < self.miss:
+        while total < self.share:
             m += 1
             total += math.exp(
                 math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log1p(-t)

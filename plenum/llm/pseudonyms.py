@@ -11,7 +11,7 @@ same pseudonym in every document, two values never share one, and the text aroun
   groups of digits, 8 to 15 in all; blanks, hyphens, dots or brackets between.  The digits after the country
   code (1, or two digits) are permuted.
 - ``ssn``: ddd-dd-dddd with an area of 001 to 899 but 666, a group from 01 and a serial from 0001.  It stays so.
-- ``ip``: four numbers of 0 to 255 joined by dots; a port or a path may follow.  The 32 bits are permuted.
+- ``ip``: four numbers of 0 to 255 without leading zeros, joined by dots; a port or a path may follow.  The 32 bits are permuted.
 - ``date``: yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy that the calendar has, from
   1900-01-01 to 2099-12-31; T and a time, or a path, may follow.  The day's number is permuted among the 73,049
   days; the form stays.
@@ -143,7 +143,7 @@ def _is_card(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """The kind of a matched value that is valid, else null."""
-    is_ip = v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    is_ip = v.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")  # 010.0.0.1 would share its pseudonym with 10.0.0.1
     is_ssn = v.rlike(r"^\d{3}-\d{2}-\d{4}$")
     is_date = v.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\2\d{4})$")
     octets = reduce(lambda a, b: a & b, [F.split_part(v, F.lit("."), F.lit(k)).try_cast("int") <= 255 for k in (1, 2, 3, 4)])

@@ -37,11 +37,11 @@ from plenum.llm import pieces
 from plenum.llm.common import documents
 
 BLOCK = 1 << 20
-#: The dictionary is trained on at most so many runs of at most so many ids, those with the smallest hashes.
-TRAIN_RUNS, TRAIN_IDS, DICTIONARY_BYTES = 1500, 2048, 64 << 10
+#: The dictionary is trained on at most so many documents, and runs of at most so many ids, those with the smallest hashes.
+TRAIN_DOCS, TRAIN_RUNS, TRAIN_IDS, DICTIONARY_BYTES = 500, 1500, 2048, 64 << 10
 LEVEL = 3
-#: Text of one shard.
-SHARD_BYTES = 16 << 20
+#: Text of one shard, shards at most (beyond, they grow), and ranges of ids whose bytes are counted at a time.
+SHARD_BYTES, SHARDS, CELLS = 16 << 20, 100_000, 100_000
 FRAME = "doc_id long, shard int, n_tokens long, frame binary"
 BLOCKS = (
     "shard int, start long, n_tokens long, first_id long, last_id long, dict_hash string, "
@@ -79,7 +79,7 @@ def _rows(batch: pa.RecordBatch, at_once: int = 512) -> Iterator[tuple[list, lis
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
     """A dictionary from runs of ids of documents all over the table; empty where there is too little."""
-    picked = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").orderBy("h").limit(TRAIN_RUNS // 3)
+    picked = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").orderBy("h").limit(TRAIN_DOCS)
 
     def run(batches):
         enc = load(path, end_id)
@@ -100,6 +100,45 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
         return b""
 
 
+def _shard_bounds(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Ranges of doc_id with about ``SHARD_BYTES`` of text each: the first id of each but the first, at most ``SHARDS`` - 1.
+
+    Bytes are summed up by ranges of ids (``CELLS`` of equal width, a bounded number), and again inside cells that are too
+    heavy, until no range is too heavy or has one id; so neither quantiles nor ids gather on the driver.
+    """
+    row = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()
+    n_shards = min(SHARDS, max(1, -(-row.n // SHARD_BYTES)))
+    if n_shards == 1 or row.a is None or row.a == row.z:
+        return np.zeros(0, np.int64), 1
+    most = row.n / n_shards
+    cells: dict[tuple[int, int], int] = {}  # (first id, last id) -> bytes
+    heavy = [(row.a, row.z)]
+    while heavy:
+        width = [max(1, -(-(z - a + 1) * len(heavy) // min(CELLS, 64 * n_shards))) for a, z in heavy]
+        k = F.lit(None).cast("int")
+        for i, (a, z) in enumerate(heavy):
+            k = F.when(F.col("doc_id").between(a, z), i).otherwise(k)
+        first, step = (F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("k") + 1) for xs in ([a for a, _ in heavy], width))
+        found = docs.select("doc_id", F.octet_length("text").cast("long").alias("n"), k.alias("k")).filter("k is not null")
+        found = found.groupBy("k", F.floor((F.col("doc_id").cast("decimal(20,0)") - first.cast("decimal(20,0)")) / step.cast("decimal(20,0)")).cast("long").alias("cell")).agg(F.sum("n").alias("n")).collect()  # CELLS + len(heavy) rows at most
+        again = []
+        for r in found:
+            a = heavy[r.k][0] + r.cell * width[r.k]
+            z = min(heavy[r.k][1], a + width[r.k] - 1)
+            if r.n > 2 * most and z > a and len(again) < 200:
+                again.append((a, z))
+            else:
+                cells[a, z] = r.n
+        heavy = again
+    bounds, held = [], 0
+    for (a, _), n in sorted(cells.items()):
+        if held and held + n > most:
+            bounds.append(a)
+            held = 0
+        held += n
+    return np.array(bounds, np.int64), len(bounds) + 1
+
+
 def _codec(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
@@ -113,10 +152,7 @@ def write_store(
     dictionary = train_dictionary(docs, path, end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     shipped = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
-    n_shards = max(1, -(-size // SHARD_BYTES))
-    # ranges of doc_id from its quantiles, so texts are encoded once and not again to find the ranges
-    bounds = np.array(docs.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.2 / n_shards) if n_shards > 1 else [])
+    bounds, n_shards = _shard_bounds(docs)
 
     def frames(batches):
         enc = load(path, end_id)
@@ -124,7 +160,7 @@ def write_store(
         for batch in batches:
             for ids, texts in _rows(batch):
                 packed = enc.encode_batch(texts)
-                shard = [0 if i is None else int(np.searchsorted(bounds, i)) for i in ids]
+                shard = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -163,13 +199,13 @@ def write_store(
         if held:
             yield block()
 
-    ranged = docs.mapInArrow(frames, FRAME).repartition(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "frame")
+    ranged = docs.mapInArrow(frames, FRAME).repartitionById(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "frame")
     ranged.mapInArrow(blocks, BLOCKS).write.parquet(f"{out}/blocks")
     width = load(path, end_id).width.itemsize
     spark.createDataFrame([(dict_hash, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{out}/dictionary")
     sizes = spark.read.schema(BLOCKS).parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.min("first_id").alias("id"))
     at, shards = 0, []
-    for r in sorted(sizes.collect(), key=lambda r: r.shard):  # one row a shard
+    for r in sorted(sizes.collect(), key=lambda r: r.shard):  # one row a shard, SHARDS at most
         shards.append((r.shard, at))
         at += r.n
     spark.createDataFrame(shards, "shard int, start long").coalesce(1).write.parquet(f"{out}/shards")

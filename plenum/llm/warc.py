@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
-A record is a row: record_id, record_type, target_uri, warc_date, headers (map of all its named fields) and
-block (its bytes).  ``read_warc`` gets such rows from WARC files (plain, or gzip members), ``responses`` builds
+A record is a row: record_id, record_type, target_uri, warc_date, headers (all its named fields, in order, also those
+that repeat) and block (its bytes).  ``read_warc`` gets such rows from WARC files (plain, or gzip members), ``responses`` builds
 them from a table of pages, ``derive`` makes for each response
 
 - a ``metadata`` record (application/warc-fields) with the HTTP status, every HTTP header of the source,
@@ -16,29 +16,30 @@ Cases: a null block is empty; a block without a blank line is a payload without
 the source states is kept as it is, even if wrong; one that it doesn't state is worked out.  A payload that is
 no text (by its content type) gets a metadata record only.  Bytes that aren't in the charset that the source
 names (else UTF-8) become the replacement character.  A null id gets an id from the block.  A null URI gives
-no URI field.  Rows that repeat give repeated records.  An empty table gives none.
+no URI field.  Rows that repeat give repeated records.  An empty table gives none.  Damaged files give the records that
+can be read (see ``parse``).  Chunked and compressed payloads are decoded for the text; digests are of what was sent.
+Other columns are left out, but for those that ``derive`` is told to ``keep``, which must not have a record's names.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "record_id string, record_type string, target_uri string, warc_date string, headers map<string,string>, block binary"
+RECORD = "record_id string, record_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 DERIVED = RECORD + ", refers_to string, record binary"
 _ARROW = pa.schema([
     ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()),
-    ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()),
+    ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary()),
 ])
 _ARROW_DERIVED = _ARROW.append(pa.field("refers_to", pa.string())).append(pa.field("record", pa.binary()))
 _SPACE = uuid.UUID("6f0f7c52-9f0e-5b53-8f5e-2f6f4f2f7a10")
@@ -48,26 +49,55 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _unpacked(raw: bytes) -> bytes:
+    """The bytes of all gzip members; of a member that is cut off or damaged, what can be read before that."""
+    out, at = [], raw
+    while at[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(at))
+        except zlib.error:
+            break
+        at = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def parse(raw: bytes) -> Iterator[dict]:
-    """The records of one WARC file."""
+    """The records of one WARC file.
+
+    Names of fields are read in any case, fields that repeat or go on in a next line are kept.  A record without a length that
+    can be read goes up to the next record; one that is cut off has the bytes that are there.
+    """
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()  # all members
+        raw = _unpacked(raw)
     at = 0
     while (start := raw.find(b"WARC/", at)) >= 0:
         end = raw.find(b"\r\n\r\n", start)
         if end < 0:
             return
-        fields: dict[str, str] = {}
+        fields: list[tuple[str, str]] = []
         for line in raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
-            if colon:
-                fields[name.strip()] = value.strip()
-        size = int(fields.get("Content-Length", "0"))
+            if line[:1] in (" ", "\t") and fields:
+                fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip())
+            elif colon:
+                fields.append((name.strip(), value.strip()))
+        first = {n.lower(): v for n, v in reversed(fields)}
+        size = first.get("content-length", "")
+        if size.isascii() and size.isdigit():
+            stop = end + 4 + int(size)
+        else:
+            nxt = raw.find(b"\r\n\r\nWARC/", end + 4)
+            stop = nxt if nxt >= 0 else len(raw)
         yield {
-            "record_id": fields.get("WARC-Record-ID"), "record_type": fields.get("WARC-Type"), "target_uri": fields.get("WARC-Target-URI"),
-            "warc_date": fields.get("WARC-Date"), "headers": list(fields.items()), "block": raw[end + 4 : end + 4 + size],
+            "record_id": first.get("warc-record-id"), "record_type": (first.get("warc-type") or "").lower() or None, "target_uri": first.get("warc-target-uri"),
+            "warc_date": first.get("warc-date"), "headers": fields, "block": raw[end + 4 : stop],
         }
-        at = end + 4 + size
+        at = stop
+
+
+def _named(record: dict) -> dict:
+    return record | {"headers": [{"name": n, "value": v} for n, v in record["headers"]]}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +107,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content"):
                 for record in parse(raw.as_py()):
-                    yield pa.RecordBatch.from_pylist([record], _ARROW)
+                    yield pa.RecordBatch.from_pylist([_named(record)], _ARROW)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
@@ -96,7 +126,7 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str
         F.lit("response").alias("record_type"),
         uri.alias("target_uri"),
         F.lit(date).alias("warc_date"),
-        F.create_map(F.lit("Content-Type"), F.lit("application/http; msgtype=response")).alias("headers"),
+        F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("application/http; msgtype=response").alias("value"))).alias("headers"),
         block.alias("block"),
     )
 
@@ -142,6 +172,33 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], pairs, payload
 
 
+def decoded(http: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content coding (chunks, gzip, deflate), as far as it can be read."""
+    named = lambda name: " ".join(v.lower() for n, v in http if n.lower() == name)
+    if "chunked" in named("transfer-encoding"):
+        parts, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            size = payload[at:end].split(b";")[0].strip()
+            if not size or size.strip(b"0123456789abcdefABCDEF"):
+                parts.append(payload[at:])  # not in chunks, whatever the header says
+                break
+            if not int(size, 16):
+                break
+            parts.append(payload[end + 2 : end + 2 + int(size, 16)])
+            at = end + 4 + int(size, 16)
+        payload = b"".join(parts) or payload
+    coding = named("content-encoding")
+    if "gzip" in coding and payload[:2] == b"\x1f\x8b":
+        return _unpacked(payload)
+    if "deflate" in coding:
+        for bits in (15, -15):
+            try:
+                return zlib.decompress(payload, bits)
+            except zlib.error:
+                pass
+    return payload
+
+
 def _one_line(value: str) -> str:
     return " ".join(value.split())
 
@@ -167,20 +224,22 @@ def _record(kind: str, source: dict, content_type: str, block: bytes, more: list
 def derive_one(source: dict) -> list[dict]:
     """The metadata record of a response and, for text, its conversion record."""
     block = source["block"] or b""
-    stated = dict(source["headers"] or [])
+    stated = [(h["name"], h["value"] or "") for h in source["headers"] or [] if h and h["name"]]
+    digests = {n.lower(): v for n, v in reversed(stated)}
     status, http, payload = split_http(block)
+    plain = decoded(http, payload)
     kinds = [v for n, v in http if n.lower() == "content-type"] or ["text/html"]
     is_html, is_text = "html" in kinds[0].lower(), kinds[0].lower().startswith("text/") or "html" in kinds[0].lower()
     found = _CHARSET.search(kinds[0])
     try:
-        page = payload.decode(found.group(1) if found else "utf-8", "replace") if is_text else ""
+        page = plain.decode(found.group(1) if found else "utf-8", "replace") if is_text else ""
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     lines = [("httpStatus", status)] if status else []
     lines += [(f"httpHeader-{n}", v) for n, v in http]
-    lines.append(("sourceBlockDigest", stated.get("WARC-Block-Digest") or digest(block)))
-    lines.append(("sourcePayloadDigest", stated.get("WARC-Payload-Digest") or digest(payload)))
-    lines += [(f"sourceHeader-{n}", v) for n, v in stated.items() if not n.endswith("-Digest")]
+    lines.append(("sourceBlockDigest", digests.get("warc-block-digest") or digest(block)))
+    lines.append(("sourcePayloadDigest", digests.get("warc-payload-digest") or digest(payload)))
+    lines += [(f"sourceHeader-{n}", v) for n, v in stated if not n.lower().endswith("-digest")]
     if is_html:
         title = title_of(page)
         lines += [("title", title)] if title else []
@@ -208,7 +267,7 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 made, at = [], []
                 for i, source in enumerate(part.select(own).to_pylist()):
                     new = derive_one(source)
-                    made += new
+                    made += map(_named, new)
                     at += [i] * len(new)
                 out = pa.RecordBatch.from_pylist(made, _ARROW_DERIVED)
                 rows = pa.array(at, pa.int32())
@@ -225,7 +284,7 @@ def pages_to_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -
     return made.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri",
         F.octet_length("block").cast("long").alias("content_length"),
-        F.col("headers")["WARC-Block-Digest"].alias("block_digest"), "record",
+        F.get(F.filter("headers", lambda h: h["name"] == "WARC-Block-Digest"), F.lit(0))["value"].alias("block_digest"), "record",
     )
 
 

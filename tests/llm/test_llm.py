@@ -177,6 +177,10 @@ def test_token_store(spark, texts, tmp_path, monkeypatch):
         want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_summary(spark, out).collect()} == want
+    twice = [(None, "a b"), (7, "c d e"), (7, "c d e"), (2, "")]
+    token_store.write_store(table(spark, twice), out + "2", path, end_id=2)
+    sizes = [len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in ("a b", "", "c d e", "c d e")]
+    assert sorted((r.start, str(r.doc_id), r.n_tokens) for r in token_store.read_summary(spark, out + "2").collect()) == [(sum(sizes[:k]), i, sizes[k]) for k, i in enumerate(["None", "2", "7", "7"])]
     assert token_store.lookup(spark, out, [5]) == {5: tok.encode(texts[5][1], add_special_tokens=False).ids + [2]}
 
 
@@ -344,6 +348,85 @@ def test_warc(spark, tmp_path):
     assert sorted(r.record_id for r in back) == sorted(r.record_id for r in out)
 
 
+def test_warc_damaged(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    record = lambda i, length, body: f"WARC/1.0\r\nwarc-type: Response\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Concurrent-To: <urn:a>\r\nwarc-concurrent-to: <urn:b>\r\nX-Long: one\r\n two\r\n{length}\r\n\r\n{body}\r\n\r\n".encode()
+    raw = record(1, "Content-Length: x", "first") + record(2, "content-length: 6", "second") + record(3, "Content-Length: 500", "cut off")
+    got = list(warc.parse(raw))
+    assert [(r["record_id"], r["record_type"], r["block"]) for r in got] == [("<urn:1>", "response", b"first"), ("<urn:2>", "response", b"second"), ("<urn:3>", "response", b"cut off\r\n\r\n")]
+    assert [v for n, v in got[0]["headers"] if n.lower() == "warc-concurrent-to"] == ["<urn:a>", "<urn:b>"] and ("X-Long", "one two") in got[0]["headers"]
+    members = gzip.compress(record(1, "Content-Length: 5", "first")) + gzip.compress(record(2, "Content-Length: 6", "second"))
+    assert [r["block"] for r in warc.parse(members)] == [b"first", b"second"]
+    assert [r["block"] for r in warc.parse(members[:-20])][0] == b"first" and list(warc.parse(b"")) == list(warc.parse(b"WARC/1.0\r\n")) == []
+    (tmp_path / "a.warc").write_bytes(raw)
+    meta = warc.derive(warc.read_warc(spark, str(tmp_path / "a.warc"))).filter("record_type = 'metadata'").collect()
+    assert len(meta) == 3 and all(bytes(r.block).count(b"-concurrent-to: <urn:") + bytes(r.block).count(b"-Concurrent-To: <urn:") == 2 for r in meta)
+    page = "<p>Caf\u00e9 " + "long " * 50_000 + "</p>"
+    for headers, body in (
+        ("Content-Encoding: gzip", gzip.compress(page.encode())), ("Content-Encoding: deflate", z.compress(page.encode())),
+        ("Transfer-Encoding: chunked", b"5\r\n" + page.encode()[:5] + b"\r\n" + f"{len(page.encode()) - 5:x};x=1\r\n".encode() + page.encode()[5:] + b"\r\n0\r\n\r\n"), ("X: y", page.encode()),
+    ):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{headers}\r\n\r\n".encode() + body
+        made = warc.derive_one({"record_id": "<urn:1>", "target_uri": None, "warc_date": None, "headers": None, "block": block})
+        assert made[1]["block"].decode() == "Caf\u00e9 " + ("long " * 50_000).strip() and warc.digest(body).encode() in made[0]["block"]
+    assert warc.derive_one({"record_id": None, "target_uri": None, "warc_date": None, "headers": [], "block": None})[0]["record_type"] == "metadata"
+    none = spark.createDataFrame([], "page_id long, url string, html string, record string")
+    assert warc.pages_to_derivatives(none).count() == 0
+
+
+def test_feistel_is_a_permutation_of_each_kind(spark):
+    """Each kind's values against what makes it valid, and against each other."""
+    import ipaddress
+
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(d[::-1])) % 10 == 0
+    rng = random.Random(1)
+    cards = {c for c in ("4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(4000)) if luhn(c)}
+    ips = {str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(400)} | {"0.0.0.0", "255.255.255.255", "10.0.0.1"}
+    ssns = {f"{a:03}-{b:02}-{c:04}" for a in (1, 665, 667, 899) for b in (1, 99) for c in range(1, 60)}
+    phones = {f"+1 (743) 555-{k:04}" for k in range(400)}
+    rows = [(k, t) for k, t in enumerate([*sorted(cards), *sorted(ips), *sorted(ssns), *sorted(phones), "010.0.0.1", "long " * 20_000 + "10.0.0.1", "10.0.0.1", "10.0.0.1"])]
+    out = pseudonyms.pseudonymise(table(spark, rows), "k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    new = {t: got[k] for k, t in rows}
+    assert new["010.0.0.1"] == "010.0.0.1" and new["long " * 20_000 + "10.0.0.1"].endswith(" " + new["10.0.0.1"])
+    for kind, valid in (
+        (cards, luhn), (ips, lambda x: str(ipaddress.ip_address(x)) == x), (phones, lambda x: re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", x)),
+        (ssns, lambda x: x[:3] not in ("000", "666") and x < "900" and x[4:6] != "00" and x[7:] != "0000"),
+    ):
+        assert len({new[t] for t in kind}) == len(kind) and all(valid(new[t]) for t in kind) and any(new[t] != t for t in kind)
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.select("doc_id", "text"), "k", undo=True).collect()} == dict(rows)
+
+
+def test_shards_hold_like_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 1000)
+    rows = [(i, "x" * 100) for i in [*range(0, 50), *range(10**12, 10**12 + 50), -(1 << 62), (1 << 62) + 5]] + [(7, "y" * 5000)]
+    bounds, n = token_store._shard_bounds(token_store.documents(table(spark, rows)))
+    size = np.bincount([int(np.searchsorted(bounds, i, side="right")) for i, t in rows for _ in t], minlength=n)
+    assert n == len(bounds) + 1 >= 8 and sorted(size)[-2] <= 3500
+    assert token_store._shard_bounds(token_store.documents(table(spark, [(None, "x")])))[1] == 1
+
+
+@pytest.mark.parametrize("extra", [[], [(None, None), (None, "one two"), (3, "one"), (3, "one")]])
+def test_pipeline_of_odd_rows(spark, texts, tmp_path, extra):
+    import corpus_pipeline
+
+    rows = (texts if extra else []) + extra
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "s", "x", "y") for i, t in rows], "doc_id long, text string, source string, position string, __row string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name != "byte_bpe":
+            assert out.columns == ["doc_id", "text", "source", "position", "__row"]
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    kept = sorted(str(r.doc_id) for r in docs.collect())
+    assert kept == sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) and kept.count("3") == (1 if extra else 0)
+
+
 def test_empty_tables(spark):
     none = table(spark, [(1, "x")]).filter("doc_id = 2")
     path, pattern = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()
