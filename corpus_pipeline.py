@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again as the next one's input.
+
+Cases: a null text counts as empty, and all empty texts are equal, so one of them stays.  Rows without doc_id pass the
+filters as rows of their own unless their text is equal to another's.  Rows that repeat are one.  A null source is the
+source ''.  Without labels of both kinds no text is toxic.  Other columns are handed on whatever their names; the last stage
+gives its own columns.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
