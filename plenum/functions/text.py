@@ -83,6 +83,27 @@ def term_of(day: Column) -> Column:
     return out
 
 
+def collation_key(c: Column) -> Column:
+    """A sort key that ignores case and puts an accented letter right behind the plain one; null sorts as empty."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.struct(fold(low).alias("plain"), low.alias("accented"))
+
+
+# How a term is printed, and its number.
+TERM_LABELS: dict[str, int] = {
+    "1990-94": 34, "1994-98": 35, "1998-2002": 36, "2002-2006": 37, "2006-2010": 38,
+    "2010-2014": 39, "2014-2018": 40, "2018-2022": 41, "2022-2026": 42, "2026-": 43,
+}
+
+
+def term_of_label(c: Column) -> Column:
+    """The number of a term as it is printed; null for any other text."""
+    out = F.lit(None).cast("int")
+    for label, number in TERM_LABELS.items():
+        out = F.when(F.trim(c) == label, number).otherwise(out)
+    return out
+
+
 # Terms and the day each began.
 TERMS: list[tuple[int, str]] = [
     (34, "1990-05-02"), (35, "1994-06-28"), (36, "1998-06-18"), (37, "2002-05-15"), (38, "2006-05-16"),

@@ -35,6 +35,11 @@ def close(votes: DataFrame) -> DataFrame:
     return known.withColumn("distance", F.abs("margin")).orderBy("distance", "vote")
 
 
+def list_verdicts(votes: DataFrame, listed: str) -> DataFrame:
+    """Verdicts of decisions from the numbers of a listing alone: ``listed``, the votes cast, stands for those present."""
+    return verdicts(votes.filter("kind = 'decision' and yes is not null").withColumn("present", F.col(listed))).withColumn("present_basis", F.lit("list"))
+
+
 def sunk(votes: DataFrame) -> DataFrame:
     """Decisions under a qualified rule with more yes than no that failed."""
     return verdicts(votes).filter(F.col("rule").isin(*QUALIFIED) & ~F.col("passed") & (F.col("yes") > F.col("no")) & (F.col("kind") == "decision"))

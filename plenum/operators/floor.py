@@ -6,7 +6,7 @@ kind, event, numbers, seconds, technical, reprint).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions import text
@@ -38,6 +38,22 @@ def bill_journeys(motions: DataFrame) -> DataFrame:
     return out.join(names, "number").withColumn("label", F.when(F.col("prefix").isNotNull(), F.concat_ws("/", "prefix", F.col("number").cast("string"))).otherwise(F.col("number").cast("string")))
 
 
+# The kinds of speeches that count as speaking on a matter.
+SUBSTANTIVE = [
+    "felszólalás", "kétperces felszólalás", "vezérszónoki felszólalás", "napirend előtti felszólalás", "napirend előttihez hozzászólás",
+    "napirend utáni felszólalás", "napirend utánihoz hozzászólás", "elhangzik az interpelláció/kérdés/azonnali kérdés", "kérdés megválaszolva",
+    "interpelláció szóban megválaszolva", "azonnali kérdésre adott képviselői viszonválasz", "azonnali kérdésre adott miniszteri viszonválasz",
+    "képviselő elfogadta a választ", "képviselő elutasította a választ", "előadói válasz", "előterjesztő nyitóbeszéde",
+    "ismerteti a bizottság véleményét", "bizottság kisebbségi véleményének ismertetése", "ügyrendi javaslat", "ügyrendi kérdés",
+    "bejelentés helyettes válaszadó elutasításáról", "expozé", "önálló indítvány indokolása", "sürgősség indoklása", "kivételes eljárás indoklása",
+]
+
+
+def technical(kind: Column, reprint: Column) -> Column:
+    """Does a speech not count as speaking on a matter?  A reprint doesn't, nor does a kind that isn't listed, or none."""
+    return reprint | ~F.lower(F.coalesce(kind, F.lit(""))).isin(*SUBSTANTIVE)
+
+
 def substantive(speeches: DataFrame) -> DataFrame:
     return speeches.filter(~F.col("technical") & ~F.col("reprint"))
 

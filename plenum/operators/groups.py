@@ -7,6 +7,7 @@ Input rows are positions (vote, member, grp, position), one for each member and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAST = ("yes", "no", "abstain")
@@ -41,11 +42,15 @@ def tallies(pos: DataFrame) -> DataFrame:
 
 def plurality(pos: DataFrame) -> DataFrame:
     """Tallies with cast, plurality (null where two positions tie for the most) and majority_share."""
+    return _with_plurality(tallies(pos))
+
+
+def _with_plurality(rows: DataFrame) -> DataFrame:
     most = F.greatest("yes", "no", "abstain")
     tops = sum((F.col(p) == most).cast("int") for p in CAST)
     cast = F.col("yes") + F.col("no") + F.col("abstain")
     which = F.when(F.col("yes") == most, "yes").when(F.col("no") == most, "no").otherwise("abstain")
-    return tallies(pos).withColumns({
+    return rows.withColumns({
         "cast": cast,
         "plurality": F.when((cast > 0) & (tops == 1), which),
         "majority_share": F.try_divide(most.cast("double"), cast),
@@ -53,9 +58,13 @@ def plurality(pos: DataFrame) -> DataFrame:
 
 
 def aligned(pos: DataFrame) -> DataFrame:
-    """Positions with ``align``: with, against, or null (not cast, or the group has no plurality)."""
-    side = plurality(pos).select("vote", "grp", "plurality")
-    return pos.join(side, ["vote", "grp"], "left").withColumn(
+    """Positions with ``align``: with, against, or null (not cast, or the group has no plurality).
+
+    The group's tallies are summed beside its own rows, so nothing is joined: a group in one vote is a bounded window.
+    """
+    own = W.partitionBy("vote", "grp")
+    rows = pos.withColumns({p: F.sum((F.col("position") == p).cast("int")).over(own) for p in CAST})
+    return _with_plurality(rows).drop(*CAST, "cast", "majority_share").withColumn(
         "align",
         F.when(F.col("position").isin(*CAST) & F.col("plurality").isNotNull(), F.when(F.col("position") == F.col("plurality"), "with").otherwise("against")),
     )

@@ -38,17 +38,17 @@ def fit(i: np.ndarray, j: np.ndarray, y: np.ndarray, members: int, votes: int, i
     return x, a, b
 
 
-def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = ()) -> DataFrame:
+def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = (), order: str = "vote") -> DataFrame:
     """(term, member, grp, position, spread, votes, accuracy, null_accuracy, apre) from (term, vote, member, grp, position).
 
-    Only yes and no of divided votes, and members with ``least`` of them; a term with fewer than ``least``
+    A member's group is the last by ``order`` (a column, such as the time of a vote).  Only yes and no of divided votes, and members with ``least`` of them; a term with fewer than ``least``
     members or votes gives no rows.  The anchor group (the first of ``anchors`` present, else the largest)
     has a mean of at least 0.  A term is one task: some hundreds of members by some ten thousand votes.
     """
-    keyed = pos.withColumn("vote", F.concat_ws("|", "term", "vote"))
+    keyed = pos.withColumn("turn", F.col(order)).withColumn("vote", F.concat_ws("|", "term", "vote"))
     split = divided(keyed).select("vote")
     rows = keyed.filter("position in ('yes', 'no')").join(split, "vote", "left_semi")
-    often = rows.groupBy("term", "member").agg(F.count("*").alias("n"), F.max_by("grp", "vote").alias("own")).filter(F.col("n") >= least)
+    often = rows.groupBy("term", "member").agg(F.count("*").alias("n"), F.max_by("grp", "turn").alias("own")).filter(F.col("n") >= least)
     rows = rows.join(often, ["term", "member"]).select(F.col("term").cast("string").alias("term"), F.col("member").cast("long").alias("member"), F.col("own").cast("string").alias("grp"), "vote", (F.col("position") == "yes").cast("int").alias("y"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,9 +56,10 @@ def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = ())
         i, names = pd.factorize(pdf["member"], sort=True)
         j, votes = pd.factorize(pdf["vote"], sort=True)
         if len(names) < least or len(votes) < least:
-            return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
+            kinds = {"string": object, "long": np.int64, "double": np.float64}
+            return pd.DataFrame({c.split()[0]: np.zeros(0, kinds[c.split()[1]]) for c in SCHEMA.split(", ")})
         y = pdf["y"].to_numpy(float)
-        grp = pdf.groupby("member")["grp"].last().reindex(names).to_numpy()
+        grp = pdf.groupby("member")["grp"].last().reindex(names).to_numpy(object)
         x, a, b = fit(i, j, y, len(names), len(votes), ITERATIONS)
         present = list(pd.Series(grp).value_counts().index)
         anchor = next((g for g in anchors if g in present), present[0])
@@ -79,7 +80,7 @@ def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = ())
         return pd.DataFrame({
             "term": pdf["term"].iloc[0], "member": np.asarray(names), "grp": grp, "position": np.round(x, 4), "spread": np.round(np.std(draws, axis=0), 4),
             "votes": np.bincount(i, minlength=len(names)), "accuracy": right, "null_accuracy": null, "apre": (right - null) / (1 - null) if null < 1 else 0.0,
-        })
+        }).astype({"term": object, "grp": object})
 
     return rows.groupBy("term").applyInPandas(run, SCHEMA)
 

@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 # Patterns of robots, in the order in which they are tried.
 ROBOTS: list[tuple[str, str]] = [
-    ("search", r"googlebot|bingbot|duckduckbot|yandex"),
-    ("archive", r"archive\.org|ccbot|commoncrawl"),
-    ("model", r"gptbot|claudebot|perplexity"),
-    ("tool", r"curl|wget|python-requests|go-http"),
-    ("other", r"bot|crawl|spider|preview"),
+    ("Googlebot", r"Googlebot|Google-InspectionTool|Storebot-Google"),
+    ("Bingbot", r"bingbot|BingPreview|adidxbot"),
+    ("GPTBot", r"GPTBot"),
+    ("ClaudeBot", r"ClaudeBot|Claude-Web|anthropic-ai"),
+    ("CCBot", r"CCBot"),
+    ("PerplexityBot", r"PerplexityBot"),
+    ("Applebot", r"Applebot"),
+    ("YandexBot", r"YandexBot"),
+    ("DuckDuckBot", r"DuckDuckBot|DuckAssistBot"),
+    ("SeznamBot", r"SeznamBot"),
+    ("AhrefsBot", r"AhrefsBot"),
+    ("SemrushBot", r"SemrushBot"),
+    ("MJ12bot", r"MJ12bot"),
+    ("Bytespider", r"Bytespider"),
+    ("Meta", r"meta-externalagent|facebookexternalhit"),
+    ("Twitter", r"Twitterbot"),
+    ("feed reader", r"Feedly|Inoreader|NewsBlur|Miniflux|FreshRSS|Tiny Tiny RSS"),
+    ("monitor", r"UptimeRobot|Pingdom|StatusCake|curl/|wget|python-requests|okhttp|Go-http-client"),
+    ("other robot", r"[Bb]ot\b|[Ss]pider|[Cc]rawler|scrapy|HeadlessChrome"),
 ]
 
 
@@ -19,7 +33,7 @@ def robot(agent: Column) -> Column:
     """The first class of robots whose pattern the agent matches; null for a reader."""
     out = None
     for name, pattern in ROBOTS:
-        hit = F.lower(agent).rlike(pattern)
+        hit = agent.rlike(pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
@@ -33,14 +47,14 @@ def traffic(log: DataFrame, assets: str, host: str, heavy: int = 150) -> DataFra
 
 
 def freshness(state: DataFrame, now: Column, stale_hours: int = 48) -> DataFrame:
-    """status of (sitting_days array<date>, newest_vote timestamp, last_sync timestamp): in this order, empty,
-    unknown, behind (a sitting day after the newest vote's has passed), stale, current."""
-    today = now.cast("date")
-    missed = F.filter("sitting_days", lambda d: (d < today) & (d > F.col("newest_vote").cast("date")))
+    """status of (sitting_days array<date>, newest_vote timestamp, last_sync timestamp): in this order, empty, unknown (no
+    list, or none of its days has come), behind (a sitting day up to today is after the newest vote's), stale, current."""
+    occurred = F.filter("sitting_days", lambda d: d <= now.cast("date"))
+    missed = F.filter(occurred, lambda d: d > F.col("newest_vote").cast("date"))
     age = (F.unix_timestamp(now) - F.unix_timestamp("last_sync")) / 3600
     return state.withColumns({"missed": F.size(missed), "sync_hours": age}).withColumn(
         "status",
-        F.when(F.col("newest_vote").isNull(), "empty").when(F.col("sitting_days").isNull(), "unknown").when(F.size(missed) > 0, "behind")
+        F.when(F.col("newest_vote").isNull(), "empty").when(F.coalesce(F.size(occurred), F.lit(0)) <= 0, "unknown").when(F.size(missed) > 0, "behind")
         .when(F.col("last_sync").isNull() | (age > stale_hours), "stale").otherwise("current"),
     )
 
@@ -76,6 +90,11 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """(value, n): how many rows have each value of a column."""
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def sectors(seats: DataFrame) -> DataFrame:
     """Seats (sector, row, seat, grp, member): members by sector and group, doubly taken seats, and where each sector leans."""
     twice = seats.groupBy("sector", "row", "seat").agg(F.count("*").alias("n")).groupBy("sector").agg(F.count_if(F.col("n") > 1).alias("duplicates"))

@@ -11,9 +11,10 @@ from plenum.functions import text
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row of each key: the first by ``order``.  Minima of structs combine before the shuffle."""
-    rest = [c for c in rows.columns if c not in key]
-    best = F.min(F.struct(*order, F.struct(*rest).alias("__row"))).alias("__best")
-    return rows.groupBy(*key).agg(best).select(*key, "__best.__row.*")
+    rest = [c for c in rows.columns if c not in key and c not in order]
+    best = F.min(F.struct(*order, *([F.struct(*rest).alias("__row")] if rest else []))).alias("__best")
+    at = {c: f"__best.{c}" if c in order else f"__best.__row.{c}" for c in rows.columns if c not in key}
+    return rows.groupBy(*key).agg(best).select(*key, *[F.col(x).alias(c) for c, x in at.items()])
 
 
 def merge(listing: DataFrame, detail: DataFrame, key: str, listed: list[str], detailed: list[str]) -> DataFrame:

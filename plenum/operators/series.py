@@ -32,6 +32,11 @@ def monthly(votes: DataFrame, sittings: DataFrame | None = None) -> DataFrame:
     })
 
 
+def outside_months(rows: DataFrame, day: str, months: DataFrame) -> DataFrame:
+    """Rows whose month isn't one of ``months`` (month): those of which a listing has only a part.  Rows without a day stay."""
+    return rows.join(F.broadcast(months.select(F.col("month").alias("__month"))), month(day) == F.col("__month"), "left_anti")  # a row a month
+
+
 def weeks(days: DataFrame) -> DataFrame:
     """ISO weeks of the distinct days (on_date): year, week, days, first and last day."""
     year = F.expr("extract(yearofweek from on_date)").cast("int")
@@ -111,12 +116,12 @@ def overlaps(spans: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def changes(rows: DataFrame, key: list[str], start: str, value: str) -> DataFrame:
-    """Where the value of a key changes: before, after, from, and until: the start of the row after the next.
+    """Where the value of a key changes: before, after, began (the start of the row before), since, until (that of the row after).
 
     Rows are the distinct (start, value) of a key in order; ``until`` is taken over all of them, also those
     whose value is the same.
     """
     seq = rows.select(*key, start, value).distinct()
     w = W.partitionBy(*key).orderBy(start, value)
-    seq = seq.withColumns({"before": F.lag(value).over(w), "until": F.lead(start, 1).over(w)})
-    return seq.filter(F.col("before") != F.col(value)).select(*key, "before", F.col(value).alias("after"), F.col(start).alias("since"), "until")
+    seq = seq.withColumns({"before": F.lag(value).over(w), "began": F.lag(start).over(w), "until": F.lead(start, 1).over(w)})
+    return seq.filter(F.col("before") != F.col(value)).select(*key, "before", F.col(value).alias("after"), "began", F.col(start).alias("since"), "until")

@@ -15,10 +15,9 @@ K1, B = 1.5, 0.75
 
 def grams(docs: DataFrame, k: int, doc: str = "doc", speaker: str = "speaker", body: str = "body") -> DataFrame:
     """(doc, speaker, at, gram): the hash of every run of k words."""
-    w = docs.select(F.col(doc).alias("doc"), F.col(speaker).alias("speaker"), text.words(F.col(body)).alias("w"))
-    at = F.sequence(F.lit(0), F.size("w") - k)
-    rows = w.filter(F.size("w") >= k).select("doc", "speaker", "w", F.explode(at).alias("at"))
-    return rows.select("doc", "speaker", "at", F.xxhash64(F.array_join(F.slice("w", F.col("at") + 1, k), " ")).alias("gram"))
+    w = docs.select(F.col(doc).alias("doc"), F.col(speaker).alias("speaker"), text.words(F.col(body)).alias("w")).filter(F.size("w") >= k)
+    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " ")))
+    return w.select("doc", "speaker", F.posexplode(hashed).alias("at", "gram"))  # numbers leave a text, not words
 
 
 def echoes(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFrame:
@@ -45,6 +44,11 @@ def echo_runs(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFram
     return runs.groupBy("doc", "sites", "speakers", "sites_key", "run").agg(F.min("at").alias("at"), (F.count("*") + k - 1).alias("words")).select("doc", "at", "words", "sites", "speakers")
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is known to have so many rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def postings(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
     """(doc, token, tf, length): tf is 255 at most, length the number of tokens."""
     t = docs.select(F.col(doc).alias("doc"), text.tokens(F.col(body)).alias("t"))
@@ -66,15 +70,18 @@ def index_shards(docs: DataFrame, most: int = 5000, **names) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question", distinct: bool = True) -> DataFrame:
-    """(query, doc, score): a term counts every token that begins with it; df is the documents so reached."""
-    p = postings(docs, doc, body)
-    stats = docs.select(F.size(text.tokens(F.col(body))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
+    """(query, doc, score): a term counts every token that begins with it; df is the documents so reached.
+
+    Tokens meet the terms before anything is shuffled, so only tokens that are asked for are counted.
+    """
+    cut_up = docs.select(F.col(doc).alias("doc"), text.tokens(F.col(body)).alias("t"))
+    stats = cut_up.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
     terms = queries.select(F.col(query).alias("query"), F.explode(text.tokens(F.col(question))).alias("term"))
     terms = terms.groupBy("query", "term").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("qtf"))
-    vocabulary = p.select("token").distinct()
-    every = terms.select("term").distinct().withColumn("stem", F.substring("term", 1, 3))
-    reach = vocabulary.withColumn("stem", F.substring("token", 1, 3)).join(every, "stem").filter(F.col("token").startswith(F.col("term"))).select("token", "term")
-    tf = p.join(reach, "token").groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
+    every = bounded(terms.select("term").distinct().withColumn("stem", F.substring("term", 1, 3)))
+    rows = cut_up.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).withColumn("stem", F.substring("token", 1, 3))
+    met = rows.join(every, (rows.stem == every.stem) & rows.token.startswith(every.term)).select("doc", "length", "token", "term")
+    tf = met.groupBy("doc", "length", "term", "token").agg(F.least(F.count("*"), F.lit(255)).alias("tf")).groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
@@ -86,7 +93,9 @@ def every_term(docs: DataFrame, queries: DataFrame, newest: str, doc: str = "doc
     """The older search: documents that have every term, the newest first."""
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(text.tokens(F.col(question)))).alias("token"))
     n = terms.groupBy("query").agg(F.count("*").alias("terms"))
-    hits = postings(docs, doc, body).join(terms, "token").groupBy("query", "doc").agg(F.count("*").alias("found"))
+    asked = bounded(terms.select("token").distinct())
+    words = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(text.tokens(F.col(body)))).alias("token"))
+    hits = words.join(asked, "token", "left_semi").join(terms, "token").groupBy("query", "doc").agg(F.count("*").alias("found"))
     return hits.join(n, "query").filter("found = terms").join(docs.select(F.col(doc).alias("doc"), F.col(newest).alias("newest")), "doc").select("query", "doc", "newest")
 
 
@@ -99,6 +108,28 @@ def evaluate(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return per.agg(F.count("*").alias("questions"), F.avg("r").alias("recall"), F.avg("m").alias("mrr"))
 
 
+# Short words that readers type, and what they stand for.
+SHORT = {
+    "btk": "bunteto torvenykonyv", "ptk": "polgari torvenykonyv", "szja": "szemelyi jovedelemado", "tao": "tarsasagi ado",
+    "gdpr": "adatvedelmi", "mnb": "magyar nemzeti bank", "hhsz": "hazszabaly", "afa": "altalanos forgalmi ado",
+}
+
+
+def variants(word: Column) -> Column:
+    """A folded word and what else it is looked up as: what a short word stands for, the stem of a long word in -elem or
+    -alom with its m, and a bill's number with a slash ('t961')."""
+    meant = F.try_element_at(F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv]), word)
+    stem = F.when((F.length(word) >= 6) & word.rlike("(elem|alom)$"), F.concat(F.substring(word, F.lit(1), F.length(word) - 2), F.lit("m")))
+    bill = F.when(word.rlike("^[a-z]{1,2}[0-9]+$"), F.regexp_replace(word, "^([a-z]+)([0-9]+)$", "$1/$2"))
+    return F.array_compact(F.array(word, meant, stem, bill))
+
+
+def question_set(words: DataFrame, relevant: DataFrame, most: int) -> DataFrame:
+    """(query, terms, relevant): the questions that can be judged: with an answer, and ``most`` answers at most."""
+    n = relevant.groupBy("query").agg(F.count_distinct("doc").alias("relevant")).filter(F.col("relevant").between(1, most))
+    return words.join(n, "query")
+
+
 def directory_score(typed: list[list[str]], long_field: Column, short_field: Column) -> Column:
     """Every word of ``typed`` (with its variants) must occur: 4 each for the word itself, and 3, 2 or 1 if the short field is it, begins with it or has it."""
     long_, short = text.fold(long_field), text.fold(short_field)

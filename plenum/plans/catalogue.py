@@ -249,18 +249,20 @@ def _(s, d):
     return series.islands(rows, "member", "start", "end")
 
 
-@query("switch_detection", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp))
-  SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp""", days=("since", "until",))
+@query("switch_detection", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lag(since) OVER w AS began, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp))
+  SELECT member, before, grp AS after, began, since, "until" FROM l WHERE before <> grp""", days=("began", "since", "until",))
 def _(s, d):
     return series.changes(b.stints(s, d), ["member"], "since", "grp")
 
 
-@query("switch_reconcile", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp)),
-  sw AS (SELECT member, before, grp AS after, since, "until" FROM l WHERE before <> grp),
+@query("switch_reconcile", f"""WITH {b.STINTS}, q AS (SELECT DISTINCT member, since, grp FROM st), l AS (SELECT *, lag(grp) OVER w AS before, lag(since) OVER w AS began, lead(since, 1) OVER w AS "until" FROM q WINDOW w AS (PARTITION BY member ORDER BY since, grp)),
+  sw AS (SELECT member, before, grp AS after, began, since, "until" FROM l WHERE before <> grp),
   ob AS (SELECT o_custkey AS member, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS day, o_orderstatus AS grp FROM orders),
-  j AS (SELECT sw.member, since, before, after, max(CASE WHEN ob.grp = before THEN day END) - since AS lag_days, count(ob.grp) AS seen, count(*) FILTER (ob.grp NOT IN (before, after)) AS others
-    FROM sw LEFT JOIN ob ON ob.member = sw.member AND day >= since AND ("until" IS NULL OR day < "until") GROUP BY sw.member, since, before, after, "until")
-  SELECT member, since, before, after, CAST(lag_days AS INTEGER) AS lag_days, CASE WHEN seen = 0 THEN 'no list' WHEN others > 0 THEN 'names another group' WHEN lag_days IS NULL THEN 'agrees' WHEN lag_days = 0 THEN 'old label on the day' ELSE 'keeps old label' END AS verdict FROM j""", days=("since",))
+  be AS (SELECT sw.member, since, before, after, list(DISTINCT ob.grp) AS g FROM sw JOIN ob ON ob.member = sw.member AND day >= began AND day < since GROUP BY ALL),
+  af AS (SELECT sw.member, since, before, after, list(DISTINCT ob.grp) AS g, max(day) FILTER (ob.grp = before) AS last FROM sw JOIN ob ON ob.member = sw.member AND day >= since AND ("until" IS NULL OR day < "until") GROUP BY ALL),
+  v AS (SELECT sw.member, sw.since, sw.before, sw.after, last - sw.since AS lag, CASE WHEN be.g IS NULL OR af.g IS NULL THEN 'no list' WHEN be.g <> [sw.before] OR len(list_filter(af.g, lambda x: x NOT IN (sw.before, sw.after))) > 0 THEN 'names another group'
+    WHEN last IS NULL THEN 'agrees' WHEN last = sw.since THEN 'old label on the day' ELSE 'keeps old label' END AS verdict FROM sw LEFT JOIN be USING (member, since, before, after) LEFT JOIN af USING (member, since, before, after))
+  SELECT member, since, before, after, CASE WHEN verdict IN ('old label on the day', 'keeps old label') THEN CAST(lag AS INTEGER) END AS lag_days, verdict FROM v""", days=("since",))
 def _(s, d):
     moves = series.changes(b.stints(s, d), ["member"], "since", "grp")
     seen = b.table(s, d, "orders").select(F.col("o_custkey").alias("member"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 40).cast("int")).alias("day"), F.col("o_orderstatus").alias("grp"))
@@ -274,16 +276,8 @@ def _(s, d):
     return series.overlaps(b.spans(s, d), terms).select("span", "term")
 
 
-@query("seats_in_force", f"""WITH {b.SPANS}, w AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS on_date FROM orders WHERE o_orderkey % 7 = 0), c AS (SELECT on_date, count(span) AS n FROM w LEFT JOIN spn ON "start" <= on_date AND ("end" IS NULL OR "end" >= on_date) GROUP BY 1)
-  SELECT on_date, n, CASE WHEN n >= 0.9 * 386 AND n <= 386 THEN n ELSE 386 END AS seats FROM c""", days=("on_date",))
+@query("seats_in_force", days=("on_date",))
 def _(s, d):
-    days = b.table(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("on_date"))
-    return series.in_force(days, b.spans(s, d), F.lit(386))
-
-
-@query("seats_in_force_whole", days=("on_date",))
-def _(s, d):
-    """As seats_in_force, whose SQL has the days of every seventh key, but for every day that has an order."""
     return series.in_force(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")), b.spans(s, d), F.lit(386))
 
 
@@ -589,67 +583,32 @@ def _(s, d):
 
 
 _FOLD = f"translate(lower(text), '{text.ACCENTS}', '{text.FOLDED}')"
-_BM25 = f"""tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}') AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM tk),
-  po AS (SELECT doc, len(t) AS length, token, least(count(*), 255) AS tf FROM (SELECT doc, t, unnest(t) AS token FROM tk) GROUP BY ALL),
-  qt AS (SELECT DISTINCT item_id AS query, unnest(list_slice(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}'), 1, 8)) AS term FROM benchmark WHERE item_id < 20),
-  rc AS (SELECT DISTINCT token, term FROM (SELECT DISTINCT token FROM po) JOIN (SELECT DISTINCT term FROM qt) ON substring(token, 1, 3) = substring(term, 1, 3) AND starts_with(token, term)),
-  tf AS (SELECT term, doc, length, sum(tf) AS tf FROM po JOIN rc USING (token) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  sc AS (SELECT query, doc, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_len))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2)"""
-
 
 def _questions(s, d):
-    """Twenty questions of eight words, as in the SQL; all documents are searched.  ``_whole_questions`` has no limit."""
-    q = b.table(s, d, "benchmark").filter("item_id < 20")
-    return q.select(F.col("item_id").alias("query"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ").alias("question"))
-
-
-@query("bm25_topk", f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc DESC) AS rn FROM sc) WHERE rn <= 10")
-def _(s, d):
-    scored = textual.bm25(b.table(s, d, "documents"), _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
-    return scored.withColumn("rn", place).filter("rn <= 10").select("query", "doc", "score")
-
-
-@query("search_eval", f"""WITH {_BM25}, rel AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM (SELECT item_id, text AS q FROM benchmark WHERE item_id < 20) JOIN documents ON contains(text, q)),
-  rk AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc DESC) AS place FROM sc), nr AS (SELECT query, count(*) AS relevant FROM rel GROUP BY 1),
-  h AS (SELECT query, count(*) FILTER (place <= 10) AS hits, min(place) AS first FROM rk JOIN rel USING (query, doc) GROUP BY 1)
-  SELECT count(*) AS questions, round(avg(coalesce(hits, 0) / least(10, relevant)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM nr LEFT JOIN h USING (query)""")
-def _(s, d):
-    docs = b.table(s, d, "documents")
-    scored = textual.bm25(docs, _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
-    asked = b.table(s, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
-    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(asked), F.col("text").contains(F.col("q"))).select("query", "doc").distinct()  # 20 questions
-    out = textual.evaluate(scored, relevant)
-    return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
-
-
-def _whole_questions(s, d):
     """Every question, with its whole text."""
     return b.table(s, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
 
 
-@query("bm25_topk_whole")
+@query("bm25_topk")
 def _(s, d):
-    """As bm25_topk, whose SQL has twenty prefixes of questions, but for every whole question."""
-    scored = textual.bm25(b.table(s, d, "documents"), _whole_questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
+    scored = textual.bm25(b.table(s, d, "documents"), _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
     return scored.withColumn("rn", place).filter("rn <= 10").select("query", "doc", "score")
 
 
-@query("search_eval_whole")
+@query("search_eval")
 def _(s, d):
-    """As search_eval, but over every question that a document has, each asked whole."""
-    docs, asked = b.table(s, d, "documents"), _whole_questions(s, d)
+    """Over every question that a document has, each asked whole."""
+    docs, asked = b.table(s, d, "documents"), _questions(s, d)
     scored = textual.bm25(docs, asked, doc="doc_id", body="text").withColumn("score", F.round("score", 4))
     relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(asked, F.col("text").contains(F.col("question"))).select("query", "doc").distinct()
     out = textual.evaluate(scored, relevant)
     return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
 
 
-@query("every_term_search_whole")
+@query("every_term_search")
 def _(s, d):
-    """As every_term_search, but with every term of every question."""
-    return textual.every_term(b.table(s, d, "documents"), _whole_questions(s, d), "doc_id", doc="doc_id", body="text").select("query", "doc")
+    return textual.every_term(b.table(s, d, "documents"), _questions(s, d), "doc_id", doc="doc_id", body="text").select("query", "doc")
 
 
 @query("index_shards", f"""WITH tk AS (SELECT doc_id AS doc, regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}') AS t FROM documents), po AS (SELECT doc, token, least(count(*), 255) AS tf FROM (SELECT doc, unnest(t) AS token FROM tk) GROUP BY ALL),
@@ -690,12 +649,80 @@ def _(s, d):
     return operations.broken(operations.links(b.table(s, d, "pages")), files)
 
 
-@query("robot_classify", """SELECT CASE WHEN event_type = 'click' THEN 'search' WHEN event_type = 'view' THEN 'tool' WHEN event_type = 'purchase' THEN 'other' END AS robot, count(*) AS n FROM events GROUP BY 1""")
+@query("robot_classify", """SELECT robot, count(*) AS n FROM (SELECT CASE event_id % 7 WHEN 0 THEN 'Googlebot' WHEN 1 THEN 'monitor' WHEN 2 THEN 'other robot' WHEN 3 THEN 'Meta' WHEN 4 THEN 'feed reader' WHEN 5 THEN 'ClaudeBot' END AS robot FROM events) GROUP BY 1""")
 def _(s, d):
-    agent = F.when(F.col("event_type") == "click", "Mozilla/5.0 (compatible; Googlebot/2.1)").when(F.col("event_type") == "view", "curl/8.1").when(F.col("event_type") == "purchase", "NewsSpider 1").otherwise("Mozilla/5.0 Firefox")
+    agents = ["Mozilla/5.0 (compatible; Googlebot/2.1) AhrefsBot", "curl/8.1", "NewsSpider 1", "facebookexternalhit/1.1", "Feedly/1.0 bot", "anthropic-ai", "Mozilla/5.0 Firefox"]
+    agent = F.element_at(F.array(*[F.lit(a) for a in agents]), (F.col("event_id") % 7 + 1).cast("int"))
     return b.table(s, d, "events").groupBy(operations.robot(agent).alias("robot")).agg(F.count("*").alias("n"))
 
 
+@query("substantive_speeches", """SELECT event_type, count(*) FILTER (event_type IN ('click', 'view')) AS substantive, count(*) AS n FROM events GROUP BY 1""")
+def _(s, d):
+    t = F.col("event_type")
+    kind = F.when(t == "click", "Felszólalás").when(t == "view", "expozé").when(t == "purchase", "egyéb felszólalás").otherwise("ülésvezetés")
+    rows = b.table(s, d, "events").withColumn("technical", floor.technical(kind, F.lit(False)))
+    return rows.groupBy("event_type").agg(F.count_if(~F.col("technical")).alias("substantive"), F.count("*").alias("n"))
+
+
+@query("list_verdicts", f"""WITH {b.VOTES}, l AS (SELECT * REPLACE (yes + no + abstain AS present) FROM hd WHERE kind = 'decision'), v AS ({b.verdict_sql('l')})
+  SELECT vote, rule, base, needed, margin, passed, CASE WHEN passed IS NOT NULL AND recorded IS NOT NULL THEN passed = recorded END AS agrees, 'list' AS present_basis FROM v""")
+def _(s, d):
+    rows = b.votes(s, d).withColumn("listed", F.col("yes") + F.col("no") + F.col("abstain"))
+    return decisions.list_verdicts(rows, "listed").select(*_V, "agrees", "present_basis")
+
+
+@query("excluded_months", f"""WITH {b.VOTES}, m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') > 0)
+  SELECT vote, on_date FROM hd WHERE strftime(on_date, '%Y-%m') NOT IN (SELECT month FROM m)""", days=("on_date",))
+def _(s, d):
+    o = b.table(s, d, "orders")
+    capped = o.filter("o_orderstatus = 'P'").select(series.month("o_orderdate").alias("month")).distinct()
+    return series.outside_months(b.votes(s, d), "on_date", capped).select("vote", "on_date")
+
+
+@query("query_variants", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS word FROM benchmark)
+  SELECT word, concat_ws('|', word, CASE word WHEN 'btk' THEN 'bunteto torvenykonyv' WHEN 'mnb' THEN 'magyar nemzeti bank' END,
+    CASE WHEN length(word) >= 6 AND (word LIKE '%elem' OR word LIKE '%alom') THEN left(word, length(word) - 2) || 'm' END,
+    CASE WHEN regexp_matches(word, '^[a-z]{1,2}[0-9]+$') THEN regexp_extract(word, '^([a-z]+)', 1) || '/' || regexp_extract(word, '([0-9]+)$', 1) END) AS variants FROM w""")
+def _(s, d):
+    words = b.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", F.array_join(textual.variants(F.col("word")), "|").alias("variants"))
+
+
+@query("question_set", """WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS w FROM benchmark), r AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+  SELECT query, len(list_distinct(w)) AS terms, count(DISTINCT doc) AS relevant FROM r JOIN q ON item_id = query GROUP BY 1, 2 HAVING count(DISTINCT doc) BETWEEN 1 AND 50""")
+def _(s, d):
+    asked, docs = b.table(s, d, "benchmark"), b.table(s, d, "documents")
+    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(_questions(s, d), F.col("text").contains(F.col("question"))).select("query", "doc").distinct()
+    words = asked.select(F.col("item_id").alias("query"), F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).cast("long").alias("terms"))
+    return textual.question_set(words, relevant, 50)
+
+
+@query("collated_customers", """SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_mktsegment), c_name, c_custkey) AS BIGINT) AS place FROM customer""")
+def _(s, d):
+    rows = b.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
+    w = W.partitionBy("c_nationkey").orderBy(text.collation_key(F.col("c_mktsegment")), "c_name", "c_custkey")
+    return rows.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("term_labels", """SELECT o_orderkey, CASE year(o_orderdate) WHEN 1994 THEN 35 WHEN 1998 THEN 36 END AS term FROM orders""")
+def _(s, d):
+    year = F.year("o_orderdate")
+    label = F.when(year == 1994, "1994-98").when(year == 1998, " 1998-2002 ").otherwise(F.concat(year.cast("string"), F.lit("-x")))
+    return b.table(s, d, "orders").select("o_orderkey", text.term_of_label(label).alias("term"))
+
+
+@query("integrity_summary", """SELECT 'lines' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'lines: returnflag A', count(*) FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'lines: returnflag N', count(*) FROM lineitem WHERE l_returnflag = 'N'
+  UNION ALL SELECT 'lines: returnflag R', count(*) FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'orders without a line', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT * FROM (SELECT 'most lines: ' || l_suppkey, count(*) FROM lineitem GROUP BY l_suppkey ORDER BY count(*) DESC, l_suppkey LIMIT 5)""")
+def _(s, d):
+    lines, orders = b.table(s, d, "lineitem"), b.table(s, d, "orders")
+    missing = relational.dangling(orders, lines, "o_orderkey", "l_orderkey")
+    counts = operations.summary({"lines": lines, "orders without a line": missing})
+    by_flag = operations.histogram(lines, "l_returnflag").select(F.concat(F.lit("lines: returnflag "), "value").alias("name"), "n")
+    top = operations.histogram(lines, "l_suppkey").orderBy(F.desc("n"), "value").limit(5).select(F.concat(F.lit("most lines: "), F.col("value").cast("string")).alias("name"), "n")
+    return counts.union(by_flag).union(top)
+
+
 @query("traffic_readers", """WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, event_type <> 'view' AS page, event_type = 'view' OR event_id % 9 = 0 AS sign FROM events WHERE event_type <> 'click'),
   p AS (SELECT day, ip, count(*) FILTER (page) AS pages, bool_or(sign) AS reader FROM e GROUP BY 1, 2) SELECT day, count(*) FILTER (pages <= 5) AS readers, count(*) FILTER (pages > 5) AS heavy, CAST(coalesce(sum(pages) FILTER (pages <= 5), 0) AS BIGINT) AS pages FROM p WHERE reader GROUP BY 1""", days=("day",))
 def _(s, d):
@@ -711,7 +738,7 @@ def _(s, d):
 
 
 @query("freshness_status", """WITH e AS (SELECT user_id, max(ts) AS newest, count(DISTINCT CAST(ts AS DATE)) FILTER (false) AS x FROM events GROUP BY 1), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE dayofmonth(ts) % 9 = 0)
-  SELECT user_id, CASE WHEN (SELECT count(*) FROM d WHERE day < DATE '2024-02-20' AND day > CAST(newest AS DATE)) > 0 THEN 'behind' WHEN user_id % 4 = 0 OR epoch(TIMESTAMP '2024-02-20 12:00:00') - epoch(newest) > 48 * 3600 THEN 'stale' ELSE 'current' END AS status FROM e""")
+  SELECT user_id, CASE WHEN (SELECT count(*) FROM d WHERE day <= DATE '2024-02-20') = 0 THEN 'unknown' WHEN (SELECT count(*) FROM d WHERE day <= DATE '2024-02-20' AND day > CAST(newest AS DATE)) > 0 THEN 'behind' WHEN user_id % 4 = 0 OR epoch(TIMESTAMP '2024-02-20 12:00:00') - epoch(newest) > 48 * 3600 THEN 'stale' ELSE 'current' END AS status FROM e""")
 def _(s, d):
     e = b.table(s, d, "events")
     days = e.select(F.col("ts").cast("date").alias("day")).distinct().filter(F.dayofmonth("day") % 9 == 0).agg(F.collect_list("day").alias("sitting_days"))  # one a sitting day
@@ -792,13 +819,6 @@ def _(s, d):
     return members.join(plan, ["sector", "r", "seat"], "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("every_term_search", f"""WITH tk AS (SELECT doc_id AS doc, list_distinct(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}')) AS t FROM documents), q AS (SELECT item_id AS query, list_distinct(list_slice(regexp_extract_all({_FOLD}, '[a-z0-9]{{3,}}'), 1, 3)) AS w FROM benchmark WHERE item_id < 20)
-  SELECT query, doc FROM q JOIN tk ON list_has_all(t, w) WHERE len(w) > 0""")
-def _(s, d):
-    asked = b.table(s, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 3), " ").alias("question"))
-    return textual.every_term(b.table(s, d, "documents"), asked, "doc_id", doc="doc_id", body="text").select("query", "doc")
-
-
 @query("position_pivot", f"""WITH {b.POSITIONS} SELECT vote, count(*) FILTER (position = 'yes') AS yes, count(*) FILTER (position = 'no') AS no, count(*) FILTER (position = 'abstain') AS abstain, count(*) FILTER (position = 'absent') AS absent,
   greatest(count(*) FILTER (position <> 'absent'), vote % 5) AS base, CASE WHEN vote % 5 > count(*) FILTER (position <> 'absent') THEN 'header' ELSE 'roll call' END AS basis FROM pos GROUP BY vote""")
 def _(s, d):

@@ -30,15 +30,27 @@ POSITIONS = {
 OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
 
 
+#: The characters that the upper 128 bytes are in Latin-1.
+_HIGH = "".join(map(chr, range(0x80, 0x100)))
+
+
+def _high(charset: str) -> str:
+    """What the upper 128 bytes are in a charset of one byte a character."""
+    return "".join(bytes([b]).decode(charset, "replace") for b in range(0x80, 0x100))
+
+
 def read_payloads(spark: SparkSession, path: str, charset: str = "utf-8") -> DataFrame:
     """(path, raw): the payload files below ``path``, decoded by their declared encoding, else by ``charset``."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     declared = F.lower(F.regexp_extract(F.decode(F.substring("content", 1, 200), "ISO-8859-1"), r"encoding=[\"']([^\"']+)[\"']", 1))
-    latin = declared.isin("iso-8859-1", "iso-8859-2", "windows-1250")
-    return files.select("path", F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.decode("content", charset)).alias("raw"))
+    latin = F.decode("content", "ISO-8859-1")
+    raw = F.when(declared == "iso-8859-1", latin)
+    for name in ("iso-8859-2", "windows-1250"):
+        raw = raw.when(declared == name, F.translate(latin, _HIGH, _high(name)))
+    return files.select("path", raw.otherwise(F.decode("content", charset)).alias("raw"))
 
 
-_QUOTED = re.compile(r'((?:nev|ertek|cim|felszolalo|kepviselo)=")(.*?)("(?=\s+[\w:]+=|\s*/?>))', re.S)
+_QUOTED = re.compile(r'((?:nev|ertek|kepviselo|szavazat|frakcio|cim)=")(.*?)("(?=\s+[\w:]+=|\s*/?>))', re.S)
 
 
 @F.pandas_udf(T.StringType())

@@ -50,7 +50,7 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, FOLDER).schema
+    assert catalogue.QUERIES[name](spark, FOLDER).count() >= 0
 
 
 def edits(a, b):
@@ -92,17 +92,17 @@ def test_search_asks_every_whole_question(spark, tmp_path):
             for i, n in tf.items():
                 scores[i] += idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(tokens[i]) / mean))
         ranked[q] = sorted(((round(x, 4), i) for i, x in scores.items()), reverse=True)
-    got = {(r.query, r.doc): r.score for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.query, r.doc): r.score for r in catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
     want = {(q, i): x for q, r in ranked.items() for x, i in r[:10]}
     assert got.keys() == want.keys() and all(abs(got[k] - x) < 2e-4 for k, x in want.items())
     every = {(q, i) for q, t in asked for i, w in tokens.items() if set(t.split()) <= set(w)}
-    assert {(r.query, r.doc) for r in catalogue.QUERIES["every_term_search_whole"](spark, str(tmp_path)).collect()} == every
+    assert {(r.query, r.doc) for r in catalogue.QUERIES["every_term_search"](spark, str(tmp_path)).collect()} == every
     relevant = {q: {i for i, x in docs if t in x} for q, t in asked}
     relevant = {q: r for q, r in relevant.items() if r}
     places = {q: [k for k, (_, i) in enumerate(ranked[q], 1) if i in r] for q, r in relevant.items()}
     recall = sum(sum(k <= 10 for k in places[q]) / min(10, len(r)) for q, r in relevant.items()) / len(relevant)
     mrr = sum(1 / min(x) if x else 0 for x in places.values()) / len(relevant)
-    row = catalogue.QUERIES["search_eval_whole"](spark, str(tmp_path)).first()
+    row = catalogue.QUERIES["search_eval"](spark, str(tmp_path)).first()
     assert row.questions == len(relevant) == 26 and abs(row.recall - recall) < 1e-5 and abs(row.mrr - mrr) < 1e-5
 
 
@@ -114,4 +114,4 @@ def test_seats_in_force_answers_every_day(spark):
     for day in sorted(set(days)):
         n = sum(a <= day and (z is None or z >= day) for a, z in spans)
         want[str(day.date())] = (n, n if 0.9 * 386 <= n <= 386 else 386)
-    assert {r.on_date: (r.n, r.seats) for r in catalogue.QUERIES["seats_in_force_whole"](spark, FOLDER).collect()} == want
+    assert {r.on_date: (r.n, r.seats) for r in catalogue.QUERIES["seats_in_force"](spark, FOLDER).collect()} == want

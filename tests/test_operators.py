@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from plenum.operators import groups, operations, relational, series, switches, textual
+from plenum.operators import groups, idealpoint, operations, relational, series, switches, textual
 from plenum.plans import console
 from plenum.sources import files, payloads
 from plenum.streaming import ingest
@@ -48,9 +49,15 @@ def test_switch_window_ends_at_the_next_row(spark):
     rows = spark.createDataFrame([("m", day(0), "A"), ("m", day(5), "B"), ("m", day(9), "C")], "member string, since date, grp string")
     moves = series.changes(rows, ["member"], "since", "grp").orderBy("since").collect()
     assert [(r.before, r.after, r.until) for r in moves] == [("A", "B", day(9)), ("B", "C", None)]
-    seen = spark.createDataFrame([("m", day(5), "A"), ("m", day(6), "B"), ("m", day(9), "C")], "member string, day date, grp string")
-    got = {r.after: (r.verdict, r.lag_days) for r in switches.reconcile(series.changes(rows, ["member"], "since", "grp"), seen).collect()}
-    assert got == {"B": ("old label on the day", 0), "C": ("agrees", None)}
+    cases = [
+        ([(0, "A"), (5, "A"), (6, "B")], ("old label on the day", 0)), ([(0, "A"), (6, "B")], ("agrees", None)), ([(0, "A"), (5, "B"), (7, "A")], ("keeps old label", 2)),
+        ([(5, "A"), (6, "B")], ("no list", None)), ([(0, "A"), (9, "C")], ("no list", None)), ([], ("no list", None)),
+        ([(0, "C"), (6, "B")], ("names another group", None)), ([(0, "A"), (1, "B"), (6, "B")], ("names another group", None)), ([(0, "A"), (6, "D"), (7, "A")], ("names another group", None)),
+    ]
+    stints = spark.createDataFrame([(k, day(n), g) for k in range(len(cases)) for n, g in ((0, "A"), (5, "B"), (9, "C"))], "member int, since date, grp string")
+    seen = spark.createDataFrame([(k, day(n), g) for k, (rows, _) in enumerate(cases) for n, g in rows], "member int, day date, grp string")
+    out = switches.reconcile(series.changes(stints, ["member"], "since", "grp"), seen).filter("after = 'B'").collect()
+    assert {r.member: (r.verdict, r.lag_days) for r in out} == {k: want for k, (_, want) in enumerate(cases)}
 
 
 def test_as_of_takes_the_first_before_any(spark):
@@ -121,9 +128,9 @@ def test_rising_run(spark):
 def test_freshness_order(spark):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     t = dt.datetime(2024, 1, 31)
-    rows = [(1, [], None, t), (2, None, t, t), (3, [day(30)], dt.datetime(2024, 1, 2), t), (4, [], t, dt.datetime(2024, 1, 1)), (5, [], t, t)]
+    rows = [(1, [], None, t), (2, None, t, t), (3, [day(30)], dt.datetime(2024, 1, 2), t), (4, [day(1)], t, dt.datetime(2024, 1, 1)), (5, [day(1)], t, t), (6, [], t, t), (7, [dt.date(2024, 2, 1)], t, t), (8, [dt.date(2024, 2, 2)], t, t)]
     state = spark.createDataFrame(rows, "k int, sitting_days array<date>, newest_vote timestamp, last_sync timestamp")
-    assert [r.status for r in operations.freshness(state, now).orderBy("k").collect()] == ["empty", "unknown", "behind", "stale", "current"]
+    assert [r.status for r in operations.freshness(state, now).orderBy("k").collect()] == ["empty", "unknown", "behind", "stale", "current", "unknown", "behind", "unknown"]
 
 
 def test_console(spark):
@@ -143,3 +150,39 @@ def test_streams(spark, tmp_path):
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(last)).collect()) == [(1, "c"), (2, "b")]
     assert ingest.changed(first, first, "k", "v").count() == 0
+
+
+def test_charsets_and_quotes(spark, tmp_path):
+    for name in ("iso-8859-2", "windows-1250", "iso-8859-1"):
+        (tmp_path / f"{name}.xml").write_bytes(f'<?xml version="1.0" encoding="{name}"?><a nev="x">{"Őri Űr é" if name != "iso-8859-1" else "é ü"}</a>'.encode(name))
+    got = {r.path.rsplit("/", 1)[1]: r.raw.split(">")[-2] for r in payloads.read_payloads(spark, str(tmp_path)).collect()}
+    assert got == {"iso-8859-2.xml": "Őri Űr é</a", "windows-1250.xml": "Őri Űr é</a", "iso-8859-1.xml": "é ü</a"}
+    raw = spark.createDataFrame([('<a szavazat="I "x" n" frakcio="A "B""/>',)], "raw string")
+    assert raw.select(payloads.repair_quotes("raw")).first()[0] == '<a szavazat="I &quot;x&quot; n" frakcio="A &quot;B&quot;"/>'
+
+
+def test_last_group_follows_the_order(spark):
+    rng = np.random.default_rng(3)
+    side = rng.normal(size=30)
+    rows = [("t", 10 * v, m, "late" if v >= 60 and m == 0 else "g", "yes" if rng.random() < 1 / (1 + np.exp(-4 * side[m] * a)) else "no") for v in range(80) for a in [rng.choice([-1, 1])] for m in range(30)]
+    pos = spark.createDataFrame(rows, "term string, vote long, member long, grp string, position string")
+    out = idealpoint.ideal_points(pos, least=20).toPandas().set_index("member")
+    assert out.grp[0] == "late" and (out.grp[1:] == "g").all()
+    assert abs(np.corrcoef(out.position.sort_index(), side)[0, 1]) > 0.9 and (out.accuracy > out.null_accuracy).all()
+
+
+def test_sessions_and_late_answers(spark, tmp_path):
+    at = lambda d, h: dt.datetime(2024, 1, 1, h) + dt.timedelta(d)
+    spark.createDataFrame([("a", at(0, 1)), ("a", at(0, 2)), ("a", at(0, 9)), ("b", at(0, 1)), ("a", at(0, 2))], "k string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    got = sorted((r.k, r.start.hour, r.n) for r in ingest.sessions(rows, "ts", "k", "3 hours").collect())
+    assert got == [("a", 1, 3), ("a", 9, 1), ("b", 1, 1)]
+    stream = ingest.once(ingest.read_rows(spark, str(tmp_path / "in"), "k string, ts timestamp"), "ts", ["k", "ts"])
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 4
+    asked = [(day(0), at(1, 0), 0), (day(0), at(2, 0), 3), (day(1), at(3, 0), 0), (day(2), at(60, 0), 0)]
+    spark.createDataFrame(asked, "day date, at timestamp, rows long").write.parquet(str(tmp_path / "ask"))
+    seen = {}
+    query = ingest.ask_again(ingest.read_rows(spark, str(tmp_path / "ask"), "day date, at timestamp, rows long")).writeStream.outputMode("update")
+    query.foreachBatch(lambda b, _: seen.update({r.day: (r.asked, r.final) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == {day(0): (2, True), day(1): (1, False), day(2): (1, True)}
