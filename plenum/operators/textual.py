@@ -44,6 +44,54 @@ def echo_runs(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFram
     return runs.groupBy("doc", "sites", "speakers", "sites_key", "run").agg(F.min("at").alias("at"), (F.count("*") + k - 1).alias("words")).select("doc", "at", "words", "sites", "speakers")
 
 
+def echo_records(docs: DataFrame, k: int = 30, least: int = 2) -> DataFrame:
+    """A row for each maximal passage of (doc, speaker, body, day, kind, grp), with its text and what its speeches have in common.
+
+    words, passage, sites, speakers, speeches, days, first_day, last_day, lag_days, same_day, same_kind, groups (their number,
+    empty ones not counted), one_group.  A missing kind is a kind of its own; without any day there is no lag.
+    """
+    rows = grams(docs, k)
+    runs = echo_runs(docs, k, least)
+    begins = runs.join(rows.select("doc", "at", "gram"), ["doc", "at"])
+    sites = begins.select("doc", "at", "gram").join(rows.select("gram", F.col("doc").alias("said")).distinct(), "gram")
+    meta = docs.select(F.col("doc").alias("said"), "speaker", "day", "kind", F.when(F.col("grp") != "", F.col("grp")).alias("grp"))
+    per = sites.join(meta, "said").groupBy("doc", "at").agg(
+        F.count("*").alias("speeches"), F.count_distinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+        (F.count_distinct(F.struct("kind")) == 1).alias("same_kind"), F.count_distinct("grp").alias("groups"),
+    )
+    text_of = docs.select("doc", text.words(F.col("body")).alias("w"))
+    out = runs.join(per, ["doc", "at"]).join(text_of, "doc").withColumn("passage", F.array_join(F.slice("w", F.col("at") + 1, F.col("words").cast("int")), " ")).drop("w")
+    return out.withColumns({
+        "lag_days": F.datediff("last_day", "first_day"), "same_day": F.col("days") == 1, "one_group": (F.col("groups") == 1) & (F.col("speeches") > 1),
+    })
+
+
+def echo_summary(found: DataFrame) -> DataFrame:
+    """One row: echoes, those of one day and of several, of one kind of speech, of one group on several days, across groups."""
+    return found.agg(
+        F.count("*").alias("echoes"), F.count_if("same_day").alias("same_day"), F.count_if(~F.col("same_day")).alias("later_day"), F.count_if("same_kind").alias("one_kind"),
+        F.count_if(F.col("one_group") & ~F.col("same_day")).alias("one_group_later_day"), F.count_if(F.col("groups") > 1).alias("across_groups"),
+    )
+
+
+def echo_top(found: DataFrame, most: int = 400) -> DataFrame:
+    """The passages that most speakers said, the longest first among them."""
+    return found.orderBy(F.desc("speakers"), F.desc("words"), "doc", "at").limit(most)
+
+
+def places(towns: DataFrame, typed: str, most: int = 12) -> DataFrame:
+    """Towns (name, codes) for what a reader types: four digits are a postcode; else the town of that name (rank 0) and
+    ``most`` whose names begin with it (rank 1).  Other numbers and a single letter find nothing."""
+    typed = typed.strip()
+    if typed.isdigit():
+        return towns.filter(F.array_contains("codes", typed) if len(typed) == 4 else F.lit(False)).withColumn("rank", F.lit(0))
+    low, wanted = text.fold(F.col("name")), text.fold(F.lit(typed))
+    if len(typed) < 2:
+        return towns.filter(F.lit(False)).withColumn("rank", F.lit(0))
+    exact = towns.filter(low == wanted).withColumn("rank", F.lit(0))
+    return exact.unionAll(towns.filter(low.startswith(wanted) & (low != wanted)).orderBy(low, "name").limit(most).withColumn("rank", F.lit(1)))
+
+
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it is known to have so many rows at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
