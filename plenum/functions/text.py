@@ -89,19 +89,17 @@ def collation_key(c: Column) -> Column:
     return F.struct(fold(low).alias("plain"), low.alias("accented"))
 
 
-# How a term is printed, and its number.
-TERM_LABELS: dict[str, int] = {
-    "1990-94": 34, "1994-98": 35, "1998-2002": 36, "2002-2006": 37, "2006-2010": 38,
-    "2010-2014": 39, "2014-2018": 40, "2018-2022": 41, "2022-2026": 42, "2026-": 43,
-}
+def term_of_label(c: Column) -> Column:
+    """The number of a printed term ("2022-2026"): the one of 1990 is 34, each four years have the next; null without a year, or before."""
+    year = F.regexp_extract(F.trim(c), r"^(\d{4})", 1).try_cast("int")
+    return F.when(year >= 1990, F.floor((year - 1990) / 4).cast("int") + 34)
 
 
-def term_of_label(c: Column) -> Column:
-    """The number of a term as it is printed; null for any other text."""
-    out = F.lit(None).cast("int")
-    for label, number in TERM_LABELS.items():
-        out = F.when(F.trim(c) == label, number).otherwise(out)
-    return out
+def mandate_kind(constituency: Column) -> Column:
+    """What a seat was won by, from the text of its constituency."""
+    low = F.lower(F.coalesce(constituency, F.lit("")))
+    district = low.contains("oevk") | low.contains("választókerület")
+    return F.when(low.contains("országos lista"), "lista").when(district, "egyeni").when(low.contains("nemzetiségi"), "nemzetisegi").otherwise("other")
 
 
 # Terms and the day each began.

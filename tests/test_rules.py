@@ -56,6 +56,10 @@ def test_parsers(spark):
     assert [x[0] for x in rows(df.select(text.duration_seconds(F.col("c"))))] == [1540, 3723, None, 1540, None, 30, None, None]
     df = spark.createDataFrame([("2026.05.28.",), ("2026.05.28",), ("x",), ("",)], "c string")
     assert [str(x[0]) for x in rows(df.select(text.dotted_date(F.col("c"))))] == ["2026-05-28", "2026-05-28", "None", "None"]
+    df = spark.createDataFrame([(x,) for x in ("1990-94", "2022-2026", " 2026-", "1998-x", "1985-90", "x", None)], "c string")
+    assert [x[0] for x in rows(df.select(text.term_of_label(F.col("c"))))] == [34, 42, 43, 36, None, None, None]
+    df = spark.createDataFrame([(x,) for x in ("Országos lista", "Fejér 3. OEVK", "német nemzetiségi lista", "x", "", None)], "c string")
+    assert [x[0] for x in rows(df.select(text.mandate_kind(F.col("c"))))] == ["lista", "egyeni", "nemzetisegi", "other", "other", "other"]
     df = spark.createDataFrame([("T/71",), ("56/4",), ("zz",)], "c string")
     m = text.motion_number(F.col("c"))
     assert rows(df.select(m["kind"], m["prefix"], m["number"], m["part"])) == [("motion", "T", 71, None), ("amendment", None, 56, 4), ("other", None, None, None)]
