@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plenum.llm import byte_bpe, exact_dedup, mixing, near_dedup, pseudonyms, search, substring_dedup, token_store, toxicity, warc
+from plenum.llm import byte_bpe, change_points, conversation_repair, exact_dedup, mixing, near_dedup, prefix_forest, pseudonyms, search
+from plenum.llm import substring_dedup, token_store, toxicity, warc
 from plenum.llm.common import read_table, work_dir
 
 
@@ -73,6 +75,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vendor's daily quantities of lines that were kept or swapped, cut into segments."""
+    return change_points.change_points(read_table(spark, sf_dir, "sale_lines").filter("flag IN ('kept', 'swapped')"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults of a fixed draw, repaired."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversation_repair.damage(rows), "conv", every=rows.select(F.col("conv_id").alias("conv")))
+
+
+def op13_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all others."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_warc": op2_warc,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_change_points": op11_change_points,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_forest": op13_prefix_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {
