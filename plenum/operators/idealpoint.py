@@ -1,88 +1,316 @@
-"""One-dimensional ideal points of members by a two-parameter item response model, fitted for each term."""
+"""Ideal points of members by a two-parameter item response model, for all terms at once.
+
+P(yes) = logistic(a * x - b): x is a member's position, a and b a vote's slope and cut, with normal priors.  The fit alternates
+damped Newton steps on all votes and on all members.  Terms and the draws of the bootstrap are keys.  A term of ``CELLS`` cells
+(who voted how) or fewer is fitted in memory, a task for each term and draw.  In a larger one a step is sums over the cells by vote or
+by member: a join with the coefficients and an aggregation, written after each step, so that no term has to fit into a task.
+Both take the same steps.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.operators.groups import divided
-
-ITERATIONS, DRAWS, DRAW_ITERATIONS, PRIOR = 60, 40, 25, 16.0
-SCHEMA = "term string, member long, grp string, position double, spread double, votes long, accuracy double, null_accuracy double, apre double"
-
-
-def fit(i: np.ndarray, j: np.ndarray, y: np.ndarray, members: int, votes: int, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions x, slopes a and cuts b of P(yes) = logistic(a * x - b), by alternating damped Newton steps."""
-    share = np.bincount(i, y, members) / np.maximum(1, np.bincount(i, minlength=members))
-    x = (share - share.mean()) / (share.std() or 1.0)
-    a, b = np.zeros(votes), np.zeros(votes)
-    a += 0.5
-    for _ in range(iterations):
-        p = 1 / (1 + np.exp(-np.clip(a[j] * x[i] - b[j], -30, 30)))
-        r, w = y - p, p * (1 - p)
-        ga = np.bincount(j, r * x[i], votes) - a / PRIOR
-        gb = -np.bincount(j, r, votes) - b / PRIOR
-        haa = np.bincount(j, w * x[i] ** 2, votes) + 1 / PRIOR
-        hab = -np.bincount(j, w * x[i], votes)
-        hbb = np.bincount(j, w, votes) + 1 / PRIOR
-        det = haa * hbb - hab**2
-        a = np.clip(a + np.clip((hbb * ga - hab * gb) / det, -5, 5), -20, 20)
-        b = np.clip(b + np.clip((haa * gb - hab * ga) / det, -5, 5), -20, 20)
-        p = 1 / (1 + np.exp(-np.clip(a[j] * x[i] - b[j], -30, 30)))
-        g = np.bincount(i, (y - p) * a[j], members) - x
-        h = np.bincount(i, p * (1 - p) * a[j] ** 2, members) + 1
-        x = x + np.clip(g / h, -2, 2)
-        x -= x.mean()
-    return x, a, b
-
-
-def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = (), order: str = "vote") -> DataFrame:
-    """(term, member, grp, position, spread, votes, accuracy, null_accuracy, apre) from (term, vote, member, grp, position).
-
-    A member's group is the last by ``order`` (a column, such as the time of a vote).  Only yes and no of divided votes, and members with ``least`` of them; a term with fewer than ``least``
-    members or votes gives no rows.  The anchor group (the first of ``anchors`` present, else the largest)
-    has a mean of at least 0.  A term is one task: some hundreds of members by some ten thousand votes.
+from plenum.sources.work import cut, remove, small
+
+ITERATIONS, DRAWS, DRAW_ITERATIONS, SECOND_ITERATIONS, POWER_ITERATIONS = 60, 40, 25, 40, 60
+PRIOR = 16.0
+#: A term with more cells is fitted by joins and aggregations; so many cells take about 200 MB in a task.
+CELLS = 2_000_000
+#: Rounds end when no position moves by so much.
+STILL, DRAW_STILL = 1e-5, 1e-3
+#: The share of votes that a draw with replacement, as many as there are, has at least once.
+TAKEN = 1 - math.exp(-1)
+
+
+def _clip(c: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def _chance(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-_clip(logit, -30.0, 30.0)))
+
+
+def cells(pos: DataFrame, least: int = 20, order: str = "vote") -> tuple[DataFrame, DataFrame]:
+    """(term, vote, member, y, n: cells of the term) of yes and no in divided votes, by members with ``least`` of them, of terms with ``least`` members
+    and votes; and (term, member, grp, votes): a member's group is the last by ``order``."""
+    from plenum.operators.groups import divided
+
+    keyed = pos.select(F.col("term").cast("string").alias("term"), F.struct("term", "vote").alias("vote"), F.col("member").cast("long").alias("member"), F.col("grp").cast("string").alias("grp"), "position", F.col(order).alias("turn"))
+    named = keyed.filter("position in ('yes', 'no')")
+    rows = named.join(divided(named).select("vote"), "vote", "left_semi")
+    often = rows.groupBy("term", "member").agg(F.count("*").alias("votes"), F.max_by("grp", "turn").alias("grp")).filter(F.col("votes") >= least)
+    rows = rows.join(often.select("term", "member"), ["term", "member"], "left_semi")
+    rows = cut(rows.select("term", F.col("vote.vote").cast("string").alias("vote"), "member", (F.col("position") == "yes").cast("double").alias("y")), "cells")
+    fit_for = rows.groupBy("term").agg(F.count_distinct("member").alias("m"), F.count_distinct("vote").alias("v"), F.count("*").alias("n")).filter((F.col("m") >= least) & (F.col("v") >= least)).select("term", "n")
+    # a term is a row of this side
+    return rows.join(F.broadcast(fit_for), "term"), cut(often.join(F.broadcast(fit_for), "term", "left_semi").select("term", "member", "grp", "votes"), "who")
+
+
+def _taken() -> Column:
+    """Whether a draw has a vote: a rule of their names."""
+    return F.pmod(F.xxhash64("term", "vote", "draw"), F.lit(1 << 30)) / float(1 << 30) < TAKEN
+
+
+class _Fit:
+    """Coefficients as they are after a step: x (term, draw, member, x) and ab (term, draw, vote, a, b)."""
+
+    def __init__(self, rows: DataFrame, x: DataFrame, ab: DataFrame):
+        self.rows, self.x, self.ab = rows, x, ab
+        self.n_x, self.n_ab = x.count(), ab.count()
+
+    def met(self) -> DataFrame:
+        """Cells with the coefficients of each draw that has their vote."""
+        draws = self.rows.join(small(self.x, self.n_x), ["term", "member"])
+        return draws.join(small(self.ab, self.n_ab), ["term", "draw", "vote"])
+
+    def step_votes(self) -> None:
+        p = _chance(F.col("a") * F.col("x") - F.col("b"))
+        rows = self.met().withColumns({"r": F.col("y") - p, "w": p * (1 - p)})
+        sums = rows.groupBy("term", "draw", "vote").agg(
+            F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum("r").alias("r"), F.sum(F.col("w") * F.col("x") ** 2).alias("wxx"),
+            F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("w"), F.first("a").alias("a"), F.first("b").alias("b"),
+        )
+        a, b = F.col("a"), F.col("b")
+        ga, gb = F.col("rx") - a / PRIOR, -F.col("r") - b / PRIOR
+        haa, hab, hbb = F.col("wxx") + 1 / PRIOR, -F.col("wx"), F.col("w") + 1 / PRIOR
+        det = haa * hbb - hab * hab
+        step = lambda g: _clip(g / det, -5.0, 5.0)
+        new = sums.select(
+            "term", "draw", "vote", _clip(a + step(hbb * ga - hab * gb), -20.0, 20.0).alias("a"), _clip(b + step(haa * gb - hab * ga), -20.0, 20.0).alias("b")
+        )
+        old, self.ab = self.ab, cut(new, "votes")
+        remove(old)
+
+    def step_members(self) -> None:
+        p = _chance(F.col("a") * F.col("x") - F.col("b"))
+        sums = self.met().groupBy("term", "draw", "member").agg(F.sum((F.col("y") - p) * F.col("a")).alias("g"), F.sum(p * (1 - p) * F.col("a") ** 2).alias("h"))
+        both = self.x.join(sums, ["term", "draw", "member"], "left")  # a draw may have none of a member's votes
+        g, h = F.coalesce("g", F.lit(0.0)) - F.col("x"), F.coalesce("h", F.lit(0.0)) + 1
+        moved = both.select("term", "draw", "member", F.col("x").alias("was"), (F.col("x") + _clip(g / h, -2.0, 2.0)).alias("x"))
+        middle = moved.groupBy("term", "draw").agg(F.avg("x").alias("mean"))
+        moved = moved.join(F.broadcast(middle), ["term", "draw"])  # a term's draw is a row of this side
+        new = cut(moved.select("term", "draw", "member", (F.col("x") - F.col("mean")).alias("x"), F.abs(F.col("x") - F.col("mean") - F.col("was")).alias("far")), "members")
+        old, self.x = self.x, new
+        remove(old)
+
+    def run(self, iterations: int, still: float) -> None:
+        for _ in range(iterations):
+            self.step_votes()
+            self.step_members()
+            if (self.x.agg(F.max("far")).first()[0] or 0.0) < still:
+                return
+
+
+def _started(rows: DataFrame) -> _Fit:
+    """Positions begin at the standardised share of yes, slopes at a half, cuts at nought."""
+    share = rows.groupBy("term", "member").agg(F.avg("y").alias("share"))
+    scale = share.groupBy("term").agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("sd"))
+    x = share.join(F.broadcast(scale), "term").select("term", F.lit(0).alias("draw"), "member", ((F.col("share") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("x"))
+    ab = rows.select("term", F.lit(0).alias("draw"), "vote").distinct().withColumns({"a": F.lit(0.5), "b": F.lit(0.0)})
+    return _Fit(rows, cut(x.withColumn("far", F.lit(0.0)), "members"), cut(ab, "votes"))
+
+
+def _drawn(whole: _Fit, draws: int) -> _Fit:
+    """A fit for each draw of votes, from where the whole ended; a vote's draws follow from its name."""
+    each = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
+    ab = whole.ab.select("term", each, "vote", "a", "b").filter(_taken())
+    x = whole.x.select("term", each, "member", "x", F.lit(0.0).alias("far"))
+    return _Fit(whole.rows, cut(x, "members"), cut(ab, "votes"))
+
+
+def _second(rows: DataFrame, x: DataFrame, ab: DataFrame) -> DataFrame:
+    """(term, second): the further share of cells called right with a second axis, orthogonal to the first; 0 at least.
+
+    It begins at the leading singular pair of the residuals (absent cells are 0), found by power iteration, then members
+    and votes alternate as before, with the first axis held.
     """
-    keyed = pos.withColumn("turn", F.col(order)).withColumn("vote", F.concat_ws("|", "term", "vote"))
-    split = divided(keyed).select("vote")
-    rows = keyed.filter("position in ('yes', 'no')").join(split, "vote", "left_semi")
-    often = rows.groupBy("term", "member").agg(F.count("*").alias("n"), F.max_by("grp", "turn").alias("own")).filter(F.col("n") >= least)
-    rows = rows.join(often, ["term", "member"]).select(F.col("term").cast("string").alias("term"), F.col("member").cast("long").alias("member"), F.col("own").cast("string").alias("grp"), "vote", (F.col("position") == "yes").cast("int").alias("y"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vote", "member"])
-        i, names = pd.factorize(pdf["member"], sort=True)
-        j, votes = pd.factorize(pdf["vote"], sort=True)
-        if len(names) < least or len(votes) < least:
-            kinds = {"string": object, "long": np.int64, "double": np.float64}
-            return pd.DataFrame({c.split()[0]: np.zeros(0, kinds[c.split()[1]]) for c in SCHEMA.split(", ")})
-        y = pdf["y"].to_numpy(float)
-        grp = pdf.groupby("member")["grp"].last().reindex(names).to_numpy(object)
-        x, a, b = fit(i, j, y, len(names), len(votes), ITERATIONS)
-        present = list(pd.Series(grp).value_counts().index)
-        anchor = next((g for g in anchors if g in present), present[0])
-        if x[grp == anchor].mean() < 0:
-            x, a = -x, -a
-        draws = []
-        for seed in range(DRAWS):
-            take = np.unique(np.random.default_rng(seed).integers(0, len(votes), len(votes)))
-            renumber = np.full(len(votes), -1)
-            renumber[take] = np.arange(len(take))
-            use = renumber[j] >= 0
-            d = fit(i[use], renumber[j[use]], y[use], len(names), len(take), DRAW_ITERATIONS)[0]
-            draws.append(d if np.dot(d, x) >= 0 else -d)
-        right = ((a[j] * x[i] - b[j] > 0) == (y > 0.5)).mean()
-        yes = np.bincount(j, y, len(votes))
-        n = np.bincount(j, minlength=len(votes))
-        null = np.maximum(yes, n - yes).sum() / n.sum()
-        return pd.DataFrame({
-            "term": pdf["term"].iloc[0], "member": np.asarray(names), "grp": grp, "position": np.round(x, 4), "spread": np.round(np.std(draws, axis=0), 4),
-            "votes": np.bincount(i, minlength=len(names)), "accuracy": right, "null_accuracy": null, "apre": (right - null) / (1 - null) if null < 1 else 0.0,
-        }).astype({"term": object, "grp": object})
-
-    return rows.groupBy("term").applyInPandas(run, SCHEMA)
+    n_x, n_ab = x.count(), ab.count()
+    base = F.col("a") * F.col("x") - F.col("b")
+    rows = rows.join(small(x.select("term", "member", "x"), n_x), ["term", "member"]).join(small(ab.select("term", "vote", "a", "b"), n_ab), ["term", "vote"])
+    rows = cut(rows.select("term", "vote", "member", "y", "x", base.alias("base"), (F.col("y") - _chance(base)).alias("r")), "residuals")
+    seed = (F.pmod(F.xxhash64("member", "term"), F.lit(2001)) - 1000) / 1000.0
+    u = cut(x.select("term", "member", "x", seed.alias("u")), "u")
+
+    def votes_of(u: DataFrame) -> DataFrame:
+        return rows.join(small(u.select("term", "member", "u"), n_x), ["term", "member"]).groupBy("term", "vote").agg(F.sum(F.col("r") * F.col("u")).alias("v"))
+
+    for _ in range(POWER_ITERATIONS):
+        back = rows.join(small(votes_of(u), n_ab), ["term", "vote"]).groupBy("term", "member").agg(F.sum(F.col("r") * F.col("v")).alias("new"))
+        norm = back.groupBy("term").agg(F.sqrt(F.sum(F.col("new") ** 2)).alias("norm"))
+        next_ = u.join(back, ["term", "member"]).join(F.broadcast(norm), "term").filter("norm > 0")
+        old, u = u, cut(next_.select("term", "member", "x", (F.col("new") / F.col("norm")).alias("u"), F.abs(F.col("new") / F.col("norm") - F.col("u")).alias("far")), "u")
+        remove(old)
+        if (u.agg(F.max("far")).first()[0] or 0.0) < 1e-6:
+            break
+    v = votes_of(u)
+    size = u.groupBy("term").agg(F.stddev_pop("u").alias("sd"))
+    most = v.groupBy("term").agg(F.max(F.abs("v")).alias("most"))
+    x2 = cut(u.join(F.broadcast(size), "term").select("term", "member", "x", (F.col("u") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("x2")), "members")
+    a2 = cut(v.join(F.broadcast(most), "term").select("term", "vote", (F.col("v") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)).alias("a2")), "votes")
+
+    def met() -> DataFrame:
+        return rows.join(small(x2.select("term", "member", "x2"), n_x), ["term", "member"]).join(small(a2, n_ab), ["term", "vote"])
+
+    p = _chance(F.col("base") + F.col("a2") * F.col("x2"))
+    for _ in range(SECOND_ITERATIONS):
+        sums = met().groupBy("term", "member").agg(F.sum((F.col("y") - p) * F.col("a2")).alias("g"), F.sum(p * (1 - p) * F.col("a2") ** 2).alias("h"))
+        moved = x2.join(sums, ["term", "member"]).withColumn("was", F.col("x2")).withColumn("x2", F.col("x2") + _clip((F.col("g") - F.col("x2")) / (F.col("h") + 1), -2.0, 2.0))
+        by = moved.groupBy("term").agg(F.avg("x2").alias("mean"), F.sum(F.col("x2") * F.col("x")).alias("along"), F.sum(F.col("x")).alias("sum"), F.sum(F.col("x") ** 2).alias("xx"))
+        straight = F.col("x2") - F.col("mean") - F.when(F.col("xx") > 0, (F.col("along") - F.col("mean") * F.col("sum")) / F.col("xx")).otherwise(0.0) * F.col("x")
+        old, x2 = x2, cut(moved.join(F.broadcast(by), "term").select("term", "member", "x", straight.alias("x2"), F.abs(straight - F.col("was")).alias("far")), "members")
+        remove(old)
+        sums = met().groupBy("term", "vote").agg(F.sum((F.col("y") - p) * F.col("x2")).alias("g"), F.sum(p * (1 - p) * F.col("x2") ** 2).alias("h"), F.first("a2").alias("was"))
+        old, a2 = a2, cut(sums.select("term", "vote", _clip(F.col("was") + _clip((F.col("g") - F.col("was") / PRIOR) / (F.col("h") + 1 / PRIOR), -2.0, 2.0), -20.0, 20.0).alias("a2")), "votes")
+        remove(old)
+        if (x2.agg(F.max("far")).first()[0] or 0.0) < STILL:
+            break
+    right = lambda c: F.avg(((c >= 0) == (F.col("y") > 0.5)).cast("double"))
+    one, two = right(F.col("base")), right(F.col("base") + F.col("a2") * F.col("x2"))
+    return met().groupBy("term").agg(F.greatest(F.lit(0.0), two - one).alias("second"))
+
+
+def _joined(rows: DataFrame, draws: int, second: bool) -> tuple[DataFrame, DataFrame]:
+    """(term, draw, member, x), draw 0 being the whole, and (term, accuracy, second), by joins and aggregations."""
+    whole = _started(rows.select("term", "vote", "member", "y"))
+    whole.run(ITERATIONS, STILL)
+    right = ((F.col("a") * F.col("x") - F.col("b") >= 0) == (F.col("y") > 0.5)).cast("double")
+    facts = whole.met().groupBy("term").agg(F.avg(right).alias("accuracy"))
+    if second:
+        facts = facts.join(_second(whole.rows, whole.x.select("term", "member", "x"), whole.ab.select("term", "vote", "a", "b")), "term")
+    else:
+        facts = facts.withColumn("second", F.lit(None).cast("double"))
+    x = whole.x.select("term", "draw", "member", "x")
+    if draws:
+        drawn = _drawn(whole, draws)
+        drawn.run(DRAW_ITERATIONS, DRAW_STILL)
+        x = x.unionByName(drawn.x.select("term", "draw", "member", "x"))
+    return x, facts
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class _Cells:
+    """The cells of one term and draw as arrays, and the sums of a step over them."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.member, self.names = pd.factorize(pdf["member"], sort=True)
+        self.vote, votes = pd.factorize(pdf["vote"], sort=True)
+        self.y, self.n_votes = pdf["y"].to_numpy(float), len(votes)
+
+    def of_votes(self, *what: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(self.vote, w, self.n_votes) for w in what]
+
+    def of_members(self, *what: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(self.member, w, len(self.names)) for w in what]
+
+    def first_axis(self, iterations: int, still: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, y = self.member, self.vote, self.y
+        share = np.divide(*self.of_members(y, np.ones_like(y)))
+        x = (share - share.mean()) / (share.std() or 1.0)
+        a, b = np.full(self.n_votes, 0.5), np.zeros(self.n_votes)
+        for _ in range(iterations):
+            p = _logistic(a[j] * x[i] - b[j])
+            w, was = p * (1 - p), x
+            rx, r, wxx, wx, ww = self.of_votes((y - p) * x[i], y - p, w * x[i] ** 2, w * x[i], w)
+            ga, gb, haa, hbb = rx - a / PRIOR, -r - b / PRIOR, wxx + 1 / PRIOR, ww + 1 / PRIOR
+            det = haa * hbb - wx * wx
+            a = np.clip(a + np.clip((hbb * ga + wx * gb) / det, -5, 5), -20, 20)
+            b = np.clip(b + np.clip((haa * gb + wx * ga) / det, -5, 5), -20, 20)
+            p = _logistic(a[j] * x[i] - b[j])
+            g, h = self.of_members((y - p) * a[j], p * (1 - p) * a[j] ** 2)
+            x = x + np.clip((g - x) / (h + 1), -2, 2)
+            x = x - x.mean()
+            if np.abs(x - was).max() < still:
+                break
+        return x, a, b
+
+    def second_axis(self, x: np.ndarray, base: np.ndarray) -> float:
+        """What another axis adds to the share of cells called right; begins where ``_second`` begins."""
+        i, j, y = self.member, self.vote, self.y
+        r = y - _logistic(base)
+        u = np.random.default_rng(0).standard_normal(len(x))
+        for _ in range(POWER_ITERATIONS):
+            was, u = u, self.of_members(r * self.of_votes(r * u[i])[0][j])[0]
+            u = u / (np.linalg.norm(u) or 1.0)
+            if np.abs(u - was).max() < 1e-6:
+                break
+        a2 = self.of_votes(r * u[i])[0]
+        x2, a2 = u / (u.std() or 1.0), a2 / (np.abs(a2).max() or 1.0)
+        for _ in range(SECOND_ITERATIONS):
+            was, p = x2, _logistic(base + a2[j] * x2[i])
+            g, h = self.of_members((y - p) * a2[j], p * (1 - p) * a2[j] ** 2)
+            x2 = x2 + np.clip((g - x2) / (h + 1), -2, 2)
+            x2 = x2 - x2.mean()
+            x2 = x2 - (x2 @ x) / ((x @ x) or 1.0) * x
+            p = _logistic(base + a2[j] * x2[i])
+            g, h = self.of_votes((y - p) * x2[i], p * (1 - p) * x2[i] ** 2)
+            a2 = np.clip(a2 + np.clip((g - a2 / PRIOR) / (h + 1 / PRIOR), -2, 2), -20, 20)
+            if np.abs(x2 - was).max() < STILL:
+                break
+        right = lambda z: ((z >= 0) == (y > 0.5)).mean()
+        return max(0.0, right(base + a2[j] * x2[i]) - right(base))
+
+
+def _grouped(rows: DataFrame, draws: int, second: bool) -> tuple[DataFrame, DataFrame]:
+    """As ``_joined``, each term and draw in a task."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found, whole = _Cells(pdf), key[1] == 0
+        x, a, b = found.first_axis(*((ITERATIONS, STILL) if whole else (DRAW_ITERATIONS, DRAW_STILL)))
+        base = a[found.vote] * x[found.member] - b[found.vote]
+        right = ((base >= 0) == (found.y > 0.5)).mean() if whole else np.nan
+        more = found.second_axis(x, base) if whole and second else np.nan
+        return pd.DataFrame({"term": key[0], "draw": key[1], "member": np.asarray(found.names), "x": x, "accuracy": right, "second": more})
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")
+    rows = rows.select("term", "vote", "member", "y", each).filter((F.col("draw") == 0) | _taken())
+    schema = "term string, draw int, member long, x double, accuracy double, second double"
+    out = cut(rows.groupBy("term", "draw").applyInPandas(one, schema), "points")
+    facts = out.filter("draw = 0").groupBy("term").agg(F.first("accuracy").alias("accuracy"), F.first(F.nanvl("second", F.lit(None))).alias("second"))
+    return out.select("term", "draw", "member", "x"), facts
+
+
+def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = (), order: str = "vote", draws: int = DRAWS, second: bool = True) -> DataFrame:
+    """(term, member, grp, position, spread, votes, accuracy, null_accuracy, apre, second) from (term, vote, member, grp, position).
+
+    Only yes and no of divided votes, and members with ``least`` of them, count; a term with fewer than ``least`` members or
+    votes gives no rows.  A member's group is the last by ``order`` (a column, such as the time of a vote).  The anchor group (the
+    first of ``anchors`` present, else the largest) has a mean of at least 0.  ``spread`` is the deviation over the draws; ``accuracy``
+    the share of cells called right, ``null_accuracy`` that of each vote's majority, ``apre`` what the model saves of the latter's
+    errors, ``second`` what another axis, orthogonal to the first, would add to ``accuracy`` (null unless asked for).
+    """
+    rows, who = cells(pos, least, order)
+    large = rows.filter(F.col("n") > CELLS)
+    x, facts = _grouped(rows.filter(F.col("n") <= CELLS), draws, second)
+    if not large.isEmpty():
+        more = _joined(cut(large, "large"), draws, second)
+        x, facts = x.unionByName(more[0]), facts.unionByName(more[1])
+
+    per = rows.groupBy("term", "vote").agg(F.sum("y").alias("yes"), F.count("*").alias("n"))
+    null = per.groupBy("term").agg((F.sum(F.greatest("yes", F.col("n") - F.col("yes"))) / F.sum("n")).alias("null_accuracy"))
+    named = x.filter("draw = 0").drop("draw").join(who, ["term", "member"])
+    sides = named.groupBy("term", "grp").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in anchors]).cast("array<string>"), F.col("grp")), F.lit(0))
+    first = F.when(rank > 0, rank).otherwise(len(anchors) + 1)
+    anchor = sides.groupBy("term").agg(F.min_by("mean", F.struct(F.col("grp").isNull(), first, -F.col("n"), "grp")).alias("mean"))
+    terms = facts.join(null, "term").join(anchor.select("term", F.when(F.col("mean") < 0, -1.0).otherwise(1.0).alias("sign")), "term")
+
+    both = x.filter("draw > 0").withColumnRenamed("x", "d").join(x.filter("draw = 0").drop("draw"), ["term", "member"])
+    turn = both.groupBy("term", "draw").agg(F.when(F.sum(F.col("d") * F.col("x")) < 0, -1.0).otherwise(1.0).alias("turn"))
+    spread = both.join(F.broadcast(turn), ["term", "draw"]).groupBy("term", "member").agg(F.stddev_pop(F.col("d") * F.col("turn")).alias("spread"))
+    out = named.join(spread, ["term", "member"], "left").join(F.broadcast(terms), "term")  # a term, or its draw, is a row of these sides
+    saved = F.when(F.col("null_accuracy") < 1, (F.col("accuracy") - F.col("null_accuracy")) / (1 - F.col("null_accuracy"))).otherwise(0.0)
+    return out.select(
+        "term", "member", "grp", F.round(F.col("x") * F.col("sign"), 4).alias("position"), F.round("spread", 4).alias("spread"), "votes", "accuracy", "null_accuracy", saved.alias("apre"), "second"
+    )
 
 
 def group_positions(points: DataFrame) -> DataFrame:

@@ -883,9 +883,14 @@ def _(s, d):
 
 @query("ideal_points")
 def _(s, d):
-    line = b.table(s, d, "lineitem").select(F.year("l_shipdate").cast("string").alias("term"), F.concat_ws("-", F.year("l_shipdate").cast("string"), F.weekofyear("l_shipdate").cast("string")).alias("vote"), F.col("l_suppkey").alias("member"), F.when(F.col("l_returnflag") == "R", "yes").when(F.col("l_returnflag") == "A", "no").otherwise("yes").alias("position"), "l_orderkey", "l_linenumber")
+    """A year is a term, a week of it a vote; the last group is that of the last week, the first group the anchor."""
+    shipped = F.col("l_shipdate")
+    term, week = F.year(shipped).cast("string").alias("term"), F.weekofyear(shipped).alias("vote")
+    position = F.when(F.col("l_returnflag") == "A", "no").otherwise("yes").alias("position")
+    line = b.table(s, d, "lineitem").select(term, week, F.col("l_suppkey").alias("member"), position, "l_orderkey", "l_linenumber")
     one = relational.first_wins(line, ["term", "vote", "member"], ["l_orderkey", "l_linenumber", "position"])
-    return idealpoint.ideal_points(one.withColumn("grp", (F.col("member") % 5).cast("string")).select("term", "vote", "member", "grp", "position"))
+    rows = one.withColumn("grp", (F.col("member") % 5).cast("string")).select("term", "vote", "member", "grp", "position")
+    return idealpoint.ideal_points(rows, anchors=("0",), order="vote")
 
 
 @query("lis_headings")
