@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,27 +9,9 @@ from plenum.functions import rules, text
 from plenum.operators import decisions, floor, groups, idealpoint, operations, relational, series, switches, textual
 from plenum.plans import bindings as b
 from plenum.plans import console
+from plenum.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from plenum.sources import payloads
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, days: tuple[str, ...] = ()):
-    """Register a query; ``days`` are its columns of type date, which both sides give as text."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(spark, folder).withColumns({c: F.col(c).cast("string") for c in days})
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in days)}) FROM ({sql})" if days else sql
-        return f
-
-    return add
-
-
 def r6(c):
     return F.round(c, 6)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plenum.sources.versions import Versions
+
 #: An empty answer is asked for again for so long, and a row may come so late.
 LATE = "45 days"
 
@@ -48,13 +50,12 @@ def changed(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame
     return a.join(b, "key").filter("was <> now")
 
 
-def upsert_sink(path: str, key: list[str], order: str):
-    """A ``foreachBatch`` function: each batch makes a new version of the table, so a repeated batch changes nothing."""
+def upsert_sink(spark: SparkSession, path: str, key: list[str], order: str, buckets: int = 64):
+    """A ``foreachBatch`` function: a batch rewrites the buckets its keys are in, and a repeated batch changes nothing."""
+    table = Versions(spark, path, key, buckets)
 
     def write(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        target = spark.read.parquet(f"{path}/v{version - 1}") if version else None
-        newest(target, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{version}")
+        table.upsert(batch, order)
 
     return write
 

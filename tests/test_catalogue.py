@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from plenum.plans import catalogue
+from plenum.plans import catalogue, record  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
