@@ -51,14 +51,15 @@ def honorific_stripped(c: Column) -> Column:
 
 
 def motion_number(c: Column) -> dict[str, Column]:
-    """'T/71' is motion 71 of type T; '56/4' amendment 4 of 56; anything else has neither."""
-    typed, amendment = r"^\s*([A-ZÁÉÍÓÖŐÚÜŰ]+)/(\d+)\s*$", r"^\s*(\d+)/(\d+)\s*$"
-    is_typed, is_amendment = c.rlike(typed), c.rlike(amendment)
+    """'T/71' (in any case) is motion 71 of type T; '56/4' amendment 4 of 56; other text has neither, and no text no kind."""
+    raw = F.trim(c)
+    typed, amendment = r"^([A-Za-zÁÉÍÓÖŐÚÜŰáéíóöőúüű]+)/(\d+)$", r"^(\d+)/(\d+)$"
+    is_typed, is_amendment = raw.rlike(typed), raw.rlike(amendment)
     return {
-        "kind": F.when(is_typed, "motion").when(is_amendment, "amendment").otherwise("other"),
-        "prefix": F.when(is_typed, F.regexp_extract(c, typed, 1)),
-        "number": F.when(is_typed, F.regexp_extract(c, typed, 2).try_cast("int")).when(is_amendment, F.regexp_extract(c, amendment, 1).try_cast("int")),
-        "part": F.when(is_amendment, F.regexp_extract(c, amendment, 2).try_cast("int")),
+        "kind": F.when(c.isNull() | (c == ""), None).when(is_typed, "motion").when(is_amendment, "amendment").otherwise("other"),
+        "prefix": F.when(is_typed, F.upper(F.regexp_extract(raw, typed, 1))),
+        "number": F.when(is_typed, F.regexp_extract(raw, typed, 2).try_cast("int")).when(is_amendment, F.regexp_extract(raw, amendment, 1).try_cast("int")),
+        "part": F.when(is_amendment, F.regexp_extract(raw, amendment, 2).try_cast("int")),
     }
 
 
@@ -83,10 +84,11 @@ def term_of(day: Column) -> Column:
     return out
 
 
-def collation_key(c: Column) -> Column:
-    """A sort key that ignores case and puts an accented letter right behind the plain one; null sorts as empty."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.struct(fold(low).alias("plain"), low.alias("accented"))
+def collation_key(c: Column, locale: str = "hu") -> Column:
+    """A sort key for tables: cells that begin with a number come first, by it; the rest by the locale's alphabet; null as empty."""
+    cell = F.trim(F.coalesce(c, F.lit("")))
+    number = F.regexp_extract(cell, r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0).try_cast("double")
+    return F.struct(F.isnull(number).alias("wordy"), number.alias("number"), F.collate(F.when(number.isNull(), cell).otherwise(""), locale).alias("letters"))
 
 
 def term_of_label(c: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plenum.operators.textual import containing
+
 # How the lines look at which units, annexes, articles and the reasoning begin, and a page's number.
 SECTION = r"(?U)^\s*(\d+)\.\s*§(?!-)(.*)$"
 ANNEX = r"(?iU)^\s*(\d+)\.\s*melléklet\s+a\s+20\d\d\.\s*évi\s*[.…\s]+törvényhez"
@@ -181,8 +183,11 @@ def quoted_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     most = asked.agg(F.max(F.length("q"))).first()[0] or 0
     begins = reasons(pages).select(F.col("bill").cast("string").alias("bill"), F.col("at.page").cast("long").alias("from"))
     text = with_ahead(pages.join(asked.select("bill").distinct(), "bill", "left_semi"), most)
-    met = asked.filter("q <> ''").join(text, "bill")
-    place = F.expr("instr(concat(own, ahead), q)")
+    text = text.withColumn("text", F.concat("own", "ahead"))
+    pairs = containing(text, asked.withColumn("id", F.col("q")), doc="page", body="text", query="id", question="q", on=("bill",))
+    met = pairs.join(asked.filter("q <> ''"), (pairs["query"] == asked["q"]) & (pairs["bill"] == asked["bill"])).select(pairs["bill"], "quote", "q", F.col("doc").alias("page"))
+    met = met.join(text, ["bill", "page"])
+    place = F.expr("instr(text, q)")
     hits = met.filter((place > 0) & (place <= F.length("own"))).join(begins, "bill", "left")
     spots = hits.groupBy("bill", "quote").agg(F.min("page").alias("any"), F.min(F.when(F.col("page") >= F.col("from"), F.col("page"))).alias("inside"))
     out = asked.join(spots, ["bill", "quote"], "left").join(begins, "bill", "left")

@@ -38,12 +38,61 @@ def robot(agent: Column) -> Column:
     return out
 
 
-def traffic(log: DataFrame, assets: str, host: str, heavy: int = 150) -> DataFrame:
-    """Readers (ip, agent) of a log by day: no robot, and an asset loaded or arrived from elsewhere; heavy ones apart."""
-    rows = log.withColumn("robot", robot(F.col("agent"))).filter("robot is null")
-    asset, outside = F.col("path").rlike(assets), F.col("referrer").isNotNull() & (F.col("referrer") != "") & ~F.col("referrer").contains(host)
-    per = rows.groupBy("day", "ip", "agent").agg(F.count_if(~asset).alias("pages"), F.max(asset | outside).alias("reader"))
-    return per.filter("reader").groupBy("day").agg(F.count_if(F.col("pages") <= heavy).alias("readers"), F.count_if(F.col("pages") > heavy).alias("heavy"), F.sum(F.when(F.col("pages") <= heavy, F.col("pages")).otherwise(0)).alias("pages"))
+# Fixed value: what in a path only a scanner asks for.
+PROBES = r"(?i)/\.|\.env|config|wp-|\.php|/api/|/admin|/cgi|actuator|server-status|debug/|/v2/|/-/"
+
+
+def views(log: DataFrame, pages: Column, assets: str, hosts: tuple[str, ...], beacon: str | None = None, probes: str = PROBES) -> DataFrame:
+    """(day, ip, agent, path, referrer, method): the page views of readers of a log (day, ip, agent, path, referrer, and verb, status, query).
+
+    Robots are left out, and scanners: whoever (ip, agent) asked for a path that matches ``probes`` anywhere in the log.  Where the
+    log has requests for ``beacon``, each is a view of the page that its query names (p, and r for the host it came from); else
+    a view is an answered page of a reader, who has loaded an asset or come from a host that isn't one of ``hosts``.
+    """
+    rows = log.withColumn("robot", robot(F.coalesce("agent", F.lit("")))).filter("robot is null").drop("robot")
+    who = ["ip", "agent"]
+    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
+    scanners = log.filter(F.col("path").rlike(probes)).select(*who).distinct()
+    rows = rows.alias("a").join(scanners.alias("b"), same("ip", "ip") & same("agent", "agent"), "left_anti")
+    columns = ["day", *who, "path", "referrer", "method"]
+    if beacon is not None:
+        asked = rows.filter(F.col("path") == beacon)
+        if not asked.limit(1).isEmpty():
+            part = lambda name: F.url_decode(F.nullif(F.regexp_extract(F.concat(F.lit("&"), F.url_decode("query")), f"[?&]{name}=([^&]*)", 1), F.lit("")))
+            path, host = F.coalesce(part("p"), F.lit("/")), part("r")
+            counted = asked.select("day", *who, path.alias("path"), F.concat(F.lit("https://"), host, F.lit("/")).alias("referrer"), F.lit("beacon").alias("method"))
+            return counted.filter(F.col("path").startswith("/"))
+    host = F.lower(F.parse_url("referrer", F.lit("HOST")))
+    own = F.lit(False)
+    for h in hosts:
+        own = own | host.endswith(h)
+    outside = pages & host.isNotNull() & (host != "") & ~own
+    readers = rows.filter(F.col("path").rlike(assets) | outside).select(*who).distinct()
+    answered = pages & (F.coalesce("verb", F.lit("GET")) == "GET") & F.coalesce(F.col("status").isin("200", "304"), F.lit(True))
+    seen = rows.filter(answered).alias("a").join(readers.alias("b"), same("ip", "ip") & same("agent", "agent"), "left_semi")
+    return seen.withColumn("method", F.lit("log")).select(*columns)
+
+
+def traffic(seen: DataFrame, heavy: int = 150) -> DataFrame:
+    """(day, readers, pages, heavy, heavy_pages) of page views: those of more than ``heavy`` views in the whole log are counted apart."""
+    per = seen.groupBy("day", "ip", "agent").agg(F.count("*").alias("n"))
+    total = per.groupBy("ip", "agent").agg(F.sum("n").alias("all"))
+    both = per.alias("a").join(total.alias("b"), F.col("a.ip").eqNullSafe(F.col("b.ip")) & F.col("a.agent").eqNullSafe(F.col("b.agent"))).select("day", "n", "all")
+    much = F.col("all") > heavy
+    return both.groupBy("day").agg(
+        F.count_if(~much).alias("readers"), F.sum(F.when(~much, F.col("n")).otherwise(0)).alias("pages"), F.count_if(much).alias("heavy"), F.sum(F.when(much, F.col("n")).otherwise(0)).alias("heavy_pages")
+    )
+
+
+def referrers(seen: DataFrame, hosts: tuple[str, ...], heavy: int = 150) -> DataFrame:
+    """(host, views): the hosts that readers came from, ``www.`` left out; not the site's own, nor of heavy readers."""
+    w = seen.groupBy("ip", "agent").agg(F.count("*").alias("all")).filter(F.col("all") <= heavy)
+    rows = seen.alias("a").join(w.alias("b"), F.col("a.ip").eqNullSafe(F.col("b.ip")) & F.col("a.agent").eqNullSafe(F.col("b.agent")), "left_semi")
+    host = F.regexp_replace(F.lower(F.parse_url("referrer", F.lit("HOST"))), r"^www\.", "")
+    rows = rows.withColumn("host", host).filter("host is not null and host <> ''")
+    for h in hosts:
+        rows = rows.filter(~F.col("host").endswith(h))
+    return rows.groupBy("host").agg(F.count("*").alias("views"))
 
 
 def freshness(state: DataFrame, now: Column, stale_hours: int = 48) -> DataFrame:

@@ -36,7 +36,10 @@ def echo_runs(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFram
     rows = grams(docs, k, **names)
     shared = rows.groupBy("gram").agg(F.count_distinct("speaker").alias("speakers"), F.count("*").alias("sites"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("speakers") >= least)
     hits = rows.join(shared.select("gram", "first", "sites", "speakers"), "gram")
-    origin = F.sum(F.xxhash64("doc", (F.col("at") - F.col("first.at")).cast("int")) % 1_000_003).alias("sites_key")
+    # a set of sites as the sums of two hashes of them: 128 bits, summed before the shuffle
+    site = ["doc", (F.col("at") - F.col("first.at")).cast("int")]
+    wide = lambda c: F.sum(c.cast("decimal(38,0)"))
+    origin = F.struct(wide(F.xxhash64(*site)).alias("a"), wide(F.xxhash64(F.lit(7), *site)).alias("b")).alias("sites_key")
     keyed = hits.groupBy("gram", "first", "sites", "speakers").agg(origin)
     place = keyed.select("gram", "sites", "speakers", "sites_key", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"))
     w = W.partitionBy("doc", "sites", "speakers", "sites_key").orderBy("at")
@@ -117,26 +120,6 @@ def index_shards(docs: DataFrame, most: int = 5000, **names) -> DataFrame:
     return rows.groupBy(shard_of(F.col("token"), F.col("size"), most).alias("shard"), "token").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question", distinct: bool = True) -> DataFrame:
-    """(query, doc, score): a term counts every token that begins with it; df is the documents so reached.
-
-    Tokens meet the terms before anything is shuffled, so only tokens that are asked for are counted.
-    """
-    cut_up = docs.select(F.col(doc).alias("doc"), text.tokens(F.col(body)).alias("t"))
-    stats = cut_up.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    terms = queries.select(F.col(query).alias("query"), F.explode(text.tokens(F.col(question))).alias("term"))
-    terms = terms.groupBy("query", "term").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("qtf"))
-    every = bounded(terms.select("term").distinct().withColumn("stem", F.substring("term", 1, 3)))
-    rows = cut_up.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).withColumn("stem", F.substring("token", 1, 3))
-    met = rows.join(every, (rows.stem == every.stem) & rows.token.startswith(every.term)).select("doc", "length", "token", "term")
-    tf = met.groupBy("doc", "length", "term", "token").agg(F.least(F.count("*"), F.lit(255)).alias("tf")).groupBy("term", "doc", "length").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    rows = terms.join(tf, "term").join(df, "term").join(F.broadcast(stats))  # one row
-    return rows.groupBy("query", "doc").agg(F.sum(part).alias("score"))
-
-
 def every_term(docs: DataFrame, queries: DataFrame, newest: str, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question") -> DataFrame:
     """The older search: documents that have every term, the newest first."""
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(text.tokens(F.col(question)))).alias("token"))
@@ -147,13 +130,37 @@ def every_term(docs: DataFrame, queries: DataFrame, newest: str, doc: str = "doc
     return hits.join(n, "query").filter("found = terms").join(docs.select(F.col(doc).alias("doc"), F.col(newest).alias("newest")), "doc").select("query", "doc", "newest")
 
 
-def evaluate(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """recall@k (of k or of all relevant ones, if fewer) and mean reciprocal rank over the questions."""
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
-    hits = ranked.withColumn("place", place).join(relevant.select("query", "doc"), ["query", "doc"]).groupBy("query").agg(F.count_if(F.col("place") <= k).alias("hits"), F.min("place").alias("first"))
-    n = relevant.groupBy("query").agg(F.count("*").alias("relevant"))
-    per = n.join(hits, "query", "left").select((F.coalesce("hits", F.lit(0)) / F.least(F.lit(k), F.col("relevant"))).alias("r"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("m"))
-    return per.agg(F.count("*").alias("questions"), F.avg("r").alias("recall"), F.avg("m").alias("mrr"))
+#: Questions meet texts on so many neighbouring words, less where they have fewer.
+ANCHOR = 4
+
+
+def containing(docs: DataFrame, questions: DataFrame, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question", on: tuple[str, ...] = ()) -> DataFrame:
+    """(query, doc, *on): the texts that hold a question's text, to the letter; both sides have the columns ``on`` if any.
+
+    All words of a question but its first and last stand in such a text as whole words, so they meet on the hash of some of them, an
+    equality, and only those pairs are looked through.  Questions of one or two words, which have none inside, meet every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    asked = questions.select(*on, F.col(query).alias("query"), F.col(question).alias("q")).filter("q <> ''").withColumn("w", words(F.col("q")))
+    inner = asked.withColumn("k", F.least(F.size("w") - 2, F.lit(ANCHOR))).withColumn("gram", F.when(F.col("k") > 0, F.xxhash64(F.array_join(F.slice("w", 2, F.col("k")), " "))))
+    texts = docs.select(*on, F.col(doc).alias("doc"), F.col(body).alias("t"))
+    sizes = sorted(r.k for r in inner.filter("k > 0").select("k").distinct().collect())  # ANCHOR at most
+    out = None
+    for k in sizes:
+        anchors = inner.filter(F.col("k") == k).select(*on, "query", "q", "gram")
+        grams = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))  # noqa: B023
+        met = texts.withColumn("w", words(F.col("t"))).filter(F.size("w") >= k).select(*on, "doc", F.explode(F.array_distinct(grams)).alias("gram"))
+        pairs = met.join(bounded(anchors.select(*on, "gram", "query")), [*on, "gram"]).select(*on, "doc", "query")
+        one = pairs.join(asked.select(*on, "query", "q"), [*on, "query"]).join(texts, [*on, "doc"]).filter(F.col("t").contains(F.col("q")))
+        out = one if out is None else out.unionByName(one)
+    short = inner.filter("k <= 0").select(*on, "query", "q")
+    if not short.isEmpty():
+        one = short.join(texts, list(on)) if on else short.crossJoin(texts)
+        one = one.filter(F.col("t").contains(F.col("q")))
+        out = one.select(*on, "query", "q", "doc", "t") if out is None else out.unionByName(one.select(*out.columns))
+    if out is None:
+        return questions.limit(0).join(docs.limit(0), list(on)).select(F.col(query).alias("query"), F.col(doc).alias("doc"), *on) if on else questions.limit(0).crossJoin(docs.limit(0)).select(F.col(query).alias("query"), F.col(doc).alias("doc"))
+    return out.select("query", "doc", *on).distinct()
 
 
 # Short words that readers type, and what they stand for.
@@ -172,10 +179,16 @@ def variants(word: Column) -> Column:
     return F.array_compact(F.array(word, meant, stem, bill))
 
 
-def question_set(words: DataFrame, relevant: DataFrame, most: int) -> DataFrame:
-    """(query, terms, relevant): the questions that can be judged: with an answer, and ``most`` answers at most."""
-    n = relevant.groupBy("query").agg(F.count_distinct("doc").alias("relevant")).filter(F.col("relevant").between(1, most))
-    return words.join(n, "query")
+def question_set(titles: DataFrame, docs: DataFrame, title_over: int = 40, body_least: int = 600, docs_least: int = 3) -> DataFrame:
+    """(bill, title, docs): the questions a search can be judged by, from (bill, title) and documents (bill, body).
+
+    A bill's question is its first title of more than ``title_over`` characters (by ``at``, if there is such a column); it counts if
+    ``docs_least`` documents or more of at least ``body_least`` characters are about the bill.
+    """
+    at = F.struct("at", "title") if "at" in titles.columns else F.col("title")
+    long = titles.filter(F.length("title") > title_over).groupBy("bill").agg(F.min_by("title", at).alias("title"))
+    n = docs.filter((F.col("bill") != "") & (F.length("body") >= body_least)).groupBy("bill").agg(F.count("*").alias("docs")).filter(F.col("docs") >= docs_least)
+    return n.join(long, "bill").select("bill", "title", "docs")
 
 
 def directory_score(typed: list[list[str]], long_field: Column, short_field: Column) -> Column:

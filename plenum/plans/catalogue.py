@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plenum.functions import rules, text
-from plenum.operators import decisions, floor, groups, idealpoint, operations, relational, series, switches, textual
+from plenum.operators import decisions, floor, groups, idealpoint, operations, ranking, relational, series, switches, textual
 from plenum.plans import bindings as b
 from plenum.plans import console
 from plenum.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -524,11 +524,13 @@ def _(s, d):
     return b.table(s, d, "events").select("event_id", text.duration_seconds(written).alias("seconds"))
 
 
-@query("motion_numbers", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'motion' WHEN 1 THEN 'amendment' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'T' END AS prefix,
-  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS INTEGER) END AS number, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey % 9 AS INTEGER) END AS part FROM orders""")
+@query("motion_numbers", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 'other' WHEN o_orderstatus = 'F' THEN 'motion' ELSE 'amendment' END AS kind,
+  CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderpriority LIKE '1%' THEN 'ÖNK' ELSE 'T' END END AS prefix, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS INTEGER) END AS number, CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderkey % 9 AS INTEGER) END AS part FROM orders""")
 def _(s, d):
-    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    raw = F.when(k % 3 == 0, F.concat(F.lit("T/"), c)).when(k % 3 == 1, F.concat(c, F.lit("/"), (k % 9).cast("string"))).otherwise(F.lit("x"))
+    k, c, status, priority = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    kind = F.when(priority == "1", "önk/").when(priority == "2", " t/").otherwise("T/")
+    other = F.when(F.col("o_custkey") % 2 == 1, F.when(priority == "1", F.concat(F.lit("T-"), c)).when(priority == "2", "  ").otherwise(F.concat(F.lit("1/2/"), c)))
+    raw = F.when(status == "F", F.concat(kind, c)).when(status == "O", F.concat(c, F.lit("/"), (k % 9).cast("string"), F.lit(" "))).otherwise(other)
     return b.table(s, d, "orders").select("o_orderkey", *[v.alias(n) for n, v in text.motion_number(raw).items()])
 
 
@@ -578,18 +580,15 @@ def _questions(s, d):
 
 @query("bm25_topk")
 def _(s, d):
-    scored = textual.bm25(b.table(s, d, "documents"), _questions(s, d), doc="doc_id", body="text").withColumn("score", F.round("score", 4))
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
-    return scored.withColumn("rn", place).filter("rn <= 10").select("query", "doc", "score")
+    return ranking.Ranking(b.table(s, d, "documents"), _questions(s, d), doc="doc_id", body="text").top(10)
 
 
 @query("search_eval")
 def _(s, d):
     """Over every question that a document has, each asked whole."""
     docs, asked = b.table(s, d, "documents"), _questions(s, d)
-    scored = textual.bm25(docs, asked, doc="doc_id", body="text").withColumn("score", F.round("score", 4))
-    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(asked, F.col("text").contains(F.col("question"))).select("query", "doc").distinct()
-    out = textual.evaluate(scored, relevant)
+    relevant = textual.containing(docs, asked, doc="doc_id", body="text")
+    out = ranking.evaluate(ranking.Ranking(docs, asked, doc="doc_id", body="text"), relevant)
     return out.select("questions", r6("recall").alias("recall"), r6("mrr").alias("mrr"))
 
 
@@ -675,19 +674,23 @@ def _(s, d):
     return words.select("word", F.array_join(textual.variants(F.col("word")), "|").alias("variants"))
 
 
-@query("question_set", """WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS w FROM benchmark), r AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-  SELECT query, len(list_distinct(w)) AS terms, count(DISTINCT doc) AS relevant FROM r JOIN q ON item_id = query GROUP BY 1, 2 HAVING count(DISTINCT doc) BETWEEN 1 AND 50""")
+@query("question_set", """WITH t AS (SELECT source AS bill, doc_id, trim(regexp_extract(text, '^[^.!?]*')) AS title, length(text) AS n FROM documents),
+  q AS (SELECT bill, arg_min(title, (doc_id, title)) AS title FROM t WHERE length(title) > 40 GROUP BY 1), c AS (SELECT bill, count(*) AS docs FROM t WHERE n >= 600 AND bill <> '' GROUP BY 1 HAVING count(*) >= 3)
+  SELECT bill, title, docs FROM q JOIN c USING (bill)""")
 def _(s, d):
-    asked, docs = b.table(s, d, "benchmark"), b.table(s, d, "documents")
-    relevant = docs.select(F.col("doc_id").alias("doc"), "text").join(_questions(s, d), F.col("text").contains(F.col("question"))).select("query", "doc").distinct()
-    words = asked.select(F.col("item_id").alias("query"), F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).cast("long").alias("terms"))
-    return textual.question_set(words, relevant, 50)
+    """A source is a bill, the first sentence of its first document its title."""
+    docs = b.table(s, d, "documents").select(F.col("source").alias("bill"), F.col("doc_id").alias("at"), F.col("text").alias("body"), F.trim(F.regexp_extract("text", "^[^.!?]*", 0)).alias("title"))
+    return textual.question_set(docs.select("bill", "at", "title"), docs.select("bill", "body"))
 
 
-@query("collated_customers", """SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_mktsegment), c_name, c_custkey) AS BIGINT) AS place FROM customer""")
+@query("collated_customers", """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN [1, 2, 3, 5, 4, 6, 7, 8, 9, 10][c_custkey % 10 + 1] ELSE 0 END AS spot FROM customer)
+  SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY spot, c_custkey) AS BIGINT) AS place FROM c""")
 def _(s, d):
-    rows = b.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
-    w = W.partitionBy("c_nationkey").orderBy(text.collation_key(F.col("c_mktsegment")), "c_name", "c_custkey")
+    """Cells of a table as a reader sorts them: nothing, numbers by size, then letters in the order of the alphabet (cs behind cz)."""
+    words = F.array(*[F.lit(w) for w in ("9 fő", "10 fő", "ág", "állat", "alma", "cukor", "czar", "csap", "zeller", "zsír")])
+    cell = F.when(F.col("c_acctbal") < 0, F.element_at(words, (F.col("c_custkey") % 10 + 1).cast("int")))
+    rows = b.table(s, d, "customer").select("c_custkey", "c_nationkey", cell.alias("cell"))
+    w = W.partitionBy("c_nationkey").orderBy(F.coalesce(F.col("cell"), F.lit("")) != "", text.collation_key(F.col("cell")), "c_custkey")
     return rows.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -710,15 +713,35 @@ def _(s, d):
     return counts.union(by_flag).union(top)
 
 
-@query("traffic_readers", """WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, event_type <> 'view' AS page, event_type = 'view' OR event_id % 9 = 0 AS sign FROM events WHERE event_type <> 'click'),
-  p AS (SELECT day, ip, count(*) FILTER (page) AS pages, bool_or(sign) AS reader FROM e GROUP BY 1, 2) SELECT day, count(*) FILTER (pages <= 5) AS readers, count(*) FILTER (pages > 5) AS heavy, CAST(coalesce(sum(pages) FILTER (pages <= 5), 0) AS BIGINT) AS pages FROM p WHERE reader GROUP BY 1""", days=("day",))
-def _(s, d):
-    t, k = F.col("event_type"), F.col("event_id")
+_LOG = """lg AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'Googlebot' ELSE 'Firefox' END AS agent,
+  CASE WHEN event_type = 'view' AND user_id % 4 <> 1 THEN '/assets/site.css' WHEN event_type = 'view' THEN '/map' WHEN user_id % 50 = 17 AND event_type = 'purchase' THEN '/.env' ELSE '/index.html' END AS path,
+  CASE WHEN user_id % 9 = 0 THEN 'elsewhere.example' WHEN user_id % 9 = 1 THEN 'other.example' ELSE 'www.own.example' END AS host, CASE WHEN user_id % 7 = 0 THEN '404' ELSE '200' END AS status FROM events),
+  sc AS (SELECT DISTINCT ip, agent FROM lg WHERE path = '/.env'), hu AS (SELECT * FROM lg WHERE agent = 'Firefox' AND (ip, agent) NOT IN (SELECT (ip, agent) FROM sc)),
+  rd AS (SELECT DISTINCT ip, agent FROM hu WHERE path LIKE '/assets/%' OR path = '/index.html' AND host <> 'www.own.example'),
+  vw AS (SELECT hu.* FROM hu JOIN rd USING (ip, agent) WHERE path = '/index.html' AND status = '200'), al AS (SELECT ip, agent, count(*) AS n FROM vw GROUP BY 1, 2)"""
+
+
+def _log(s, d):
+    """Robots, a scanner, readers who load assets, readers from elsewhere (one whose address only names the own host), errors."""
+    t, k = F.col("event_type"), F.col("user_id")
+    path = F.when((t == "view") & (k % 4 != 1), "/assets/site.css").when(t == "view", "/map").when((k % 50 == 17) & (t == "purchase"), "/.env").otherwise("/index.html")
+    came = F.when(k % 9 == 0, "https://Elsewhere.example/").when(k % 9 == 1, "https://other.example/?x=own.example").otherwise("https://www.own.example/x")
     log = b.table(s, d, "events").select(
-        F.col("ts").cast("date").alias("day"), (F.col("user_id") % 50).cast("string").alias("ip"), F.when(t == "click", "Googlebot").otherwise("Firefox").alias("agent"),
-        F.when(t == "view", "/assets/site.css").otherwise("/index.html").alias("path"), F.when(k % 9 == 0, "https://elsewhere.example/").otherwise("https://own.example/x").alias("referrer"),
+        F.col("ts").cast("date").alias("day"), (k % 50).cast("string").alias("ip"), F.when((t == "click") & (k % 3 == 0), "Googlebot").otherwise("Firefox").alias("agent"),
+        path.alias("path"), came.alias("referrer"), F.lit("GET").alias("verb"), F.when(k % 7 == 0, "404").otherwise("200").alias("status"), F.lit("-").alias("query"),
     )
-    return operations.traffic(log, r"^/assets/", "own.example", heavy=5)
+    return operations.views(log, F.col("path").rlike(r"^/[^.]*(?:\.html)?$") & (F.col("path") != "/map"), r"^/assets/", ("own.example",))
+
+
+@query("traffic_readers", f"""WITH {_LOG} SELECT day, count(DISTINCT ip || agent) FILTER (n <= 30) AS readers, count(*) FILTER (n <= 30) AS pages, count(DISTINCT ip || agent) FILTER (n > 30) AS heavy, count(*) FILTER (n > 30) AS heavy_pages
+  FROM vw JOIN al USING (ip, agent) GROUP BY 1""", days=("day",))
+def _(s, d):
+    return operations.traffic(_log(s, d), heavy=30)
+
+
+@query("traffic_referrers", f"WITH {_LOG} SELECT host, count(*) AS views FROM vw JOIN al USING (ip, agent) WHERE n <= 60 AND host <> 'www.own.example' GROUP BY 1")
+def _(s, d):
+    return operations.referrers(_log(s, d), ("own.example",), heavy=60)
 
 
 # -- running the record ------------------------------------------------------------------------

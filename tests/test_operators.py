@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from plenum.operators import groups, idealpoint, operations, relational, series, switches, textual
+from plenum.operators import groups, idealpoint, operations, ranking, relational, series, switches, textual
 from plenum.plans import console
 from plenum.sources import files, payloads
 from plenum.sources.versions import Versions
@@ -116,7 +116,7 @@ def test_echo_runs_and_bm25(spark):
     docs = spark.createDataFrame([(1, "a", "x " + passage + " y"), (2, "b", passage), (3, "a", "other words here")], "doc int, speaker string, body string")
     assert [(r.doc, r.at, r.words) for r in textual.echo_runs(docs, 30).collect()] == [(1, 1, 40)]
     asked = spark.createDataFrame([(1, "oth word")], "query int, question string")
-    assert [r.doc for r in textual.bm25(docs, asked).collect()] == [3]
+    assert [r.doc for r in ranking.Ranking(docs, asked).top(10).collect()] == [3]
     near = textual.did_you_mean(spark.createDataFrame([("oktatsa",)], "word string"), spark.createDataFrame([("oktatas", 5), ("kutatas", 9)], "word string, n int"))
     assert [(r.word, r.d) for r in near.collect()] == [("oktatas", 1)]
 

@@ -60,9 +60,12 @@ def test_parsers(spark):
     assert [x[0] for x in rows(df.select(text.term_of_label(F.col("c"))))] == [34, 42, 43, 36, None, None, None]
     df = spark.createDataFrame([(x,) for x in ("Országos lista", "Fejér 3. OEVK", "német nemzetiségi lista", "x", "", None)], "c string")
     assert [x[0] for x in rows(df.select(text.mandate_kind(F.col("c"))))] == ["lista", "egyeni", "nemzetisegi", "other", "other", "other"]
-    df = spark.createDataFrame([("T/71",), ("56/4",), ("zz",)], "c string")
+    df = spark.createDataFrame([("T/71",), ("56/4",), ("zz",), (" t/71 ",), ("ék/2",), (None,), ("",), ("1/2/3",)], "c string")
     m = text.motion_number(F.col("c"))
-    assert rows(df.select(m["kind"], m["prefix"], m["number"], m["part"])) == [("motion", "T", 71, None), ("amendment", None, 56, 4), ("other", None, None, None)]
+    assert rows(df.select(m["kind"], m["prefix"], m["number"], m["part"])) == [
+        ("motion", "T", 71, None), ("amendment", None, 56, 4), ("other", None, None, None), ("motion", "T", 71, None), ("motion", "ÉK", 2, None),
+        (None, None, None, None), (None, None, None, None), ("other", None, None, None),
+    ]
     df = spark.createDataFrame([("Az OKTATÁSÜGY, a MÁV és a gyermekvédelem — 2026-ban!",)], "c string")
     assert df.select(text.tokens(F.col("c"))).first()[0] == ["oktatasugy", "mav", "gyermekvedelem", "2026", "ban"]
     df = spark.createDataFrame([("Általános vita folytatása T/4181 Magyarország költségvetése", "T/4181"), ("Napirend előtt", None), (None, "T/1")], "e string, n string")
