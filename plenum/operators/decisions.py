@@ -61,3 +61,8 @@ def counterfactual(votes: DataFrame, pos: DataFrame) -> DataFrame:
     hypo = F.col("yes") + F.col("extra_yes")
     need = rules.needed(F.col("rule"), n)
     return base.withColumns({"hypo_yes": hypo, "hypo_needed": need, "hypo_passed": (n > 0) & (hypo >= need)}).withColumn("flip", F.col("hypo_passed") != F.col("passed"))
+
+
+def unanimous(votes: DataFrame, least: int = 190) -> DataFrame:
+    """Roll calls in which ``least`` or more voted yes and nobody else: the largest first."""
+    return votes.filter((F.col("yes") >= least) & (F.col("no") == 0) & (F.col("abstain") == 0) & F.col("roll_call")).orderBy(F.desc("yes"), "vote")

@@ -290,7 +290,7 @@ def _(s, d):
     return b.speeches(s, d).select("seq", parts["stage"].alias("stage"), parts["subject"].alias("subject"))
 
 
-_SNAP = """sn AS (SELECT day, grp, count(DISTINCT speaker) AS n FROM sp WHERE dayofmonth(day) % 3 = 1 GROUP BY 1, 2), hs AS (SELECT day, sum(n) AS house FROM sn GROUP BY 1),
+_SNAP = """sn AS (SELECT day, grp, count(DISTINCT speaker) AS n FROM sp WHERE isodow(day) IN (1, 4) GROUP BY 1, 2), hs AS (SELECT day, sum(n) AS house FROM sn GROUP BY 1),
   pd AS (SELECT day, sum(seconds) AS seconds FROM sp WHERE NOT technical AND NOT reprint GROUP BY 1),
   ad AS (SELECT pd.day, seconds, coalesce((SELECT max(h.day) FROM hs h WHERE h.day <= pd.day), (SELECT min(day) FROM hs)) AS sday FROM pd)"""
 
@@ -299,7 +299,7 @@ _SNAP = """sn AS (SELECT day, grp, count(DISTINCT speaker) AS n FROM sp WHERE da
   FROM ad JOIN sn ON sn.day = sday JOIN hs ON hs.day = sday GROUP BY 1""")
 def _(s, d):
     sp = b.speeches(s, d)
-    snaps = sp.filter(F.dayofmonth("day") % 3 == 1).groupBy("day", "grp").agg(F.count_distinct("speaker").alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("counts"))
+    snaps = sp.filter(F.weekday("day").isin(0, 3)).groupBy("day", "grp").agg(F.count_distinct("speaker").alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("counts"))
     return floor.expected_share(floor.substantive(sp).select("day", "seconds"), snaps).select("grp", r6("expected").alias("expected"), r6("seats").alias("seats"))
 
 
@@ -335,9 +335,13 @@ def _(s, d):
 # -- facts -------------------------------------------------------------------------------------
 
 
-@query("fact_unanimous", f"WITH {b.VERDICTS} SELECT vote, yes FROM ver WHERE kind = 'decision' AND no = 0 AND abstain = 0 AND yes > 0 ORDER BY yes DESC, vote LIMIT 1")
+@query("fact_unanimous", """WITH v AS (SELECT l_orderkey AS vote, count(*) FILTER (l_returnflag = 'R') AS yes, count(*) FILTER (l_returnflag = 'A') AS no, count(*) FILTER (l_returnflag = 'N') AS abstain, bool_and(l_linestatus = 'F') AS secret FROM lineitem GROUP BY 1)
+  SELECT vote, yes FROM v WHERE yes >= 3 AND no = 0 AND abstain = 0 AND NOT secret ORDER BY yes DESC, vote LIMIT 1""")
 def _(s, d):
-    return b.votes(s, d).filter("kind = 'decision' and no = 0 and abstain = 0 and yes > 0").orderBy(F.desc("yes"), "vote").select("vote", "yes").limit(1)
+    """An order is a vote, its lines those who voted; one all of whose lines are closed was secret."""
+    flag = lambda f, name: F.count_if(F.col("l_returnflag") == f).alias(name)
+    votes = b.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("vote")).agg(flag("R", "yes"), flag("A", "no"), flag("N", "abstain"), (~F.every(F.col("l_linestatus") == "F")).alias("roll_call"))
+    return decisions.unanimous(votes, least=3).select("vote", "yes").limit(1)
 
 
 @query("fact_narrowest", f"WITH {b.VERDICTS} SELECT vote, margin, rule FROM ver WHERE margin >= 0 AND kind = 'decision' ORDER BY margin, vote LIMIT 1")
@@ -404,18 +408,18 @@ def _(s, d):
     return relational.first_wins(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("merge_upsert", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, 'D' AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 END AS price FROM orders WHERE o_orderkey % 5 <> 0)
+@query("merge_upsert", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, 'D' AS status, CASE WHEN o_totalprice > 100000 THEN o_totalprice + 1 END AS price FROM orders WHERE o_orderpriority NOT LIKE '5%')
   SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.status ELSE b.status END AS status, round(coalesce(b.price, a.price), 2) AS price FROM a FULL JOIN b ON a.k = b.k""")
 def _(s, d):
     o, k = b.table(s, d, "orders"), F.col("o_orderkey")
-    listing = o.filter(k % 3 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    detail = o.filter(k % 5 != 0).select(k.alias("k"), F.lit("D").alias("status"), F.when(k % 2 == 0, F.col("o_totalprice") + 1).alias("price"))
+    listing = o.filter("o_orderstatus <> 'P'").select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    detail = o.filter("o_orderpriority not like '5%'").select(k.alias("k"), F.lit("D").alias("status"), F.when(F.col("o_totalprice") > 100_000, F.col("o_totalprice") + 1).alias("price"))
     return relational.merge(listing, detail, "k", ["status"], ["price"]).withColumn("price", F.round("price", 2))
 
 
-@query("integrity_antijoin", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 10 <> 3)")
+@query("integrity_antijoin", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")
 def _(s, d):
-    parents = b.table(s, d, "orders").filter("o_orderkey % 10 <> 3").select("o_orderkey")
+    parents = b.table(s, d, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey")
     return relational.dangling(b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey", "o_orderkey")
 
 
@@ -474,10 +478,10 @@ def _(s, d):
     return out.select("o_custkey", F.array_join("o_orderpriority", ",").alias("priorities"), F.col("o_orderstatus").alias("label"))
 
 
-@query("full_outer_registry", """WITH v AS (SELECT o_custkey AS number, count(*) AS votes FROM orders GROUP BY 1) SELECT coalesce(number, c_custkey) AS number, votes, c_name AS title FROM v FULL JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 1) ON number = c_custkey""")
+@query("full_outer_registry", """WITH v AS (SELECT o_custkey AS number, count(*) AS votes FROM orders GROUP BY 1) SELECT coalesce(number, c_custkey) AS number, votes, c_name AS title FROM v FULL JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON number = c_custkey""")
 def _(s, d):
     voted = b.table(s, d, "orders").groupBy(F.col("o_custkey").alias("number")).agg(F.count("*").alias("votes"))
-    return voted.join(b.table(s, d, "customer").filter("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("number"), F.col("c_name").alias("title")), "number", "full_outer")
+    return voted.join(b.table(s, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("number"), F.col("c_name").alias("title")), "number", "full_outer")
 
 
 @query("postcode_expansion", "SELECT n_name, o_orderkey FROM (SELECT n_name, unnest(range(n_nationkey * 10, n_nationkey * 10 + 6)) AS code FROM nation) JOIN orders ON o_custkey % 250 = code")
@@ -657,20 +661,24 @@ def _(s, d):
     return decisions.list_verdicts(rows, "listed").select(*_V, "agrees", "present_basis")
 
 
-@query("excluded_months", f"""WITH {b.VOTES}, m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') > 0)
+@query("excluded_months", f"""WITH {b.VOTES}, m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') * 3 > count(*))
   SELECT vote, on_date FROM hd WHERE strftime(on_date, '%Y-%m') NOT IN (SELECT month FROM m)""", days=("on_date",))
 def _(s, d):
-    o = b.table(s, d, "orders")
-    capped = o.filter("o_orderstatus = 'P'").select(series.month("o_orderdate").alias("month")).distinct()
-    return series.outside_months(b.votes(s, d), "on_date", capped).select("vote", "on_date")
+    per = b.table(s, d, "orders").groupBy(series.month("o_orderdate").alias("month")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("p"), F.count("*").alias("n"))
+    return series.outside_months(b.votes(s, d), "on_date", per.filter("p * 3 > n").select("month")).select("vote", "on_date")
 
 
-@query("query_variants", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS word FROM benchmark)
+@query("query_variants", """WITH w AS (SELECT DISTINCT CASE o_orderpriority[1] WHEN '1' THEN CASE WHEN o_orderstatus = 'F' THEN 'btk' ELSE 'mnb' END WHEN '2' THEN 't' || o_custkey WHEN '3' THEN lower(o_orderstatus) || 'teelem' WHEN '4' THEN 'hat' || lower(o_orderstatus) || 'alom' ELSE 'xyz' || o_custkey END AS word FROM orders)
   SELECT word, concat_ws('|', word, CASE word WHEN 'btk' THEN 'bunteto torvenykonyv' WHEN 'mnb' THEN 'magyar nemzeti bank' END,
     CASE WHEN length(word) >= 6 AND (word LIKE '%elem' OR word LIKE '%alom') THEN left(word, length(word) - 2) || 'm' END,
     CASE WHEN regexp_matches(word, '^[a-z]{1,2}[0-9]+$') THEN regexp_extract(word, '^([a-z]+)', 1) || '/' || regexp_extract(word, '([0-9]+)$', 1) END) AS variants FROM w""")
 def _(s, d):
-    words = b.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("word")).distinct()
+    p, status, key = F.substring("o_orderpriority", 1, 1), F.lower("o_orderstatus"), F.col("o_custkey").cast("string")
+    word = (
+        F.when(p == "1", F.when(status == "f", "btk").otherwise("mnb")).when(p == "2", F.concat(F.lit("t"), key)).when(p == "3", F.concat(status, F.lit("teelem")))
+        .when(p == "4", F.concat(F.lit("hat"), status, F.lit("alom"))).otherwise(F.concat(F.lit("xyz"), key))
+    )
+    words = b.table(s, d, "orders").select(word.alias("word")).distinct()
     return words.select("word", F.array_join(textual.variants(F.col("word")), "|").alias("variants"))
 
 
@@ -713,7 +721,7 @@ def _(s, d):
     return counts.union(by_flag).union(top)
 
 
-_LOG = """lg AS (SELECT CAST(ts AS DATE) AS day, user_id % 50 AS ip, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'Googlebot' ELSE 'Firefox' END AS agent,
+_LOG = """lg AS (SELECT CAST(ts AS DATE) AS day, user_id AS ip, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'Googlebot' ELSE 'Firefox' END AS agent,
   CASE WHEN event_type = 'view' AND user_id % 4 <> 1 THEN '/assets/site.css' WHEN event_type = 'view' THEN '/map' WHEN user_id % 50 = 17 AND event_type = 'purchase' THEN '/.env' ELSE '/index.html' END AS path,
   CASE WHEN user_id % 9 = 0 THEN 'elsewhere.example' WHEN user_id % 9 = 1 THEN 'other.example' ELSE 'www.own.example' END AS host, CASE WHEN user_id % 7 = 0 THEN '404' ELSE '200' END AS status FROM events),
   sc AS (SELECT DISTINCT ip, agent FROM lg WHERE path = '/.env'), hu AS (SELECT * FROM lg WHERE agent = 'Firefox' AND (ip, agent) NOT IN (SELECT (ip, agent) FROM sc)),
@@ -727,31 +735,31 @@ def _log(s, d):
     path = F.when((t == "view") & (k % 4 != 1), "/assets/site.css").when(t == "view", "/map").when((k % 50 == 17) & (t == "purchase"), "/.env").otherwise("/index.html")
     came = F.when(k % 9 == 0, "https://Elsewhere.example/").when(k % 9 == 1, "https://other.example/?x=own.example").otherwise("https://www.own.example/x")
     log = b.table(s, d, "events").select(
-        F.col("ts").cast("date").alias("day"), (k % 50).cast("string").alias("ip"), F.when((t == "click") & (k % 3 == 0), "Googlebot").otherwise("Firefox").alias("agent"),
+        F.col("ts").cast("date").alias("day"), k.cast("string").alias("ip"), F.when((t == "click") & (k % 3 == 0), "Googlebot").otherwise("Firefox").alias("agent"),
         path.alias("path"), came.alias("referrer"), F.lit("GET").alias("verb"), F.when(k % 7 == 0, "404").otherwise("200").alias("status"), F.lit("-").alias("query"),
     )
     return operations.views(log, F.col("path").rlike(r"^/[^.]*(?:\.html)?$") & (F.col("path") != "/map"), r"^/assets/", ("own.example",))
 
 
-@query("traffic_readers", f"""WITH {_LOG} SELECT day, count(DISTINCT ip || agent) FILTER (n <= 30) AS readers, count(*) FILTER (n <= 30) AS pages, count(DISTINCT ip || agent) FILTER (n > 30) AS heavy, count(*) FILTER (n > 30) AS heavy_pages
+@query("traffic_readers", f"""WITH {_LOG} SELECT day, count(DISTINCT ip || agent) FILTER (n <= 24) AS readers, count(*) FILTER (n <= 24) AS pages, count(DISTINCT ip || agent) FILTER (n > 24) AS heavy, count(*) FILTER (n > 24) AS heavy_pages
   FROM vw JOIN al USING (ip, agent) GROUP BY 1""", days=("day",))
 def _(s, d):
-    return operations.traffic(_log(s, d), heavy=30)
+    return operations.traffic(_log(s, d), heavy=24)
 
 
-@query("traffic_referrers", f"WITH {_LOG} SELECT host, count(*) AS views FROM vw JOIN al USING (ip, agent) WHERE n <= 60 AND host <> 'www.own.example' GROUP BY 1")
+@query("traffic_referrers", f"WITH {_LOG} SELECT host, count(*) AS views FROM vw JOIN al USING (ip, agent) WHERE n <= 24 AND host <> 'www.own.example' GROUP BY 1")
 def _(s, d):
-    return operations.referrers(_log(s, d), ("own.example",), heavy=60)
+    return operations.referrers(_log(s, d), ("own.example",), heavy=24)
 
 
 # -- running the record ------------------------------------------------------------------------
 
 
-@query("freshness_status", """WITH e AS (SELECT user_id, max(ts) AS newest, count(DISTINCT CAST(ts AS DATE)) FILTER (false) AS x FROM events GROUP BY 1), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE dayofmonth(ts) % 9 = 0)
+@query("freshness_status", """WITH e AS (SELECT user_id, max(ts) AS newest, count(DISTINCT CAST(ts AS DATE)) FILTER (false) AS x FROM events GROUP BY 1), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE isodow(ts) = 2)
   SELECT user_id, CASE WHEN (SELECT count(*) FROM d WHERE day <= DATE '2024-02-20') = 0 THEN 'unknown' WHEN (SELECT count(*) FROM d WHERE day <= DATE '2024-02-20' AND day > CAST(newest AS DATE)) > 0 THEN 'behind' WHEN user_id % 4 = 0 OR epoch(TIMESTAMP '2024-02-20 12:00:00') - epoch(newest) > 48 * 3600 THEN 'stale' ELSE 'current' END AS status FROM e""")
 def _(s, d):
     e = b.table(s, d, "events")
-    days = e.select(F.col("ts").cast("date").alias("day")).distinct().filter(F.dayofmonth("day") % 9 == 0).agg(F.collect_list("day").alias("sitting_days"))  # one a sitting day
+    days = e.select(F.col("ts").cast("date").alias("day")).distinct().filter(F.weekday("day") == 1).agg(F.collect_list("day").alias("sitting_days"))  # one a sitting day
     state = e.groupBy("user_id").agg(F.max("ts").alias("newest_vote")).join(F.broadcast(days)).withColumn("last_sync", F.when(F.col("user_id") % 4 != 0, F.col("newest_vote")))
     return operations.freshness(state, F.lit("2024-02-20 12:00:00").cast("timestamp")).select("user_id", "status")
 
@@ -763,16 +771,16 @@ def _(s, d):
     return b.table(s, d, "orders").select("o_orderkey", again.alias("again"))
 
 
-@query("rotation_pick", "SELECT c_custkey, checked FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS checked FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1) ON o_custkey = c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50", days=("checked",))
+@query("rotation_pick", "SELECT c_custkey, checked FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS checked FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50", days=("checked",))
 def _(s, d):
-    state = b.table(s, d, "orders").filter("o_custkey % 5 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderdate").cast("date")).alias("checked"))
+    state = b.table(s, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderdate").cast("date")).alias("checked"))
     return operations.rotation(b.table(s, d, "customer").select("c_custkey"), state, "c_custkey", 50)
 
 
-@query("transcript_edge", """WITH t AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events WHERE event_id % 3 = 0), sd AS (SELECT DISTINCT CAST(ts AS DATE) + 3 AS day FROM events) SELECT day FROM sd, t WHERE day > edge""", days=("day",))
+@query("transcript_edge", """WITH t AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events WHERE event_type = 'purchase'), sd AS (SELECT DISTINCT CAST(ts AS DATE) + 3 AS day FROM events) SELECT day FROM sd, t WHERE day > edge""", days=("day",))
 def _(s, d):
     e = b.table(s, d, "events")
-    edge = e.filter("event_id % 3 = 0").agg(F.max(F.col("ts").cast("date")).alias("edge"))
+    edge = e.filter("event_type = 'purchase'").agg(F.max(F.col("ts").cast("date")).alias("edge"))
     days = e.select(F.date_add(F.col("ts").cast("date"), 3).alias("day")).distinct()
     return days.join(F.broadcast(edge), F.col("day") > F.col("edge")).select("day")  # one row
 
@@ -820,10 +828,10 @@ def _(s, d):
     return ends.select(F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("first_day")).select("first_day", F.last_day("first_day").alias("last_day"))
 
 
-@query("seat_plan_match", """WITH m AS (SELECT DISTINCT l_suppkey % 6 AS sector, l_linenumber AS r, l_partkey % 30 AS seat FROM lineitem WHERE l_partkey % 3 <> 0), p AS (SELECT DISTINCT c_custkey % 7 AS sector, CAST(c_custkey % 9 AS INTEGER) AS r, c_custkey % 31 AS seat FROM customer)
+@query("seat_plan_match", """WITH m AS (SELECT DISTINCT l_suppkey % 6 AS sector, l_linenumber AS r, l_partkey % 30 AS seat FROM lineitem WHERE l_quantity > 45), p AS (SELECT DISTINCT c_custkey % 7 AS sector, CAST(c_custkey % 9 AS INTEGER) AS r, c_custkey % 31 AS seat FROM customer)
   SELECT CASE WHEN m.seat IS NULL THEN 'empty' WHEN p.seat IS NULL THEN 'unmatched' ELSE 'matched' END AS state, count(*) AS n FROM m FULL JOIN p ON m.sector = p.sector AND m.r = p.r AND m.seat = p.seat GROUP BY 1""")
 def _(s, d):
-    members = b.table(s, d, "lineitem").filter("l_partkey % 3 <> 0").select((F.col("l_suppkey") % 6).alias("sector"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 30).alias("seat")).distinct().withColumn("m", F.lit(True))
+    members = b.table(s, d, "lineitem").filter("l_quantity > 45").select((F.col("l_suppkey") % 6).alias("sector"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 30).alias("seat")).distinct().withColumn("m", F.lit(True))
     plan = b.table(s, d, "customer").select((F.col("c_custkey") % 7).alias("sector"), (F.col("c_custkey") % 9).cast("int").alias("r"), (F.col("c_custkey") % 31).alias("seat")).distinct().withColumn("p", F.lit(True))
     state = F.when(F.col("m").isNull(), "empty").when(F.col("p").isNull(), "unmatched").otherwise("matched")
     return members.join(plan, ["sector", "r", "seat"], "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -838,10 +846,10 @@ def _(s, d):
     return wide.withColumns({"base": F.greatest(cast, header), "basis": F.when(header > cast, "header").otherwise("roll call")})
 
 
-@query("roster_assembly", f"""WITH {b.POSITIONS}, r AS (SELECT member, arg_max(grp, vote) AS last_group, count(*) AS votes FROM pos GROUP BY 1) SELECT coalesce(member, s_suppkey) AS member, s_name AS name, last_group, votes FROM r FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 6 <> 1) ON s_suppkey = member""")
+@query("roster_assembly", f"""WITH {b.POSITIONS}, r AS (SELECT member, arg_max(grp, vote) AS last_group, count(*) AS votes FROM pos GROUP BY 1) SELECT coalesce(member, s_suppkey) AS member, s_name AS name, last_group, votes FROM r FULL JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) ON s_suppkey = member""")
 def _(s, d):
     rolled = b.positions(s, d).groupBy("member").agg(F.max_by("grp", "vote").alias("last_group"), F.count("*").alias("votes"))
-    listed = b.table(s, d, "supplier").filter("s_suppkey % 6 <> 1").select(F.col("s_suppkey").alias("member"), F.col("s_name").alias("name"))
+    listed = b.table(s, d, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("member"), F.col("s_name").alias("name"))
     return rolled.join(listed, "member", "full_outer")
 
 
