@@ -104,6 +104,63 @@ def mandate_kind(constituency: Column) -> Column:
     return F.when(low.contains("országos lista"), "lista").when(district, "egyeni").when(low.contains("nemzetiségi"), "nemzetisegi").otherwise("other")
 
 
+def seats_of(day: Column) -> Column:
+    """The seats of the House on a day: 386 until the House of 2014 met, 199 since."""
+    return F.when(day < F.lit("2014-05-06").cast("date"), 386).otherwise(199)
+
+
+def mandate_of_record(constituency: Column) -> dict[str, Column]:
+    """What a past mandate was won by, from a record's constituency: 'Fejér 3. OEVK' is a district, anything else a list's label."""
+    district = r"^(.*?)\s+(\d+)\.\s*OEVK$"
+    known = constituency.isNotNull() & (constituency != "")
+    own = known & constituency.rlike(district)
+    return {
+        "mandate": F.when(own, "egyeni").when(known, "lista"), "county": F.when(own, F.regexp_extract(constituency, district, 1)),
+        "district": F.when(own, F.regexp_extract(constituency, district, 2).try_cast("int")), "list_label": F.when(known & ~own, constituency),
+    }
+
+
+# The months' names.
+MONTHS = ["január", "február", "március", "április", "május", "június", "július", "augusztus", "szeptember", "október", "november", "december"]
+ENGLISH_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def _month(day: Column, names: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in names]), F.month(day))
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with no-break spaces between thousands, the half rounded to even."""
+    return F.translate(F.format_number(F.bround(c, 0).cast("long"), 0), ",", "\u00a0")
+
+
+def hungarian_date(day: Column) -> Column:
+    """'2026. július 21.'"""
+    return F.concat(F.year(day).cast("string"), F.lit(". "), _month(day, MONTHS), F.lit(" "), F.dayofmonth(day).cast("string"), F.lit("."))
+
+
+def english_date(day: Column) -> Column:
+    """'21 July 2026'"""
+    return F.concat_ws(" ", F.dayofmonth(day).cast("string"), _month(day, ENGLISH_MONTHS), F.year(day).cast("string"))
+
+
+def day_on(n: Column) -> Column:
+    """A day of a month with the ending of 'on', by vowel harmony: 1-jén, 2-án, 4-én, 20-án."""
+    dark = (n == 2) | ((n % 10 == 0) & (n != 10)) | (n % 10).isin(3, 6, 8)
+    return F.concat(n.cast("string"), F.when(n == 1, "-jén").when(dark, "-án").otherwise("-én"))
+
+
+def date_on(day: Column) -> Column:
+    """'2026. július 22-én'"""
+    return F.concat(F.year(day).cast("string"), F.lit(". "), _month(day, MONTHS), F.lit(" "), day_on(F.dayofmonth(day)))
+
+
+def date_until(day: Column) -> Column:
+    """'2026. július 21-ig'"""
+    n = F.dayofmonth(day)
+    return F.concat(F.year(day).cast("string"), F.lit(". "), _month(day, MONTHS), F.lit(" "), F.when(n == 1, "1-jéig").otherwise(F.concat(n.cast("string"), F.lit("-ig"))))
+
+
 # Terms and the day each began.
 TERMS: list[tuple[int, str]] = [
     (34, "1990-05-02"), (35, "1994-06-28"), (36, "1998-06-18"), (37, "2002-05-15"), (38, "2006-05-16"),

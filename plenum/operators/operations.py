@@ -118,18 +118,54 @@ def rotation(items: DataFrame, state: DataFrame, key: str, n: int) -> DataFrame:
     return items.join(state, key, "left").orderBy(F.col("checked").asc_nulls_first(), key).limit(n)
 
 
+# How references begin that aren't the site's own files, and files that pages offer for download.
+ELSEWHERE = r"^(?:https?://|mailto:|data:|#|//|javascript:)"
+TWINS = r"\.(?:csv|json|xml|parquet|csv\.gz)$"
+
+
 def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, href): the distinct links of each page, without fragment and query."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r"href=\"([^\"#?]*)"), F.lit(1))
+    """(page, href): the distinct references of each page (href, src and poster, in either quotes), without fragment and query."""
+    pattern = r"""\b(?:href|src|poster)\s*=\s*(?:"([^"]+)"|'([^']+)')"""
+    double, single = (F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(k)) for k in (1, 2))
+    found = F.transform(F.concat(double, single), lambda x: F.regexp_extract(x, r"^[^#?]*", 0))
     return pages.select(F.col(id_col).alias("page"), F.explode(F.array_distinct(found)).alias("href")).filter("href <> ''")
 
 
+def resolved(href: Column, folder: Column) -> Column:
+    """The file a reference names, from the folder of its page: '.' and '..' worked out, escapes decoded; '..' first if it leaves the site."""
+    whole = F.when(href.startswith("/"), F.ltrim(href, F.lit("/"))).otherwise(F.concat_ws("/", F.when(folder != "", folder), href))
+    parts = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        return F.when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    path = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def broken(found: DataFrame, files: DataFrame) -> DataFrame:
     """Local links that name no file: href, pages that have it, and the first of them."""
-    local = found.filter(~F.col("href").rlike("^[a-z]+:"))
+    local = found.filter(~F.col("href").rlike(ELSEWHERE) & ~F.col("href").rlike("^[a-z]+:"))
     return local.join(files, "href", "left_anti").groupBy("href").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
 
 
+def broken_references(pages: DataFrame, files: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
+    """(kind, n, twins, example): references of pages (path, html) to files (path) that don't exist, by the kind of file they name.
+
+    kind is the extension, or 'escapes the site root', or 'no extension'; ``twins`` are those that offer data for download.
+    """
+    found = links(pages, path, html).filter(~F.col("href").rlike(ELSEWHERE))
+    folder = F.regexp_replace("page", r"/?[^/]*$", "")
+    named = found.withColumn("target", resolved(F.col("href"), folder))
+    lost = named.join(files.select(F.col("path").alias("target")), "target", "left_anti")
+    last = F.element_at(F.split("target", "/"), -1)
+    kind = F.when(F.col("target").startswith(".."), "escapes the site root").when(last.contains("."), F.regexp_extract(last, r"\.([^.]*)$", 1)).otherwise("no extension")
+    example = F.concat_ws(" → ", "page", "href")
+    return lost.groupBy(F.when(kind == "", "no extension").otherwise(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("href").rlike(TWINS)).alias("twins"), F.min(example).alias("example"))
+
+
 def summary(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n): the number of rows of each table."""
     out = None

@@ -257,7 +257,7 @@ def _(s, d):
 
 @query("seats_in_force", days=("on_date",))
 def _(s, d):
-    return series.in_force(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")), b.spans(s, d), F.lit(386))
+    return series.in_force(b.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("on_date")), b.spans(s, d), text.seats_of(F.col("on_date")))
 
 
 @query("asof_snapshot", """WITH l AS (SELECT event_id, user_id % 10 AS k, ts FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id % 10 AS k, ts, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), f AS (SELECT k, arg_min(v, ts) AS first FROM r GROUP BY k)
@@ -741,15 +741,15 @@ def _log(s, d):
     return operations.views(log, F.col("path").rlike(r"^/[^.]*(?:\.html)?$") & (F.col("path") != "/map"), r"^/assets/", ("own.example",))
 
 
-@query("traffic_readers", f"""WITH {_LOG} SELECT day, count(DISTINCT ip || agent) FILTER (n <= 24) AS readers, count(*) FILTER (n <= 24) AS pages, count(DISTINCT ip || agent) FILTER (n > 24) AS heavy, count(*) FILTER (n > 24) AS heavy_pages
+@query("traffic_readers", f"""WITH {_LOG} SELECT day, count(DISTINCT ip || agent) FILTER (n <= 48) AS readers, count(*) FILTER (n <= 48) AS pages, count(DISTINCT ip || agent) FILTER (n > 48) AS heavy, count(*) FILTER (n > 48) AS heavy_pages
   FROM vw JOIN al USING (ip, agent) GROUP BY 1""", days=("day",))
 def _(s, d):
-    return operations.traffic(_log(s, d), heavy=24)
+    return operations.traffic(_log(s, d), heavy=48)
 
 
-@query("traffic_referrers", f"WITH {_LOG} SELECT host, count(*) AS views FROM vw JOIN al USING (ip, agent) WHERE n <= 24 AND host <> 'www.own.example' GROUP BY 1")
+@query("traffic_referrers", f"WITH {_LOG} SELECT host, count(*) AS views FROM vw JOIN al USING (ip, agent) WHERE n <= 48 AND host <> 'www.own.example' GROUP BY 1")
 def _(s, d):
-    return operations.referrers(_log(s, d), ("own.example",), heavy=24)
+    return operations.referrers(_log(s, d), ("own.example",), heavy=48)
 
 
 # -- running the record ------------------------------------------------------------------------

@@ -150,6 +150,19 @@ def submitter_kind(names: Column) -> Column:
     return F.when(F.size(names) > 0, kind.otherwise("kepviselo"))
 
 
+def submitters(ind: DataFrame, many: str = "benyujtok", one: str = "benyujto") -> DataFrame:
+    """``ind`` with ``names`` and ``ids`` of a motion's submitters.
+
+    ``many`` is a struct of an array ``benyujto`` of (text, _href), whose links carry the id of a member in escaped JSON; ``one`` is a
+    single submitter (_nev), who comes last and has no id.  Names that are empty, and links without an id, are left out.
+    """
+    several = F.coalesce(F.col(f"{many}.benyujto"), F.array().cast("array<struct<text:string,_href:string>>"))
+    names = F.filter(F.transform(several, lambda x: x["text"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    ids = F.filter(F.transform(several, lambda x: F.regexp_extract(F.coalesce(x["_href"], F.lit("")), "%22id%22%3A%22([^%]+)%22", 1)), lambda x: x != "")
+    single = F.filter(F.array(F.col(f"{one}._nev")), lambda x: F.coalesce(x, F.lit("")) != "")
+    return ind.withColumns({"names": F.concat(names, single), "ids": ids})
+
+
 def hrefs(c: Column) -> Column:
     """A property list's links as a map; of equal names the last one with a link holds."""
     linked = F.filter(F.coalesce(c, F.array().cast(f"array<{PROPERTY}>")), lambda t: F.coalesce(t["_href"], F.lit("")) != "")
