@@ -117,16 +117,28 @@ def group_pairs(pos: DataFrame) -> DataFrame:
     ).withColumn("share", F.col("same") / F.col("n"))
 
 
-def member_pairs(pos: DataFrame, least: int = 20) -> DataFrame:
+def member_pairs(pos: DataFrame, least: int = 20, tile: int = 1000) -> DataFrame:
     """Pairs of members of one group: shared cast votes, same position, share; ``least`` shared votes at least.
 
-    Two members meet on (group, vote), so the work is the sum of squared group sizes; adaptive execution
-    splits a vote's rows where one group is very large, and pairs are summed before they are shuffled.
+    Two members meet on (group, vote), so the work is the sum of squared group sizes.  A group of more than ``tile`` members is
+    dealt to blocks, and each pair of blocks meets on its own, so that no task has all pairs of a large group; pairs are summed
+    before they are shuffled.
     """
     cast = pos.filter(F.col("position").isin(*CAST)).select("grp", "vote", "member", "position")
-    a, b = cast.alias("a"), cast.alias("b")
-    both = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.vote") == F.col("b.vote")) & (F.col("a.member") < F.col("b.member")))
-    return both.groupBy(F.col("a.grp").alias("grp"), F.col("a.member").alias("a"), F.col("b.member").alias("b")).agg(
+    largest = cast.groupBy("grp", "vote").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-largest // tile)
+    own = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = cast.withColumn("low", own).withColumn("high", every).filter("low <= high").alias("a")
+    b = cast.withColumn("high", own).withColumn("low", every).filter("low <= high").alias("b")
+    keys = ["grp", "vote", "low", "high"]
+    meet = F.lit(True)
+    for k in keys:
+        meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    # blocks are met in one order; within a block the smaller member comes first
+    meet = meet & ((F.col("a.low") < F.col("a.high")) & (F.col("a.member") != F.col("b.member")) | (F.col("a.member") < F.col("b.member")))
+    both = a.join(b, meet)
+    return both.groupBy(F.col("a.grp").alias("grp"), F.least("a.member", "b.member").alias("a"), F.greatest("a.member", "b.member").alias("b")).agg(
         F.count("*").alias("n"), F.count_if(F.col("a.position") == F.col("b.position")).alias("same")
     ).filter(F.col("n") >= least).withColumn("share", F.col("same") / F.col("n"))
 

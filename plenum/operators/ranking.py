@@ -92,10 +92,13 @@ class Ranking:
         self.docs = docs.select(F.col(doc).cast("long").alias("doc"), text.tokens(F.coalesce(F.col(body), F.lit(""))).alias("t"))
         terms = queries.select(F.col(query).cast("long").alias("query"), F.explode(text.tokens(F.col(question))).alias("term"))
         self.terms = terms.groupBy("query", "term").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("qtf"))
-        self.stats = None
+        self.weighed: Asked | None = None
 
     def _goes(self) -> Iterator[Asked]:
         """The questions, as many at a time as tasks may know the terms of; with the idf of their terms."""
+        if self.weighed is not None:
+            yield self.weighed
+            return
         sizes = self.terms.groupBy("query").agg(F.count("*").alias("n"))
         goes = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // TERMS))
         for go in range(goes):
@@ -103,6 +106,7 @@ class Ranking:
             asked = Asked([(r["query"], r.term, r.qtf) for r in part.collect()])
             if asked.questions:
                 self._weigh(asked)
+                self.weighed = asked if goes == 1 else None
                 yield asked
 
     def _weigh(self, asked: Asked) -> None:

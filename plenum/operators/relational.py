@@ -50,17 +50,26 @@ def reprints(rows: DataFrame, day: str, key: list[str], order: str) -> DataFrame
     return rows.withColumn("reprint", F.col(key[0]).isNotNull() & (n > 1))
 
 
-def chain_digest(rows: DataFrame, service: str, name: str, content: Column) -> DataFrame:
-    """A digest of each service over its sorted (name, sha256 of content) lines.
+def chain_digest(rows: DataFrame, service: str, name: str, content: Column, leaf: int = 65_536) -> DataFrame:
+    """A digest of each service over its sorted (name, sha256 of content) lines, as a tree over prefixes of the names' hashes.
 
-    Names are first folded by a prefix of their hash, so no task gathers all names of a large service.
+    A service has 256 leaves, or 256 times as many for each time that its lines are 256 times as many as leaves of ``leaf`` lines
+    hold; a node is the digest of its children's.  So no task gathers more than about ``leaf`` lines, however large a service is.
     """
     line = F.concat_ws(" ", F.col(name).cast("string"), F.sha2(content, 256))
-    leaf = rows.select(F.col(service).alias("service"), F.substring(F.md5(F.col(name).cast("string")), 1, 2).alias("part"), line.alias("line"))
-    parts = leaf.groupBy("service", "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
-    return parts.groupBy("service").agg(
-        F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: F.concat_ws(" ", x["part"], x["d"])), "\n"), 256).alias("digest")
-    )
+    lines = rows.select(F.col(service).alias("service"), F.md5(F.col(name).cast("string")).alias("hash"), line.alias("line"))
+    depth = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.log(256.0, F.col("n") / leaf)))).cast("int")
+    sizes = rows.groupBy(F.col(service).alias("s")).agg(F.count("*").alias("n")).select("s", depth.alias("depth"))
+    deepest = sizes.agg(F.max("depth")).first()[0] or 1
+    cut = lines.join(sizes, F.col("service").eqNullSafe(F.col("s")))
+    parts = cut.select("service", "line", F.substring("hash", F.lit(1), F.col("depth") * 2).alias("part"))
+    nodes = parts.groupBy("service", "part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+    child = F.concat_ws(" ", "part", "d")
+    for level in range(deepest - 1, 0, -1):  # a node has 256 children at most
+        up = nodes.filter(F.length("part") == 2 * (level + 1)).groupBy("service", F.substring("part", 1, 2 * level).alias("part"))
+        folded = up.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("d"))
+        nodes = nodes.filter(F.length("part") <= 2 * level).unionByName(folded)
+    return nodes.groupBy("service").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("digest"))
 
 
 def fingerprint(fields: dict[str, Column]) -> Column:

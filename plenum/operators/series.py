@@ -79,18 +79,33 @@ def latest_run(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key).agg(F.max_by(F.struct("run_start", "run_end", "spans"), "run").alias("r")).select(key, "r.*")
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, when_left: str, when_right: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str, when_left: str, when_right: str, value: str, pieces: int = 64) -> DataFrame:
     """The last ``value`` of ``right`` at or before each row of ``left``; before the first one, the first.
 
-    One sort by (key, time) over the union and a running last value: no range join, so nothing is multiplied.
+    A sorted union and a running last value: no range join, so nothing is multiplied.  Time is cut into ``pieces`` of like numbers of
+    rows; a key's pieces run on their own, and begin with what the pieces before ended with, so a key with most rows is no one
+    task's.
     """
+    kind = dict(right.dtypes)[when_right]
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith("timestamp") else F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) if kind == "date" else F.col(c)
+    shares = [k / pieces for k in range(1, pieces)]
+    cuts = sorted(set(right.agg(F.percentile_approx(number(when_right), shares)).first()[0] or []))  # one row
+    cuts = cuts[:: max(1, len(cuts) // pieces)]
+    piece = lambda c: sum(((number(c) >= x).cast("int") for x in cuts), F.lit(0))
     first = right.groupBy(on).agg(F.min_by(value, when_right).alias("__first"))
     a = left.withColumns({"__t": F.col(when_left), "__side": F.lit(1), "__v": F.lit(None).cast(dict(right.dtypes)[value])})
     empty = [F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c != on]
     b = right.select(F.col(on), *empty, F.col(when_right).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = W.partitionBy(on).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    held = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
-    return held.join(first, on, "left").withColumn(value, F.coalesce("__last", "__first")).drop("__t", "__side", "__v", "__last", "__first")
+    w = W.partitionBy(on, "__piece").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("__piece", piece("__t"))
+    held = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
+    ends = right.filter(F.col(value).isNotNull()).groupBy(F.col(on), piece(when_right).alias("__piece")).agg(F.max_by(value, when_right).alias("__end"))
+    # each piece a key has rows in carries its end to the next; a key has ``pieces`` at most
+    every = held.select(on, "__piece").distinct().join(ends, [on, "__piece"], "full")
+    carry = F.last("__end", ignorenulls=True).over(W.partitionBy(on).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
+    before = every.withColumn("__before", carry).select(on, "__piece", "__before")
+    out = held.join(before, [on, "__piece"], "left").join(first, on, "left")
+    return out.withColumn(value, F.coalesce("__last", "__before", "__first")).drop("__t", "__piece", "__side", "__v", "__last", "__before", "__end", "__first")
 
 
 def in_force(days: DataFrame, spans: DataFrame, seats: Column) -> DataFrame:

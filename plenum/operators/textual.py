@@ -112,12 +112,18 @@ def shard_of(token: Column, size: Column, most: int) -> Column:
     return F.when(size > most, F.substring(token, 1, 3)).otherwise(F.substring(token, 1, 2))
 
 
-def index_shards(docs: DataFrame, most: int = 5000, **names) -> DataFrame:
-    """(shard, token, df, postings): the index by shards, postings as an array of (doc, tf)."""
+def index_shards(docs: DataFrame, most: int = 5000, block: int = 65_536, **names) -> DataFrame:
+    """(shard, token, df, block, postings): the index by shards, postings as arrays of (doc, tf), of about ``block`` at most.
+
+    The postings of a token that more documents have are dealt to several blocks, so that no array and no task has to hold all.
+    """
     p = postings(docs, **names)
-    sizes = p.groupBy(F.substring("token", 1, 2).alias("two")).agg(F.count("*").alias("size"))
-    rows = p.withColumn("two", F.substring("token", 1, 2)).join(sizes, "two")
-    return rows.groupBy(shard_of(F.col("token"), F.col("size"), most).alias("shard"), "token").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
+    tokens = p.groupBy("token").agg(F.count("*").alias("df"))
+    two = F.substring("token", 1, 2).alias("two")
+    sizes = tokens.groupBy(two).agg(F.sum("df").alias("size"))
+    known = tokens.withColumn("two", two).join(sizes, "two").select("token", "df", shard_of(F.col("token"), F.col("size"), most).alias("shard"))
+    rows = p.join(known, "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / block)).cast("int"))
+    return rows.groupBy("shard", "token", "df", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
 
 
 def every_term(docs: DataFrame, queries: DataFrame, newest: str, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question") -> DataFrame:

@@ -606,8 +606,9 @@ def _(s, d):
   SELECT shard, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM x GROUP BY 1""")
 def _(s, d):
     idx = textual.index_shards(b.table(s, d, "documents"), doc="doc_id", body="text")
-    total = F.aggregate("postings", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
-    return idx.groupBy("shard").agg(F.count("*").alias("tokens"), F.sum("df").alias("postings"), F.sum(total).alias("tf"))
+    idx = idx.select("shard", "token", F.size("postings").alias("n"), F.aggregate("postings", F.lit(0).cast("long"), lambda a, x: a + x["tf"]).alias("tf"))
+    idx = idx.groupBy("shard", "token").agg(F.sum("n").alias("n"), F.sum("tf").alias("tf"))  # a token has blocks
+    return idx.groupBy("shard").agg(F.count_if(F.col("n") > 0).alias("tokens"), F.sum("n").alias("postings"), F.sum("tf").alias("tf"))
 
 
 @query("directory_search", """WITH f AS (SELECT c_custkey, lower(c_mktsegment || ' ' || c_name) AS l, lower(c_mktsegment) AS s FROM customer)
