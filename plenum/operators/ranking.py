@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import text
 from plenum.operators.textual import K1, B
+from plenum.sources.work import cut
 
 #: Rows of (question, term) that tasks know; more questions are ranked in several goes.
 TERMS = 500_000
@@ -212,6 +213,7 @@ class Ranking:
 
 def evaluate(ranking: Ranking, relevant: DataFrame, k: int = 10) -> DataFrame:
     """recall@k (of k or of all relevant ones, if fewer) and mean reciprocal rank over the questions that have relevant documents."""
+    relevant = cut(relevant.select("query", "doc"), "relevant")  # it is read three times
     hits = ranking.top(k).join(relevant.select("query", "doc"), ["query", "doc"]).groupBy("query").agg(F.count("*").alias("hits"))
     n = relevant.groupBy("query").agg(F.count("*").alias("relevant"))
     per = n.join(hits, "query", "left").join(ranking.first_places(relevant), "query", "left")
