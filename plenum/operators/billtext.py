@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenum.operators.textual import containing
 
@@ -71,19 +70,18 @@ def headings(pages: DataFrame) -> DataFrame:
     return rows.filter(kept).select("bill", "page", "line", "kind", "number", "annex")
 
 
-def growing(numbers: np.ndarray) -> np.ndarray:
+def growing(numbers: list[int]) -> list[int]:
     """Places of the longest strictly growing run: of several the one that ends first, and whose members come first."""
-    best, back = np.ones(len(numbers), dtype=np.int64), np.full(len(numbers), -1)
-    for k in range(1, len(numbers)):
-        reach = np.where(numbers[:k] < numbers[k], best[:k], 0)
-        if reach.max() > 0:
-            back[k] = reach.argmax()
-            best[k] = reach.max() + 1
-    out, at = [], int(best.argmax()) if len(numbers) else -1
+    best, back = [1] * len(numbers), [-1] * len(numbers)
+    for k, n in enumerate(numbers):
+        for j in range(k):
+            if numbers[j] < n and best[j] >= best[k]:
+                best[k], back[k] = best[j] + 1, j
+    out, at = [], best.index(max(best)) if best else -1
     while at >= 0:
         out.append(at)
-        at = int(back[at])
-    return np.array(out[::-1], dtype=np.int64)
+        at = back[at]
+    return out[::-1]
 
 
 def units(pages: DataFrame) -> DataFrame:
@@ -95,13 +93,16 @@ def units(pages: DataFrame) -> DataFrame:
     found = headings(pages)
     body = found.filter("annex = 0 and kind <> 'annex'")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line"]).reset_index(drop=True)
-        return pdf.iloc[growing(pdf["number"].to_numpy())][["bill", "kind", "number", "page"]]
-
-    # one bill's headings of one kind are in a group: their number is that of its units
-    schema = found.select("bill", "kind", "number", "page").schema
-    runs = body.groupBy("bill", "kind").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [growing([h["number"] for h in heads]) for heads in batch.column("heads").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("bill"), batch.column("kind"), batch.column("heads"), pa.array(kept, pa.list_(pa.int32()))], names=["bill", "kind", "heads", "kept"])
+
+    # one bill's headings of one kind are in a row: their number is that of its units
+    heads = body.groupBy("bill", "kind").agg(F.sort_array(F.collect_list(F.struct("page", "line", "number"))).alias("heads"))
+    packed = heads.mapInArrow(run, T.StructType([*heads.schema.fields, T.StructField("kept", T.ArrayType(T.IntegerType()))]))
+    each = packed.select("bill", "kind", F.explode(F.transform("kept", lambda k: F.get("heads", k))).alias("h"))
+    runs = each.select("bill", "kind", F.col("h.number").alias("number"), F.col("h.page").alias("page"))
     sections = runs.filter("kind = 'section'")
     articles = runs.filter("kind = 'article'").join(sections.select("bill").distinct(), "bill", "left_anti")
     first = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("page").alias("page"))
