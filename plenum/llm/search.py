@@ -42,6 +42,8 @@ from plenum.llm.suffix import _spread
 K1, B = 1.2, 0.75
 #: Documents of a block, and blocks that are scored between two moves of the pivot.
 BLOCK, LOOK = 64, 8
+#: Tasks for each core that the shards of an index are dealt to.
+TASKS = 2
 #: Text of one shard, and of the terms of one block of queries.
 SHARD_BYTES, QUERY_BYTES = 24 << 20, 32 << 20
 _TERM = re.compile(r"\w+")
@@ -201,9 +203,10 @@ def _first(found: DataFrame, n_shards: int, k: int) -> DataFrame:
 
 
 def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int, n_shards: int) -> DataFrame:
-    """(query_id, doc_id, score): the first k of each query of the block in each shard.
+    """(query_id, doc_id, score): the first k of each query of the block in the shards of each task.
 
-    The best blocks of all shards come first: their k-th best score is what every shard starts from.
+    A task has several shards, one after the other, and each begins with the k-th best score of those before it.  The first begins with
+    what the best blocks of one shard of each task have given: their k-th best score over all.
     """
     query, term, qtf, df = (block.column(c).to_numpy() for c in ("doc_id", "term", "qtf", "df"))
     order = np.lexsort((term, query))
@@ -214,14 +217,23 @@ def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int,
     context = shards.sparkSession.sparkContext
     shipped = context.broadcast((vocabulary, queries))  # QUERY_BYTES, or one query
 
+    tasks = max(1, min(n_shards, TASKS * context.defaultParallelism))
+    shards = shards.coalesce(tasks)
+
     def answers(batches, least: dict[int, float] | None):
         vocabulary, (ids, ends, at, factor) = shipped.value
-        for s in _shards(batches):
-            shard, out = Shard(s, vocabulary, mean), []
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]  # of each query (-score, doc_id), ascending
+        for turn, s in enumerate(_shards(batches)):
+            if least is None and turn:
+                continue
+            shard = Shard(s, vocabulary, mean)
             for i, q in enumerate(ids.tolist()):
                 part = slice(ends[i], ends[i + 1])
-                out += [(q, d, x) for d, x in shard.best(at[part], factor[part], k, None if least is None else least.get(q, 0.0))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
+                limit = None if least is None else max(least.get(q, 0.0), -best[i][-1][0] if len(best[i]) == k else 0.0)
+                if new := shard.best(at[part], factor[part], k, limit):
+                    best[i] = sorted([*best[i], *((-x, d) for d, x in new)])[:k]
+        out = [(q, d, -x) for q, found in zip(ids.tolist(), best, strict=True) for x, d in found]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
 
     schema = "query_id long, doc_id long, score double"
     first = _first(shards.mapInArrow(lambda batches: answers(batches, None), schema), n_shards, k).filter(F.col("at") == k - 1)
