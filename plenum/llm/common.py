@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,17 +17,16 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that setting is missing and Spark runs in this process (tests) is it a temporary
-    folder of this machine; elsewhere it is then a folder of the warehouse.
+    folder of this machine; a cluster without it is an error, since other folders may be each machine's own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = spark.conf.get("plenum.work.dir", None)
-            if not base:
-                base = "file://" + tempfile.mkdtemp(prefix="plenum-")
-                spark.conf.set("plenum.work.dir", base)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_plenum"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("plenum.work.dir", None)
+        if not base:
+            base = "file://" + tempfile.mkdtemp(prefix="plenum-")
+            spark.conf.set("plenum.work.dir", base)
     return f"{base.rstrip('/')}/plenum-{tag}-{uuid.uuid4().hex}"
 
 

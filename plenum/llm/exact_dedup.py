@@ -3,11 +3,12 @@ r"""Exact dedup by a tree merge of sorted digest runs, in DataFrame operations o
 Texts are equal when they are identical after deleting every character of ``[\x20\x09-\x0D]``.
 Each row becomes one entry (digest, witness, id, 1); the witness is the length and a second hash of the normalised text.
 
-1. Rows are dealt to runs of about ``RUN`` rows, whatever their digest, so a digest that a third of all rows carry is
-   spread over a third of each run.  A run is one sorted array for each range of digests (``bucket``).
+1. Rows are dealt to ranges of digests (``bucket``), and the rows of a bucket to runs of ``RUN`` rows at most, on average,
+   whatever their digest.  A run is one sorted array.  A bucket has as many rounds as its runs need: one or none as a rule, and
+   more only where a digest has many rows, which are then spread over all runs of its bucket.
 2. In each round ``FAN`` runs of a bucket are sent to the first of them and merged: their arrays, each sorted,
    are merged into one sorted array, and neighbours with the same digest and the same witness become one entry, with the
-   first identifier and the sum of the rows.  After the last round each bucket is one run; a bucket has about ``RANGE``
+   first identifier and the sum of the rows.  A bucket that is one run takes no part in further rounds; it has about ``RANGE``
    digests, so no array grows with the corpus.
 3. What became of groups of several rows goes back by the same tree: to the ``FAN`` runs that were merged, round by
    round, and at last to the rows of each run.  Nothing ever joins on the digest alone.
@@ -52,13 +53,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _dealt(entries: DataFrame) -> tuple[DataFrame, int]:
-    """``entries`` (written, so their numbers hold) with bucket and run, and the rounds that make one run of them."""
+    """``entries`` (written, so their numbers hold) with bucket, the rounds that make one run of it, and run; the most rounds."""
     n = entries.count()
-    rounds = max(1, math.ceil(math.log(max(1, n / RUN), FAN)))
+    buckets = max(1, -(-n // RANGE))
     first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    bucket = F.shiftright(first * F.lit(max(1, -(-n // RANGE))), 32).cast("int")
-    run = F.pmod(F.xxhash64("number"), F.lit(FAN**rounds)).cast("long")
-    return entries.withColumns({"bucket": bucket, "run": run}), rounds
+    placed = entries.withColumn("bucket", F.shiftright(first * F.lit(buckets), 32).cast("int"))
+    needed = F.greatest(F.lit(0), F.ceil(F.log(F.count("*") / RUN) / math.log(FAN))).cast("int")
+    sizes = cut(placed.groupBy("bucket").agg(needed.alias("rounds")), "buckets")
+    run = F.pmod(F.xxhash64("number"), F.pow(F.lit(float(FAN)), "rounds").cast("long"))
+    return placed.join(small(sizes, buckets), "bucket").withColumn("run", run), sizes.agg(F.max("rounds").alias("most")).first().most or 0
 
 
 def _merged(entries: Column) -> Column:
@@ -80,16 +83,19 @@ def _merged(entries: Column) -> Column:
 
 
 def merge_runs(dealt: DataFrame, rounds: int) -> list[DataFrame]:
-    """(bucket, run, entries): the sorted runs of each level, the first runs first; the last level has one run a bucket."""
+    """(bucket, rounds, run, entries): the sorted runs of each level, the first runs first.
+
+    Level k has the buckets of at least k rounds; those of k rounds are one run there.
+    """
     best = [(-F.col("n_points")).alias("less_points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")]
     entry = F.struct(*KEY, *best, F.lit(1).cast("long").alias("n"))
-    runs = dealt.groupBy("bucket", "run").agg(F.sort_array(F.collect_list(entry)).alias("sorted"))
+    runs = dealt.groupBy("bucket", "rounds", "run").agg(F.sort_array(F.collect_list(entry)).alias("sorted"))
     levels = []
-    for _ in range(rounds + 1):
-        levels.append(cut(runs.select("bucket", "run", _merged(F.col("sorted")).alias("entries")), "runs"))
+    for k in range(rounds + 1):
+        levels.append(cut(runs.select("bucket", "rounds", "run", _merged(F.col("sorted")).alias("entries")), "runs"))
         to = F.floor(F.col("run") / FAN).alias("run")
         # sorting an array made of sorted ones merges them: it finds the ascending runs and merges neighbours
-        runs = levels[-1].groupBy("bucket", to).agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("sorted"))
+        runs = levels[-1].filter(F.col("rounds") > k).groupBy("bucket", "rounds", to).agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("sorted"))
     return levels
 
 
@@ -98,10 +104,12 @@ def verdicts(entries: DataFrame) -> DataFrame:
     dealt, rounds = _dealt(entries)
     levels = merge_runs(dealt, rounds)
     place = ["bucket", "run", *KEY]
-    told = levels[-1].select("bucket", "run", F.inline(F.filter("entries", lambda x: x["n"] > 1)))
-    for level in levels[-2::-1]:
-        own = level.select("bucket", F.col("run").alias("to"), F.floor(F.col("run") / FAN).alias("run"), F.inline(F.transform("entries", lambda x: F.struct(*[x[c].alias(c) for c in KEY]))))
-        told = own.join(told, place).select("bucket", F.col("to").alias("run"), *KEY, *BEST, "n")
+    told = None
+    for k in range(rounds, -1, -1):
+        done = levels[k].filter(F.col("rounds") == k).select("bucket", "run", F.inline(F.filter("entries", lambda x: x["n"] > 1)))
+        own = levels[k].filter(F.col("rounds") > k)
+        own = own.select("bucket", F.col("run").alias("to"), F.floor(F.col("run") / FAN).alias("run"), F.inline(F.transform("entries", lambda x: F.struct(*[x[c].alias(c) for c in KEY]))))
+        told = done if told is None else own.join(told, place).select("bucket", F.col("to").alias("run"), *KEY, *BEST, "n").unionByName(done)
     found = dealt.join(told, place, "left")
     alone = F.col("n").isNull()
     stays = alone | (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_points") == -F.col("less_points")))

@@ -86,12 +86,12 @@ def _luhn_sum(digits: Column, last_is_check: bool) -> Column:
     return F.aggregate(places, F.lit(0), one)
 
 
-def feistel(a: Column, b: Column, high: Column, low: Column, kind: str, key: str, tweak: Column, undo: bool = False) -> Column:
+def feistel(a: Column, b: Column, high: Column, low: Column, kind: str, key: Column, tweak: Column, undo: bool = False) -> Column:
     """A permutation of the pairs (a below high, b below low): a and b are moved in turns."""
     sign = F.lit(-1 if undo else 1).cast("long")
 
     def word(t: Column, half: Column) -> Column:
-        text = F.concat_ws(":", F.lit(key), F.lit(kind), tweak.cast("string"), t.cast("string"), half.cast("string"))
+        text = F.concat_ws(":", key, F.lit(kind), tweak.cast("string"), t.cast("string"), half.cast("string"))
         return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
     def turn(s: Column, t: Column) -> Column:
@@ -105,7 +105,7 @@ def feistel(a: Column, b: Column, high: Column, low: Column, kind: str, key: str
     return F.aggregate(F.array(*[F.lit(t) for t in turns]), start, turn)
 
 
-def _number(digits: Column, kind: str, key: str, undo: bool) -> Column:
+def _number(digits: Column, kind: str, key: Column, undo: bool) -> Column:
     """A string of 2 to 18 digits, permuted among the strings of its length."""
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
@@ -202,7 +202,7 @@ def parts_of(v: Column) -> Column:
     return F.when(itself, F.array(_part(v, kind_of(v)))).otherwise(run)
 
 
-def _card(v: Column, key: str, undo: bool) -> Column:
+def _card(v: Column, key: Column, undo: bool) -> Column:
     def checked(body: Column) -> Column:
         check = (F.lit(10) - _luhn_sum(body, False) % 10) % 10
         return _let(F.concat(body, check.cast("string")), lambda d: _refill(v, d))
@@ -211,7 +211,7 @@ def _card(v: Column, key: str, undo: bool) -> Column:
     return _let(_digits(v), lambda d: _let(body(d), lambda b: _let(_number(b, "card", key, undo), checked)))
 
 
-def _phone(v: Column, key: str, undo: bool) -> Column:
+def _phone(v: Column, key: Column, undo: bool) -> Column:
     def moved(d: Column) -> Column:
         code = F.when(d.startswith("1"), 1).otherwise(2)
         rest = F.substring(d, code + 1, F.length(d))
@@ -225,13 +225,13 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def _ip(v: Column, key: str, undo: bool) -> Column:
+def _ip(v: Column, key: Column, undo: bool) -> Column:
     octet = [F.split_part(v, F.lit("."), F.lit(k)).try_cast("long") for k in (1, 2, 3, 4)]
     new = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], _long(1 << 16), _long(1 << 16), "ip", key, F.lit(0), undo)
     return _let(new, lambda x: F.concat_ws(".", *[F.shiftright(x[h], s).bitwiseAND(255).cast("string") for h in "ab" for s in (8, 0)]))
 
 
-def _ssn(v: Column, key: str, undo: bool) -> Column:
+def _ssn(v: Column, key: Column, undo: bool) -> Column:
     part = [F.split_part(v, F.lit("-"), F.lit(k)).try_cast("long") for k in (1, 2, 3)]
     area = F.when(part[0] > 666, part[0] - 2).otherwise(part[0] - 1)
     new = feistel(area * 99 + part[1] - 1, part[2] - 1, _long(898 * 99), _long(9999), "ssn", key, F.lit(0), undo)
@@ -243,7 +243,7 @@ def _ssn(v: Column, key: str, undo: bool) -> Column:
     return _let(new, written)
 
 
-def _date(v: Column, key: str, undo: bool) -> Column:
+def _date(v: Column, key: Column, undo: bool) -> Column:
     first = F.lit(DAY_0).cast("date")
     high, low = DAY_PARTS[1], DAY_PARTS[0]
     moved = lambda day: feistel(F.floor(day / low), day % low, _long(high), _long(low), "date", key, F.lit(0), undo)
@@ -255,7 +255,7 @@ def _date(v: Column, key: str, undo: bool) -> Column:
     return _let(F.datediff(_date_parts(v), first), lambda day: _let(moved(day), written))
 
 
-def pseudonym(v: Column, kind: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(v: Column, kind: Column, key: Column, undo: bool = False) -> Column:
     """The pseudonym of a matched value of that kind, or the value itself where it has none."""
     makers = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date}
     out = F.when(kind.isNull(), v)
@@ -265,12 +265,16 @@ def pseudonym(v: Column, kind: Column, key: str, undo: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
-    """doc_id, n_values, kinds (array of kinds found, in order), text with pseudonyms: one row for each row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """doc_id, n_values, kinds (array of kinds found, in order), text with pseudonyms: one row for each row.
+
+    Plans, and so the UI and the event log, name the subquery that has the key, and don't show the key.
+    """
+    secret = docs.sparkSession.sql("SELECT * FROM VALUES (:key) AS t(key)", {"key": key})
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), secret.scalar().alias("secret"))
     some = rows.withColumn("found", F.when(F.col("text").rlike(r"\d.{0,3}\d"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     none = F.col("found").isNull() | (F.size("found") == 0)
     some = some.withColumn("rest", F.when(~none, F.split("text", PATTERN, -1)))
-    new = lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["v"], p["kind"], key, undo).alias("new"))
+    new = lambda p: F.struct(p["kind"].alias("kind"), pseudonym(p["v"], p["kind"], F.col("secret"), undo).alias("new"))
     made = F.transform("found", lambda v: F.transform(parts_of(v), new))
     some = some.withColumn("made", F.when(~none, made))
     kinds = F.filter(F.transform(F.flatten("made"), lambda m: m["kind"]), lambda k: k.isNotNull())

@@ -235,6 +235,17 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(days, "k", id_col="id").select("text").distinct().count() == pseudonyms.DAYS
 
 
+def test_pseudonym_key_is_not_in_the_plan(spark):
+    """Repeated ids and a null one stay rows; no form of the plan shows the key, before or after it ran."""
+    key = "a key that nobody may see"
+    out = pseudonyms.pseudonymise(table(spark, [(1, "10.0.0.1"), (1, "10.0.0.1"), (None, "at 10.0.0.1"), (2, None), (3, "")]), key)
+    rows = out.collect()
+    assert len(rows) == 5 and len({r.text.removeprefix("at ") for r in rows if r.n_values}) == 1
+    assert key not in out._jdf.queryExecution().toString() and key not in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    other = pseudonyms.pseudonymise(table(spark, [(1, "10.0.0.1")]), "another key").first()
+    assert other.text not in {r.text for r in rows}
+
+
 def test_pseudonyms_beside_other_characters(spark):
     card, cases = "4785380592391139", [
         ("card {} 12 items", ["card"]), ("{} 123", ["card"]), ("paid 3 {} ok", ["card"]), ("{}/123 {}:12", ["card", "card"]),
