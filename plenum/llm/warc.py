@@ -18,7 +18,7 @@ no text (by its content type) gets a metadata record only.  Bytes that aren't in
 names (else UTF-8) become the replacement character.  A null id gets an id from the block.  A null URI gives
 no URI field.  Rows that repeat give repeated records.  An empty table gives none.  Damaged files give the records that
 can be read (see ``parse``).  Chunked and compressed payloads are decoded for the text; digests are of what was sent.
-Other columns are left out, but for those that ``derive`` is told to ``keep``, which must not have a record's names.
+Other columns are left out, but for those that ``derive`` is told to ``keep``; names of a record's there are a ValueError.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.llm.common import cut, small
+
 RECORD = "record_id string, record_type string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 DERIVED = RECORD + ", refers_to string, record binary"
 _ARROW = pa.schema([
@@ -42,6 +44,9 @@ _ARROW = pa.schema([
     ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary()),
 ])
 _ARROW_DERIVED = _ARROW.append(pa.field("refers_to", pa.string())).append(pa.field("record", pa.binary()))
+_ARROW_PIECE = _ARROW.append(pa.field("file", pa.string())).append(pa.field("whole", pa.bool_()))
+#: What ends a record when another one follows.
+_BETWEEN = b"\r\n\r\nWARC/"
 _SPACE = uuid.UUID("6f0f7c52-9f0e-5b53-8f5e-2f6f4f2f7a10")
 
 
@@ -96,20 +101,56 @@ def parse(raw: bytes) -> Iterator[dict]:
         at = stop
 
 
+def _piece(raw: bytes) -> Iterator[dict]:
+    """The record that a piece of a file begins with, and whether it is whole: as long as it says, and all there is."""
+    for record in parse(raw + b"\r\n\r\n"):
+        first = {n.lower(): v for n, v in reversed(record["headers"])}
+        size = first.get("content-length", "")
+        stated = int(size) if size.isascii() and size.isdigit() else -1
+        rest = raw[raw.find(b"\r\n\r\n") + 4 + max(0, stated) :] if stated >= 0 else b""
+        yield _named(record) | {"whole": len(record["block"]) == stated and not rest.strip(b"\r\n")}
+        return
+
+
 def _named(record: dict) -> dict:
     return record | {"headers": [{"name": n, "value": v} for n, v in record["headers"]]}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files below ``path``; a file is read by one task."""
+    """The records of the WARC files below ``path``, of any size.
+
+    Files are cut where a record can begin (``_BETWEEN``), so a large plain file is read by many tasks and a compressed one by one
+    task that streams.  Where a block has such bytes itself, its record lacks some: only files with such a record, or one that is cut off
+    or has no length, are read again as wholes (they then must be below 2 GiB).  A damaged compressed file gives what can be read of it.
+    """
+    files = spark.read.option("lineSep", _BETWEEN.decode("latin-1")).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
+    # a string of this reader has the file's bytes, whatever they are
+    pieces = files.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches):
+        for batch in batches:
+            for file, piece in zip(batch.column("file").to_pylist(), batch.column("piece"), strict=True):
+                raw = piece.as_py()
+                raw = raw if b"WARC/" in raw[: len(_BETWEEN) + 1] else b"WARC/" + raw
+                yield pa.RecordBatch.from_pylist([x | {"file": file} for x in _piece(raw)], _ARROW_PIECE)
+
+    read = cut(pieces.mapInArrow(run, RECORD + ", file string, whole boolean"), "warc")
+    torn = cut(read.filter("not whole").select(F.col("file").alias("torn")).distinct(), "torn")
+    n = torn.count()
+    own = [f.name for f in _ARROW]
+    if not n:
+        return read.select(*own)
+
+    def again(batches):
         for batch in batches:
             for raw in batch.column("content"):
                 for record in parse(raw.as_py()):
                     yield pa.RecordBatch.from_pylist([_named(record)], _ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    side = small(torn, n)
+    wholes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"), "content")
+    wholes = wholes.join(side, F.col("file") == F.col("torn"), "left_semi").select("content").mapInArrow(again, RECORD)
+    return read.join(side, F.col("file") == F.col("torn"), "left_anti").select(*own).unionByName(wholes)
 
 
 def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -119,10 +160,10 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str
     block = F.concat(head.cast("binary"), body)
     key, uri = F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string")
     name = F.sha2(F.concat_ws("\n", F.coalesce(key.cast("string"), F.lit("")), F.coalesce(uri, F.lit("")), F.md5(body)), 256)
-    cut = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    fields = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return pages.select(
         key.alias("page_id"),
-        F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">")).alias("record_id"),
+        F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *fields), F.lit(">")).alias("record_id"),
         F.lit("response").alias("record_type"),
         uri.alias("target_uri"),
         F.lit(date).alias("warc_date"),
@@ -257,6 +298,8 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The derivatives of the response records among ``records``; columns in ``keep`` are handed on."""
     kept = [f for f in records.schema if f.name in keep]
     own = [f.name for f in _ARROW]
+    if clash := set(keep) & set(_ARROW_DERIVED.names):
+        raise ValueError(f"columns to keep have names of a record's: {sorted(clash)}")
     picked = records.filter("record_type = 'response'").select(*own, *[f.name for f in kept])
     schema = DERIVED + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -288,8 +331,15 @@ def pages_to_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -
     )
 
 
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write the ``record`` bytes to WARC files below ``path``, in any store: one file for each partition."""
+    ends = b"\r\n\r\n".decode()
+    body = F.substring("record", F.lit(1), F.octet_length("record") - len(ends)).cast("string")  # bytes stay as they are
+    records.select(body.alias("value")).write.option("lineSep", ends).text(path)
+
+
 def save(records: DataFrame, path: str) -> int:
-    """Write the ``record`` bytes to one local WARC file, streaming partition by partition; for exports."""
+    """Write the ``record`` bytes to one local WARC file, streaming partition by partition; for small exports."""
     n = 0
     with open(path, "wb") as f:
         for row in records.select("record").toLocalIterator():

@@ -387,6 +387,109 @@ def test_warc_damaged(spark, tmp_path):
     assert warc.pages_to_derivatives(none).count() == 0
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files_in_pieces(spark, tmp_path, packed):
+    """Records of files that are read in pieces against the reader of whole files: blocks that look like records, end in blank lines, or are bytes."""
+    import gzip
+
+    rng, shelf = random.Random(3), tmp_path / "warc"
+    shelf.mkdir()
+    expected = []
+    for f in range(4):
+        raw = []
+        for k in range(60):
+            block = rng.choice([b"", b"\r\n", b"\r\n\r\n", b"x\r\n\r\n\r\n", bytes(rng.randrange(256) for _ in range(rng.randrange(4000))), b"y\r\n" * 20_000])
+            if f == 1 and k % 20 == 7:
+                block += b"\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + block
+            raw.append(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{f}:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+            expected.append((f"<urn:{f}:{k}>", block))
+        name = shelf / (f"{f}.warc.gz" if packed else f"{f}.warc")
+        name.write_bytes(b"".join(map(gzip.compress, raw)) if packed else b"".join(raw))
+    (shelf / "none.warc").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = warc.read_warc(spark, str(shelf)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.record_id, bytes(r.block)) for r in got) == sorted(expected)
+
+
+def plain_derivatives(page_id, url, page):
+    """Both records of a page by a parser of its own: the standard library's, tag by tag."""
+    import base64
+    import hashlib
+    import uuid
+    from html.parser import HTMLParser
+
+    blocks = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.text, self.title, self.links, self.hidden, self.in_title = "", "", [], 0, False
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "noscript", "template"):
+                self.hidden += 1
+            self.in_title |= tag == "title"
+            if tag in blocks:
+                self.text += "\n"
+            if tag == "a" and not self.hidden and dict(attrs).get("href") is not None:
+                self.links.append(dict(attrs)["href"].strip())
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "noscript", "template"):
+                self.hidden -= 1
+            self.in_title &= tag != "title"
+            if tag in blocks:
+                self.text += "\n"
+
+        def handle_data(self, data):
+            if self.in_title:
+                self.title += data
+            elif not self.hidden:
+                self.text += data.replace("\n", " ").replace("\r", " ")
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    text = "\n".join(" ".join(line.split()) for line in r.text.split("\n") if line.split()).encode()
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    payload = page.encode()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    name = hashlib.sha256("\n".join([str(page_id), url or "", hashlib.md5(payload).hexdigest()]).encode()).hexdigest()
+    source = f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>"
+    lines = ["httpStatus: HTTP/1.1 200 OK", "httpHeader-Content-Type: text/html; charset=utf-8", f"httpHeader-Content-Length: {len(payload)}"]
+    lines += [f"sourceBlockDigest: {sha(head + payload)}", f"sourcePayloadDigest: {sha(payload)}", "sourceHeader-Content-Type: application/http; msgtype=response"]
+    title = " ".join(r.title.split())
+    lines += [f"title: {title}"] if title else []
+    lines += [f"outlink: {' '.join(x.split())} L a/@href" for x in r.links]
+    meta = "".join(x + "\r\n" for x in lines).encode()
+    ids, out = {k: f"<urn:uuid:{uuid.uuid5(warc._SPACE, f'{k} {source}')}>" for k in ("metadata", "conversion")}, []
+    for kind, block, own in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+        day = "2024-01-01T00:00:00Z"
+        fields = [f"WARC-Type: {kind}", f"WARC-Record-ID: {ids[kind]}", f"WARC-Date: {day}", *([f"WARC-Target-URI: {url}"] if url else []), f"WARC-Refers-To: {source}"]
+        fields += [*([f"WARC-Refers-To-Target-URI: {url}"] if url else []), f"WARC-Refers-To-Date: {day}"]
+        if kind == "conversion":
+            fields += [f"WARC-Concurrent-To: {ids['metadata']}", f"WARC-Payload-Digest: {sha(block)}", f"WARC-Source-Payload-Digest: {sha(payload)}"]
+        fields += [f"WARC-Block-Digest: {sha(block)}", f"Content-Type: {own}", f"Content-Length: {len(block)}"]
+        out.append((page_id, kind, ids[kind], source, url, len(block), sha(block), ("WARC/1.1\r\n" + "".join(x + "\r\n" for x in fields) + "\r\n").encode() + block + b"\r\n\r\n"))
+    return out
+
+
+def test_warc_against_plain_builder(spark, tmp_path):
+    """The whole query against a builder of its own, over all given pages; what is written as files can be read again."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    expected = [x for r in pages.collect() for x in plain_derivatives(r.page_id, r.url, r.html or "")]
+    got = queries.op2_warc(spark, "/root/testdata/sf0.001")
+    assert sorted((*r[:7], bytes(r.record)) for r in got.collect()) == sorted(expected)
+    warc.write_warc(got, str(tmp_path / "out"))
+    back = warc.read_warc(spark, str(tmp_path / "out" / "part-*"))
+    assert sorted(r.record_id for r in back.collect()) == sorted(x[2] for x in expected)
+    with pytest.raises(ValueError):
+        warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z"), keep=("block",))
+
+
 def test_feistel_is_a_permutation_of_each_kind(spark):
     """Each kind's values against what makes it valid, and against each other."""
     import ipaddress
