@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import text
 from plenum.operators.textual import K1, B
-from plenum.sources.work import cut
+from plenum.sources.work import cut, small
 
 #: Rows of (question, term) that tasks know; more questions are ranked in several goes.
 TERMS = 500_000
@@ -41,6 +41,14 @@ class Asked:
         self.idf = np.zeros(len(self.terms))
         self.mean = 1.0
 
+    def only(self, keep: set[int]) -> Asked:
+        """Some of the questions, with the weights of their terms as they are."""
+        names = list(self.terms)
+        term = np.repeat(np.arange(len(names)), np.diff(self.start))
+        out = Asked([(q, names[t], int(n)) for t, k, n in zip(term.tolist(), self.of.tolist(), self.times.tolist(), strict=True) if (q := self.questions[k]) in keep])
+        out.idf, out.mean = np.array([self.idf[self.terms[t]] for t in out.terms]), self.mean
+        return out
+
     def begun(self, token: str) -> list[int]:
         """The terms that a token begins with."""
         return [k for n in range(SHORTEST, len(token) + 1) if (k := self.terms.get(token[:n])) is not None]
@@ -85,6 +93,52 @@ def _scores(tokens: pa.ListArray, asked: Asked) -> Iterator[tuple[int, np.ndarra
         yield a, np.round(np.bincount(cell, weight[low:high][owner] * asked.times[at], (z - a) * width), 4).reshape(z - a, width)
 
 
+FOUND = "query long, doc long, score double"
+
+
+def _candidates(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(question, doc, score) of a chunk: the k best of each question, with the ties at the end."""
+    if len(scores) > k:
+        some = np.argpartition(-scores, k - 1, axis=0)[:k]
+        least = np.take_along_axis(scores, some, axis=0).min(axis=0)
+        where = np.argwhere(scores >= np.maximum(least, 1e-12))
+    else:
+        where = np.argwhere(scores > 0)
+    return where[:, 1], ids[where[:, 0]], scores[where[:, 0], where[:, 1]]
+
+
+def _marked(asked: Asked, ids: np.ndarray, mine: pa.ListArray, scores: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(question, doc, score) of a chunk's documents with the questions that they are marked with."""
+    row = np.repeat(np.arange(len(mine)), mine.value_lengths().fill_null(0).to_numpy())
+    query, names = mine.flatten().to_numpy(), np.array(asked.questions, dtype=np.int64)
+    at = np.minimum(np.searchsorted(names, query), len(names) - 1)
+    row, at = row[names[at] == query], at[names[at] == query]
+    some = scores[row, at] > 0
+    row, at = row[some], at[some]
+    return at, ids[row], scores[row, at]
+
+
+def _merged(state: list, new: tuple[np.ndarray, ...], k: int) -> list:
+    """The first k of each question, of those so far and the new ones."""
+    q, d, s = (np.concatenate(x) for x in zip(state, new, strict=True)) if state else new
+    order = np.lexsort((-d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return [q[place < k], d[place < k], s[place < k]]
+
+
+def _named(asked: Asked, state: list) -> Iterator[pa.RecordBatch]:
+    if state:
+        names = np.array(asked.questions, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[state[0]]), pa.array(state[1].astype(np.int64)), pa.array(state[2])], names=["query", "doc", "score"])
+
+
+def _placed(found: DataFrame, k: int) -> DataFrame:
+    """The first k of each question, of the first k of each task."""
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
 class Ranking:
     """Questions (query long, question) against documents (doc long, body)."""
 
@@ -128,94 +182,96 @@ class Ranking:
         df = np.array([got.get(k, 0) for k in range(len(asked.terms))], dtype=float)
         asked.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
-    def _pass(self, asked: Asked, schema: str, finish: Callable, step: Callable) -> DataFrame:
-        """A pass over the documents: ``step`` sees ids and scores of a chunk, ``finish`` gives the task's rows."""
+    def _pass(self, asked: Asked, schema: str, finish: Callable, step: Callable, docs: DataFrame | None = None) -> DataFrame:
+        """A pass over the documents: ``step`` sees the rows and scores of a chunk, ``finish`` gives the task's rows."""
         known = self.spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: list = []
             for batch in batches:
-                ids = batch.column(0).to_numpy()
                 for a, scores in _scores(batch.column(1), known.value):
-                    state = step(known.value, state, ids[a : a + len(scores)], scores)
+                    state = step(known.value, state, batch.slice(a, len(scores)), scores)
             yield from finish(known.value, state)
 
-        return self.docs.select("doc", "t").mapInArrow(run, schema)
+        return (self.docs.select("doc", "t") if docs is None else docs).mapInArrow(run, schema)
 
     def top(self, k: int = 10) -> DataFrame:
         """(query, doc, score): the k best documents of each question, of equal scores (to four digits) the larger id."""
 
-        def step(asked: Asked, state: list, ids: np.ndarray, scores: np.ndarray) -> list:
-            if len(scores) > k:
-                some = np.argpartition(-scores, k - 1, axis=0)[:k]
-                least = np.take_along_axis(scores, some, axis=0).min(axis=0)
-                where = np.argwhere((scores >= np.maximum(least, 1e-12)))  # ties at the end too
-            else:
-                where = np.argwhere(scores > 0)
-            new = (where[:, 1], ids[where[:, 0]], scores[where[:, 0], where[:, 1]])
-            q, d, s = (np.concatenate(x) for x in zip(state, new, strict=True)) if state else new
-            order = np.lexsort((-d, -s, q))
-            q, d, s = q[order], d[order], s[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            return [q[place < k], d[place < k], s[place < k]]
+        def step(asked: Asked, state: list, rows: pa.RecordBatch, scores: np.ndarray) -> list:
+            return _merged(state, _candidates(rows.column(0).to_numpy(), scores, k), k)
 
         def finish(asked: Asked, state: list) -> Iterator[pa.RecordBatch]:
-            if state:
-                names = np.array(asked.questions, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[state[0]]), pa.array(state[1].astype(np.int64)), pa.array(state[2])], names=["query", "doc", "score"])
+            yield from _named(asked, state)
 
         out = None
         for asked in self._goes():
-            one = self._pass(asked, "query long, doc long, score double", finish, step)
+            one = self._pass(asked, FOUND, finish, step)
             out = one if out is None else out.unionByName(one)
-        if out is None:
-            return self.spark.createDataFrame([], "query long, doc long, score double")
-        place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("doc")))
-        return out.withColumn("place", place).filter(F.col("place") <= k).select("query", "doc", "score")
+        return _placed(self._none(FOUND) if out is None else out, k).select("query", "doc", "score")
+
+    def _none(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
+
+    def places(self, relevant: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+        """(query, doc, score, place) of the k best of each question, and (query, place): where in the whole ranking the best of a
+        question's ``relevant`` (query, doc) stands; none without a score.
+
+        One pass finds both, since most of these are among the k best.  Another one counts, for the questions where they are not, what
+        stands above.  A document knows the questions it is relevant to, by a join.
+        """
+        marks = relevant.groupBy(F.col("doc").cast("long").alias("doc")).agg(F.collect_set(F.col("query").cast("long")).alias("mine"))
+        marks = cut(marks, "marks")
+        docs = self.docs.join(small(marks, marks.count()), "doc", "left").select("doc", "t", "mine")
+
+        def step(asked: Asked, state: list, rows: pa.RecordBatch, scores: np.ndarray) -> list:
+            ids, (tops, leads) = rows.column(0).to_numpy(), state or ([], [])
+            return [_merged(tops, _candidates(ids, scores, k), k), _merged(leads, _marked(asked, ids, rows.column(2), scores), 1)]
+
+        def finish(asked: Asked, state: list) -> Iterator[pa.RecordBatch]:
+            for lead, part in enumerate(state):
+                for rows in _named(asked, part):
+                    yield rows.append_column("lead", pa.array(np.full(len(rows), bool(lead))))
+
+        best, firsts = self._none(FOUND + ", place int"), self._none("query long, place long")
+        for asked in self._goes():
+            found = cut(self._pass(asked, FOUND + ", lead boolean", finish, step, docs), "found")
+            tops = _placed(found.filter("not lead").drop("lead"), k)
+            leads = found.filter("lead").groupBy("query").agg(F.max(F.struct("score", "doc")).alias("b")).select("query", "b.score", "b.doc")
+            met = tops.groupBy("query", "doc").agg(F.min("place").cast("long").alias("place"))
+            leads = cut(leads.join(met, ["query", "doc"], "left"), "leads")
+            best, firsts = best.unionByName(tops), firsts.unionByName(leads.filter("place is not null").select("query", "place"))
+            bar = {r["query"]: (r.score, r.doc) for r in leads.filter("place is null").collect()}  # a row a question of this go
+            if bar:
+                firsts = firsts.unionByName(self._above(asked.only(set(bar)), bar))
+        return best, firsts
+
+    def _above(self, asked: Asked, bar: dict[int, tuple[float, int]]) -> DataFrame:
+        """(query, place): one more than the documents above a question's (score, doc)."""
+        limits = np.array([bar[q][0] for q in asked.questions]), np.array([bar[q][1] for q in asked.questions], dtype=np.int64)
+
+        def step(asked: Asked, state: list, rows: pa.RecordBatch, scores: np.ndarray) -> list:
+            (score, doc), ids = limits, rows.column(0).to_numpy()[:, None]
+            n = ((scores > score) | ((scores == score) & (ids > doc))).sum(axis=0)
+            return [n if not state else state[0] + n]
+
+        def finish(asked: Asked, state: list) -> Iterator[pa.RecordBatch]:
+            for n in state:
+                yield pa.RecordBatch.from_arrays([pa.array(asked.questions, pa.int64()), pa.array(n, pa.int64())], names=["query", "n"])
+
+        return self._pass(asked, "query long, n long", finish, step).groupBy("query").agg((F.sum("n") + 1).alias("place"))
 
     def first_places(self, relevant: DataFrame) -> DataFrame:
         """(query, place): where in the whole ranking the best of a question's ``relevant`` (query, doc) stands; none without a score."""
-        marks = relevant.groupBy("query").agg(F.collect_set("doc").alias("docs"))
-        out = None
-        for asked in self._goes():
-            mine = {r["query"]: set(r.docs) for r in marks.filter(F.col("query").isin(asked.questions)).collect()} if len(asked.questions) <= 10_000 else {r["query"]: set(r.docs) for r in marks.collect()}
-            held = self.spark.sparkContext.broadcast({k: mine[q] for k, q in enumerate(asked.questions) if q in mine})
-
-            def best(asked: Asked, state: list, ids: np.ndarray, scores: np.ndarray, held=held) -> list:
-                for k, docs in held.value.items():
-                    at = np.flatnonzero(np.isin(ids, list(docs)) & (scores[:, k] > 0))
-                    state += [(asked.questions[k], int(ids[j]), float(scores[j, k])) for j in at]
-                return state
-
-            def give(asked: Asked, state: list) -> Iterator[pa.RecordBatch]:
-                if state:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*state, strict=True)], names=["query", "doc", "score"])
-
-            leads = self._pass(asked, "query long, doc long, score double", give, best).groupBy("query").agg(F.max(F.struct("score", "doc")).alias("b")).collect()  # a row a question
-            bar = {r["query"]: (r.b.score, r.b.doc) for r in leads}
-            limits = self.spark.sparkContext.broadcast({k: bar[q] for k, q in enumerate(asked.questions) if q in bar})
-
-            def above(asked: Asked, state: list, ids: np.ndarray, scores: np.ndarray, limits=limits) -> list:
-                state = state or [0] * len(asked.questions)
-                for k, (score, doc) in limits.value.items():
-                    state[k] += int(((scores[:, k] > score) | ((scores[:, k] == score) & (ids > doc))).sum())
-                return state
-
-            def counted(asked: Asked, state: list, limits=limits) -> Iterator[pa.RecordBatch]:
-                if state:
-                    some = sorted(limits.value)
-                    yield pa.RecordBatch.from_arrays([pa.array([asked.questions[k] for k in some], pa.int64()), pa.array([state[k] for k in some], pa.int64())], names=["query", "n"])
-
-            one = self._pass(asked, "query long, n long", counted, above).groupBy("query").agg((F.sum("n") + 1).alias("place"))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else self.spark.createDataFrame([], "query long, place long")
+        return self.places(relevant)[1]
 
 
 def evaluate(ranking: Ranking, relevant: DataFrame, k: int = 10) -> DataFrame:
     """recall@k (of k or of all relevant ones, if fewer) and mean reciprocal rank over the questions that have relevant documents."""
     relevant = cut(relevant.select("query", "doc"), "relevant")  # it is read three times
-    hits = ranking.top(k).join(relevant.select("query", "doc"), ["query", "doc"]).groupBy("query").agg(F.count("*").alias("hits"))
+    best, firsts = ranking.places(relevant, k)
+    hits = best.join(relevant, ["query", "doc"]).groupBy("query").agg(F.count("*").alias("hits"))
     n = relevant.groupBy("query").agg(F.count("*").alias("relevant"))
-    per = n.join(hits, "query", "left").join(ranking.first_places(relevant), "query", "left")
+    per = n.join(hits, "query", "left").join(firsts, "query", "left")
     per = per.select((F.coalesce("hits", F.lit(0)) / F.least(F.lit(k), F.col("relevant"))).alias("r"), F.coalesce(1 / F.col("place"), F.lit(0.0)).alias("m"))
     return per.agg(F.count("*").alias("questions"), F.avg("r").alias("recall"), F.avg("m").alias("mrr"))
