@@ -132,6 +132,18 @@ def test_substring_dedup(spark, texts, monkeypatch, hot):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize(("first", "then"), [(0, 1), (1, 0)])
+def test_substring_dedup_of_a_text_of_one_string(spark, first, then):
+    """A document of just ``width`` bytes and one that holds it within a longer passage share a home."""
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    one = long[150:200]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(table(spark, [(first, one), (then, long)])).collect()}
+    later = max(first, then)
+    assert {i: r.n_removed for i, r in got.items()} == {later: 50, 1 - later: 0}
+    assert got[later].kept_sha256 == hashlib.sha256((long[:150] + long[200:] if later == then else "").encode()).hexdigest()
+
+
 def test_substring_dedup_is_decided_by_suffix_arrays(spark, texts, monkeypatch):
     def none(texts, docs, homes, width):
         return (np.zeros(sum(map(len, texts)), bool),) * 2
