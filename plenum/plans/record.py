@@ -323,10 +323,9 @@ def _(s, d):
     county, district = F.when(k % 3 == 0, "Országos lista").when(k % 3 == 1, " Fejér ").otherwise(""), F.when(k % 3 == 1, (k % 12).cast("string")).otherwise("")
     grp = F.when(F.col("s_acctbal") < 0, "").otherwise(F.concat(F.lit("G"), F.col("s_nationkey").cast("string")))
     text_of = lambda c: c.cast("string")
-    item = F.concat(F.lit('<kepviselo p_azon="'), text_of(k), F.lit('" nev="'), "s_name", F.lit('" kepv_csop="'), grp, F.lit('" vmegye="'), county, F.lit('" vkorzet="'), district, F.lit('" sorszam="1 '), F.lpad(text_of(k), 3, "0"), F.lit('"/>'))
+    item = F.concat(F.lit('<kepviselo p_azon="'), text_of(k), F.lit('" nev="'), "s_name", F.lit('" kepv_csop="'), grp, F.lit('" vmegye="'), county, F.lit('" vkorzet="'), district, F.lit('" sorszam="'), F.translate(F.format_number(k + 1000, 0), ",", " "), F.lit('"/>'))
     lists = b.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.array_join(F.collect_list(item), "").alias("items"))  # a nation's members
-    out = records.members(_payloads(lists, "<kepviselok>", F.col("items"), "</kepviselok>")).drop("photo")
-    return out.withColumn("ord", F.when(F.col("ord") < 10_000, F.col("ord")).otherwise(F.col("member").cast("int") + 1000))
+    return records.members(_payloads(lists, "<kepviselok>", F.col("items"), "</kepviselok>")).drop("photo")
 
 
 @query("bill_details", """SELECT CAST(o_orderkey AS VARCHAR) AS path, 'T/' || o_orderkey AS iromany, CAST(o_orderkey AS INTEGER) AS number, CASE o_orderstatus WHEN 'F' THEN 'surgos' WHEN 'O' THEN 'kiveteles' END AS procedure_kind,

@@ -23,3 +23,8 @@ def agrees(spark, folder, name, **tables):
 def test_collated_words_of_one_nation(spark, tmp_path):
     customer = [{"c_custkey": k, "c_nationkey": 1, "c_acctbal": -1.0 if k % 3 else 1.0} for k in range(60)]
     assert agrees(spark, tmp_path, "collated_customers", customer=customer)
+
+
+def test_member_numbers_of_four_digits(spark, tmp_path):
+    supplier = [{"s_suppkey": k, "s_nationkey": k % 2, "s_name": f"S{k}", "s_acctbal": float(k % 5 - 1)} for k in (5, 999, 1000, 1234, 9500, 1_234_567)]
+    assert agrees(spark, tmp_path, "member_list", supplier=supplier)
