@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Spans and days meet in buckets of so many days.
 WIDTH = 32
+#: The last day of an open span, as a number.
+OPEN = 100_000_000
 
 
 def on_days(days: DataFrame, spans: DataFrame, day: str = "day", since: str = "since", until: str = "until", width: int = WIDTH) -> DataFrame:
@@ -28,18 +31,37 @@ def on_days(days: DataFrame, spans: DataFrame, day: str = "day", since: str = "s
     return met.filter(inside).drop("__bucket")
 
 
-def composition(days: DataFrame, mandates: DataFrame, memberships: DataFrame, alone: str = "independent", width: int = WIDTH) -> DataFrame:
+def composition(days: DataFrame, mandates: DataFrame, memberships: DataFrame, alone: str = "independent") -> DataFrame:
     """(day, grp, members): how many members of each group sit on each day.
 
     ``mandates`` (member, since, until) say who sits, ``memberships`` (member, grp, since, until) for which group; both ends belong to a
     span.  A mandate without a group that day is ``alone``; of several groups on a day the one that began last counts, then the
-    first by name.
+    first by name.  A member's time is cut where a span begins or ends, and the house is a running sum of what begins and ends, so
+    rows are as many as spans, not members times days.
     """
-    sits = on_days(days, mandates.select("member", "since", "until"), width=width).select("day", "member").distinct()
-    of = on_days(days, memberships.select("member", "grp", "since", "until"), width=width)
-    of = of.groupBy("day", "member").agg(F.min_by("grp", F.struct(-F.datediff("since", F.lit("1970-01-01").cast("date")), "grp")).alias("grp"))
-    both = sits.join(of, ["day", "member"], "left")
-    return both.groupBy("day", F.coalesce("grp", F.lit(alone)).alias("grp")).agg(F.count("*").alias("members"))
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    held = lambda rows, *keys: rows.filter("since is not null and (until is null or since <= until)").groupBy(
+        *keys, number(F.col("since")).alias("low")
+    ).agg(F.max(F.coalesce(number(F.col("until")), F.lit(OPEN))).alias("high"))
+    sits, of = held(mandates.select("member", "since", "until"), "member"), held(memberships.select("member", "grp", "since", "until"), "member", "grp")
+    # pieces of a member's time in which nothing begins or ends; how many mandates hold is a running sum
+    edge = lambda rows, at, by: rows.select("member", at.alias("low"), F.lit(by).alias("by"))
+    low, after = F.col("low"), F.col("high") + 1
+    edges = edge(sits, low, 1).unionByName(edge(sits, after, -1)).unionByName(edge(of, low, 0)).unionByName(edge(of, after, 0))
+    own = W.partitionBy("member").orderBy("low")
+    pieces = edges.groupBy("member", "low").agg(F.sum("by").alias("by")).select("member", "low", F.lead("low").over(own).alias("next"), F.sum("by").over(own).alias("sits"))
+    pieces = pieces.filter("sits > 0")
+    a, m = pieces.alias("a"), of.alias("m")
+    inside = (F.col("a.member") == F.col("m.member")) & (F.col("a.low") >= F.col("m.low")) & (F.col("a.low") <= F.col("m.high"))
+    met = a.join(m, inside, "left").groupBy(F.col("a.member"), F.col("a.low"), F.col("a.next")).agg(F.min_by(F.col("m.grp"), F.struct(-F.col("m.low"), F.col("m.grp"))).alias("grp"))
+    group = F.coalesce("grp", F.lit(alone)).alias("grp")
+    steps = met.select(group, F.col("low").alias("at"), F.lit(1).alias("by")).unionByName(met.select(group, F.col("next").alias("at"), F.lit(-1).alias("by")))
+    steps = steps.groupBy("grp", "at").agg(F.sum("by").alias("by"))  # a row a group and day, however many members
+    asked = days.select("day").filter("day is not null").distinct()
+    shown = steps.select("grp").distinct().crossJoin(asked).select("grp", number(F.col("day")).alias("at"), F.lit(0).alias("by"), "day")
+    every = steps.withColumn("day", F.lit(None).cast(asked.schema["day"].dataType)).unionByName(shown)
+    total = F.sum("by").over(W.partitionBy("grp").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    return every.select("day", "grp", total.alias("members")).filter("day is not null and members > 0")
 
 
 def in_span(on: Column, since: str = "since", until: str = "until") -> Column:

@@ -116,14 +116,19 @@ def resolve(labels: DataFrame, people: DataFrame, history: DataFrame) -> DataFra
     asked = asked.withColumns({"plain": F.array_join(folded, " "), "head": head(folded), "last": F.element_at(folded, -1)})
     own = words(F.col("name"))
     known = people.withColumns({"plain_p": F.array_join(own, " "), "head_p": head(own), "last_p": F.element_at(own, -1)})
-    a, b = F.col("last"), F.col("last_p")
-    short = (F.length(a) >= 4) & (F.length(b) >= 4) & (a != b) & (F.abs(F.length(a) - F.length(b)) <= 3) & (a.startswith(b) | b.startswith(a))
+    # a name and one that begins with it meet on an equality: the longer one is cut by one, two and three letters
+    cuts = lambda c: F.explode(F.filter(F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.substring(c, F.lit(1), F.length(c) - n)), lambda x: F.length(x) >= 4))
     q, p = asked, known
+    q4 = q.filter("grp is not null").select("label", "term", "grp", "head", "last")
+    p4 = p.select("id", "head_p", "last_p").filter(F.length("last_p") >= 4)
+    longer = q4.withColumn("begins", cuts(F.col("last"))).join(p4, (F.col("head") == F.col("head_p")) & (F.col("begins") == F.col("last_p")))
+    shorter = q4.join(p4.withColumn("begins", cuts(F.col("last_p"))), (F.col("head") == F.col("head_p")) & (F.col("last") == F.col("begins")))
     steps = [
         (1, q.join(p, F.col("label") == F.col("listed"))),
         (2, q.join(p, F.col("bare") == F.col("name"))),
         (3, q.filter("grp is not null").join(p, F.col("plain") == F.col("plain_p"))),
-        (4, q.filter("grp is not null").join(p, (F.col("head") == F.col("head_p")) & short)),
+        (4, longer),
+        (4, shorter),
     ]
     found = None
     for step, rows in steps:

@@ -28,3 +28,40 @@ def test_collated_words_of_one_nation(spark, tmp_path):
 def test_member_numbers_of_four_digits(spark, tmp_path):
     supplier = [{"s_suppkey": k, "s_nationkey": k % 2, "s_name": f"S{k}", "s_acctbal": float(k % 5 - 1)} for k in (5, 999, 1000, 1234, 9500, 1_234_567)]
     assert agrees(spark, tmp_path, "member_list", supplier=supplier)
+
+
+def test_short_given_names_meet_on_an_equality(spark):
+    """No step of the resolution compares all names that share their other words."""
+    from plenum.operators import relational
+
+    people = spark.createDataFrame([(1, None, "Kiss Alexandra"), (2, None, "Kiss Alex"), (3, None, "Nagy Zsuzsanna"), (4, None, "Tóth Ann"), (5, None, "Szabó Zsolti"), (6, None, "Szabó Zsoltika")], "id long, listed string, name string")
+    labels = spark.createDataFrame([("Nagy Zsuzsann (G)", 1), ("Nagy Zsuzs (G)", 1), ("Tóth Anna (G)", 1), ("Szabó Zsolt (G)", 1), ("Kiss Alexandr (G)", 1), ("Nagy Zsuzsannaka (G)", 1)], "label string, term int")
+    history = people.selectExpr("id", "1 AS term", "'G' AS grp")
+    out = relational.resolve(labels, people, history)
+    assert {r.label: (r.id, r.step) for r in out.collect()} == {
+        "Nagy Zsuzsann (G)": (3, 4), "Nagy Zsuzs (G)": (None, None), "Tóth Anna (G)": (None, None), "Szabó Zsolt (G)": (None, None), "Kiss Alexandr (G)": (1, 4), "Nagy Zsuzsannaka (G)": (3, 4),
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "startswith(last" not in plan
+
+
+def test_composition_has_no_row_a_member_and_day(spark):
+    from plenum.operators import membership
+
+    rng, d = random.Random(3), dt.date(2024, 1, 1)
+    day = lambda n: d + dt.timedelta(days=n)
+    span = lambda: (rng.choice([None, *map(day, range(40))]), rng.choice([None, *map(day, range(60))]))
+    mandates = [(rng.choice([*"abcdef", None]), *span()) for _ in range(25)]
+    groups = [(rng.choice([*"abcdef", None]), rng.choice(["S", "T", "U", None]), *span()) for _ in range(60)]
+    days = [day(n) for n in (3, 7, 7, 20, 33, 34, 50)] + [None]
+    holds = lambda on, since, until: since is not None and since <= on and (until is None or on <= until)
+    want = {}
+    for on in {x for x in days if x}:
+        for who in {m for m, *s in mandates if holds(on, *s)}:
+            of = [(-s.toordinal(), g or "", g) for m, g, s, u in groups if m == who and m is not None and holds(on, s, u)]
+            grp = min(of)[2] if of else None
+            want[on, grp or "independent"] = want.get((on, grp or "independent"), 0) + 1
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = membership.composition(frame([(x,) for x in days], "day date"), frame(mandates, "member string, since date, until date"), frame(groups, "member string, grp string, since date, until date"))
+    assert {(r.day, r.grp): r.members for r in out.collect()} == want
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
