@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plenum.operators import decisions, groups, series
 from plenum.operators.floor import substantive
+from plenum.operators.textual import bounded, dealt
 
 #: A strip of a day's votes has so many at most.
 STRIP = 160
@@ -138,9 +139,11 @@ def exchanges(events: DataFrame, speeches: DataFrame) -> DataFrame:
     ``events`` are (bill, label, sitting, seq); neither the event's date nor its label orders them.  A reprinted speech counts once.
     """
     held = speeches.filter(F.coalesce(F.col("text"), F.lit("")) != "").groupBy("sitting", "seq").agg(F.min("text").alias("text"))
-    rows = events.filter("sitting is not null and seq is not null").dropDuplicates(["bill", "label", "sitting", "seq"]).join(held, ["sitting", "seq"])
-    w = W.partitionBy("bill").orderBy("sitting", "seq", "label")  # a bill has some turns
-    return rows.select("bill", F.row_number().over(w).alias("turn"), "sitting", "seq", "label", "text")
+    rows = events.filter("sitting is not null and seq is not null").dropDuplicates(["bill", "label", "sitting", "seq"])
+    rows = rows.join(bounded(held.select("sitting", "seq")), ["sitting", "seq"], "left_semi")
+    w = W.partitionBy("bill").orderBy("sitting", "seq", "label")  # a bill has some turns; they are sorted without their texts
+    turns = dealt(rows, events.count(), "bill").withColumn("turn", F.row_number().over(w))
+    return turns.join(held, ["sitting", "seq"]).select("bill", "turn", "sitting", "seq", "label", "text")
 
 
 def hero(votes: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from pyspark.sql import types as T
 from plenum.functions import text
 
 K1, B = 1.5, 0.75
+#: Rows for each part of an exchange: parts grow with the table, a part doesn't.
+PART = 500_000
 
 
 def grams(docs: DataFrame, k: int, doc: str = "doc", speaker: str = "speaker", body: str = "body") -> DataFrame:
@@ -100,6 +106,13 @@ def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` (``n``, about) dealt by ``keys`` in parts of about ``PART`` rows; few rows in as many parts as Spark takes."""
+    parts = -(-n // PART)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys) if parts > usual else rows.repartition(*keys)
+
+
 def postings(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
     """(doc, token, tf, length): tf is 255 at most, length the number of tokens."""
     t = docs.select(F.col(doc).alias("doc"), text.tokens(F.col(body)).alias("t"))
@@ -257,22 +270,54 @@ def did_you_mean(words: DataFrame, vocabulary: DataFrame, itself: bool = True) -
 
 
 def rising_run(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """The longest strictly increasing run of values in reading order of each key: (key, order, value)."""
-    schema = rows.select(key, order, value).schema
+    """The longest strictly increasing run of values in reading order of each key: (key, order, value).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+    Rows stream through a task sorted by key and order, and a task holds those of one key; rows without a value are in no run.
+    """
+    these = rows.select(key, order, value)
 
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        tails, at, back = [], [], []
-        for i, v in enumerate(pdf[value]):
+    def longest(at: list, values: list) -> list[int]:
+        tails, ends, back = [], [], []
+        for i, v in enumerate(values):
             k = bisect.bisect_left(tails, v)
-            back.append(at[k - 1] if k else -1)
-            tails[k : k + 1], at[k : k + 1] = [v], [i]
-        out, i = [], at[-1] if at else -1
+            back.append(ends[k - 1] if k else -1)
+            tails[k : k + 1], ends[k : k + 1] = [v], [i]
+        out, i = [], ends[-1] if ends else -1
         while i >= 0:
             out.append(i)
             i = back[i]
-        return pdf.loc[out[::-1], [key, order, value]]
-
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, schema)
+        return out[::-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, values, schema = None, [], [], None
+        out: list[list] = [[], [], []]
+
+        def close():
+            kept = longest(at, values)
+            out[0].extend([now] * len(kept))
+            out[1].extend([at[i] for i in kept])
+            out[2].extend([values[i] for i in kept])
+            at.clear(), values.clear()
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for c in out:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            schema = batch.schema
+            for k, o, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    close()
+                    now = k
+                at.append(o)
+                values.append(v)
+            if out[0]:
+                yield made()
+        close()
+        if out[0]:
+            yield made()
+
+    some = these.filter(F.col(value).isNotNull())
+    return dealt(some, rows.count(), key).sortWithinPartitions(F.col(key), F.asc_nulls_last(order), F.col(value)).mapInArrow(run, these.schema)

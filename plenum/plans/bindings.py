@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from plenum.operators import groups, textual
 
-#: Lines for each part of an exchange: parts grow with the table, a part doesn't.
-PART = 500_000
-
 RULE_BY_SIZE = ["egyszeru", "abszolut", "ketharmad_jelenlevo", "ketharmad_osszes", "negyotod_jelenlevo"]
 
 
@@ -17,13 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``rows`` (``n``, about) dealt by ``keys`` in parts of about ``PART`` rows; few rows in as many parts as Spark takes."""
-    parts = -(-n // PART)
-    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys) if parts > usual else rows.repartition(*keys)
-
-
 def positions(spark: SparkSession, folder: str) -> DataFrame:
     """A part is a vote, a supplier a member, its region the group; one row for each vote and member, the first line.
 
@@ -38,7 +28,7 @@ def positions(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", packed.alias("packed"))
     n = lines.count()  # from the footers
     with_home = lines.join(textual.bounded(home), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "l_suppkey", "n_regionkey", "packed")
-    first = dealt(with_home, n, "l_partkey").groupBy("l_partkey", "l_suppkey", "n_regionkey").agg(F.min("packed").alias("packed"))
+    first = textual.dealt(with_home, n, "l_partkey").groupBy("l_partkey", "l_suppkey", "n_regionkey").agg(F.min("packed").alias("packed"))
     position = F.element_at(F.array(*[F.lit(p) for p in ("no", "abstain", "yes", "absent")]), (F.col("packed") % 4 + 1).cast("int"))
     return first.select(F.col("l_partkey").alias("vote"), F.col("l_suppkey").alias("member"), F.col("n_regionkey").alias("grp"), position.alias("position"))
 

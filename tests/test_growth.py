@@ -65,3 +65,38 @@ def test_composition_has_no_row_a_member_and_day(spark):
     out = membership.composition(frame([(x,) for x in days], "day date"), frame(mandates, "member string, since date, until date"), frame(groups, "member string, grp string, since date, until date"))
     assert {(r.day, r.grp): r.members for r in out.collect()} == want
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rising_run_streams(spark):
+    from plenum.operators import textual
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, 3, None]), n, rng.choice([None, *range(30)])) for n in range(200)]
+    out = textual.rising_run(spark.createDataFrame(rows, "k int, n int, v int").repartition(3), "k", "n", "v")
+    got = sorted(map(tuple, out.collect()), key=str)
+    for key in (1, 2, 3, None):
+        best = {}
+        values = [v for k, _, v in rows if k == key and v is not None]
+        for i, v in enumerate(values):
+            best[i] = 1 + max((best[j] for j in range(i) if values[j] < v), default=0)
+        run = sorted((n, v) for k, n, v in got if k == key)
+        assert len(run) == max(best.values()) and all(a[1] < b[1] for a, b in zip(run, run[1:], strict=False)) and all((key, n, v) in rows for n, v in run)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turns_are_numbered_without_their_texts(spark):
+    from plenum.operators import house
+
+    events = spark.createDataFrame([(1, "a", 5, 2), (1, "b", 5, 1), (1, "b", 5, 1), (1, "c", 6, 9), (2, "a", 5, 3)], "bill int, label string, sitting int, seq int")
+    held = spark.createDataFrame([(5, 1, "x"), (5, 2, "y"), (5, 3, "")], "sitting int, seq int, text string")
+    out = house.exchanges(events, held)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 5, 1, "b", "x"), (1, 2, 5, 2, "a", "y")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_parts_grow_with_rows(spark):
+    from plenum.operators import textual
+
+    rows = spark.range(100)
+    assert textual.dealt(rows, 40 * textual.PART, "id").rdd.getNumPartitions() == 40
