@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.operators.textual import containing
+from plenum.sources.work import cut
 
 # How the lines look at which units, annexes, articles and the reasoning begin, and a page's number.
 SECTION = r"(?U)^\s*(\d+)\.\s*§(?!-)(.*)$"
@@ -36,8 +37,10 @@ def lines(pages: DataFrame) -> DataFrame:
 
 def reasons(pages: DataFrame) -> DataFrame:
     """(bill, at): page and line where the submitter's reasoning begins, never on a bill's first page."""
-    first = pages.groupBy("bill").agg(F.min("page").alias("first"))
-    begins = lines(pages).filter(F.col("text").rlike(REASONS)).join(first, "bill").filter("page > first")
+    # pages without the word are not cut into lines
+    begins = lines(pages.filter(F.lower("body").contains("ndokol"))).filter(F.col("text").rlike(REASONS))
+    first = pages.join(begins.select("bill").distinct(), "bill", "left_semi").groupBy("bill").agg(F.min("page").alias("first"))
+    begins = begins.join(first, "bill").filter("page > first")
     return begins.groupBy("bill").agg(F.min(F.struct("page", "line")).alias("at"))
 
 
@@ -90,7 +93,7 @@ def units(pages: DataFrame) -> DataFrame:
     Sections (or articles, in a bill without sections) of the body are the longest run of numbers that only grows, since a heading
     quoted from another law breaks the run; annexes, and the articles inside an annex, start where they are first headed.
     """
-    found = headings(pages)
+    found = cut(headings(pages), "headings")  # few lines of a text, read five times below
     body = found.filter("annex = 0 and kind <> 'annex'")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +130,7 @@ def cited_pages(cites: DataFrame, found: DataFrame) -> DataFrame:
         "*", kinds.alias("__kind"), F.when(c.rlike(CITE_ANNEX), F.coalesce(inner, annex)).otherwise(number).alias("__number"),
         F.when(inner.isNotNull(), annex).otherwise(0).alias("__annex"),
     )
+    found = cut(found, "units")  # read twice below
     has = found.filter("kind = 'article'").select("bill").distinct().withColumn("__own", F.lit(True))
     asked = asked.join(has, "bill", "left")
     other = (F.col("__kind") == "article") & F.col("__own").isNull()  # without articles of its own, the first annex's are meant

@@ -100,3 +100,12 @@ def test_parts_grow_with_rows(spark):
 
     rows = spark.range(100)
     assert textual.dealt(rows, 40 * textual.PART, "id").rdd.getNumPartitions() == 40
+
+
+def test_headings_are_looked_for_once(spark, monkeypatch):
+    from plenum.operators import billtext
+
+    pages = spark.createDataFrame([(1, 1, "1. §\n2. § [A]"), (1, 2, "ÁLTALÁNOS INDOKOLÁS\n3. §"), (1, 3, "4. §")], "bill int, page int, body string")
+    out = billtext.units(pages)
+    assert sorted((r.kind, r.number, r.page) for r in out.collect()) == [("section", 1, 1), ("section", 2, 1)]
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
