@@ -69,15 +69,19 @@ def repair_ampersands(raw: Column) -> Column:
 
 
 def parse(payloads: DataFrame, schema: str) -> DataFrame:
-    """``doc`` parsed from ``raw``; only payloads that fail are repaired and parsed again; null where that fails too."""
+    """``doc`` parsed from ``raw``; only payloads that fail are repaired and parsed again; null where that fails too.
+
+    What is parsed is a generated column: whatever is asked of it later, each payload is read once, and those that are fine go
+    through the repair as nulls.
+    """
     kind = f"struct<{schema},_corrupt_record:string>"
     options = {**OPTIONS, "columnNameOfCorruptRecord": "_corrupt_record"}
-    first = payloads.withColumn("doc", F.from_xml("raw", kind, options))
+    first = payloads.select("*", F.explode_outer(F.array(F.from_xml("raw", kind, options))).alias("doc"))
     bad = F.col("doc._corrupt_record").isNotNull() | F.col("doc").isNull()
-    fine = first.filter(~bad).withColumn("repaired", F.lit(False))
-    again = first.filter(bad).withColumn("doc", F.from_xml(repair_ampersands(repair_quotes("raw")), kind, options))
-    again = again.withColumn("doc", F.when(F.col("doc._corrupt_record").isNull(), F.col("doc"))).withColumn("repaired", F.lit(True))
-    return fine.unionByName(again)
+    again = first.withColumns({"__again": repair_quotes(F.when(bad, F.col("raw"))), "repaired": bad}).withColumnRenamed("doc", "__doc")
+    again = again.select("*", F.explode_outer(F.array(F.from_xml(repair_ampersands(F.col("__again")), kind, options))).alias("__second"))
+    doc = F.when(~F.col("repaired"), F.col("__doc")).when(F.col("__second._corrupt_record").isNull(), F.col("__second"))
+    return again.select(*payloads.columns, F.explode_outer(F.array(doc)).alias("doc"), "repaired")
 
 
 def properties(c: Column) -> Column:
