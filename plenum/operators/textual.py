@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,33 +14,102 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions import text
+from plenum.sources.work import cut
 
 K1, B = 1.5, 0.75
 #: Rows for each part of an exchange: parts grow with the table, a part doesn't.
 PART = 500_000
 
 
-def grams(docs: DataFrame, k: int, doc: str = "doc", speaker: str = "speaker", body: str = "body") -> DataFrame:
-    """(doc, speaker, at, gram): the hash of every run of k words."""
-    w = docs.select(F.col(doc).alias("doc"), F.col(speaker).alias("speaker"), text.words(F.col(body)).alias("w")).filter(F.size("w") >= k)
-    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " ")))
-    return w.select("doc", "speaker", F.posexplode(hashed).alias("at", "gram"))  # numbers leave a text, not words
+#: Words of documents that a task looks at together.
+WORDS = 250_000
+#: Multiplier of the rolling hashes: odd, so that it can be divided out again.
+ODD = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes with all bits of all bits, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _rolled(words: np.ndarray, *lengths: int) -> Iterator[np.ndarray]:
+    """For each length the hashes of all runs of so many words, by sums modulo 2^64."""
+    powers = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words), x, np.uint64)]))
+    up, down = powers(ODD), powers(pow(ODD, -1, 1 << 64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * up[:-1])])
+    for n in lengths:
+        yield _mixed((sums[n:] - sums[:-n]) * down[: len(sums) - n])
+
+
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of every ``n`` neighbours."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        h, have = np.minimum(h[:-step], h[step:]), have + step
+    return h
+
+
+def packed_grams(docs: DataFrame, k: int, doc: str = "doc", speaker: str = "speaker", body: str = "body") -> DataFrame:
+    """(doc, speaker, at, anchor, grams): hashes of the runs of k words that begin at ``at`` and after, as far as they share an anchor.
+
+    The anchor of a run is the least hash of the shorter runs (a third of k) inside it: equal runs have equal anchors.
+    """
+    third = (k + 2) // 3
+    rows = docs.select(F.col(doc).alias("doc"), F.col(speaker).alias("speaker"), F.transform(text.words(F.col(body)), lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") >= k)
+    schema = T.StructType([rows.schema["doc"], rows.schema["speaker"], *T._parse_datatype_string("at int, anchor long, grams array<long>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            a, ends = 0, whole.column(2).offsets.to_numpy()
+            while a < len(whole):  # pieces of documents with so many words together, or one with more
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + WORDS, side="right")) - 1)
+                batch, starts = whole.slice(a, z - a), ends[a : z + 1].astype(np.int64) - ends[a]
+                a = z
+                grams, shorter = _rolled(batch.column(2).flatten().to_numpy().view(np.uint64), k, third)
+                anchor = _least(shorter, k - third + 1)
+                owner = np.repeat(np.arange(len(batch)), np.diff(starts))[: len(grams)]
+                at = np.arange(len(grams)) - starts[owner]
+                kept = np.flatnonzero(at + k <= np.diff(starts)[owner])
+                owner, at, anchor, grams = owner[kept], at[kept], anchor[kept].view(np.int64), grams[kept].view(np.int64)
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])])
+                of = pa.array(owner[first])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(kept)], pa.int32()), pa.array(grams))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(at[first], pa.int32()), pa.array(anchor[first]), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def grams(docs: DataFrame, k: int, least: int = 1, **names) -> DataFrame:
+    """(doc, speaker, at, gram): the hash of every run of k words; with ``least`` of 2 or more only those that several speakers may have said.
+
+    Those are the runs whose anchor several speakers have, a twelfth of the rows to count; a run that one speaker alone said is not shuffled.
+    """
+    packed = packed_grams(docs, k, **names)
+    if least >= 2:
+        packed = cut(packed, "grams")
+        said = packed.groupBy("anchor").agg(F.min("speaker").alias("one"), F.max("speaker").alias("other")).filter("one <> other").select("anchor")
+        packed = packed.join(said, "anchor", "left_semi")
+    rows = packed.select("doc", "speaker", "at", F.posexplode("grams").alias("n", "gram"))  # numbers leave a text, not words
+    return rows.select("doc", "speaker", (F.col("at") + F.col("n")).alias("at"), "gram")
 
 
 def echoes(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFrame:
     """Runs of k words that ``least`` speakers or more said: gram, occurrences, docs, speakers, first doc."""
-    return grams(docs, k, **names).groupBy("gram").agg(
+    return grams(docs, k, least, **names).groupBy("gram").agg(
         F.count("*").alias("occurrences"), F.count_distinct("doc").alias("docs"), F.count_distinct("speaker").alias("speakers"), F.min("doc").alias("first_doc")
     ).filter(F.col("speakers") >= least)
 
 
-def echo_runs(docs: DataFrame, k: int = 30, least: int = 2, **names) -> DataFrame:
+def echo_runs(docs: DataFrame, k: int = 30, least: int = 2, rows: DataFrame | None = None, **names) -> DataFrame:
     """Maximal passages: neighbouring grams that occur at the same sites, shifted by one, are one run.
 
     A run is (first doc, place, words, sites, speakers).  Sites that only some of the grams have start a
-    run of their own; that rule doesn't depend on the order of rows.
+    run of their own; that rule doesn't depend on the order of rows.  ``rows``: the documents' grams, if they are known.
     """
-    rows = grams(docs, k, **names)
+    rows = cut(grams(docs, k, least, **names), "shared") if rows is None else rows  # read twice
     shared = rows.groupBy("gram").agg(F.count_distinct("speaker").alias("speakers"), F.count("*").alias("sites"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("speakers") >= least)
     hits = rows.join(shared.select("gram", "first", "sites", "speakers"), "gram")
     # a set of sites as the sums of two hashes of them: 128 bits, summed before the shuffle
@@ -59,8 +129,8 @@ def echo_records(docs: DataFrame, k: int = 30, least: int = 2) -> DataFrame:
     words, passage, sites, speakers, speeches, days, first_day, last_day, lag_days, same_day, same_kind, groups (their number,
     empty ones not counted), one_group.  A missing kind is a kind of its own; without any day there is no lag.
     """
-    rows = grams(docs, k)
-    runs = echo_runs(docs, k, least)
+    rows = cut(grams(docs, k, least), "shared")
+    runs = cut(echo_runs(docs, k, least, rows), "runs")
     begins = runs.join(rows.select("doc", "at", "gram"), ["doc", "at"])
     sites = begins.select("doc", "at", "gram").join(rows.select("gram", F.col("doc").alias("said")).distinct(), "gram")
     meta = docs.select(F.col("doc").alias("said"), "speaker", "day", "kind", F.when(F.col("grp") != "", F.col("grp")).alias("grp"))

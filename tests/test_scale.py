@@ -17,3 +17,29 @@ def test_payloads_are_parsed_once(spark):
     got = {r.path: (r.doc and r.doc.cim and r.doc.cim._nev, r.repaired) for r in out.collect()}
     assert got == {"a": ("1", False), "b": ('a "b" & c', True), "c": (None, True), "d": (None, True)}
     assert plan(out.select("doc.cim._nev", "repaired")).lower().count("xml") == 2
+
+
+def test_echoes_count_only_what_several_speakers_may_have_said(spark):
+    from plenum.operators import textual
+
+    rng = random.Random(5)
+    shared = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)] for n in (6, 9, 14)]
+    docs = []
+    for n in range(40):
+        own = [f"w{n}x{k}" for k in range(90)]
+        for passage in rng.sample(shared, 2):
+            own[(at := rng.randrange(80)) : at] = passage
+        docs.append((n, None if n % 9 == 0 else f"s{n % 4}", " ".join(own)))
+    df = spark.createDataFrame(docs + [(90, "s1", None), (91, "s1", "(left out)")], "doc long, speaker string, body string").repartition(3)
+    for k in (1, 5, 8):
+        want, every = {}, 0
+        for doc, speaker, body in docs:
+            w = body.split()
+            for at in range(len(w) - k + 1):
+                every += 1
+                want.setdefault(tuple(w[at : at + k]), []).append((doc, speaker))
+        want = sorted((len(v), len({d for d, _ in v}), len({s for _, s in v if s}), min(v)[0]) for v in want.values() if len({s for _, s in v if s}) >= 2)
+        got = textual.echoes(df, k).select("occurrences", "docs", "speakers", "first_doc").collect()
+        assert sorted(map(tuple, got)) == want
+        n = textual.grams(df, k).count(), textual.grams(df, k, 2).count()
+        assert n[0] == every and n[1] < every / 2, (k, n)
