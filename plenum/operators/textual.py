@@ -315,28 +315,59 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+def _cut_keys(words: DataFrame, edits: int) -> DataFrame:
+    """(word, n, key): hashes of a word (word, n) and of what is left of it without one letter, or two if ``edits`` is 2."""
+    schema = T.StructType([words.schema["word"], words.schema["n"], T.StructField("key", T.LongType())])
+    odd, back = np.uint64(ODD), np.uint64(pow(ODD, -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            sizes = np.array([len(x) for x in texts], np.int64)
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                for part in np.array_split(rows, -(-len(rows) * (size * size // 2 + 1) // 1_000_000)):
+                    letters = np.array([[ord(c) for c in texts[r]] for r in part], np.uint64).reshape(len(part), size)
+                    up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, odd)]))
+                    sums = np.concatenate([np.zeros((len(part), 1), np.uint64), np.cumsum(_mixed(letters + np.uint64(1)) * up, axis=1, dtype=np.uint64)], 1)
+                    whole = sums[:, size]
+                    keys = [whole, *(sums[:, i] + (whole - sums[:, i + 1]) * back for i in range(size))]
+                    if edits == 2:
+                        keys += [sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * back * back for i in range(size) for j in range(i + 1, size)]
+                    table = np.sort(np.stack(keys, 1), 1)
+                    kept = np.concatenate([np.ones((len(part), 1), bool), table[:, 1:] != table[:, :-1]], 1)  # letters that repeat leave the same
+                    row, at = np.nonzero(kept)
+                    of = pa.array(part[row])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(_mixed(table[row, at]).view(np.int64))], names=["word", "n", "key"])
+
+    return words.select("word", "n").mapInArrow(run, schema)
+
+
+def _nearest(asked: DataFrame, known: DataFrame, edits: int, itself: bool) -> DataFrame:
+    """(asked, word, d) for words (word, n) that have one within ``edits``: the nearest, of these the most frequent, then the first."""
+    mine = _cut_keys(asked, edits).select(F.col("word").alias("asked"), "key")
+    # plans don't know how many keys a word has: words with a million keys together are broadcast at most
+    mine = F.broadcast(mine) if asked.count() <= (100_000 if edits == 1 else 15_000) else mine.hint("merge")
+    met = mine.join(_cut_keys(known, edits), "key").filter(F.abs(F.length("asked") - F.length("word")) <= edits)
+    met = met if itself else met.filter("asked <> word")
+    # d edits with swaps are 2 d without at most: most that meet are told apart here
+    pairs = met.filter(F.levenshtein("asked", "word", 2 * edits) >= 0).groupBy("asked", "word").agg(F.max("n").alias("n"))
+    best = F.min(F.struct("d", (-F.col("n")).alias("neg"), "word")).alias("b")
+    return pairs.withColumn("d", damerau("asked", "word")).filter(F.col("d") <= edits).groupBy("asked").agg(best).select("asked", F.col("b.word").alias("word"), F.col("b.d").alias("d"))
+
+
 def did_you_mean(words: DataFrame, vocabulary: DataFrame, itself: bool = True) -> DataFrame:
     """For each unknown word the nearest vocabulary word (word, n) within one edit, two from eight letters on.
 
     Without ``itself``, a word that is in the vocabulary too is not its own suggestion.
-    Candidates share a length within the bound and a cut-out of the word: with two words within d edits,
-    some cut-outs of at most d letters are equal, so they meet on an equality and are then measured.
+    Candidates share a cut-out of the word: with two words within d edits, some cut-outs of at most d letters are equal, so they meet
+    on the equality of hashes and are then measured.  Two edits, with their many cut-outs, are for the words that have nothing within one.
     """
-    def cuts(df: DataFrame, c: str, name: str) -> DataFrame:
-        whole = F.array(F.col(c))
-        once = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(F.col(c)))))
-        twice = F.flatten(F.transform(once, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
-        every = F.when(F.length(c) >= 7, F.concat(whole, once, twice)).otherwise(F.concat(whole, once))
-        return df.withColumn(name, F.explode(F.array_distinct(every)))
-
-    known = cuts(vocabulary.filter(F.length("word") >= 4), "word", "cut")
-    asked = cuts(words.select(F.col("word").alias("asked")).distinct(), "asked", "cut")
-    most = F.when(F.length("asked") >= 8, 2).otherwise(1)
-    met = asked.join(known, "cut").filter(F.abs(F.length("asked") - F.length("word")) <= most)
-    pairs = (met if itself else met.filter("asked <> word")).select("asked", "word", "n").distinct().withColumn("d", damerau("asked", "word"))
-    near = pairs.filter(F.col("d") <= most)
-    best = F.min(F.struct("d", (-F.col("n")).alias("neg"), "word")).alias("b")
-    return near.groupBy("asked").agg(best).select("asked", F.col("b.word").alias("word"), F.col("b.d").alias("d"))
+    known = cut(vocabulary.filter(F.length("word") >= 4), "vocabulary")
+    asked = cut(words.filter(F.length("word") >= 3).select("word").distinct().withColumn("n", F.lit(0)), "asked")
+    one = cut(_nearest(asked, known, 1, itself), "near")
+    left = cut(asked.filter(F.length("word") >= 8).join(one.select(F.col("asked").alias("word")), "word", "left_anti"), "left")
+    return one.unionByName(_nearest(left, known.filter(F.length("word") >= 6), 2, itself))
 
 
 def rising_run(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -43,3 +43,22 @@ def test_echoes_count_only_what_several_speakers_may_have_said(spark):
         assert sorted(map(tuple, got)) == want
         n = textual.grams(df, k).count(), textual.grams(df, k, 2).count()
         assert n[0] == every and n[1] < every / 2, (k, n)
+
+
+def test_two_edits_are_for_words_with_nothing_within_one(spark):
+    from plenum.operators import textual
+    from tests.test_catalogue import edits
+
+    rng = random.Random(2)
+    known = list({"".join(rng.choice("abc") for _ in range(rng.randint(4, 11))) for _ in range(300)})
+    asked = [w for w in known if rng.random() < 0.4] + ["ab", "", "ccc", "zzzzzzzz", None]
+    vocabulary = [(w, rng.randint(1, 9)) for w in known]
+    out = textual.did_you_mean(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(vocabulary, "word string, n long"), itself=False)
+    want = {}
+    for a in filter(None, asked):
+        near = [(d, -n, w) for w, n in vocabulary if w != a and (d := edits(a, w)) <= (2 if len(a) >= 8 else 1)]
+        if near:
+            want[a] = (min(near)[2], min(near)[0])
+    assert {d for _, d in want.values()} == {1, 2}
+    assert {r.asked: (r.word, r.d) for r in out.collect()} == want
+    assert "explode" not in plan(out).lower()  # no row of text a cut-out
