@@ -24,6 +24,8 @@ from plenum.sources.work import cut, small
 TERMS = 500_000
 #: Numbers of a table of scores, documents by questions, that a task has at a time.
 CHUNK = 2_000_000
+#: Tokens of documents that a task looks at together.
+TOKENS = 250_000
 SHORTEST = 3
 
 
@@ -61,6 +63,15 @@ def _spread(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start[which][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of a batch, in pieces with about ``TOKENS`` tokens in ``column``, or one row with more."""
+    ends, a = batch.column(column).offsets.to_numpy(), 0
+    while a < len(batch):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + TOKENS, side="right")) - 1)
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def _term_counts(tokens: pa.ListArray, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document of the batch, term, tf) sorted by document, and the documents' lengths; a token counts 255 times at most."""
     lengths = np.diff(tokens.offsets.to_numpy())
@@ -167,7 +178,7 @@ class Ranking:
     def _weigh(self, asked: Asked) -> None:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df, n, total = np.zeros(len(asked.terms), dtype=np.int64), 0, 0
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in _pieces(whole, 0)):
                 _, term, _, lengths = _term_counts(batch.column(0), asked)
                 df += np.bincount(term, minlength=len(df))
                 n, total = n + len(lengths), total + int(lengths.sum())
@@ -188,7 +199,7 @@ class Ranking:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: list = []
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
                 for a, scores in _scores(batch.column(1), known.value):
                     state = step(known.value, state, batch.slice(a, len(scores)), scores)
             yield from finish(known.value, state)

@@ -62,3 +62,18 @@ def test_two_edits_are_for_words_with_nothing_within_one(spark):
     assert {d for _, d in want.values()} == {1, 2}
     assert {r.asked: (r.word, r.d) for r in out.collect()} == want
     assert "explode" not in plan(out).lower()  # no row of text a cut-out
+
+
+def test_a_task_looks_at_few_tokens_together(spark, monkeypatch):
+    import pyarrow as pa
+
+    from plenum.operators import ranking
+
+    rng = random.Random(4)
+    lists = [["t"] * rng.choice([0, 1, 5, 40]) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(lists, pa.list_(pa.string()))], names=["doc", "t"]).slice(3, 50)
+    monkeypatch.setattr(ranking, "TOKENS", 20)
+    pieces = list(ranking._pieces(batch, 1))
+    assert [d for p in pieces for d in p.column(0).to_pylist()] == list(range(3, 53))
+    assert all(len(p) == 1 or len(p.column(1).flatten()) <= 20 for p in pieces) and len(pieces) > 10
+    assert list(ranking._pieces(batch.slice(0, 0), 1)) == []
