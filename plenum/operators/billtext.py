@@ -188,7 +188,7 @@ def quoted_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     most = asked.agg(F.max(F.length("q"))).first()[0] or 0
     begins = reasons(pages).select(F.col("bill").cast("string").alias("bill"), F.col("at.page").cast("long").alias("from"))
     text = with_ahead(pages.join(asked.select("bill").distinct(), "bill", "left_semi"), most)
-    text = text.withColumn("text", F.concat("own", "ahead"))
+    text = cut(text.withColumn("text", F.concat("own", "ahead")), "ahead")  # read three times below
     pairs = containing(text, asked.withColumn("id", F.col("q")), doc="page", body="text", query="id", question="q", on=("bill",))
     met = pairs.join(asked.filter("q <> ''"), (pairs["query"] == asked["q"]) & (pairs["bill"] == asked["bill"])).select(pairs["bill"], "quote", "q", F.col("doc").alias("page"))
     met = met.join(text, ["bill", "page"])

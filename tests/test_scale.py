@@ -77,3 +77,15 @@ def test_a_task_looks_at_few_tokens_together(spark, monkeypatch):
     assert [d for p in pieces for d in p.column(0).to_pylist()] == list(range(3, 53))
     assert all(len(p) == 1 or len(p.column(1).flatten()) <= 20 for p in pieces) and len(pieces) > 10
     assert list(ranking._pieces(batch.slice(0, 0), 1)) == []
+
+
+def test_text_ahead_is_found_once(spark, monkeypatch):
+    from plenum.operators import billtext
+
+    made = []
+    monkeypatch.setattr(billtext, "containing", lambda text, *a, real=billtext.containing, **b: (made.append(plan(text)), real(text, *a, **b))[1])
+    pages = spark.createDataFrame([(1, 1, "one two three four"), (1, 2, "five six seven"), (2, 1, "one two")], "bill int, page int, body string")
+    quotes = spark.createDataFrame([(1, "two three four five"), (1, "six seven"), (2, "two three four five")], "bill int, quote string")
+    got = {(r.bill, r.quote): r.page for r in billtext.quoted_pages(quotes, pages).collect()}
+    assert got == {("1", "two three four five"): 1, ("1", "six seven"): 2, ("2", "two three four five"): None}
+    assert made and "MapInArrow" not in made[0]
