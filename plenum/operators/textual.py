@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plenum.functions import text
-from plenum.sources.work import cut
+from plenum.sources.work import cut, small
 
 K1, B = 1.5, 0.75
 #: Rows for each part of an exchange: parts grow with the table, a part doesn't.
@@ -183,30 +184,60 @@ def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.repartition(parts, *keys) if parts > usual else rows.repartition(*keys)
 
 
-def postings(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
-    """(doc, token, tf, length): tf is 255 at most, length the number of tokens."""
-    t = docs.select(F.col(doc).alias("doc"), text.tokens(F.col(body)).alias("t"))
-    rows = t.select("doc", F.size("t").alias("length"), F.explode("t").alias("token"))
-    return rows.groupBy("doc", "length", "token").agg(F.least(F.count("*"), F.lit(255)).alias("tf"))
-
-
 def shard_of(token: Column, size: Column, most: int) -> Column:
     """Two letters of a token, or three where that shard has more than ``most`` postings."""
     return F.when(size > most, F.substring(token, 1, 3)).otherwise(F.substring(token, 1, 2))
 
 
+def inverted(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """(token, postings): the (doc, tf) of a token in some documents, tf 255 at most; each batch of documents is inverted where it is.
+
+    Rows of one doc count as one document; only such documents are brought together.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), text.tokens(F.coalesce(F.col(body), F.lit(""))).alias("t"))
+    again = cut(rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("again")), "again")
+    if not again.isEmpty():
+        same = F.col("doc").eqNullSafe(F.col("again"))
+        whole = rows.join(again, same, "left_semi").groupBy("doc").agg(F.flatten(F.collect_list("t")).alias("t"))  # a document's rows
+        rows = rows.join(again, same, "left_anti").unionByName(whole)
+    entry = T.StructType([rows.schema["doc"], T.StructField("tf", T.IntegerType())])
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("postings", T.ArrayType(entry))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            a, ends = 0, whole.column(1).offsets.to_numpy()
+            while a < len(whole):  # pieces of documents with so many tokens together, or one with more
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + WORDS, side="right")) - 1)
+                batch, owner = whole.slice(a, z - a), np.repeat(np.arange(z - a), np.diff(ends[a : z + 1]))
+                a = z
+                coded = pc.dictionary_encode(batch.column(1).flatten())
+                met, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(batch) + owner, return_counts=True)
+                token = met // len(batch)
+                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+                entries = pa.StructArray.from_arrays([batch.column(0).take(pa.array(met % len(batch))), pa.array(np.minimum(tf, 255), pa.int32())], names=["doc", "tf"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(token)], pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(token[first])).cast(pa.string()), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def index_shards(docs: DataFrame, most: int = 5000, block: int = 65_536, **names) -> DataFrame:
     """(shard, token, df, block, postings): the index by shards, postings as arrays of (doc, tf), of about ``block`` at most.
 
-    The postings of a token that more documents have are dealt to several blocks, so that no array and no task has to hold all.
+    The postings of a token that more documents have are dealt to several blocks, so that no array and no task has to hold all.  Others are
+    shuffled as the arrays that batches of documents gave.
     """
-    p = postings(docs, **names)
-    tokens = p.groupBy("token").agg(F.count("*").alias("df"))
+    p = cut(inverted(docs, **names), "inverted")
+    tokens = p.groupBy("token").agg(F.sum(F.size("postings")).alias("df"))
     two = F.substring("token", 1, 2).alias("two")
     sizes = tokens.groupBy(two).agg(F.sum("df").alias("size"))
-    known = tokens.withColumn("two", two).join(sizes, "two").select("token", "df", shard_of(F.col("token"), F.col("size"), most).alias("shard"))
-    rows = p.join(known, "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("df") / block)).cast("int"))
-    return rows.groupBy("shard", "token", "df", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
+    known = cut(tokens.withColumn("two", two).join(sizes, "two").select("token", "df", shard_of(F.col("token"), F.col("size"), most).alias("shard")), "known")
+    keys = ["shard", "token", "df", "block"]
+    few = p.join(known.filter(F.col("df") <= block), "token").withColumn("block", F.lit(0))
+    few = few.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("postings"))).alias("postings"))
+    many = p.join(small(known.filter(F.col("df") > block), known.filter(F.col("df") > block).count()), "token").select("shard", "token", "df", F.explode("postings").alias("posting"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("posting.doc"), F.ceil(F.col("df") / block)).cast("int"))
+    return few.unionByName(many.groupBy(*keys).agg(F.sort_array(F.collect_list("posting")).alias("postings")))
 
 
 def every_term(docs: DataFrame, queries: DataFrame, newest: str, doc: str = "doc", body: str = "body", query: str = "query", question: str = "question") -> DataFrame:

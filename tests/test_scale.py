@@ -89,3 +89,12 @@ def test_text_ahead_is_found_once(spark, monkeypatch):
     got = {(r.bill, r.quote): r.page for r in billtext.quoted_pages(quotes, pages).collect()}
     assert got == {("1", "two three four five"): 1, ("1", "six seven"): 2, ("2", "two three four five"): None}
     assert made and "MapInArrow" not in made[0]
+
+
+def test_rows_of_one_document_are_one_posting(spark):
+    from plenum.operators import textual
+
+    docs = [(1, "alpha beta"), (1, "alpha gamma delta"), (2, "alpha " * 300), (3, None), (None, "beta"), (None, "beta gamma")]
+    out = textual.index_shards(spark.createDataFrame(docs, "doc int, body string").repartition(3), block=65_536)
+    got = {r.token: (r.df, [tuple(p) for p in r.postings]) for r in out.collect()}
+    assert got == {"alpha": (2, [(1, 2), (2, 255)]), "beta": (2, [(None, 2), (1, 1)]), "gamma": (2, [(None, 1), (1, 1)]), "delta": (1, [(1, 1)])}
