@@ -144,6 +144,25 @@ def test_substring_dedup_of_a_text_of_one_string(spark, first, then):
     assert got[later].kept_sha256 == hashlib.sha256((long[:150] + long[200:] if later == then else "").encode()).hexdigest()
 
 
+def test_substring_dedup_cuts_texts_to_what_they_share(monkeypatch):
+    """Twenty texts with one core and edges of their own: the core is not in the array twenty times, and flags are those of plain search."""
+    rng, entered, arrays = random.Random(5), [0], substring_dedup.suffix_arrays
+    monkeypatch.setattr(substring_dedup, "suffix_arrays", lambda buf, bounds: entered.append(len(buf)) or arrays(buf, bounds))
+    some = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    core = some(400)
+    texts = [bytes([128 + k]) * 30 + (core if k % 3 else core[60:330]) + bytes([160 + k]) * 30 for k in range(20)]
+    docs = [rng.randint(0, 9) for _ in texts]
+    own, later = substring_dedup.repeats(texts, docs, [7] * 20, 50)
+    holders: dict[bytes, int] = {}
+    for text, doc in zip(texts, docs, strict=True):
+        for a in range(len(text) - 49):
+            holders[text[a : a + 50]] = min(doc, holders.get(text[a : a + 50], doc))
+    want = [a + 50 <= len(t) and d > holders[t[a : a + 50]] for t, d in zip(texts, docs, strict=True) for a in range(len(t))]
+    assert own.tolist() == want and any(want)
+    assert later.tolist() == [a + 50 <= len(t) for t in texts for a in range(len(t))]
+    assert 0 < sum(entered) <= 2 * len(core)
+
+
 def test_substring_dedup_is_decided_by_suffix_arrays(spark, texts, monkeypatch):
     def none(texts, docs, homes, width):
         return (np.zeros(sum(map(len, texts)), bool),) * 2
