@@ -2,7 +2,8 @@
 
 P(yes) = logistic(a * x - b): x is a member's position, a and b a vote's slope and cut, with normal priors.  The fit alternates
 damped Newton steps on all votes and on all members.  Terms and the draws of the bootstrap are keys.  A term of ``CELLS`` cells
-(who voted how) or fewer is fitted in memory, a task for each term and draw.  In a larger one a step is sums over the cells by vote or
+(who voted how) or fewer is fitted in memory, a task for each term and draw: a vote comes as lists of its members, a cell is a few
+bytes there, and a step looks at a piece of the cells at a time.  In a larger one a step is sums over the cells by vote or
 by member: a join with the coefficients and an aggregation, written after each step, so that no term has to fit into a task.
 Both take the same steps.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from plenum.sources.work import cut, remove, small
 
 ITERATIONS, DRAWS, DRAW_ITERATIONS, SECOND_ITERATIONS, POWER_ITERATIONS = 60, 40, 25, 40, 60
 PRIOR = 16.0
-#: A term with more cells is fitted by joins and aggregations; so many cells take about 200 MB in a task.
-CELLS = 2_000_000
+#: A term with more cells is fitted by joins and aggregations; a cell takes 17 bytes in a task, 9 of them while it is fitted.
+CELLS = 20_000_000
+#: Cells in a row of a vote, about, and cells that a step looks at together, at least.
+ROW, PIECE = 1 << 17, 1 << 16
 #: Rounds end when no position moves by so much.
 STILL, DRAW_STILL = 1e-5, 1e-3
 #: The share of votes that a draw with replacement, as many as there are, has at least once.
@@ -194,87 +198,161 @@ def _joined(rows: DataFrame, draws: int, second: bool) -> tuple[DataFrame, DataF
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    np.clip(z, -30, 30, out=z)
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 class _Cells:
-    """The cells of one term and draw as arrays, and the sums of a step over them."""
+    """The cells of one term and draw as arrays, a vote's cells side by side, and the sums of a step over them.
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.member, self.names = pd.factorize(pdf["member"], sort=True)
-        self.vote, votes = pd.factorize(pdf["vote"], sort=True)
-        self.y, self.n_votes = pdf["y"].to_numpy(float), len(votes)
-
-    def of_votes(self, *what: np.ndarray) -> list[np.ndarray]:
-        return [np.bincount(self.vote, w, self.n_votes) for w in what]
+    ``votes`` has rows (vote, yes, no), the latter two lists of members; a vote may have several rows.
+    """
 
-    def of_members(self, *what: np.ndarray) -> list[np.ndarray]:
-        return [np.bincount(self.member, w, len(self.names)) for w in what]
+    def __init__(self, votes: pa.Table):
+        votes = votes.sort_by("vote")
+        code = votes["vote"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sides = [votes["yes"], votes["no"]]
+        self.names = np.sort(pc.unique(pa.chunked_array([c.flatten() for side in sides for c in side.chunks], pa.int64())).to_numpy())
+        sizes = np.stack([pc.list_value_length(side).to_numpy() for side in sides], axis=1)
+        n, at, names = int(sizes.sum()), 0, pa.array(self.names)
+        self.member, self.y = np.empty(n, np.int32), np.empty(n, np.int8)
+        for k in range(len(votes)):
+            for side, y in zip(sides, (1, 0), strict=True):
+                own = side[k].values
+                self.member[at : at + len(own)] = pc.index_in(own, names).to_numpy(zero_copy_only=False)
+                self.y[at : at + len(own)] = y
+                at += len(own)
+        self.vote = np.repeat(code.astype(np.int32), sizes.sum(axis=1))
+        self.n_votes = int(code[-1]) + 1
+        size = max(PIECE, 2 * len(self.names))
+        self.pieces = [slice(k, k + size) for k in range(0, n, size)]
+
+    def of_votes(self, what) -> np.ndarray:
+        """Sums by vote of the arrays that ``what`` gives for members, votes and y of a piece."""
+        out = None
+        for i, j, y in self.parts():
+            first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
+            sums = [np.add.reduceat(w, first) for w in what(i, j, y)]
+            out = np.zeros((len(sums), self.n_votes)) if out is None else out
+            out[:, j[first]] += sums
+        return out
+
+    def of_members(self, what) -> np.ndarray:
+        out = 0
+        for i, j, y in self.parts():
+            out = out + np.stack([np.bincount(i, w, len(self.names)) for w in what(i, j, y)])
+        return out
+
+    def parts(self):
+        """Members, votes and y of each piece, as NumPy takes them without another conversion."""
+        for p in self.pieces:
+            yield self.member[p].astype(np.intp), self.vote[p].astype(np.intp), self.y[p].astype(float)
+
+    def share(self, what) -> float:
+        """The share of cells for which ``what`` holds."""
+        return sum(int(np.count_nonzero(what(*part))) for part in self.parts()) / len(self.y)
 
     def first_axis(self, iterations: int, still: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j, y = self.member, self.vote, self.y
-        share = np.divide(*self.of_members(y, np.ones_like(y)))
+        share = np.divide(*self.of_members(lambda i, j, y: (y, np.ones(len(y)))))
         x = (share - share.mean()) / (share.std() or 1.0)
         a, b = np.full(self.n_votes, 0.5), np.zeros(self.n_votes)
+
+        def for_votes(i, j, y):
+            at = x[i]
+            p = _logistic(a[j] * at - b[j])
+            r, w = y - p, p * (1 - p)
+            along = w * at
+            return r * at, r, along * at, along, w
+
+        def for_members(i, j, y):
+            slope = a[j]
+            p = _logistic(slope * x[i] - b[j])
+            return (y - p) * slope, p * (1 - p) * slope * slope
+
         for _ in range(iterations):
-            p = _logistic(a[j] * x[i] - b[j])
-            w, was = p * (1 - p), x
-            rx, r, wxx, wx, ww = self.of_votes((y - p) * x[i], y - p, w * x[i] ** 2, w * x[i], w)
+            was = x
+            rx, r, wxx, wx, ww = self.of_votes(for_votes)
             ga, gb, haa, hbb = rx - a / PRIOR, -r - b / PRIOR, wxx + 1 / PRIOR, ww + 1 / PRIOR
             det = haa * hbb - wx * wx
             a = np.clip(a + np.clip((hbb * ga + wx * gb) / det, -5, 5), -20, 20)
             b = np.clip(b + np.clip((haa * gb + wx * ga) / det, -5, 5), -20, 20)
-            p = _logistic(a[j] * x[i] - b[j])
-            g, h = self.of_members((y - p) * a[j], p * (1 - p) * a[j] ** 2)
+            g, h = self.of_members(for_members)
             x = x + np.clip((g - x) / (h + 1), -2, 2)
             x = x - x.mean()
             if np.abs(x - was).max() < still:
                 break
         return x, a, b
 
-    def second_axis(self, x: np.ndarray, base: np.ndarray) -> float:
+    def right(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+        """The share of cells that one axis calls right."""
+        return self.share(lambda i, j, y: (a[j] * x[i] - b[j] >= 0) == (y > 0))
+
+    def second_axis(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
         """What another axis adds to the share of cells called right; begins where ``_second`` begins."""
-        i, j, y = self.member, self.vote, self.y
-        r = y - _logistic(base)
         u = np.random.default_rng(0).standard_normal(len(x))
+        left = lambda i, j, y: y - _logistic(a[j] * x[i] - b[j])
+        r = np.concatenate([left(*part) for part in self.parts()]) if len(self.y) <= CELLS // 4 else None
+        at = 0
+
+        def rest(i, j, y):
+            """The residuals of the next piece, kept or found again."""
+            nonlocal at
+            if r is None:
+                return left(i, j, y)
+            at = at % len(r) + len(i)
+            return r[at - len(i) : at]
+
         for _ in range(POWER_ITERATIONS):
-            was, u = u, self.of_members(r * self.of_votes(r * u[i])[0][j])[0]
+            was = u
+            [v] = self.of_votes(lambda i, j, y: (rest(i, j, y) * was[i],))
+            [u] = self.of_members(lambda i, j, y: (rest(i, j, y) * v[j],))
             u = u / (np.linalg.norm(u) or 1.0)
             if np.abs(u - was).max() < 1e-6:
                 break
-        a2 = self.of_votes(r * u[i])[0]
+        [a2] = self.of_votes(lambda i, j, y: (rest(i, j, y) * u[i],))
         x2, a2 = u / (u.std() or 1.0), a2 / (np.abs(a2).max() or 1.0)
+        both = lambda i, j: a[j] * x[i] - b[j] + a2[j] * x2[i]
+
+        def along(what, i, j, y):
+            p = _logistic(both(i, j))
+            return (y - p) * what, p * (1 - p) * what * what
+
         for _ in range(SECOND_ITERATIONS):
-            was, p = x2, _logistic(base + a2[j] * x2[i])
-            g, h = self.of_members((y - p) * a2[j], p * (1 - p) * a2[j] ** 2)
+            was = x2
+            g, h = self.of_members(lambda i, j, y: along(a2[j], i, j, y))
             x2 = x2 + np.clip((g - x2) / (h + 1), -2, 2)
             x2 = x2 - x2.mean()
             x2 = x2 - (x2 @ x) / ((x @ x) or 1.0) * x
-            p = _logistic(base + a2[j] * x2[i])
-            g, h = self.of_votes((y - p) * x2[i], p * (1 - p) * x2[i] ** 2)
+            g, h = self.of_votes(lambda i, j, y: along(x2[i], i, j, y))
             a2 = np.clip(a2 + np.clip((g - a2 / PRIOR) / (h + 1 / PRIOR), -2, 2), -20, 20)
             if np.abs(x2 - was).max() < STILL:
                 break
-        right = lambda z: ((z >= 0) == (y > 0.5)).mean()
-        return max(0.0, right(base + a2[j] * x2[i]) - right(base))
+        return max(0.0, self.share(lambda i, j, y: (both(i, j) >= 0) == (y > 0)) - self.right(x, a, b))
 
 
 def _grouped(rows: DataFrame, draws: int, second: bool) -> tuple[DataFrame, DataFrame]:
-    """As ``_joined``, each term and draw in a task."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found, whole = _Cells(pdf), key[1] == 0
-        x, a, b = found.first_axis(*((ITERATIONS, STILL) if whole else (DRAW_ITERATIONS, DRAW_STILL)))
-        base = a[found.vote] * x[found.member] - b[found.vote]
-        right = ((base >= 0) == (found.y > 0.5)).mean() if whole else np.nan
-        more = found.second_axis(x, base) if whole and second else np.nan
-        return pd.DataFrame({"term": key[0], "draw": key[1], "member": np.asarray(found.names), "x": x, "accuracy": right, "second": more})
-
+    """As ``_joined``, each term and draw in a task; to the draws go rows of votes, not of cells."""
+
+    def one(key: tuple, votes: pa.Table) -> pa.Table:
+        found, draw = _Cells(votes), key[1].as_py()
+        del votes
+        x, a, b = found.first_axis(*((ITERATIONS, STILL) if draw == 0 else (DRAW_ITERATIONS, DRAW_STILL)))
+        right = found.right(x, a, b) if draw == 0 else None
+        more = found.second_axis(x, a, b) if draw == 0 and second else None
+        n, kinds = len(x), (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        values = ([key[0].as_py()] * n, [draw] * n, found.names, x, [right] * n, [more] * n)
+        return pa.table([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["term", "draw", "member", "x", "accuracy", "second"])
+
+    row = F.pmod(F.xxhash64("member"), F.floor(F.col("n") / ROW) + 1).alias("row")
+    side = lambda y: F.collect_list(F.when(F.col("y") == y, F.col("member")))
+    votes = cut(rows.groupBy("term", "vote", row).agg(side(1).alias("yes"), side(0).alias("no")).drop("row"), "votes")
     each = F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")
-    rows = rows.select("term", "vote", "member", "y", each).filter((F.col("draw") == 0) | _taken())
+    dealt = votes.select("term", "vote", "yes", "no", each).filter((F.col("draw") == 0) | _taken())
     schema = "term string, draw int, member long, x double, accuracy double, second double"
-    out = cut(rows.groupBy("term", "draw").applyInPandas(one, schema), "points")
-    facts = out.filter("draw = 0").groupBy("term").agg(F.first("accuracy").alias("accuracy"), F.first(F.nanvl("second", F.lit(None))).alias("second"))
+    out = cut(dealt.groupBy("term", "draw").applyInArrow(one, schema), "points")
+    facts = out.filter("draw = 0").groupBy("term").agg(F.first("accuracy").alias("accuracy"), F.first("second").alias("second"))
     return out.select("term", "draw", "member", "x"), facts
 
 

@@ -102,3 +102,18 @@ def test_small_terms_and_parts_left_out(spark, record):
     assert one.spread is None and one.second is None
     sides = idealpoint.group_positions(idealpoint.ideal_points(pos, draws=0, second=False, anchors=("none", "left"))).toPandas().set_index("grp")
     assert sides["mean"]["left"] > 0 > sides["mean"]["right"] and sides.members.sum() == 26
+
+
+def test_a_vote_may_come_in_rows_and_cells_in_pieces(spark, record, monkeypatch):
+    """However votes are cut to rows and cells to pieces, the fit is the same, and no cell goes to a draw as a row."""
+    pos = spark.createDataFrame([r for r in record if r[0] == "b"], "term string, vote long, member long, grp string, position string")
+    want = idealpoint.ideal_points(pos, draws=2).toPandas().set_index("member")
+    monkeypatch.setattr(idealpoint, "ROW", 300)
+    monkeypatch.setattr(idealpoint, "PIECE", 7)
+    sizes = []
+    made = idealpoint.cut
+    monkeypatch.setattr(idealpoint, "cut", lambda df, tag: (lambda out: (sizes.append(out.count()) if tag == "votes" else None, out)[1])(made(df, tag)))
+    got = idealpoint.ideal_points(pos, draws=2).toPandas().set_index("member").loc[want.index]
+    assert np.abs(got.position - want.position).max() < 2e-4 and np.abs(got.spread - want.spread).max() < 2e-4
+    assert np.allclose(got[["accuracy", "second"]], want[["accuracy", "second"]])
+    assert len(sizes) == 1 and 80 < sizes[0] <= 80 * 9 < want.votes.sum()
