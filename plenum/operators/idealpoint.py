@@ -2,8 +2,8 @@
 
 P(yes) = logistic(a * x - b): x is a member's position, a and b a vote's slope and cut, with normal priors.  The fit alternates
 damped Newton steps on all votes and on all members.  Terms and the draws of the bootstrap are keys.  A term of ``CELLS`` cells
-(who voted how) or fewer is fitted in memory, a task for each term and draw: a vote comes as lists of its members, a cell is a few
-bytes there, and a step looks at a piece of the cells at a time.  In a larger one a step is sums over the cells by vote or
+(who voted how) or fewer is fitted in memory, a task for each term and for a few of its draws: a vote comes as lists of its members, a cell
+is a few bytes there, and a step looks at a piece of the cells at a time.  In a larger one a step is sums over the cells by vote or
 by member: a join with the coefficients and an aggregation, written after each step, so that no term has to fit into a task.
 Both take the same steps.
 """
@@ -22,12 +22,14 @@ from plenum.sources.work import cut, remove, small
 
 ITERATIONS, DRAWS, DRAW_ITERATIONS, SECOND_ITERATIONS, POWER_ITERATIONS = 60, 40, 25, 40, 60
 PRIOR = 16.0
-#: A term with more cells is fitted by joins and aggregations; a cell takes 17 bytes in a task, 9 of them while it is fitted.
+#: A term with more cells is fitted by joins and aggregations; a cell takes 21 bytes in a task, 5 of them while it is fitted.
 CELLS = 20_000_000
-#: Cells in a row of a vote, about, and cells that a step looks at together, at least.
-ROW, PIECE = 1 << 17, 1 << 16
+#: Cells whose votes are gathered together, and cells that a step looks at together, at least.
+ROW, PIECE = 1 << 17, 1 << 15
 #: Rounds end when no position moves by so much.
 STILL, DRAW_STILL = 1e-5, 1e-3
+#: Tasks for each core, about, that the draws are dealt to.
+TASKS = 4
 #: The share of votes that a draw with replacement, as many as there are, has at least once.
 TAKEN = 1 - math.exp(-1)
 
@@ -40,25 +42,44 @@ def _chance(logit: Column) -> Column:
     return 1 / (1 + F.exp(-_clip(logit, -30.0, 30.0)))
 
 
+def _members(pos: DataFrame, least: int, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, member, yes, no, grp, votes): lists of the divided votes of members with ``least`` of them; (term, vote, yes, n): their sums; and
+    (term, n), the cells of each term with ``least`` members and votes.  ``pos`` is computed once."""
+    from plenum.operators.groups import divided
+
+    named = pos.filter("position in ('yes', 'no')").select(
+        F.col("term").cast("string").alias("term"), F.col("vote").cast("string").alias("vote"), F.col("member").cast("long").alias("member"), F.col("grp").cast("string").alias("grp"),
+        (F.col("position") == "yes").alias("y"), F.col(order).alias("turn"),
+    ).dropna(subset=["term", "vote", "member"])
+    named = cut(named, "named")
+    sides = named.select(F.struct("term", "vote").alias("vote"), F.when(F.col("y"), "yes").otherwise("no").alias("position"))
+    split = cut(divided(sides).select("vote.term", "vote.vote"), "divided")
+    side = lambda y: F.collect_list(F.when(F.col("y") == y, F.col("vote")))
+    lists = named.join(small(split, split.count()), ["term", "vote"]).groupBy("term", "member").agg(side(True).alias("yes"), side(False).alias("no"), F.max_by("grp", "turn").alias("grp"))
+    members = cut(lists.withColumn("votes", (F.size("yes") + F.size("no")).cast("long")).filter(F.col("votes") >= least), "members")
+    remove(named)
+    sums = cut(_flat(members).groupBy("term", "vote").agg(F.sum("y").alias("yes"), F.count("*").alias("n")), "sums")
+    enough = members.groupBy("term").count().filter(F.col("count") >= least).join(sums.groupBy("term").agg(F.count("*").alias("v"), F.sum("n").alias("n")), "term")
+    return members, sums, cut(enough.filter(F.col("v") >= least).select("term", "n"), "terms")
+
+
+def _flat(members: DataFrame) -> DataFrame:
+    """(term, member, vote, y): a row a cell."""
+    cell = lambda y: lambda v: F.struct(v.alias("vote"), F.lit(y).alias("y"))
+    return members.select("term", "member", F.explode(F.concat(F.transform("yes", cell(1.0)), F.transform("no", cell(0.0)))).alias("cell")).select("term", "member", "cell.*")
+
+
 def cells(pos: DataFrame, least: int = 20, order: str = "vote") -> tuple[DataFrame, DataFrame]:
     """(term, vote, member, y, n: cells of the term) of yes and no in divided votes, by members with ``least`` of them, of terms with ``least`` members
     and votes; and (term, member, grp, votes): a member's group is the last by ``order``."""
-    from plenum.operators.groups import divided
-
-    keyed = pos.select(F.col("term").cast("string").alias("term"), F.struct("term", "vote").alias("vote"), F.col("member").cast("long").alias("member"), F.col("grp").cast("string").alias("grp"), "position", F.col(order).alias("turn"))
-    named = keyed.filter("position in ('yes', 'no')")
-    rows = named.join(divided(named).select("vote"), "vote", "left_semi")
-    often = rows.groupBy("term", "member").agg(F.count("*").alias("votes"), F.max_by("grp", "turn").alias("grp")).filter(F.col("votes") >= least)
-    rows = rows.join(often.select("term", "member"), ["term", "member"], "left_semi")
-    rows = cut(rows.select("term", F.col("vote.vote").cast("string").alias("vote"), "member", (F.col("position") == "yes").cast("double").alias("y")), "cells")
-    fit_for = rows.groupBy("term").agg(F.count_distinct("member").alias("m"), F.count_distinct("vote").alias("v"), F.count("*").alias("n")).filter((F.col("m") >= least) & (F.col("v") >= least)).select("term", "n")
-    # a term is a row of this side
-    return rows.join(F.broadcast(fit_for), "term"), cut(often.join(F.broadcast(fit_for), "term", "left_semi").select("term", "member", "grp", "votes"), "who")
+    members, _, terms = _members(pos, least, order)
+    members = members.join(F.broadcast(terms), "term")  # a term is a row of this side
+    return _flat(members).join(F.broadcast(terms), "term"), members.select("term", "member", "grp", "votes")
 
 
-def _taken() -> Column:
+def _taken(draw: Column) -> Column:
     """Whether a draw has a vote: a rule of their names."""
-    return F.pmod(F.xxhash64("term", "vote", "draw"), F.lit(1 << 30)) / float(1 << 30) < TAKEN
+    return F.pmod(F.xxhash64("term", "vote", draw), F.lit(1 << 30)) / float(1 << 30) < TAKEN
 
 
 class _Fit:
@@ -123,7 +144,7 @@ def _started(rows: DataFrame) -> _Fit:
 def _drawn(whole: _Fit, draws: int) -> _Fit:
     """A fit for each draw of votes, from where the whole ended; a vote's draws follow from its name."""
     each = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-    ab = whole.ab.select("term", each, "vote", "a", "b").filter(_taken())
+    ab = whole.ab.select("term", each, "vote", "a", "b").filter(_taken(F.col("draw")))
     x = whole.x.select("term", each, "member", "x", F.lit(0.0).alias("far"))
     return _Fit(whole.rows, cut(x, "members"), cut(ab, "votes"))
 
@@ -205,50 +226,79 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 class _Cells:
-    """The cells of one term and draw as arrays, a vote's cells side by side, and the sums of a step over them.
+    """The cells of one term as arrays, a vote's cells side by side and its members ascending, and the sums of a step over them.
 
-    ``votes`` has rows (vote, yes, no), the latter two lists of members; a vote may have several rows.
+    ``read`` takes rows (vote, yes, no), the latter two lists of members; a vote may have several rows.
     """
 
-    def __init__(self, votes: pa.Table):
-        votes = votes.sort_by("vote")
-        code = votes["vote"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        sides = [votes["yes"], votes["no"]]
-        self.names = np.sort(pc.unique(pa.chunked_array([c.flatten() for side in sides for c in side.chunks], pa.int64())).to_numpy())
-        sizes = np.stack([pc.list_value_length(side).to_numpy() for side in sides], axis=1)
-        n, at, names = int(sizes.sum()), 0, pa.array(self.names)
-        self.member, self.y = np.empty(n, np.int32), np.empty(n, np.int8)
-        for k in range(len(votes)):
+    def __init__(self, votes: list[str], names: np.ndarray, ends: np.ndarray, member: np.ndarray, y: np.ndarray):
+        self.votes, self.names, self.member, self.y = votes, names, member, y
+        self.ends, self.n_votes = ends, len(votes)
+        starts, n = np.append(0, ends[:-1]), len(y)
+        # a piece of a vote that most members have holds members of a narrow range; else a piece has twice as many cells as there are members
+        size = PIECE if 4 * n >= len(votes) * len(names) else max(PIECE, 2 * len(names))
+        cuts = np.arange(0, n, size)
+        if 4 * n >= len(votes) * size:  # large votes: no piece has cells of two
+            cuts = np.union1d(cuts, starts)
+        self.pieces = []
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True):
+            one, last = np.searchsorted(ends, [low, high - 1], side="right")
+            at = np.maximum(starts[one : last + 1], low)
+            counts, j = np.minimum(ends[one : last + 1], high) - at, np.arange(one, last + 1)
+            own = member[low:high]
+            self.pieces.append((slice(low, high), j[counts > 0], at[counts > 0] - low, counts[counts > 0], int(own.min()), int(own.max()) + 1))
+
+    @classmethod
+    def read(cls, rows: pa.Table) -> _Cells:
+        rows = rows.sort_by("vote")
+        coded = rows["vote"].combine_chunks().dictionary_encode()
+        code, votes = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        sides = [rows["yes"], rows["no"]]
+        names = np.sort(pc.unique(pa.chunked_array([c.flatten() for side in sides for c in side.chunks], pa.int64())).to_numpy())
+        sizes = np.stack([pc.list_value_length(side).to_numpy() for side in sides], axis=1).astype(np.int64)
+        ends, at = np.cumsum(np.bincount(code, sizes.sum(axis=1), len(votes)).astype(np.int64)), 0
+        key = np.empty(int(sizes.sum()), np.int64)  # of a cell: its member and y
+        for k in range(len(rows)):
             for side, y in zip(sides, (1, 0), strict=True):
-                own = side[k].values
-                self.member[at : at + len(own)] = pc.index_in(own, names).to_numpy(zero_copy_only=False)
-                self.y[at : at + len(own)] = y
+                own = side[k].values.to_numpy(zero_copy_only=False)
+                key[at : at + len(own)] = np.searchsorted(names, own) * 2 + y
                 at += len(own)
-        self.vote = np.repeat(code.astype(np.int32), sizes.sum(axis=1))
-        self.n_votes = int(code[-1]) + 1
-        size = max(PIECE, 2 * len(self.names))
-        self.pieces = [slice(k, k + size) for k in range(0, n, size)]
+        for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
+            key[low:high].sort()
+        return cls(votes, names, ends, (key >> 1).astype(np.int32), (key & 1).astype(np.int8))
+
+    def having(self, votes: set[str]) -> _Cells:
+        """The cells of these votes, and the members who have any of them."""
+        kept = [k for k, v in enumerate(self.votes) if v in votes]
+        starts = np.append(0, self.ends[:-1])
+        member, y = (np.concatenate([c[starts[k] : self.ends[k]] for k in kept] or [c[:0]]) for c in (self.member, self.y))
+        there = np.zeros(len(self.names), bool)
+        there[member] = True
+        return _Cells([self.votes[k] for k in kept], self.names[there], np.cumsum((self.ends - starts)[kept]), (np.cumsum(there, dtype=np.int32) - 1)[member], y)
 
     def of_votes(self, what) -> np.ndarray:
         """Sums by vote of the arrays that ``what`` gives for members, votes and y of a piece."""
         out = None
-        for i, j, y in self.parts():
-            first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
-            sums = [np.add.reduceat(w, first) for w in what(i, j, y)]
+        for (_, j, first, *_), part in zip(self.pieces, self.parts(), strict=True):
+            sums = [np.add.reduceat(w, first) for w in what(*part)]
             out = np.zeros((len(sums), self.n_votes)) if out is None else out
-            out[:, j[first]] += sums
+            out[:, j] += sums
         return out
 
     def of_members(self, what) -> np.ndarray:
-        out = 0
-        for i, j, y in self.parts():
-            out = out + np.stack([np.bincount(i, w, len(self.names)) for w in what(i, j, y)])
+        out = None
+        for (*_, low, high), (i, j, y) in zip(self.pieces, self.parts(), strict=True):
+            sums = what(i, j, y)
+            out = np.zeros((len(sums), len(self.names))) if out is None else out
+            own = i - low
+            for k, w in enumerate(sums):
+                out[k, low:high] += np.bincount(own, w, high - low)
         return out
 
     def parts(self):
-        """Members, votes and y of each piece, as NumPy takes them without another conversion."""
-        for p in self.pieces:
-            yield self.member[p].astype(np.intp), self.vote[p].astype(np.intp), self.y[p].astype(float)
+        """Members, votes (or the only one) and y of each piece, as NumPy takes them without another conversion."""
+        for p, j, _, counts, *_ in self.pieces:
+            yield self.member[p].astype(np.intp), np.repeat(j, counts) if len(j) > 1 else j[0], self.y[p].astype(float)
 
     def share(self, what) -> float:
         """The share of cells for which ``what`` holds."""
@@ -332,28 +382,68 @@ class _Cells:
         return max(0.0, self.share(lambda i, j, y: (both(i, j) >= 0) == (y > 0)) - self.right(x, a, b))
 
 
-def _grouped(rows: DataFrame, draws: int, second: bool) -> tuple[DataFrame, DataFrame]:
-    """As ``_joined``, each term and draw in a task; to the draws go rows of votes, not of cells."""
-
-    def one(key: tuple, votes: pa.Table) -> pa.Table:
-        found, draw = _Cells(votes), key[1].as_py()
-        del votes
-        x, a, b = found.first_axis(*((ITERATIONS, STILL) if draw == 0 else (DRAW_ITERATIONS, DRAW_STILL)))
-        right = found.right(x, a, b) if draw == 0 else None
-        more = found.second_axis(x, a, b) if draw == 0 and second else None
-        n, kinds = len(x), (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        values = ([key[0].as_py()] * n, [draw] * n, found.names, x, [right] * n, [more] * n)
-        return pa.table([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["term", "draw", "member", "x", "accuracy", "second"])
-
-    row = F.pmod(F.xxhash64("member"), F.floor(F.col("n") / ROW) + 1).alias("row")
-    side = lambda y: F.collect_list(F.when(F.col("y") == y, F.col("member")))
-    votes = cut(rows.groupBy("term", "vote", row).agg(side(1).alias("yes"), side(0).alias("no")).drop("row"), "votes")
-    each = F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")
-    dealt = votes.select("term", "vote", "yes", "no", each).filter((F.col("draw") == 0) | _taken())
-    schema = "term string, draw int, member long, x double, accuracy double, second double"
-    out = cut(dealt.groupBy("term", "draw").applyInArrow(one, schema), "points")
-    facts = out.filter("draw = 0").groupBy("term").agg(F.first("accuracy").alias("accuracy"), F.first("second").alias("second"))
-    return out.select("term", "draw", "member", "x"), facts
+def _by_vote(members: DataFrame) -> DataFrame:
+    """(term, vote, yes, no): lists of members, from each member's lists of votes; a vote has a row for each ``ROW`` cells or so, of all votes, that it is in."""
+
+    def turned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [pc.list_value_length(batch.column(c)).to_numpy() for c in ("yes", "no")]
+        row, no = np.concatenate([np.repeat(np.arange(len(batch)), n) for n in sizes]), np.repeat([0, 1], [n.sum() for n in sizes])
+        vote, term = pa.concat_arrays([batch.column(c).flatten() for c in ("yes", "no")]).dictionary_encode(), batch.column("term").dictionary_encode()
+        key = (term.indices.to_numpy().astype(np.int64)[row] * len(vote.dictionary) + vote.indices.to_numpy()) * 2 + no
+        turn = np.argsort(key, kind="stable")
+        member, no = batch.column("member").to_numpy()[row[turn]], no[turn] > 0
+        pair, at = np.unique(key[turn] >> 1, return_inverse=True)
+        lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(at[own], minlength=len(pair)))).astype(np.int32), member[own]) for own in (~no, no)]
+        names = [term.dictionary.take(pa.array(pair // len(vote.dictionary))), vote.dictionary.take(pa.array(pair % len(vote.dictionary)))]
+        return pa.RecordBatch.from_arrays([*names, *lists], ["term", "vote", "yes", "no"])
+
+    def run(batches):
+        for batch in batches:
+            many = np.cumsum(batch.column("votes").to_numpy())
+            ends = [0, *(np.flatnonzero(np.diff(many // ROW)) + 1).tolist(), len(batch)]
+            for low, high in zip(ends[:-1], ends[1:], strict=True):
+                if high > low:
+                    yield turned(batch.slice(low, high - low))
+
+    return members.select("term", "member", "yes", "no", "votes").mapInArrow(run, "term string, vote string, yes array<long>, no array<long>")
+
+
+def _grouped(members: DataFrame, terms: int, draws: int, second: bool) -> tuple[DataFrame, DataFrame]:
+    """As ``_joined``, the whole of a term in a task, and some of its draws, one after the other, in another: votes go to a task as lists, once."""
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        term, part, taken = key[0].as_py(), key[1].as_py(), {}
+        for vote, own in zip(rows["vote"].to_pylist(), rows["draws"].to_pylist(), strict=True):
+            for draw in own:
+                taken.setdefault(draw, set()).add(vote)
+        found, right, more, made = _Cells.read(rows), None, None, []
+        del rows
+        for draw, votes in sorted(taken.items()):
+            own = found.having(votes) if part else found
+            x, a, b = own.first_axis(*((DRAW_ITERATIONS, DRAW_STILL) if part else (ITERATIONS, STILL)))
+            made.append((own.names, np.full(len(x), draw, np.int32), x))
+            if not part:
+                right, more = own.right(x, a, b), own.second_axis(x, a, b) if second else None
+        member, draw, x = (np.concatenate(c) for c in zip(*made, strict=True))
+        turn = np.argsort(member, kind="stable")
+        names, first = np.unique(member[turn], return_index=True)
+        points = pa.ListArray.from_arrays(np.append(first, len(turn)).astype(np.int32), pa.StructArray.from_arrays([pa.array(draw[turn]), pa.array(x[turn])], ["draw", "x"]))
+        n = len(names)
+        return pa.table([pa.array([term] * n, pa.string()), names, points, pa.array([right] * n, pa.float64()), pa.array([more] * n, pa.float64())], ["term", "member", "points", "accuracy", "second"])
+
+    votes = cut(_by_vote(members), "votes")
+    cores = members.sparkSession.sparkContext.defaultParallelism
+    parts = min(draws, -(-TASKS * cores // max(1, terms)))
+    drawn = F.filter(F.sequence(F.col("part"), F.lit(draws), F.lit(max(1, parts))), _taken) if draws else F.array().cast("array<int>")
+    each = votes.select("term", "vote", "yes", "no", F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("part"))
+    dealt = each.withColumn("draws", F.when(F.col("part") == 0, F.array(F.lit(0))).otherwise(drawn)).filter(F.size("draws") > 0)
+    # more partitions than tasks: few have two of them
+    dealt = dealt.repartition(4 * max(1, terms) * (parts + 1), "term", "part")
+    schema = "term string, member long, points array<struct<draw: int, x: double>>, accuracy double, second double"
+    out = cut(dealt.groupBy("term", "part").applyInArrow(one, schema), "points")
+    remove(votes)
+    facts = out.filter("accuracy is not null").groupBy("term").agg(F.first("accuracy").alias("accuracy"), F.first("second").alias("second"))
+    return out.select("term", "member", "points"), facts
 
 
 def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = (), order: str = "vote", draws: int = DRAWS, second: bool = True) -> DataFrame:
@@ -365,23 +455,26 @@ def ideal_points(pos: DataFrame, least: int = 20, anchors: tuple[str, ...] = (),
     the share of cells called right, ``null_accuracy`` that of each vote's majority, ``apre`` what the model saves of the latter's
     errors, ``second`` what another axis, orthogonal to the first, would add to ``accuracy`` (null unless asked for).
     """
-    rows, who = cells(pos, least, order)
-    large = rows.filter(F.col("n") > CELLS)
-    x, facts = _grouped(rows.filter(F.col("n") <= CELLS), draws, second)
-    if not large.isEmpty():
-        more = _joined(cut(large, "large"), draws, second)
-        x, facts = x.unionByName(more[0]), facts.unionByName(more[1])
-
-    per = rows.groupBy("term", "vote").agg(F.sum("y").alias("yes"), F.count("*").alias("n"))
-    null = per.groupBy("term").agg((F.sum(F.greatest("yes", F.col("n") - F.col("yes"))) / F.sum("n")).alias("null_accuracy"))
-    named = x.filter("draw = 0").drop("draw").join(who, ["term", "member"])
+    members, sums, terms = _members(pos, least, order)
+    members = members.join(F.broadcast(terms), "term")  # a term is a row of this side
+    sizes = [r.n for r in terms.select("n").collect()]  # a number a term
+    n_large = sum(n > CELLS for n in sizes)
+    x, facts = _grouped(members.filter(F.col("n") <= CELLS), len(sizes) - n_large, draws, second)
+    if n_large:
+        more, of_more = _joined(cut(_flat(members.filter(F.col("n") > CELLS)), "large"), draws, second)
+        x, facts = x.unionByName(more.select("term", "member", F.array(F.struct("draw", "x")).alias("points"))), facts.unionByName(of_more)
+
+    null = sums.join(F.broadcast(terms.select("term")), "term").groupBy("term").agg((F.sum(F.greatest("yes", F.col("n") - F.col("yes"))) / F.sum("n")).alias("null_accuracy"))
+    whole = lambda p: p["draw"] == 0
+    points = x.groupBy("term", "member").agg(F.flatten(F.collect_list("points")).alias("points")).withColumn("x", F.filter("points", whole)[0]["x"])
+    named = cut(points.join(members.select("term", "member", "grp", "votes"), ["term", "member"]), "fitted")
     sides = named.groupBy("term", "grp").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
     rank = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in anchors]).cast("array<string>"), F.col("grp")), F.lit(0))
     first = F.when(rank > 0, rank).otherwise(len(anchors) + 1)
     anchor = sides.groupBy("term").agg(F.min_by("mean", F.struct(F.col("grp").isNull(), first, -F.col("n"), "grp")).alias("mean"))
     terms = facts.join(null, "term").join(anchor.select("term", F.when(F.col("mean") < 0, -1.0).otherwise(1.0).alias("sign")), "term")
 
-    both = x.filter("draw > 0").withColumnRenamed("x", "d").join(x.filter("draw = 0").drop("draw"), ["term", "member"])
+    both = named.select("term", "member", "x", F.explode("points").alias("point")).select("term", "member", "x", "point.draw", F.col("point.x").alias("d")).filter("draw > 0")
     turn = both.groupBy("term", "draw").agg(F.when(F.sum(F.col("d") * F.col("x")) < 0, -1.0).otherwise(1.0).alias("turn"))
     spread = both.join(F.broadcast(turn), ["term", "draw"]).groupBy("term", "member").agg(F.stddev_pop(F.col("d") * F.col("turn")).alias("spread"))
     out = named.join(spread, ["term", "member"], "left").join(F.broadcast(terms), "term")  # a term, or its draw, is a row of these sides

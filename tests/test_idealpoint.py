@@ -117,3 +117,25 @@ def test_a_vote_may_come_in_rows_and_cells_in_pieces(spark, record, monkeypatch)
     assert np.abs(got.position - want.position).max() < 2e-4 and np.abs(got.spread - want.spread).max() < 2e-4
     assert np.allclose(got[["accuracy", "second"]], want[["accuracy", "second"]])
     assert len(sizes) == 1 and 80 < sizes[0] <= 80 * 9 < want.votes.sum()
+
+
+def test_positions_are_computed_once_and_a_task_fits_several_draws(spark, record, monkeypatch):
+    """The rows that come in are computed once, and draws that share a task, its votes and members are those that have one each."""
+    rows = [r for r in record if r[0] == "a"]
+    pos = spark.createDataFrame(rows, "term string, vote long, member long, grp string, position string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    want = idealpoint.ideal_points(pos.mapInArrow(counted, pos.schema), draws=9, second=False).toPandas().set_index("member")
+    assert seen.value == len(rows)
+    monkeypatch.setattr(idealpoint, "TASKS", 1)
+    got = idealpoint.ideal_points(pos, draws=9, second=False).toPandas().set_index("member").loc[want.index]
+    assert (got.spread == want.spread).all() and (got.position == want.position).all()
+    drawn = np.random.default_rng(1).random((7, 5)) < 0.5  # votes by members: another set of members in each draw
+    ends, member = np.cumsum(drawn.sum(axis=1)), np.nonzero(drawn)[1].astype(np.int32)
+    few = idealpoint._Cells(list("abcdefg"), np.arange(5) * 10, ends, member, (member % 2).astype(np.int8)).having({"b", "e"})
+    assert [few.names[few.member[k:n]].tolist() for k, n in ((0, few.ends[0]), (few.ends[0], few.ends[1]))] == [(np.flatnonzero(drawn[v]) * 10).tolist() for v in (1, 4)]
