@@ -8,12 +8,13 @@ of different shards compare.  Scores are rounded to 6 decimals; ties go to the s
 1. Documents are dealt to shards of bounded size, and each text is cut into terms once.  A shard's index is a row:
    its terms, their postings, and its documents in the order of their commonest term and length, in blocks of
    ``BLOCK``.  The index is written; N, df and the mean length are summed up from it.
-2. For each query, a shard adds up the largest contributions that its terms have in each block.  The block with the
-   largest sum is scored first.  Then the pivot moves through the blocks in document order: to the next one whose sum
-   reaches the k-th best score so far; blocks before it are skipped with all their postings.  At the pivot (and up to
-   ``LOOK`` such blocks together) each document is scored from all its terms, and the k-th best score goes up.
-   The k-th best score of the best blocks of all shards together is what each shard starts from.
-3. Each shard's first k are merged.  A shard whose best possible block can't reach the threshold gives nothing.
+2. For each query, a shard adds up the largest contributions that its terms have in each block.  The pivot moves through the
+   blocks in document order, for up to ``QUERIES`` queries together: at each block are those whose sum there reaches their k-th best score so
+   far; for the others it is skipped with all its postings.  The documents of the block are scored for these queries from all their terms, and
+   the k-th best scores go up.  Terms that many of the queries and documents have are multiplied as a matrix of single precision, the others
+   posting by posting; a rigorous bound on the rounding says which documents may be among the first k, and these are scored again
+   in double precision, term by term.
+3. A task's shards are taken one after the other, each from the k-th best scores of those before; each task's first k are merged.
 
 Queries go out in blocks, cut by a running sum of their terms at ``QUERY_BYTES`` (a longer query goes alone), so what is
 broadcast has a proven bound, and each block is run against the written index.
@@ -25,7 +26,6 @@ one.  An empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -40,8 +40,11 @@ from plenum.llm.common import cut, documents
 from plenum.llm.suffix import _spread
 
 K1, B = 1.2, 0.75
-#: Documents of a block, and blocks that are scored between two moves of the pivot.
-BLOCK, LOOK = 64, 8
+#: Documents of a block, and queries that the pivot moves for together.
+BLOCK, QUERIES = 256, 4096
+#: A term is part of the matrix if one in so many pairs of a query and a document, at least, have it in common; the matrix has at most so many cells; and
+#: so many postings are multiplied together.
+SHARED, CELLS, POSTINGS = 320, 16 << 20, 4 << 20
 #: Tasks for each core that the shards of an index are dealt to.
 TASKS = 2
 #: Text of one shard, and of the terms of one block of queries.
@@ -132,10 +135,10 @@ def frequencies(shards: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """The part of a shard's index that the terms of a block of queries have."""
+    """The part of a shard's index that the terms of a block of queries have: postings in blocks of documents, by term in each, and their largest weights."""
 
     def __init__(self, s: dict[str, np.ndarray], vocabulary: np.ndarray, mean: float):
-        self.ids, self.n = s["ids"], len(s["ids"])
+        self.ids, self.n, self.n_terms = s["ids"], len(s["ids"]), len(vocabulary)
         self.blocks = -(-self.n // BLOCK)
         at = np.minimum(np.searchsorted(s["terms"], vocabulary), max(0, len(s["terms"]) - 1))
         known = s["terms"][at] == vocabulary if len(s["terms"]) else np.zeros(len(vocabulary), bool)
@@ -148,49 +151,91 @@ class Shard:
         # the largest weight of each term in each block: term by term, blocks ascending
         pair = row * self.blocks + doc // BLOCK
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        self.doc, self.weight = doc, weight
-        self.first, self.size = first, np.diff(np.append(first, len(pair)))
-        self.top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        self.top_block = pair[first] % max(1, self.blocks)
-        self.top_ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(vocabulary)))])
-
-    def best(self, rows: np.ndarray, factor: np.ndarray, k: int, least: float | None = None) -> list[tuple[int, float]]:
-        """The first k (doc_id, score), of at least ``least``, of a query's terms, given as rows of the vocabulary with
-        idf * qtf; without ``least``, those of the most promising block only."""
-        size = self.top_ends[rows + 1] - self.top_ends[rows]
-        pairs = _spread(self.top_ends[rows], size)  # of a term and a block
-        factor, block = np.repeat(factor, size), self.top_block[pairs]
+        self.top = row[first], pair[first] % max(1, self.blocks), np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        turn = np.argsort((doc // BLOCK).astype(np.uint16 if self.blocks < 1 << 16 else np.int64), kind="stable")
+        self.df, self.row, self.doc, self.weight = size, row[turn], doc[turn], weight[turn]
+        self.ends = np.cumsum(np.bincount(self.doc // BLOCK, minlength=self.blocks))
+
+    def best(self, rows: np.ndarray, factor: np.ndarray, ends: np.ndarray, k: int, top: np.ndarray):
+        """Yields query, document ids and scores of what may be among the first k of some queries.  A query's terms are given as rows of the vocabulary with
+        idf * qtf, and its best scores so far as a row of ``top`` (0 where there is none)."""
+        n, owner, top = len(ends), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), top.copy()
+        common = self.df * np.bincount(rows, minlength=self.n_terms)  # pairs of a query and a document that have a term in common
+        dense = np.flatnonzero(common * SHARED > self.n * n)
+        if len(dense) > (most := CELLS // max(n, BLOCK, self.blocks)):
+            dense = np.sort(dense[np.argsort(-common[dense], kind="stable")[:most]])
+        column = np.full(self.n_terms, -1, np.int32)
+        column[dense] = np.arange(len(dense))
+        shared, rare = column[rows] >= 0, (column[rows] < 0) & (self.df[rows] > 0)
+        matrix = np.zeros((n, len(dense)), np.float32)
+        matrix[owner[shared], column[rows[shared]]] = factor[shared]
+        rare_owner, rare_row, rare_factor = owner[rare], rows[rare], factor[rare]
+        # all terms of a sum are positive, so it is off by this share of itself at most: three roundings a product, one a sum
+        off = (len(dense) + 64) * 2.0**-23
+
+        def product(some: np.ndarray, row: np.ndarray, at: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+            """Sums of factor * weight for some of the queries and each place ``at`` below ``width``; rows ascend."""
+            own = column[row]
+            many = own >= 0
+            other = np.zeros((len(dense), width), np.float32)
+            other[own[many], at[many]] = weight[many]
+            out = ((matrix if len(some) == n else matrix[some]) @ other).astype(float).ravel()
+            row, at, weight = row[~many], at[~many], weight[~many]
+            count, place = np.bincount(row, minlength=self.n_terms), np.full(n, -1)
+            first, place[some] = np.cumsum(count) - count, np.arange(len(some))
+            pairs = np.flatnonzero((count[rare_row] > 0) & (place[rare_owner] >= 0))
+            total = np.cumsum(count[rare_row[pairs]])
+            cuts = np.searchsorted(total, np.arange(POSTINGS, total[-1], POSTINGS)) if len(total) else []
+            for some_pairs in np.split(pairs, cuts):
+                size = count[rare_row[some_pairs]]
+                posting = _spread(first[rare_row[some_pairs]], size)
+                cell = np.repeat(place[rare_owner[some_pairs]] * width, size) + at[posting]
+                out += np.bincount(cell, weight[posting] * np.repeat(rare_factor[some_pairs], size), len(out))
+            return out.reshape(-1, width)
+
         # what a block can score at most, with some room for the order in which numbers are added
-        bound = np.bincount(block, self.top[pairs] * factor, self.blocks) * (1 + 1e-9) + 1e-6
-        found: list[tuple[float, int]] = []  # the best so far: (score, -doc_id), the worst of them first
-        limit, asked = max(2e-6, least or 0.0), np.zeros(self.blocks, bool)
-
-        def score(blocks: np.ndarray) -> None:
-            """All documents of these blocks, each from all its terms that are asked for."""
-            nonlocal limit
-            asked[blocks] = True
-            mine = np.flatnonzero(asked[block])
-            asked[blocks] = False
-            size = self.size[pairs[mine]]
-            place, low = _spread(self.first[pairs[mine]], size), int(blocks[0]) * BLOCK
-            own = np.round(np.bincount(self.doc[place] - low, self.weight[place] * np.repeat(factor[mine], size)), 6)
-            for i in np.flatnonzero(own >= max(limit, 1e-6)).tolist():
-                hit = (float(own[i]), -int(self.ids[low + i]))
-                if len(found) < k:
-                    heapq.heappush(found, hit)
-                elif hit > found[0]:
-                    heapq.heapreplace(found, hit)
-            if len(found) == k:
-                limit = max(limit, found[0][0])
-
-        if self.blocks and bound.max() >= limit:
-            lead = int(bound.argmax())
-            score(np.array([lead]))
-            bound[lead], pivot = 0.0, 0
-            while least is not None and len(ahead := np.flatnonzero(bound[pivot:] >= limit)[:LOOK]):
-                score(ahead + pivot)
-                pivot += int(ahead[-1]) + 1
-        return [(-i, x) for x, i in sorted(found, key=lambda h: (-h[0], -h[1]))]
+        bound = product(np.arange(n), *self.top, self.blocks) * (1 + 2 * off) + 1e-6 if self.blocks else np.zeros((n, 0))
+        limit, found = top.min(axis=1), []
+        for block in range(self.blocks):
+            some = np.flatnonzero(bound[:, block] >= np.maximum(limit, 1e-6))
+            if not len(some):
+                continue
+            part = slice(self.ends[block - 1] if block else 0, self.ends[block])
+            low, width = block * BLOCK, min(BLOCK, self.n - block * BLOCK)
+            near = product(some, self.row[part], self.doc[part] - low, self.weight[part], width)
+            hit = near >= np.maximum(limit[some] * (1 - 2 * off) - 2e-6, 4e-7)[:, None]
+            i, j = np.nonzero(hit)
+            if not len(i):
+                continue
+            found.append((some[i], low + j, near[i, j]))
+            new = np.flatnonzero(hit.any(axis=1))
+            both = np.concatenate([top[some[new]], np.where(hit[new], near[new], 0.0)], axis=1)
+            both.partition(both.shape[1] - k, axis=1)
+            top[some[new]] = both[:, -k:]
+            limit[some[new]] = np.maximum(limit[some[new]], both[:, -k:].min(axis=1) * (1 - 2 * off) - 1e-6)
+        if not found:
+            return
+        query, doc, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        kept = near >= limit[query] * (1 - 2 * off) - 2e-6
+        turn = np.argsort(query[kept], kind="stable")
+        query, doc = query[kept][turn], doc[kept][turn]
+        # the postings of these documents, by document, terms ascending
+        asked = np.zeros(self.n, bool)
+        asked[doc] = True
+        own = np.flatnonzero(asked[self.doc])
+        own = own[np.argsort(self.doc[own], kind="stable")]
+        row, weight, count = self.row[own], self.weight[own], np.bincount(self.doc[own], minlength=self.n)
+        first, value, starts = np.cumsum(count) - count, np.zeros(self.n_terms), np.append(0, ends[:-1])
+        whose, begins = np.unique(query, return_index=True)
+        for q, docs in zip(whose.tolist(), np.split(doc, begins[1:]), strict=True):
+            terms = slice(starts[q], ends[q])
+            value[rows[terms]] = factor[terms]
+            size = count[docs]
+            posting = _spread(first[docs], size)
+            score = np.round(np.bincount(np.repeat(np.arange(len(docs)), size), weight[posting] * value[row[posting]], len(docs)), 6)
+            value[rows[terms]] = 0.0
+            there = score >= 1e-6
+            yield q, self.ids[docs[there]], score[there]
 
 
 def _first(found: DataFrame, n_shards: int, k: int) -> DataFrame:
@@ -205,8 +250,7 @@ def _first(found: DataFrame, n_shards: int, k: int) -> DataFrame:
 def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int, n_shards: int) -> DataFrame:
     """(query_id, doc_id, score): the first k of each query of the block in the shards of each task.
 
-    A task has several shards, one after the other, and each begins with the k-th best score of those before it.  The first begins with
-    what the best blocks of one shard of each task have given: their k-th best score over all.
+    A task has several shards, one after the other, and each begins with the k-th best scores of those before it.
     """
     query, term, qtf, df = (block.column(c).to_numpy() for c in ("doc_id", "term", "qtf", "df"))
     order = np.lexsort((term, query))
@@ -220,25 +264,20 @@ def _run_block(shards: DataFrame, block: pa.Table, n: int, mean: float, k: int,
     tasks = max(1, min(n_shards, TASKS * context.defaultParallelism))
     shards = shards.coalesce(tasks)
 
-    def answers(batches, least: dict[int, float] | None):
+    def answers(batches):
         vocabulary, (ids, ends, at, factor) = shipped.value
         best: list[list[tuple[float, int]]] = [[] for _ in ids]  # of each query (-score, doc_id), ascending
-        for turn, s in enumerate(_shards(batches)):
-            if least is None and turn:
-                continue
+        for s in _shards(batches):
             shard = Shard(s, vocabulary, mean)
-            for i, q in enumerate(ids.tolist()):
-                part = slice(ends[i], ends[i + 1])
-                limit = None if least is None else max(least.get(q, 0.0), -best[i][-1][0] if len(best[i]) == k else 0.0)
-                if new := shard.best(at[part], factor[part], k, limit):
-                    best[i] = sorted([*best[i], *((-x, d) for d, x in new)])[:k]
+            for low in range(0, len(ids), QUERIES):
+                high, part = min(low + QUERIES, len(ids)), slice(ends[low], ends[min(low + QUERIES, len(ids))])
+                top = np.array([[*(-x for x, _ in b), *[0.0] * (k - len(b))] for b in best[low:high]])
+                for q, docs, scores in shard.best(at[part], factor[part], ends[low + 1 : high + 1] - ends[low], k, top):
+                    best[low + q] = sorted([*best[low + q], *zip((-scores).tolist(), docs.tolist(), strict=True)])[:k]
         out = [(q, d, -x) for q, found in zip(ids.tolist(), best, strict=True) for x, d in found]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "doc_id", "score"])
 
-    schema = "query_id long, doc_id long, score double"
-    first = _first(shards.mapInArrow(lambda batches: answers(batches, None), schema), n_shards, k).filter(F.col("at") == k - 1)
-    least = context.broadcast({r.query_id: -r.hit.s for r in first.collect()})  # one number a query of the block
-    return shards.mapInArrow(lambda batches: answers(batches, least.value), schema)
+    return shards.mapInArrow(answers, "query_id long, doc_id long, score double")
 
 
 def _blocks(sizes: DataFrame, most: int) -> list[tuple[int, int]]:

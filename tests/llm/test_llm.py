@@ -251,6 +251,50 @@ def test_search(spark, texts, monkeypatch):
         assert got.get(q, []) == [(i, round(-s, 4)) for s, i in sorted(scored)[:3]]
 
 
+def test_search_scores_queries_together(monkeypatch):
+    """A shard's best for 300 queries are those of plain sums, with any share of terms as a matrix; with high scores already found, steps don't grow with queries."""
+    rng, k, mean = np.random.default_rng(5), 3, 9.0
+    monkeypatch.setattr(search, "BLOCK", 16)
+    counts = rng.poisson(rng.zipf(1.3, 80).clip(1, 50)[::-1] ** -1.0, (203, 80)) * rng.integers(0, 2, (203, 80))
+    counts[150:160] = counts[7]  # equal scores: the smaller ids are first
+    docs, terms = np.nonzero(counts)
+    turn = np.lexsort((docs, terms))
+    ends = np.cumsum(np.bincount(terms, minlength=80))
+    shard = {"ids": rng.permutation(203) + 1000, "lengths": counts.sum(axis=1), "terms": np.arange(80) * 3, "ends": ends, "docs": docs[turn], "counts": counts[docs, terms][turn]}
+    vocabulary = np.sort(np.append(np.arange(0, 80, 2) * 3, [5, 500]))
+    asked = rng.random((300, len(vocabulary))) < 0.2
+    asked[:, -1], asked[17] = True, False
+    owner, rows = np.nonzero(asked)
+    factor, stops = rng.random(len(rows)) * 9 + 0.1, np.cumsum(asked.sum(axis=1))
+    weights = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * counts.sum(axis=1) / mean)[:, None])
+    place = {t: i for i, t in enumerate(shard["terms"].tolist())}
+    value = np.zeros((300, 203))
+    for q, row, f in zip(owner.tolist(), rows.tolist(), factor.tolist(), strict=True):
+        value[q] += f * weights[:, place[t]] if (t := int(vocabulary[row])) in place else 0.0
+    want = [sorted((-round(x, 6), int(i)) for x, i in zip(v, shard["ids"], strict=True) if round(x, 6) > 0)[:k] for v in value]
+    steps, spread = [], search._spread
+    monkeypatch.setattr(search, "_spread", lambda *a: (steps.append(1), spread(*a))[1])
+
+    def best(top):
+        out = [[] for _ in range(300)]
+        for q, ids, scores in search.Shard(shard, vocabulary, mean).best(rows, factor, stops, k, top):
+            out[q] = sorted(zip((-scores).tolist(), ids.tolist(), strict=True))[:k]
+        return out
+
+    for shared, most, postings in ((320, 16 << 20, 4 << 20), (10**9, 16 << 20, 4 << 20), (10, 30 * 300, 50), (0, 0, 7)):
+        for name, v in (("SHARED", shared), ("CELLS", most), ("POSTINGS", postings)):
+            monkeypatch.setattr(search, name, v)
+        got = best(np.zeros((300, k)))
+        assert [[i for _, i in g] for g in got] == [[i for _, i in w] for w in want] and got[17] == []
+        assert all(abs(a[0] - b[0]) < 2e-6 for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
+    monkeypatch.setattr(search, "POSTINGS", 4 << 20)
+    top = np.array([[-x for x, _ in w] + [0.0] * (k - len(w)) for w in want])
+    steps.clear()
+    assert all(not g for g in best(np.repeat(top[:, :1] * 1.01 + 0.01, k, axis=1))) and len(steps) < 40
+    again = best(top)  # as if another shard had the same scores: the first is still among the first k
+    assert all(w[0][1] == g[0][1] for g, w in zip(again, want, strict=True) if w)
+
+
 def test_pseudonyms(spark):
     rows = [(1, "4785380592391139 +1 (743) 555-3824 10.0.0.1 2024-02-29"), (2, "x 4785-3805-9239-1139, 29.02.2024; 123-45-6789"), (3, "4785380592391138 2023-02-30 999.1.1.1 000-12-3456"), (4, None), (5, "")]
     out = pseudonyms.pseudonymise(table(spark, rows), "k")
