@@ -41,10 +41,10 @@ from plenum.llm.suffix import _spread
 
 K1, B = 1.2, 0.75
 #: Documents of a block, and queries that the pivot moves for together.
-BLOCK, QUERIES = 256, 4096
+BLOCK, QUERIES = 512, 4096
 #: A term is part of the matrix if one in so many pairs of a query and a document, at least, have it in common; the matrix has at most so many cells; and
 #: so many postings are multiplied together.
-SHARED, CELLS, POSTINGS = 320, 16 << 20, 4 << 20
+SHARED, CELLS, POSTINGS = 640, 16 << 20, 1 << 17
 #: Tasks for each core that the shards of an index are dealt to.
 TASKS = 2
 #: Text of one shard, and of the terms of one block of queries.
@@ -187,10 +187,14 @@ class Shard:
             total = np.cumsum(count[rare_row[pairs]])
             cuts = np.searchsorted(total, np.arange(POSTINGS, total[-1], POSTINGS)) if len(total) else []
             for some_pairs in np.split(pairs, cuts):
+                if not len(some_pairs):
+                    continue
                 size = count[rare_row[some_pairs]]
                 posting = _spread(first[rare_row[some_pairs]], size)
-                cell = np.repeat(place[rare_owner[some_pairs]] * width, size) + at[posting]
-                out += np.bincount(cell, weight[posting] * np.repeat(rare_factor[some_pairs], size), len(out))
+                query = place[rare_owner[some_pairs]]  # ascending
+                low, high = int(query[0]) * width, int(query[-1] + 1) * width
+                cell = np.repeat(query * width - low, size) + at[posting]
+                out[low:high] += np.bincount(cell, weight[posting] * np.repeat(rare_factor[some_pairs], size), high - low)
             return out.reshape(-1, width)
 
         # what a block can score at most, with some room for the order in which numbers are added
